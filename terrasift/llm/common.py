@@ -122,13 +122,13 @@ def chunks(column: pa.Array, max_bytes: int = 1 << 19) -> Iterator[tuple[int, in
         lo = hi
 
 
-def cut_words(data: np.ndarray, offs: np.ndarray, hashed: bool = True) -> Words:
-    """The words of a chunk. Row boundaries end words."""
+def cut_words(data: np.ndarray, offs: np.ndarray, hashed: bool = True, solid_bytes: np.ndarray = SOLID) -> Words:
+    """The words of a chunk: runs of ``solid_bytes``. Row boundaries end words."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none, none, none, none.astype(np.uint64))
-    solid = SOLID[data]
+    solid = solid_bytes[data]
     other = np.empty(n, bool)
     other[0], other[1:] = False, solid[:-1]
     first = offs[:-1]
@@ -161,6 +161,15 @@ def windows(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return mixed(w[at] ^ np.uint64(k * 0x2545F4914F6CDD1D & _MASK)), at
 
 
+def bounded_sample(df: DataFrame, key: str, limit: int, seed: int = 7) -> DataFrame:
+    """At most ``limit`` rows, those with the smallest hash of ``key``; the same rows on each run."""
+    order = F.xxhash64(F.lit(seed), F.col(key))
+    n = df.select(key).count()
+    if n > 2 * limit:  # most rows never reach the sort
+        df = df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 3 * limit / n)))
+    return df.orderBy(order, key).limit(limit)
+
+
 def text_rows(batch: pa.RecordBatch, name: str) -> pa.Array:
     column = batch.column(batch.schema.get_field_index(name))
     return column if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.cast(pa.string())

@@ -5,22 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents
+from .common import bucket_of, documents
 from .media import text_media
 from .mixing import mix_sources
+from .quality import fit_quality, score_quality
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).drop("source")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = fit_toxicity(docs, documents(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = fit_quality(docs, documents(spark, sf_dir, "labels"))
+    return score_quality(docs, model).select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op4_toxicity": op4_toxicity,
+    "op8_quality": op8_quality,
     "op10_media_columns": op10_media_columns,
 }
 ORACLES: dict[str, str] = {}
