@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bucket_of, documents
+from .language_model import score_texts
 from .media import text_media
 from .mixing import mix_sources
 from .quality import fit_quality, score_quality
@@ -15,6 +16,10 @@ from .substrings import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).drop("source")
 
@@ -40,6 +45,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_model": op1_language_model,
     "op2_mix_sources": op2_mix_sources,
     "op4_toxicity": op4_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
