@@ -11,6 +11,7 @@ from .common import bucket_of, documents
 from .language_model import score_texts
 from .media import text_media
 from .mixing import mix_sources
+from .near_duplicates import near_duplicates
 from .quality import fit_quality, score_quality
 from .substrings import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
@@ -24,6 +25,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).drop("source")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir)).drop("class_key")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = fit_toxicity(docs, documents(spark, sf_dir, "labels"))
@@ -47,6 +52,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_model": op1_language_model,
     "op2_mix_sources": op2_mix_sources,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_toxicity": op4_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
     "op8_quality": op8_quality,
