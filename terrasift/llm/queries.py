@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bucket_of, documents
+from .decontaminate import find_leaks
 from .language_model import score_texts
 from .media import text_media
 from .mixing import mix_sources
@@ -45,6 +46,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "benchmark"))
+    leak = found.select("doc_id", F.explode("leaks").alias("leak"))
+    return leak.select("doc_id", "leak.item_id", "leak.overlap", "leak.item_words", F.round("leak.answer", 6).alias("answer_share"), F.round("leak.cosine", 3).alias("cosine"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -56,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
     "op8_quality": op8_quality,
+    "op9_decontamination": op9_decontamination,
     "op10_media_columns": op10_media_columns,
 }
 ORACLES: dict[str, str] = {}
