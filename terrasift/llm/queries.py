@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bucket_of, documents
@@ -13,6 +13,7 @@ from .language_model import score_texts
 from .media import text_media
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
+from .personal_data import KINDS, find_personal_data, joined
 from .quality import fit_quality, score_quality
 from .substrings import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
@@ -40,6 +41,16 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(documents(spark, sf_dir).select("doc_id", "text"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    base = F.sha2(joined(F.filter("spans", lambda s: s["base"])), 256)
+    return found.select("doc_id", *[number(kind) for kind in KINDS], base.alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = fit_quality(docs, documents(spark, sf_dir, "labels"))
@@ -62,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_toxicity": op4_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_personal_data": op6_personal_data,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_media_columns": op10_media_columns,
