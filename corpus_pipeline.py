@@ -1,7 +1,66 @@
-"""Cleaning pipeline over documents (stages follow)."""
-STAGES = []
+"""A cleaning pipeline over documents: five stages, each an operator of ``terrasift.llm``.
+
+Each stage gets all rows that the one before kept, and all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrasift.llm.common import documents, row_key, stored
+from terrasift.llm.decontaminate import find_leaks
+from terrasift.llm.mixing import mix_sources
+from terrasift.llm.near_duplicates import near_duplicates
+from terrasift.llm.personal_data import redact
+from terrasift.llm.quality import fit_quality, score_quality
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = fit_quality(docs, documents(spark, sf_dir, "labels"))
+    return score_quality(docs, model).where("score >= 0.7").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least id, null last."""
+    classes = near_duplicates(docs)
+    own = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key").alias("row_key"))
+    first = stored(classes.groupBy("class_key").agg(F.min(own).alias("first")).select("first.row_key"))
+    kept = docs.withColumn("row_key", row_key("doc_id", "text")).join(first, "row_key", "left_semi")
+    return kept.dropDuplicates(["row_key"]).select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    found = find_leaks(docs, documents(spark, sf_dir, "benchmark"))
+    return found.where(F.size("leaks") == 0).select(*docs.columns)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    return redact(docs).withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document."""
+    return mix_sources(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("near-duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_leaks),
+    ("personal data", redact_personal_data),
+    ("mixing", mix),
+]
+
+#: No single statement: the stages train models and solve for classes.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -75,6 +75,12 @@ def text_key(text: Column | str) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def row_key(row_id: Column | str, text: Column | str) -> Column:
+    """16 bytes that stand for a row's id and text; a null id is no text's id."""
+    row_id, text = (F.col(c) if isinstance(c, str) else c for c in (row_id, text))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), row_id.cast("string")), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64, vectorised."""
     h = h ^ (h >> np.uint64(30))

@@ -17,6 +17,16 @@ from .personal_data import KINDS, find_personal_data, joined
 from .quality import fit_quality, score_quality
 from .substrings import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
+from .url_filters import HostRule, filter_urls
+
+# The rules that the URL query applies.
+URL_RULES = [
+    HostRule("com", "/", "allow"),
+    HostRule("example.com", "/en/", "block"),
+    HostRule("www.example.com", "/en/", "allow"),
+    HostRule("net", "/es/", "block"),
+    HostRule("net", "/fr/", "block"),
+]
 
 
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +38,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir)).drop("class_key")
+    return near_duplicates(documents(spark, sf_dir)).drop("class_key", "row_key")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +61,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[number(kind) for kind in KINDS], base.alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(documents(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = fit_quality(docs, documents(spark, sf_dir, "labels"))
@@ -74,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_personal_data": op6_personal_data,
+    "op7_url_filters": op7_url_filters,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_media_columns": op10_media_columns,

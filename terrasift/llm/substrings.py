@@ -28,7 +28,7 @@ from .common import _power_tables, chunks, cut_words, mixed, stored, text_rows
 
 GRAM = 8
 #: Distinct segments of an anchor that one automaton holds.
-MANY = 256
+MANY = 2048
 BITS = 26
 
 
