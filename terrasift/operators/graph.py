@@ -67,7 +67,7 @@ def closure(nodes: DataFrame, links: DataFrame) -> DataFrame:
                 total, merged = total + gap, merged + 1
         return pd.DataFrame({"merged": [merged], "gap": [total]})
 
-    forest = links.select("a", "b", F.col("gap").cast("double").alias("gap")).groupBy(F.lit(1)).applyInPandas(kruskal, "merged long, gap double")
+    forest = links.select("a", "b", F.col("gap").cast("double").alias("gap"), F.lit(1).alias("all")).groupBy("all").applyInPandas(kruskal, "merged long, gap double")
     counts = nodes.agg(F.count_distinct("comp").alias("before")).join(after.agg(F.count(F.lit(1)).alias("after")), F.lit(True))
     return counts.join(forest, F.lit(True))
 
