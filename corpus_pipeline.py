@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import documents, row_key, stored
+from terrasift.llm.common import documents, row_key, spare, stored
 from terrasift.llm.decontaminate import find_leaks
 from terrasift.llm.mixing import mix_sources
 from terrasift.llm.near_duplicates import near_duplicates
@@ -27,8 +27,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     classes = near_duplicates(docs)
     own = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key").alias("row_key"))
     first = stored(classes.groupBy("class_key").agg(F.min(own).alias("first")).select("first.row_key"))
-    kept = docs.withColumn("row_key", row_key("doc_id", "text")).join(first, "row_key", "left_semi")
-    return kept.dropDuplicates(["row_key"]).select(*docs.columns)
+    name = spare("row_key", docs.columns)
+    kept = docs.withColumn(name, row_key("doc_id", "text")).join(first.withColumnRenamed("row_key", name), name, "left_semi")
+    return kept.dropDuplicates([name]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Shared helpers: shared-folder tables, and word arrays cut straight out of Arrow text buffers.
+"""Shared helpers: keys, samples, and word arrays cut straight out of Arrow text buffers.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D. In UTF-8 these bytes occur only as
 themselves, so cutting bytes gives the same words as the pattern ``[^\\x20\\x09-\\x0D]+`` on text.
@@ -6,8 +6,6 @@ themselves, so cutting bytes gives the same words as the pattern ``[^\\x20\\x09-
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import scratch_dir, stored  # noqa: F401
+
 #: Java and DuckDB pattern of a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,22 +45,12 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; an own one in local runs only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def spare(name: str, columns: list[str]) -> str:
+    """The name, with underscores in front until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def bucket_of(doc_id: Column | str, buckets: int) -> Column:
@@ -176,6 +166,20 @@ def bounded_sample(df: DataFrame, key: str, limit: int, seed: int = 7) -> DataFr
     return df.orderBy(order, key).limit(limit)
 
 
+def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of fixed size, 2 ** bits, of the low bits of a table's integers: for filters ahead of joins."""
+    low = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    words = df.select(F.shiftright(low, 6).alias("k"), F.expr(f"shiftleft(1L, cast({column} & 63L as int))").alias("bit")).groupBy("k").agg(F.bit_or("bit").alias("word")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("k").to_numpy()] = words.column("word").to_numpy()
+    return out
+
+
+def in_bitmap(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    low = (values & (len(words) * 64 - 1)).astype(np.int64)
+    return ((words[low >> 6] >> (low & 63)) & 1).astype(bool)
+
+
 def text_rows(batch: pa.RecordBatch, name: str) -> pa.Array:
     column = batch.column(batch.schema.get_field_index(name))
     return column if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.cast(pa.string())

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _power_tables, chunks, cut_words, mixed, stored, text_rows
+from .common import _power_tables, bitmap, chunks, cut_words, in_bitmap, mixed, stored, text_rows
 
 GRAM = 8
 #: Distinct segments of an anchor that one automaton holds.
@@ -143,18 +143,9 @@ def find_segments(df: DataFrame, length: int) -> DataFrame:
     return df.mapInArrow(run, f"anchor bigint, seg bigint, id {kind}, th bigint, first int, n int")
 
 
-def _bitmap(df: DataFrame) -> np.ndarray:
-    """A fixed-size bitmap of the anchors in a table, by their low bits."""
-    low = F.col("anchor").bitwiseAND(F.lit((1 << BITS) - 1))
-    words = df.select(F.shiftright(low, 6).alias("k"), F.expr(f"shiftleft(1L, cast(anchor & 63L as int))").alias("bit")).groupBy("k").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), np.int64)
-    out[words.column("k").to_numpy()] = words.column("bits").to_numpy()
-    return out
-
-
-def _texts_of(df: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame:
+def _texts_of(df: DataFrame, known: np.ndarray, length: int) -> DataFrame:
     """Words (32 bits each) and window hashes of the segments whose anchors are in the bitmap."""
-    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+    shared = df.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -162,8 +153,7 @@ def _texts_of(df: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame:
             for _, _, data, offs in chunks(text_rows(batch, "text")):
                 w = cut_words(data, offs)
                 anchor, seg, first, n, _ = segments(w.hash, w.row, length)
-                low = (anchor & np.uint64((1 << BITS) - 1)).astype(np.int64)
-                hit = np.flatnonzero((bits[low >> 6] >> (low & 63)) & 1)
+                hit = np.flatnonzero(in_bitmap(bits, anchor.view(np.int64)))
                 if not len(hit):
                     continue
                 _, once = np.unique(np.stack([anchor[hit], seg[hit]], 1), axis=0, return_index=True)
@@ -203,9 +193,9 @@ def _by_automaton(groups: DataFrame, length: int) -> DataFrame:
     return groups.repartition("anchor").sortWithinPartitions("anchor", "seg").mapInArrow(run, "anchor bigint, seg bigint, lo int, hi int")
 
 
-def _hot_windows(df: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame:
+def _hot_windows(df: DataFrame, known: np.ndarray, length: int) -> DataFrame:
     """(anchor, seg, place, window): hashes of the single windows of segments whose anchors are in the bitmap."""
-    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+    shared = df.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -213,8 +203,7 @@ def _hot_windows(df: DataFrame, bitmap: np.ndarray, length: int) -> DataFrame:
             for _, _, data, offs in chunks(text_rows(batch, "text")):
                 w = cut_words(data, offs)
                 anchor, seg, first, n, _ = segments(w.hash, w.row, length)
-                low = (anchor & np.uint64((1 << BITS) - 1)).astype(np.int64)
-                hit = np.flatnonzero((bits[low >> 6] >> (low & 63)) & 1)
+                hit = np.flatnonzero(in_bitmap(bits, anchor.view(np.int64)))
                 if not len(hit):
                     continue
                 powers, inverses = _power_tables(len(w.hash) + 1)
@@ -238,12 +227,13 @@ def repeated_ranges(df: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     hot = anchors.where(f"kinds > {MANY}")
 
     same = segs.where("times > 1").select("anchor", "seg", F.lit(0).alias("lo"), F.col("n").alias("hi"))
-    texts = _texts_of(df, _bitmap(several), length)
+    texts = _texts_of(df, bitmap(several, "anchor", BITS), length)
     groups = segs.join(several.select("anchor"), "anchor").select("anchor", "seg", "times")
     groups = texts.dropDuplicates(["anchor", "seg"]).join(groups, ["anchor", "seg"]).select("anchor", "seg", "times", "words")
     ranges = same.unionByName(_by_automaton(groups, length))
     if hot.head(1):
-        windows = stored(_hot_windows(df, _bitmap(hot), length).join(hot.select("anchor"), "anchor").groupBy("anchor", "seg", "place", "window").agg(F.count(F.lit(1)).alias("times")))
+        # other anchors that share the bitmap's bits come along: their windows are judged rightly too
+        windows = stored(_hot_windows(df, bitmap(hot, "anchor", BITS), length).groupBy("anchor", "seg", "place", "window").agg(F.count(F.lit(1)).alias("times")))
         again = windows.groupBy("anchor", "window").agg(F.sum("times").alias("times")).where("times > 1").select("anchor", "window")
         ranges = ranges.unionByName(windows.join(again, ["anchor", "window"]).select("anchor", "seg", F.col("place").alias("lo"), (F.col("place") + 1).alias("hi")))
     return found, stored(ranges.distinct())
