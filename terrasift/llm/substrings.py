@@ -41,11 +41,12 @@ def segments(h: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndarray, .
     powers, inverses = _power_tables(len(h) + 1)
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * powers[: len(h)], out=sums[1:])
-    m = len(h) - GRAM + 1
-    gram = mixed((sums[GRAM:] - sums[:m]) * inverses[:m])
+    size = min(GRAM, length)
+    m = len(h) - size + 1
+    gram = mixed((sums[size:] - sums[:m]) * inverses[:m])
     # place of the leftmost smallest gram among the next 1, 2, 4 ... grams, then among all of a window
     span, best = 1, np.arange(m)
-    grams = length - GRAM + 1
+    grams = length - size + 1
     while span * 2 <= grams:
         left, right = best[:-span], best[span:]
         best = np.where(gram[left] <= gram[right], left, right)
