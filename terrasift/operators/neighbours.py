@@ -55,9 +55,12 @@ def dilate8(mask: DataFrame, n: int) -> DataFrame:
     return mask.select("r", "c").distinct() if n <= 0 else spread(mask.select("r", "c"), square(n)).select("r", "c").distinct()
 
 
-def shift(cells: DataFrame, dr: int, dc: int, value: str, name: str) -> DataFrame:
-    """Adds the value of the neighbour at (r - dr, c - dc); null where there is none."""
-    other = cells.select((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c"), F.col(value).alias(name))
+def shift(cells: DataFrame, dr: int, dc: int, value: str, name: str, source: DataFrame | None = None) -> DataFrame:
+    """Adds the value of the neighbour at (r - dr, c - dc) of ``source``, else of the table; null where there is none.
+
+    Chains of shifts give the source, so that each joins the plain table and not what came before.
+    """
+    other = (cells if source is None else source).select((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c"), F.col(value).alias(name))
     return cells.join(other, ["r", "c"], "left")
 
 

@@ -38,7 +38,7 @@ def gradient(cells: DataFrame, value: str) -> DataFrame:
     """Adds gy, gx (central differences, one-sided at edges, 0 for a lone cell) and magnitude."""
     out = cells
     for axis, (dr, dc) in (("gy", (1, 0)), ("gx", (0, 1))):
-        out = shift(shift(out, -dr, -dc, value, "_n"), dr, dc, value, "_p")
+        out = shift(shift(out, -dr, -dc, value, "_n", cells), dr, dc, value, "_p", cells)
         n, p, v = F.col("_n"), F.col("_p"), F.col(value)
         step = F.when(n.isNotNull() & p.isNotNull(), (n - p) / 2).when(n.isNotNull(), n - v).when(p.isNotNull(), v - p).otherwise(0.0)
         out = out.withColumn(axis, step).drop("_n", "_p")

@@ -89,10 +89,10 @@ def host_allowlist(spark: SparkSession, d: str) -> DataFrame:
 GRID = s.GridSpec(256, 256, 243350.0, 4508550.0, 100.0)
 
 
-@query("q_affine_roundtrip", f"""WITH {CELL} SELECT r, c, 243350.0 + (c + 0.5) * 100.0 AS x, 4508550.0 - (r + 0.5) * 100.0 AS y, r AS r_back, c AS c_back FROM cell WHERE q > 49""")
+@query("q_affine_roundtrip", f"""WITH {CELL} SELECT r, c, 243350.0 + (c + 0.5) * 100.0 AS x, 4508550.0 - (r + 0.5) * 100.0 AS y, r AS r_back, c AS c_back FROM cell""")
 def affine_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     x, y = s.rc_to_xy(F.col("r"), F.col("c"), GRID)
-    base = cells(spark, d).where("q > 49").select("r", "c", x.alias("x"), y.alias("y"))
+    base = cells(spark, d).select("r", "c", x.alias("x"), y.alias("y"))
     rb, cb = s.xy_to_rc(F.col("x"), F.col("y"), GRID)
     return base.select("*", rb.alias("r_back"), cb.alias("c_back"))
 
@@ -101,7 +101,7 @@ def affine_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def lonlat(spark: SparkSession, d: str) -> DataFrame:
     x, y = s.rc_to_xy(F.col("r"), F.col("c"), GRID)
     lon, lat = s.xy_to_lonlat(x, y)
-    return cells(spark, d).where("q > 49").select("r", "c", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+    return cells(spark, d).select("r", "c", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
 @query("q_kernel", f"WITH {offs(8)} SELECT count(*) AS taps, round(sum(greatest(1 - sqrt(d2) / 3, 0)), 6) AS area FROM offs")
@@ -136,15 +136,15 @@ def percentile_rank(spark: SparkSession, d: str) -> DataFrame:
     return st.percentile_rank(cells(spark, d).select("q"), "q", "pr").select("q", F.round("pr", 9).alias("pr")).distinct()
 
 
-@query("q_robust_unit", f"WITH {CELL}, k AS (SELECT quantile_cont(v, 0.05) lo, quantile_cont(v, 0.95) hi FROM cell) SELECT r, c, round(least(greatest((v - lo) / (hi - lo), 0), 1), 6) AS unit FROM cell, k WHERE r < 40")
+@query("q_robust_unit", f"WITH {CELL}, k AS (SELECT quantile_cont(v, 0.05) lo, quantile_cont(v, 0.95) hi FROM cell) SELECT r, c, round(least(greatest((v - lo) / (hi - lo), 0), 1), 6) AS unit FROM cell, k")
 def robust_unit(spark: SparkSession, d: str) -> DataFrame:
-    return st.robust_unit(cells(spark, d), "v").where("r < 40").select("r", "c", F.round("unit", 6).alias("unit"))
+    return st.robust_unit(cells(spark, d), "v").select("r", "c", F.round("unit", 6).alias("unit"))
 
 
 @query("q_mad_scale", f"""WITH {CELL}, m AS (SELECT median(v) med FROM cell), x AS (SELECT median(abs(v - med)) mad FROM cell, m)
- SELECT r, c, round((v - med) / (1.4826 * mad), 6) AS z FROM cell, m, x WHERE r < 40""")
+ SELECT r, c, round((v - med) / (1.4826 * mad), 6) AS z FROM cell, m, x""")
 def mad_scale(spark: SparkSession, d: str) -> DataFrame:
-    return st.mad_scale(cells(spark, d), "v").where("r < 40").select("r", "c", F.round("z", 6).alias("z"))
+    return st.mad_scale(cells(spark, d), "v").select("r", "c", F.round("z", 6).alias("z"))
 
 
 @query("q_average_rank", f"WITH {CELL} SELECT DISTINCT q, rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2.0 AS rank FROM cell")
@@ -230,16 +230,17 @@ def halo(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("q_line_raster", f"""WITH {VERTEX}, seg AS (SELECT line, seq, r, c, lead(r) OVER w r1, lead(c) OVER w c1 FROM vertex WINDOW w AS (PARTITION BY line ORDER BY seq)),
- step AS (SELECT *, greatest(abs(r1 - r), abs(c1 - c)) n FROM seg WHERE r1 IS NOT NULL AND line % 20 = 0 AND seq <= 3), pt AS (SELECT *, unnest(range(0, n + 1)) i FROM step)
- SELECT DISTINCT line, CAST(r + CASE WHEN n = 0 THEN 0 ELSE (2 * i * (r1 - r) + n + 2 * n * 256) // (2 * n) - 256 END AS INTEGER) AS r, CAST(c + CASE WHEN n = 0 THEN 0 ELSE (2 * i * (c1 - c) + n + 2 * n * 256) // (2 * n) - 256 END AS INTEGER) AS c FROM pt WHERE i % 3 = 0""")
+ step AS (SELECT *, greatest(abs(r1 - r), abs(c1 - c)) n FROM seg WHERE r1 IS NOT NULL), pt AS (SELECT *, unnest(range(0, n + 1)) i FROM step)
+ , px AS (SELECT DISTINCT line, CAST(r + CASE WHEN n = 0 THEN 0 ELSE (2 * i * (r1 - r) + n + 2 * n * 256) // (2 * n) - 256 END AS INTEGER) AS r, CAST(c + CASE WHEN n = 0 THEN 0 ELSE (2 * i * (c1 - c) + n + 2 * n * 256) // (2 * n) - 256 END AS INTEGER) AS c FROM pt WHERE i % 3 = 0) SELECT line, count(*) AS cells, CAST(sum(r * 256 + c) AS BIGINT) AS checksum FROM px GROUP BY 1""")
 def line_raster(spark: SparkSession, d: str) -> DataFrame:
     """Digital lines between vertices by integer DDA (halves away from the start upwards), every third cell."""
     w = Window.partitionBy("line").orderBy("seq")
-    seg = vertices(spark, d).withColumn("r1", F.lead("r").over(w)).withColumn("c1", F.lead("c").over(w)).where("r1 IS NOT NULL AND line % 20 = 0 AND seq <= 3")
+    seg = vertices(spark, d).withColumn("r1", F.lead("r").over(w)).withColumn("c1", F.lead("c").over(w)).where("r1 IS NOT NULL")
     seg = seg.withColumn("n", F.greatest(F.abs(F.col("r1") - F.col("r")), F.abs(F.col("c1") - F.col("c"))))
     pt = seg.withColumn("i", F.explode(F.expr("sequence(0, n, 3)")))
     at = lambda a, b: F.expr(f"cast({a} + CASE WHEN n = 0 THEN 0 ELSE (2 * i * ({b} - {a}) + n + 2 * n * 256) div (2 * n) - 256 END AS int)")
-    return pt.select("line", at("r", "r1").alias("r"), at("c", "c1").alias("c")).distinct()
+    px = pt.select("line", at("r", "r1").alias("r"), at("c", "c1").alias("c")).distinct()
+    return px.groupBy("line").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("r") * 256 + F.col("c")).cast("long").alias("checksum"))
 
 
 @query("q_ridge_pool", f"WITH {CELL}, k AS (SELECT *, row_number() OVER (PARTITION BY r // 128, c // 128 ORDER BY v DESC, r, c) p FROM cell WHERE flag <> 'N') SELECT r, c, CAST(p <= 100 AS BOOLEAN) AS top FROM k WHERE p <= 300")
@@ -411,11 +412,11 @@ def topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("q_gain_map", f"""WITH {CELL}, {offs(8)}, dots AS (SELECT r, c FROM cell WHERE q >= 50), cover AS (SELECT r + dy r, c + dx c, sum(greatest(1 - sqrt(d2) / 3, 0)) cover FROM dots, offs GROUP BY 1, 2),
- f AS (SELECT cell.r, cell.c, q / 50 w, coalesce(cover, 0) cover FROM cell LEFT JOIN cover USING (r, c)), cand AS (SELECT r r0, c c0 FROM cell WHERE flag = 'R' AND r < 64)
+ f AS (SELECT cell.r, cell.c, q / 50 w, coalesce(cover, 0) cover FROM cell LEFT JOIN cover USING (r, c)), cand AS (SELECT r r0, c c0 FROM cell WHERE flag = 'R')
  SELECT r0 AS r, c0 AS c, round(sum(w * greatest(greatest(1 - sqrt(d2) / 3, 0) - cover, 0)), 6) AS gain FROM cand CROSS JOIN offs JOIN f ON f.r = r0 + dy AND f.c = c0 + dx GROUP BY 1, 2""")
 def gain_map(spark: SparkSession, d: str) -> DataFrame:
     x = cells(spark, d)
-    got = metric.gain_map(mask(x, "flag = 'R' AND r < 64"), x.select("r", "c", (F.col("q") / 50).alias("w")), metric.coverage(mask(x, "q >= 50")))
+    got = metric.gain_map(mask(x, "flag = 'R'"), x.select("r", "c", (F.col("q") / 50).alias("w")), metric.coverage(mask(x, "q >= 50")))
     return got.select("r", "c", *six("gain"))
 
 
@@ -432,18 +433,18 @@ def cover_surface(spark: SparkSession, d: str) -> DataFrame:
     return metric.coverage(mask(x, "q >= 48")).join(mask(x, "flag = 'R'"), ["r", "c"]).select("r", "c", F.round("cover", 6).alias("surface"))
 
 
-@query("q_antislope", f"WITH {CELL} SELECT r, c, round(CASE WHEN q > 0 THEN pow(pow((q - 1) / 254, 2) * greatest(disc - tax, 0) * (1 - disc) * ((q - 1) / 254), 0.25) ELSE 0 END, 6) AS surface FROM cell WHERE q > 40")
+@query("q_antislope", f"WITH {CELL} SELECT r, c, round(CASE WHEN q > 0 THEN pow(pow((q - 1) / 254, 2) * greatest(disc - tax, 0) * (1 - disc) * ((q - 1) / 254), 0.25) ELSE 0 END, 6) AS surface FROM cell")
 def antislope(spark: SparkSession, d: str) -> DataFrame:
     """Geometric mean of four legs per cell."""
     q = F.col("q")
     legs = s.decode_sqrt_rank(q) * F.greatest(F.col("disc") - F.col("tax"), F.lit(0.0)) * (1 - F.col("disc")) * s.decode_linear_rank(q)
-    return cells(spark, d).where("q > 40").select("r", "c", F.round(F.pow(legs, 0.25), 6).alias("surface"))
+    return cells(spark, d).select("r", "c", F.round(F.pow(legs, 0.25), 6).alias("surface"))
 
 
-@query("q_system_table", f"""WITH RECURSIVE {CELL}, m AS (SELECT r, c, r * 256 + c id FROM cell WHERE q >= 50 AND r < 200), e AS (SELECT a.id a, b.id b FROM m a JOIN m b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
+@query("q_system_table", f"""WITH RECURSIVE {CELL}, m AS (SELECT r, c, r * 256 + c id FROM cell WHERE q >= 50), e AS (SELECT a.id a, b.id b FROM m a JOIN m b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
  reach AS (SELECT id, id root FROM m UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.id), comp AS (SELECT id, min(root) comp FROM reach GROUP BY 1)
  SELECT CAST(comp AS BIGINT) AS comp, count(*) AS size, round(avg(r), 6) AS r_mean, round(avg(c), 6) AS c_mean FROM comp JOIN m USING (id) GROUP BY 1""")
 def system_table(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.graph import system_table as table_of
 
-    return table_of(label8(mask(cells(spark, d), "q >= 50 AND r < 200"), 256)).select("comp", "size", *six("r_mean", "c_mean"))
+    return table_of(label8(mask(cells(spark, d), "q >= 50"), 256)).select("comp", "size", *six("r_mean", "c_mean"))

@@ -15,12 +15,12 @@ from .cell_queries import VERTEX, six
 from .registry import CELL, MASKS, offs, query
 
 #: A sparse mask and its 8-connected components, in SQL.
-SPARSE = f"""{CELL}, m AS (SELECT r, c, CAST(r * 256 + c AS BIGINT) id FROM cell WHERE q >= 50 AND r < 200), e AS (SELECT a.id a, b.id b FROM m a JOIN m b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
+SPARSE = f"""{CELL}, m AS (SELECT r, c, CAST(r * 256 + c AS BIGINT) id FROM cell WHERE q >= 50), e AS (SELECT a.id a, b.id b FROM m a JOIN m b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
  reach AS (SELECT id, id root FROM m UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.id), comp AS (SELECT m.r, m.c, m.id, min(root) comp FROM reach JOIN m USING (id) GROUP BY 1, 2, 3)"""
 
 
 def sparse(spark: SparkSession, d: str) -> DataFrame:
-    return mask(cells(spark, d), "q >= 50 AND r < 200")
+    return mask(cells(spark, d), "q >= 50")
 
 
 def supplier_sites(spark: SparkSession, d: str) -> DataFrame:
@@ -31,18 +31,18 @@ def supplier_sites(spark: SparkSession, d: str) -> DataFrame:
 SITE = "site AS (SELECT s_suppkey id, CAST(s_suppkey * 37 % 256 AS INTEGER) r, CAST(s_suppkey * 91 % 256 AS INTEGER) c, s_acctbal w, CAST(s_suppkey * 17 % 180 AS DOUBLE) strike FROM supplier)"
 
 
-@query("q_edt", f"WITH {CELL}, {SITE} SELECT cell.r, cell.c, CAST(min((cell.r - site.r) * (cell.r - site.r) + (cell.c - site.c) * (cell.c - site.c)) AS BIGINT) AS d2 FROM cell, site WHERE cell.q >= 49 GROUP BY 1, 2")
+@query("q_edt", f"WITH {CELL}, {SITE} SELECT cell.r, cell.c, CAST(min((cell.r - site.r) * (cell.r - site.r) + (cell.c - site.c) * (cell.c - site.c)) AS BIGINT) AS d2 FROM cell, site GROUP BY 1, 2")
 def edt(spark: SparkSession, d: str) -> DataFrame:
-    got = nb.nearest(mask(cells(spark, d), "q >= 49"), supplier_sites(spark, d).select("r", "c"), 256)
+    got = nb.nearest(cells(spark, d).select("r", "c"), supplier_sites(spark, d).select("r", "c"), 256)
     return got.select("r", "c", "d2")
 
 
-@query("q_fill_nearest", f"""WITH {CELL}, good AS (SELECT r, c, v FROM cell WHERE q >= 10), bad AS (SELECT r, c FROM cell WHERE q < 10 AND r < 40), k AS (SELECT bad.r, bad.c, v, row_number() OVER (PARTITION BY bad.r, bad.c ORDER BY (bad.r - good.r) * (bad.r - good.r) + (bad.c - good.c) * (bad.c - good.c), good.r, good.c) p
+@query("q_fill_nearest", f"""WITH {CELL}, good AS (SELECT r, c, v FROM cell WHERE q >= 10), bad AS (SELECT r, c FROM cell WHERE q < 10), k AS (SELECT bad.r, bad.c, v, row_number() OVER (PARTITION BY bad.r, bad.c ORDER BY (bad.r - good.r) * (bad.r - good.r) + (bad.c - good.c) * (bad.c - good.c), good.r, good.c) p
  FROM bad JOIN good ON abs(bad.r - good.r) <= 12 AND abs(bad.c - good.c) <= 12) SELECT r, c, v AS filled FROM k WHERE p = 1""")
 def fill_nearest(spark: SparkSession, d: str) -> DataFrame:
     x = cells(spark, d)
     got = surfaces.fill_nearest(x, "v", F.col("q") >= 10, 256)
-    return got.join(mask(x, "q < 10 AND r < 40"), ["r", "c"], "left_semi").select("r", "c", "filled")
+    return got.join(mask(x, "q < 10"), ["r", "c"], "left_semi").select("r", "c", "filled")
 
 
 @query("q_overlap", f"WITH {MASKS}, {offs(9)}, m AS (SELECT DISTINCT r + dy r, c + dx c, 1 hit FROM cell, offs WHERE q >= 49) SELECT count(*) AS dots, count(hit) AS inside, round(avg(coalesce(hit, 0)), 9) AS share FROM pred LEFT JOIN m USING (r, c)")
@@ -77,12 +77,12 @@ def duplicate_files(spark: SparkSession, d: str) -> DataFrame:
     return all_.groupBy("f").agg(digest.alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("files"), F.min("f").alias("first_file")).where("files > 1")
 
 
-@query("q_nearest_polyline", f"WITH {CELL}, {offs(25)}, {VERTEX}, k AS (SELECT r + dy r, c + dx c, min(d2 * 10000000 + line) k FROM vertex, offs WHERE line % 10 = 0 GROUP BY 1, 2) SELECT r, c, k % 10000000 AS line, k // 10000000 AS d2 FROM cell JOIN k USING (r, c) WHERE q >= 49")
+@query("q_nearest_polyline", f"WITH {CELL}, {offs(25)}, {VERTEX}, k AS (SELECT r + dy r, c + dx c, min(d2 * 10000000 + line) k FROM vertex, offs GROUP BY 1, 2) SELECT r, c, k % 10000000 AS line, k // 10000000 AS d2 FROM cell JOIN k USING (r, c)")
 def nearest_polyline(spark: SparkSession, d: str) -> DataFrame:
     """The nearest polyline within 5 cells, ties by its id."""
-    v = vertices(spark, d).where("line % 10 = 0").select("line", "r", "c")
+    v = vertices(spark, d).select("line", "r", "c")
     near = nb.spread(v, nb.offsets(25)).groupBy("r", "c").agg(F.min(F.struct("d2", "line")).alias("k"))
-    return mask(cells(spark, d), "q >= 49").join(near, ["r", "c"]).select("r", "c", "k.line", F.col("k.d2").cast("long").alias("d2"))
+    return cells(spark, d).join(near, ["r", "c"]).select("r", "c", "k.line", F.col("k.d2").cast("long").alias("d2"))
 
 
 @query("q_annotate_links", f"WITH {VERTEX}, seg AS (SELECT line, seq, r, c, lead(r) OVER w q_r, lead(c) OVER w q_c FROM vertex WINDOW w AS (PARTITION BY line ORDER BY seq)), {CELL} SELECT line, seq, a.flag AS flag_src, b.flag AS flag_tgt, coalesce(a.flag = b.flag, false) AS same FROM seg LEFT JOIN cell a ON a.r = seg.r AND a.c = seg.c LEFT JOIN cell b ON b.r = q_r AND b.c = q_c WHERE q_r IS NOT NULL")
@@ -96,21 +96,21 @@ def annotate_links(spark: SparkSession, d: str) -> DataFrame:
     return out.select("line", F.col("seq").cast("long").alias("seq"), "flag_src", "flag_tgt", F.coalesce(F.col("flag_src") == F.col("flag_tgt"), F.lit(False)).alias("same"))
 
 
-@query("q_cone_links", f"""WITH RECURSIVE {SPARSE}, src AS (SELECT *, (id % 4) h FROM comp WHERE comp % 3 = 0), p AS (SELECT s.r, s.c, s.comp comp_src, t.r q_r, t.c q_c, t.comp comp_tgt, CAST((t.r - s.r) * (t.r - s.r) + (t.c - s.c) * (t.c - s.c) AS BIGINT) d2,
+@query("q_cone_links", f"""WITH RECURSIVE {SPARSE}, src AS (SELECT *, (id % 4) h FROM comp), p AS (SELECT s.r, s.c, s.comp comp_src, t.r q_r, t.c q_c, t.comp comp_tgt, CAST((t.r - s.r) * (t.r - s.r) + (t.c - s.c) * (t.c - s.c) AS BIGINT) d2,
  (t.r - s.r) * CASE h WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN -1 ELSE 0 END + (t.c - s.c) * CASE h WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE -1 END dot FROM src s JOIN comp t ON t.comp <> s.comp AND abs(t.r - s.r) <= 20 AND abs(t.c - s.c) <= 20),
  k AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY d2, q_r, q_c) n FROM p WHERE d2 > 0 AND d2 <= 400 AND dot >= cos(radians(30)) * sqrt(d2) - 1e-9) SELECT r, c, comp_src, q_r, q_c, comp_tgt, d2 FROM k WHERE n = 1 AND d2 >= 9""")
 def cone_links(spark: SparkSession, d: str) -> DataFrame:
     x = label8(sparse(spark, d), 256)
     h = (F.col("r") * 256 + F.col("c")) % 4
-    ends = x.where("comp % 3 = 0").withColumn("ty", F.when(h == 0, 1).when(h == 2, -1).otherwise(0)).withColumn("tx", F.when(h == 1, 1).when(h == 3, -1).otherwise(0))
+    ends = x.withColumn("ty", F.when(h == 0, 1).when(h == 2, -1).otherwise(0)).withColumn("tx", F.when(h == 1, 1).when(h == 3, -1).otherwise(0))
     return links.cone_links(ends, x, 20, 9, math.cos(math.radians(30)))
 
 
-@query("q_strike_compat", f"""WITH {SITE}, pt AS (SELECT id, r, c, (id * 7 % 180) st FROM (SELECT c_custkey id, CAST(c_custkey * 7 % 256 AS INTEGER) r, CAST(c_custkey * 13 % 256 AS INTEGER) c FROM customer WHERE c_custkey % 5 = 0)),
+@query("q_strike_compat", f"""WITH {SITE}, pt AS (SELECT id, r, c, (id * 7 % 180) st FROM (SELECT c_custkey id, CAST(c_custkey * 7 % 256 AS INTEGER) r, CAST(c_custkey * 13 % 256 AS INTEGER) c FROM customer)),
  p AS (SELECT pt.id, exp(-sqrt((pt.r - s.r) * (pt.r - s.r) + (pt.c - s.c) * (pt.c - s.c)) / 20.0) w, least(abs(pt.st - s.strike), 180 - abs(pt.st - s.strike)) <= 20 ok FROM pt, site s WHERE (pt.r - s.r) * (pt.r - s.r) + (pt.c - s.c) * (pt.c - s.c) <= 1600)
  SELECT id, round(sum(CASE WHEN ok THEN w ELSE 0 END) / greatest(sum(w), 1e-12), 6) AS share, count(*) AS n FROM p GROUP BY 1""")
 def strike_compat(spark: SparkSession, d: str) -> DataFrame:
-    pts = sites(spark, d).where("id % 5 = 0").select("id", "r", "c", (F.col("id") * 7 % 180).cast("double").alias("st"))
+    pts = sites(spark, d).select("id", "r", "c", (F.col("id") * 7 % 180).cast("double").alias("st"))
     got = links.weighted_share(pts, supplier_sites(spark, d).select("id", "r", "c", "strike"), 40, s.half_turn(F.col("a_st"), F.col("b_strike")) <= 20, 20.0)
     return got.select(F.col("a_id").alias("id"), *six("share"), "n")
 
@@ -141,17 +141,17 @@ def dot_strike(spark: SparkSession, d: str) -> DataFrame:
     return mask(x, "flag = 'A'").join(near, ["r", "c"]).select("r", "c", "strike")
 
 
-@query("q_nn_spacing", f"WITH {CELL}, m AS (SELECT r, c FROM cell WHERE q >= 50 AND r < 80), k AS (SELECT a.r, a.c, min((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) d2 FROM m a, m b WHERE (a.r, a.c) <> (b.r, b.c) GROUP BY 1, 2) SELECT count(*) AS n, round(quantile_cont(sqrt(d2), 0.1), 6) AS p10, round(quantile_cont(sqrt(d2), 0.5), 6) AS p50, round(quantile_cont(sqrt(d2), 0.9), 6) AS p90 FROM k")
+@query("q_nn_spacing", f"WITH {CELL}, m AS (SELECT r, c FROM cell WHERE q >= 50), k AS (SELECT a.r, a.c, min((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) d2 FROM m a, m b WHERE (a.r, a.c) <> (b.r, b.c) GROUP BY 1, 2) SELECT count(*) AS n, round(quantile_cont(sqrt(d2), 0.1), 6) AS p10, round(quantile_cont(sqrt(d2), 0.5), 6) AS p50, round(quantile_cont(sqrt(d2), 0.9), 6) AS p90 FROM k")
 def nn_spacing(spark: SparkSession, d: str) -> DataFrame:
     """Quantiles of the distance to the nearest other dot; those within 40 cells, which all are here, by one spread."""
-    m = mask(cells(spark, d), "q >= 50 AND r < 80")
+    m = mask(cells(spark, d), "q >= 50")
     pairs = links.tile_pairs(m, m, 40).where("d2 > 0").groupBy("a_r", "a_c").agg(F.sqrt(F.min("d2")).alias("x"))
     return pairs.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.percentile("x", p), 6).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)])
 
 
-@query("q_shift", f"WITH {CELL} SELECT a.r, a.c, b.v AS shifted FROM cell a LEFT JOIN cell b ON b.r = a.r - 1 AND b.c = a.c + 2 WHERE a.q >= 48")
+@query("q_shift", f"WITH {CELL} SELECT a.r, a.c, b.v AS shifted FROM cell a LEFT JOIN cell b ON b.r = a.r - 1 AND b.c = a.c + 2")
 def shifted(spark: SparkSession, d: str) -> DataFrame:
-    return nb.shift(cells(spark, d), 1, -2, "v", "shifted").where("q >= 48").select("r", "c", "shifted")
+    return nb.shift(cells(spark, d), 1, -2, "v", "shifted").select("r", "c", "shifted")
 
 
 @query("q_oriented_means", f"""WITH {CELL}, o AS (SELECT r, c, sum(q) OVER (PARTITION BY c ORDER BY r RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) / 11 ns, sum(q) OVER (PARTITION BY r ORDER BY c RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) / 11 ew, sum(q) OVER (PARTITION BY r - c ORDER BY r RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) / 11 nwse, sum(q) OVER (PARTITION BY r + c ORDER BY r RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) / 11 nesw FROM cell)
@@ -167,10 +167,10 @@ def oriented_means(spark: SparkSession, d: str) -> DataFrame:
 GAUSS = "g AS (SELECT i, exp(-0.5 * i * i) / (SELECT sum(exp(-0.5 * j * j)) FROM (SELECT unnest(range(-4, 5)) j)) w FROM (SELECT CAST(unnest(range(-4, 5)) AS INTEGER) i))"
 
 
-@query("q_gauss", f"WITH {CELL}, {GAUSS}, a AS (SELECT cell.r, cell.c, sum(n.q * w) p FROM cell, g JOIN cell n ON n.r = cell.r + i AND n.c = cell.c GROUP BY 1, 2) SELECT t.r, t.c, round(sum(n.p * w), 4) AS smooth FROM a t, g JOIN a n ON n.r = t.r AND n.c = t.c + i WHERE t.r < 64 GROUP BY 1, 2")
+@query("q_gauss", f"WITH {CELL}, {GAUSS}, a AS (SELECT cell.r, cell.c, sum(n.q * w) p FROM cell, g JOIN cell n ON n.r = cell.r + i AND n.c = cell.c GROUP BY 1, 2) SELECT t.r, t.c, round(sum(n.p * w), 4) AS smooth FROM a t, g JOIN a n ON n.r = t.r AND n.c = t.c + i GROUP BY 1, 2")
 def gauss(spark: SparkSession, d: str) -> DataFrame:
     g = surfaces.gaussian_taps(1.0)
-    return surfaces.separable(cells(spark, d).select("r", "c", "q"), g, g, "q", "smooth").where("r < 64").select("r", "c", F.round("smooth", 4).alias("smooth"))
+    return surfaces.separable(cells(spark, d).select("r", "c", "q"), g, g, "q", "smooth").select("r", "c", F.round("smooth", 4).alias("smooth"))
 
 
 GRADIENT = f"""{CELL}, n AS (SELECT t.r, t.c, t.q, d.q dn, u.q up, e.q ea, w.q we FROM cell t LEFT JOIN cell d ON d.r = t.r + 1 AND d.c = t.c LEFT JOIN cell u ON u.r = t.r - 1 AND u.c = t.c LEFT JOIN cell e ON e.r = t.r AND e.c = t.c + 1 LEFT JOIN cell w ON w.r = t.r AND w.c = t.c - 1),
@@ -194,12 +194,12 @@ def vesselness(spark: SparkSession, d: str) -> DataFrame:
     return surfaces.vesselness(cells(spark, d).select("r", "c", "q"), "q", 1.0).where("vesselness > 0.2").select("r", "c", *six("vesselness"))
 
 
-@query("q_box_sum", f"WITH {CELL} SELECT t.r, t.c, sum(n.q) AS total FROM cell t JOIN cell n ON n.r BETWEEN t.r - 2 AND t.r + 2 AND n.c BETWEEN t.c - 2 AND t.c + 2 WHERE t.r < 40 AND t.c < 80 AND EXISTS (SELECT 1) GROUP BY 1, 2".replace(" AND EXISTS (SELECT 1)", ""))
+@query("q_box_sum", f"WITH {CELL}, {offs(8)} SELECT t.r, t.c, sum(n.q) AS total FROM cell t CROSS JOIN offs JOIN cell n ON n.r = t.r + dy AND n.c = t.c + dx WHERE abs(dy) <= 2 AND abs(dx) <= 2 GROUP BY 1, 2")
 def box_sum(spark: SparkSession, d: str) -> DataFrame:
     """Sum over 5 x 5 squares by place, so holes do not matter."""
     x = cells(spark, d).select("r", "c", "q")
     moved = nb.convolve(x, [(y, z, 1.0) for y in range(-2, 3) for z in range(-2, 3)], "q", "total")
-    return moved.where("r < 40 AND c < 80").select("r", "c", "total")
+    return moved.select("r", "c", "total")
 
 
 @query("q_upward")
@@ -251,19 +251,19 @@ def power_law(spark: SparkSession, d: str) -> DataFrame:
     return n.agg(F.count(F.lit(1)).alias("n"), F.round(1 + F.count(F.lit(1)) / F.sum(F.ln(F.col("n") / 10)), 9).alias("exponent"))
 
 
-@query("q_correlation_dimension", f"WITH {CELL}, m AS (SELECT r, c FROM cell WHERE q >= 50 AND r < 80), p AS (SELECT (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) d2 FROM m a, m b WHERE (a.r, a.c) < (b.r, b.c)), k AS (SELECT rad, count(*) n FROM p, (SELECT unnest([4, 8, 16, 32]) rad) WHERE d2 <= rad * rad GROUP BY 1) SELECT round(regr_slope(ln(n), ln(rad)), 6) AS dimension FROM k")
+@query("q_correlation_dimension", f"WITH {CELL}, m AS (SELECT r, c FROM cell WHERE q >= 50), p AS (SELECT (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) d2 FROM m a, m b WHERE (a.r, a.c) < (b.r, b.c)), k AS (SELECT rad, count(*) n FROM p, (SELECT unnest([4, 8, 16, 32]) rad) WHERE d2 <= rad * rad GROUP BY 1) SELECT round(regr_slope(ln(n), ln(rad)), 6) AS dimension FROM k")
 def correlation_dimension(spark: SparkSession, d: str) -> DataFrame:
     """Slope of log pair counts over log radius, by one tiled range join at the largest radius."""
-    m = mask(cells(spark, d), "q >= 50 AND r < 80")
+    m = mask(cells(spark, d), "q >= 50")
     p = links.tile_pairs(m, m, 32).where("a_r < b_r OR (a_r = b_r AND a_c < b_c)")
     n = p.select(F.explode(F.filter(F.array(*map(F.lit, (4, 8, 16, 32))), lambda x: x * x >= F.col("d2"))).alias("rad")).groupBy("rad").agg(F.count(F.lit(1)).alias("n"))
     return n.agg(F.round(F.regr_slope(F.ln("n"), F.ln("rad")), 6).alias("dimension"))
 
 
-@query("q_single_linkage", f"""WITH RECURSIVE {CELL}, m AS (SELECT r, c, CAST(r * 256 + c AS BIGINT) id FROM cell WHERE q >= 50 AND r < 60), e AS (SELECT rad, a.id a, b.id b FROM m a JOIN m b ON abs(a.r - b.r) <= 3 AND abs(a.c - b.c) <= 3, (SELECT unnest([1, 2, 3]) rad) WHERE (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= rad * rad),
+@query("q_single_linkage", f"""WITH RECURSIVE {CELL}, m AS (SELECT r, c, CAST(r * 256 + c AS BIGINT) id FROM cell WHERE q >= 50), e AS (SELECT rad, a.id a, b.id b FROM m a JOIN m b ON abs(a.r - b.r) <= 3 AND abs(a.c - b.c) <= 3, (SELECT unnest([1, 2, 3]) rad) WHERE (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= rad * rad),
  re AS (SELECT rad, id, id root FROM m, (SELECT unnest([1, 2, 3]) rad) UNION SELECT re.rad, e.b, re.root FROM re JOIN e ON e.a = re.id AND e.rad = re.rad), k AS (SELECT rad, id, min(root) s FROM re GROUP BY 1, 2), n AS (SELECT rad, s, count(*) n FROM k GROUP BY 1, 2) SELECT CAST(rad AS INTEGER) AS radius, count(*) AS systems, max(n) AS largest FROM n GROUP BY 1""")
 def single_linkage(spark: SparkSession, d: str) -> DataFrame:
-    m = mask(cells(spark, d), "q >= 50 AND r < 60")
+    m = mask(cells(spark, d), "q >= 50")
     out = None
     for radius in (1, 2, 3):
         n = label8(m, 256, radius * radius).groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
@@ -272,11 +272,11 @@ def single_linkage(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("q_dbscan", f"""WITH RECURSIVE {CELL}, m AS (SELECT r, c, CAST(r AS BIGINT) * 1000000 + c id FROM cell WHERE q >= 50 AND r < 80), p AS (SELECT a.id a, b.id b FROM m a JOIN m b ON abs(a.r - b.r) <= 3 AND abs(a.c - b.c) <= 3 WHERE (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 9),
+@query("q_dbscan", f"""WITH RECURSIVE {CELL}, m AS (SELECT r, c, CAST(r AS BIGINT) * 1000000 + c id FROM cell WHERE q >= 50), p AS (SELECT a.id a, b.id b FROM m a JOIN m b ON abs(a.r - b.r) <= 3 AND abs(a.c - b.c) <= 3 WHERE (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 9),
  core AS (SELECT a id FROM p GROUP BY 1 HAVING count(*) >= 4), ce AS (SELECT a, b FROM p WHERE a IN (FROM core) AND b IN (FROM core)), re AS (SELECT id, id root FROM core UNION SELECT ce.b, re.root FROM re JOIN ce ON ce.a = re.id), k AS (SELECT id, min(root) s FROM re GROUP BY 1), bo AS (SELECT p.b id, min(k.s) s FROM p JOIN k ON k.id = p.a GROUP BY 1)
  SELECT m.r, m.c, coalesce(k.s, bo.s) AS cluster FROM m LEFT JOIN k ON k.id = m.id LEFT JOIN bo ON bo.id = m.id""")
 def dbscan(spark: SparkSession, d: str) -> DataFrame:
-    return graph.density_clusters(mask(cells(spark, d), "q >= 50 AND r < 80"), 9, 4)
+    return graph.density_clusters(mask(cells(spark, d), "q >= 50"), 9, 4)
 
 
 @query("q_spaced")
@@ -291,7 +291,7 @@ def dot_thin(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_coverage_greedy")
 def coverage_greedy(spark: SparkSession, d: str) -> DataFrame:
-    x = mask(cells(spark, d), "q >= 50 AND r < 60").withColumn("w", F.lit(1.0))
+    x = mask(cells(spark, d), "q >= 50").withColumn("w", F.lit(1.0))
     return selection.cover_greedily(x, 256, 50).select("r", "c", *six("gain"))
 
 
@@ -337,12 +337,12 @@ def gate(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("c_custkey").alias("card"), F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("q_favourability", f"WITH {CELL}, k AS (SELECT r, c, cume_dist() OVER (ORDER BY q) a, cume_dist() OVER (ORDER BY disc) b, cume_dist() OVER (ORDER BY tax) t FROM cell) SELECT r, c, round((a + b) / 2 * t, 6) AS favourability FROM k WHERE r < 40")
+@query("q_favourability", f"WITH {CELL}, k AS (SELECT r, c, cume_dist() OVER (ORDER BY q) a, cume_dist() OVER (ORDER BY disc) b, cume_dist() OVER (ORDER BY tax) t FROM cell) SELECT r, c, round((a + b) / 2 * t, 6) AS favourability FROM k")
 def favourability(spark: SparkSession, d: str) -> DataFrame:
     x = cells(spark, d).select("r", "c", "q", "disc", "tax")
     for v, n in (("q", "a"), ("disc", "b"), ("tax", "t")):
         x = st.percentile_rank(x, v, n)
-    return x.where("r < 40").select("r", "c", F.round((F.col("a") + F.col("b")) / 2 * F.col("t"), 6).alias("favourability"))
+    return x.select("r", "c", F.round((F.col("a") + F.col("b")) / 2 * F.col("t"), 6).alias("favourability"))
 
 
 @query("q_block_scores", f"""WITH {MASKS}, {offs(8)}, tk AS (SELECT r + dy r, c + dx c, max(greatest(1 - sqrt(d2) / 3, 0)) k FROM pred, offs GROUP BY 1, 2) SELECT r // 64 AS br, c // 64 AS bc, round(sum(coalesce(k, 0)), 5) AS tp, count(*) AS n FROM truth LEFT JOIN tk USING (r, c) GROUP BY 1, 2""")
