@@ -69,7 +69,7 @@ def closure(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
     forest = links.select("a", "b", F.col("gap").cast("double").alias("gap"), F.lit(1).alias("all")).groupBy("all").applyInPandas(kruskal, "merged long, gap double")
     counts = nodes.agg(F.count_distinct("comp").alias("before")).join(after.agg(F.count(F.lit(1)).alias("after")), F.lit(True))
-    return counts.join(forest, F.lit(True))
+    return counts.join(forest, F.lit(True), "left").select("before", "after", F.coalesce("merged", F.lit(0)).cast("long").alias("merged"), F.coalesce("gap", F.lit(0.0)).alias("gap"))
 
 
 def density_clusters(points: DataFrame, eps2: int, least: int) -> DataFrame:

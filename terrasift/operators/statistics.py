@@ -71,13 +71,12 @@ def hash_draw(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def bootstrap(blocks: DataFrame, value: str, block: str, times: int, seed: int) -> DataFrame:
-    """Resampled means of a small table of blocks 0..m-1: (lo, hi), the 2.5 % and 97.5 % quantiles.
+def bootstrap(blocks: DataFrame, value: str, block: str, m: int, times: int, seed: int) -> DataFrame:
+    """Resampled means of a table of blocks with ids in 0..m-1: (lo, hi), the 2.5 % and 97.5 % quantiles.
 
-    Draw j of resample i is block floor(m * u), with u from md5(seed | i | j).
+    Draw j of resample i is block floor(m * u), with u from md5(seed | i | j); draws of empty blocks do not count.
     """
     spark = blocks.sparkSession
-    m = blocks.count()
     draws = spark.range(times).withColumnRenamed("id", "i").select("i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
     drawn = draws.select("i", F.floor(hash_draw(F.lit(seed), F.col("i"), F.col("j")) * m).cast("long").alias(block))
     means = drawn.join(blocks.select(F.col(block).cast("long").alias(block), value), block).groupBy("i").agg(F.avg(value).alias("mean"))

@@ -389,7 +389,7 @@ def registry_density(spark: SparkSession, d: str) -> DataFrame:
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Interval of a mean over 64 spatial blocks."""
     b = cells(spark, d).groupBy((F.floor(F.col("r") / 32) * 8 + F.floor(F.col("c") / 32)).alias("b")).agg(F.sum(F.col("q").cast("long")).cast("double").alias("v"))
-    return st.bootstrap(b, "v", "b", 200, 7).select(*six("lo", "hi"))
+    return st.bootstrap(b, "v", "b", 64, 200, 7).select(*six("lo", "hi"))
 
 
 @query("q_paired", """WITH k AS (SELECT l_linenumber seed, l_returnflag arm, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*) x FROM lineitem GROUP BY 1, 2), p AS (SELECT a.seed, a.x - b.x d FROM k a JOIN k b ON a.seed = b.seed AND a.arm = 'A' AND b.arm = 'R')
