@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -110,3 +111,69 @@ def cover_greedily(candidates: DataFrame, width: int, n: int) -> DataFrame:
 
     found = by_cluster(candidates.select("r", "c", "w"), width, 35, solve, "r int, c int, gain double, step long")
     return found.orderBy(F.desc("gain"), "step", "r", "c").limit(n).select("r", "c", "gain")
+
+
+def thin_along(cells: DataFrame, width: int, along: int, across: int) -> DataFrame:
+    """As ``thin``, but a kept dot blocks an ellipse: ``along`` its strike (degrees from the row axis), ``across`` it.
+
+    cells: r, c, strike. Walks each interaction cluster in raster order of its starts, breadth first.
+    """
+    reach = max(along, across)
+    step = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1) if (y, x) != (0, 0)]
+    around = [(y, x) for y, x, _ in offsets(reach * reach, 1)]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        strike = dict(zip(zip(pdf.r.tolist(), pdf.c.tolist(), strict=True), pdf.strike.tolist(), strict=True))
+        seen, blocked, kept = set(), set(), []
+        for start in sorted(strike):
+            queue = [] if start in seen else [start]
+            seen.add(start)
+            for r, c in queue:
+                if (r, c) not in blocked:
+                    kept.append((r, c))
+                    a = math.radians(strike[r, c])
+                    for y, x in around:
+                        u, v = y * math.cos(a) + x * math.sin(a), x * math.cos(a) - y * math.sin(a)
+                        if (u / along) ** 2 + (v / across) ** 2 < 1:
+                            blocked.add((r + y, c + x))
+                for y, x in step:
+                    n = (r + y, c + x)
+                    if n in strike and n not in seen:
+                        seen.add(n)
+                        queue.append(n)
+        return pd.DataFrame(kept, columns=["r", "c"])
+
+    return by_cluster(cells.select("r", "c", "strike"), width, reach * reach, solve, "r int, c int")
+
+
+def ladder(mask: DataFrame, width: int, spacings: list[int]) -> DataFrame:
+    """(min_d2, dots): how many dots thinning leaves at each spacing."""
+    out = None
+    for d2 in spacings:
+        one = thin(mask, width, d2).agg(F.lit(d2).alias("min_d2"), F.count(F.lit(1)).alias("dots"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def relocate(dots: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(r, c, r0, c0): dots moved by their (dy, dx) where the target is allowed and free, else left in place.
+
+    A target that several dots want goes to the first in raster order. A dot never moves onto a place that any
+    dot holds at the start, so no move depends on another one's outcome.
+    """
+    want = dots.select(F.col("r").alias("r0"), F.col("c").alias("c0"), (F.col("r") + F.col("dy")).alias("r"), (F.col("c") + F.col("dx")).alias("c"))
+    free = want.join(allowed.select("r", "c").distinct(), ["r", "c"], "left_semi").join(dots.select("r", "c"), ["r", "c"], "left_anti")
+    moved = free.groupBy("r", "c").agg(F.min(F.struct("r0", "c0")).alias("k")).select("r", "c", "k.r0", "k.c0")
+    stay = dots.select(F.col("r").alias("r0"), F.col("c").alias("c0")).join(moved.select("r0", "c0"), ["r0", "c0"], "left_anti")
+    return moved.unionByName(stay.select(F.col("r0").alias("r"), F.col("c0").alias("c"), "r0", "c0"))
+
+
+def swap_weakest(base: DataFrame, pool: DataFrame, score: str, share: float) -> DataFrame:
+    """Base dots without their weakest share (floor), and as many of the best pool dots that are no base dots.
+
+    Both cuts are bounded top-k selections, ties in raster order.
+    """
+    n = int(base.count() * share)
+    weakest = base.orderBy(F.col(score), F.desc("r"), F.desc("c")).limit(n).select("r", "c")
+    fresh = pool.join(base.select("r", "c"), ["r", "c"], "left_anti").orderBy(F.desc(score), "r", "c").limit(n)
+    return base.join(weakest, ["r", "c"], "left_anti").select("r", "c", score).unionByName(fresh.select("r", "c", score))

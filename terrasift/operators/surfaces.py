@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -147,3 +148,35 @@ def upward_continue(cells: DataFrame, value: str, height: int, width: int, lift:
         return pd.DataFrame({"r": pdf.r[own], "c": pdf.c[own], "up": up[r[own], c[own]]})
 
     return moved.where(inside).groupBy("tr", "tc").applyInPandas(solve, "r int, c int, up double")
+
+
+def euler_windows(cells: DataFrame, half: int, index: float, least: float = 0.5) -> DataFrame:
+    """Euler deconvolution: (r, c, y0, x0, z0, base) of each window of (2 * half + 1) ** 2 cells.
+
+    cells: r, c, t (field), gy, gx, gz (its gradients). The sums of the normal equations are one pass of box
+    sums over products; the 4 x 4 systems are solved in batches. Windows with fewer than ``least`` of their
+    cells, or a singular system, are left out.
+    """
+    r, c = F.col("r").cast("double"), F.col("c").cast("double")
+    terms = {"y": F.col("gy"), "x": F.col("gx"), "z": F.col("gz"), "n": F.lit(float(index)), "b": r * F.col("gy") + c * F.col("gx") + index * F.col("t")}
+    names = list(terms)
+    products = {f"{p}{q}": terms[p] * terms[q] for i, p in enumerate(names) for q in names[i:]}
+    taps = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in range(-half, half + 1) for x in range(-half, half + 1)]))
+    moved = cells.select("r", "c", *[e.alias(k) for k, e in products.items()], taps.alias("o"))
+    sums = moved.groupBy((F.col("r") + F.col("o.y")).alias("r"), (F.col("c") + F.col("o.x")).alias("c")).agg(F.count(F.lit(1)).alias("cells"), *[F.sum(k).alias(k) for k in products])
+    full = sums.where(F.col("cells") >= least * (2 * half + 1) ** 2).join(cells.select("r", "c"), ["r", "c"], "left_semi")
+
+    held = frozenset(products)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            get = lambda p, q: pdf[p + q if p + q in held else q + p].to_numpy()
+            a = np.stack([np.stack([get(p, q) for q in "yxzn"], -1) for p in "yxzn"], -2)
+            b = np.stack([get(p, "b") for p in "yxzn"], -1)
+            scale = np.sqrt(np.maximum(np.einsum("kii->ki", a), 1e-300))
+            unit = a / scale[:, :, None] / scale[:, None, :]
+            good = np.linalg.cond(unit) < 1e10
+            x = np.linalg.solve(unit[good], (b / scale)[good][:, :, None])[:, :, 0] / scale[good]
+            yield pd.DataFrame({"r": pdf.r[good], "c": pdf.c[good], "y0": x[:, 0], "x0": x[:, 1], "z0": x[:, 2], "base": x[:, 3]})
+
+    return full.mapInPandas(solve, "r int, c int, y0 double, x0 double, z0 double, base double")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-from ..operators import composites, metric, neighbours as nb, selection, statistics as st
+from ..operators import composites, metric, neighbours as nb, selection, statistics as st, surfaces
 from ..sources import files
 from ..sources.cells import cells, mask, sites, table, vertices
 from .cell_queries import VERTEX, six
@@ -157,3 +157,46 @@ def tomography(spark: SparkSession, d: str) -> DataFrame:
 @query("q_content_manifest", "SELECT page_id, sha256(html) AS digest FROM pages")
 def content_manifest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("digest"))
+
+
+@query("q_thin_along")
+def thin_along(spark: SparkSession, d: str) -> DataFrame:
+    x = cells(spark, d).where("q >= 50").select("r", "c", (F.col("disc") * 900).alias("strike"))
+    return selection.thin_along(x, 256, 4, 2)
+
+
+@query("q_ladder")
+def ladder(spark: SparkSession, d: str) -> DataFrame:
+    return selection.ladder(mask(cells(spark, d), "q >= 50"), 256, [2, 5, 8])
+
+
+@query("q_relocate", f"""WITH {CELL}, dots AS (SELECT r, c, r + 1 tr, c - 1 tc FROM cell WHERE q >= 49), fr AS (SELECT * FROM dots d WHERE EXISTS (SELECT 1 FROM cell WHERE cell.r = d.tr AND cell.c = d.tc) AND NOT EXISTS (SELECT 1 FROM dots o WHERE o.r = d.tr AND o.c = d.tc))
+ SELECT tr AS r, tc AS c, r AS r0, c AS c0 FROM fr UNION ALL SELECT r, c, r, c FROM dots d WHERE NOT EXISTS (SELECT 1 FROM fr WHERE fr.r = d.r AND fr.c = d.c)""")
+def relocate(spark: SparkSession, d: str) -> DataFrame:
+    """Dots moved one cell down and left where that cell exists and is free."""
+    x = cells(spark, d)
+    dots = mask(x, "q >= 49").withColumn("dy", F.lit(1)).withColumn("dx", F.lit(-1))
+    return selection.relocate(dots, x.select("r", "c"))
+
+
+@query("q_swap_weakest", f"""WITH {CELL}, b AS (SELECT r, c, v, row_number() OVER (ORDER BY v, r DESC, c DESC) k, count(*) OVER () n FROM cell WHERE flag = 'A'), p AS (SELECT r, c, v, row_number() OVER (ORDER BY v DESC, r, c) k FROM cell WHERE flag = 'R')
+ SELECT r, c, v FROM b WHERE k > floor(n * 0.05) UNION ALL SELECT r, c, v FROM p WHERE k <= (SELECT floor(max(n) * 0.05) FROM b)""")
+def swap_weakest(spark: SparkSession, d: str) -> DataFrame:
+    x = cells(spark, d)
+    return selection.swap_weakest(x.where("flag = 'A'"), x.where("flag = 'R'"), "v", 0.05)
+
+
+@query("q_bridges")
+def bridge_links(spark: SparkSession, d: str) -> DataFrame:
+    """Bridges among links of nations by suppliers' trade."""
+    from ..operators.graph import bridges
+
+    links = table(spark, d, "supplier").select((F.col("s_suppkey") % 40).alias("a"), (F.col("s_suppkey") * 7 % 40).alias("b")).where("a <> b").distinct()
+    return bridges(links)
+
+
+@query("q_euler")
+def euler(spark: SparkSession, d: str) -> DataFrame:
+    x = surfaces.gradient(cells(spark, d).select("r", "c", F.col("q").alias("t")), "t").withColumn("gz", F.col("magnitude"))
+    got = surfaces.euler_windows(x.select("r", "c", "t", "gy", "gx", "gz"), 2, 1.0)
+    return got.select("r", "c", *[F.round(k, 3).alias(k) for k in ("y0", "x0", "z0")])

@@ -103,3 +103,40 @@ def test_lonlat_of_a_known_point(spark):
     lon, lat = xy_to_lonlat(F.lit(500000.0), F.lit(0.0))
     got = spark.range(1).select(lon.alias("lon"), lat.alias("lat")).first()
     assert abs(got.lon + 117) < 1e-9 and abs(got.lat) < 1e-9
+
+
+def test_bridges(spark):
+    from terrasift.operators.graph import bridges
+
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 4), (8, 9), (8, 9)], "a long, b long")
+    got = {(r.a, r.b) for r in bridges(links).where("bridge").collect()}
+    assert got == {(3, 4)}
+
+
+def test_euler_finds_a_point_source(spark):
+    from terrasift.operators.surfaces import euler_windows
+
+    rows = []
+    for r in range(12):
+        for c in range(12):
+            y, x, z = r - 5.3, c - 6.4, -2.0
+            d = (y * y + x * x + z * z) ** 0.5
+            t, g = 1 / d, -1 / d**3
+            rows.append((r, c, t + 7.0, y * g, x * g, z * g))
+    got = euler_windows(spark.createDataFrame(rows, "r int, c int, t double, gy double, gx double, gz double"), 2, 1.0, 1.0).where("r = 5 and c = 5").first()
+    assert abs(got.y0 - 5.3) < 1e-4 and abs(got.x0 - 6.4) < 1e-4 and abs(got.z0 - 2.0) < 1e-4 and abs(got.base - 7.0) < 1e-4
+
+
+def test_thinning_along_a_strike(spark):
+    from terrasift.operators.selection import thin_along
+
+    line = spark.createDataFrame([(r, 5, 0.0) for r in range(9)] + [(0, 20 + c, 0.0) for c in range(9)], "r int, c int, strike double")
+    got = {(x.r, x.c) for x in thin_along(line, 64, 4, 2).collect()}
+    assert {p for p in got if p[1] == 5} == {(0, 5), (4, 5), (8, 5)} and {p for p in got if p[1] >= 20} == {(0, 20 + c) for c in (0, 2, 4, 6, 8)}
+
+
+def test_strict_json(spark):
+    from terrasift.sources.files import strict_json
+
+    rows = [('{"a": 1}',), ('{"a": 1, "a": 2}',), ('{"a": NaN}',), ("",), (None,), ('{"a": {"b": [1, 2]}}',)]
+    assert [r.valid for r in strict_json(spark.createDataFrame(rows, "t string"), "t").collect()] == [True, False, False, False, False, True]
