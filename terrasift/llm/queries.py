@@ -93,4 +93,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_media_columns": op10_media_columns,
 }
-ORACLES: dict[str, str] = {}
+OP5_SQL = r"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ win AS (SELECT k, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT k, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+ twice AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+ gone AS (SELECT DISTINCT k, unnest(range(i, i + 35)) AS p FROM win SEMI JOIN twice USING (s)),
+ tok AS (SELECT k, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+ kept AS (SELECT k, string_agg(t, ' ' ORDER BY p) AS s, count(*) AS n FROM tok ANTI JOIN gone USING (k, p) GROUP BY k)
+ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (k)"""
+
+#: The others train, sample or shuffle by hashes that SQL engines do not share; tests/llm has their brute force.
+ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL}
