@@ -5,25 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
+
+def running_sums(df: DataFrame, key: str, amounts: dict[str, str], descending: bool = False) -> DataFrame:
+    """Adds, for each amount, its sum over all rows up to this one by distinct ``key``; names are the dict's values.
+
+    Rows are dealt by ranges of the key; one sum per range goes to the driver and back, so no task sorts it all.
+    """
+    order = F.desc(key) if descending else F.asc(key)
+    ranged = stored(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    before, starts = [0] * len(amounts), []
+    for part, *sums in sorted(ranged.groupBy("_part").agg(*[F.sum(a) for a in amounts]).collect()):
+        starts.append((part, *before))
+        before = [x + y for x, y in zip(before, sums, strict=True)]
+    table = df.sparkSession.createDataFrame(starts, ", ".join(["_part int", *(f"_before{i} long" for i in range(len(amounts)))]))
+    w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(table), "_part")
+    return out.select(*df.columns, *[(F.sum(a).over(w) + F.col(f"_before{i}")).alias(n) for i, (a, n) in enumerate(amounts.items())])
+
 
 def ranks(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """Average ranks from 1: distinct values are counted first, so only those are sorted and summed up."""
+    """Average ranks from 1, from counts of distinct values."""
     levels = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    levels = levels.withColumn("_upto", upto).select("_v", (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
+    levels = running_sums(levels, "_v", {"_n": "_upto"}).select("_v", (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
     return df.join(levels, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def percentile_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """Share of rows at or below each value; null stays null."""
-    return df.join(_cumulative(df, value, name), value, "left")
-
-
-def _cumulative(df: DataFrame, value: str, name: str) -> DataFrame:
     levels = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_n").over(Window.partitionBy())
-    return levels.select(value, (upto / total).alias(name))
+    total = F.broadcast(df.agg(F.count(value).alias("_total")))
+    levels = running_sums(levels, value, {"_n": "_upto"}).join(total, F.lit(True))
+    return df.join(levels.select(value, (F.col("_upto") / F.col("_total")).alias(name)), value, "left")
 
 
 def with_constants(df: DataFrame, *aggregates: Column) -> DataFrame:
@@ -62,8 +76,8 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """Sum over distinct scores, from the top, of precision times the recall gained."""
     levels = df.groupBy(score).agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return levels.select("p", (F.sum("p").over(w) / F.sum("n").over(w)).alias("precision")).agg((F.sum(F.col("precision") * F.col("p")) / F.sum("p")).alias("ap"))
+    upto = running_sums(levels, score, {"p": "hits", "n": "all"}, descending=True)
+    return upto.agg((F.sum(F.col("hits") / F.col("all") * F.col("p")) / F.sum("p")).alias("ap"))
 
 
 def hash_draw(*parts: Column) -> Column:

@@ -259,13 +259,14 @@ def isolated(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_prune", f"WITH {MASKS}, k AS (SELECT r, c, row_number() OVER (ORDER BY q, r, c) p, count(*) OVER () n FROM cell WHERE flag = 'A') SELECT r, c FROM k WHERE p > floor(n * 0.25)")
 def prune(spark: SparkSession, d: str) -> DataFrame:
-    """Drops the lowest quarter. Ranks come from a sort over distinct scores, not one over all rows."""
+    """Drops the lowest quarter: what ties at the cut is ranked, all else is decided by its score."""
     x = cells(spark, d).where("flag = 'A'").select("r", "c", "q")
-    levels = x.groupBy("q").agg(F.count(F.lit(1)).alias("m"))
-    before = F.coalesce(F.sum("m").over(Window.orderBy("q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    levels = levels.withColumn("before", before).withColumn("n", F.sum("m").over(Window.partitionBy()))
-    place = F.row_number().over(Window.partitionBy("q").orderBy("r", "c")) + F.col("before")
-    return x.join(levels, "q").withColumn("p", place).where("p > floor(n * 0.25)").select("r", "c")
+    levels = st.running_sums(x.groupBy("q").agg(F.count(F.lit(1)).alias("m")), "q", {"m": "upto"})
+    levels = levels.join(F.broadcast(x.agg(F.floor(F.count(F.lit(1)) * 0.25).alias("drop"))), F.lit(True))
+    place = F.row_number().over(Window.partitionBy("q").orderBy("r", "c")) + F.col("upto") - F.col("m")
+    tied = x.join(levels.where("upto > drop AND upto - m < drop"), "q").withColumn("p", place).where("p > drop")
+    above = x.join(levels.where("upto - m >= drop").select("q"), "q", "left_semi")
+    return above.select("r", "c").union(tied.select("r", "c"))
 
 
 @query("q_dilate8", f"WITH {CELL}, k AS (SELECT unnest(range(-2, 3)) y), k2 AS (SELECT unnest(range(-2, 3)) x) SELECT DISTINCT CAST(r + y AS INTEGER) AS r, CAST(c + x AS INTEGER) AS c FROM cell, k, k2 WHERE q >= 50")
