@@ -200,3 +200,8 @@ def euler(spark: SparkSession, d: str) -> DataFrame:
     x = surfaces.gradient(cells(spark, d).select("r", "c", F.col("q").alias("t")), "t").withColumn("gz", F.col("magnitude"))
     got = surfaces.euler_windows(x.select("r", "c", "t", "gy", "gx", "gz"), 2, 1.0)
     return got.select("r", "c", *[F.round(k, 3).alias(k) for k in ("y0", "x0", "z0")])
+
+
+@query("q_skeleton")
+def skeleton(spark: SparkSession, d: str) -> DataFrame:
+    return surfaces.skeleton(mask(cells(spark, d), "q >= 40"))

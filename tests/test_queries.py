@@ -140,3 +140,30 @@ def test_strict_json(spark):
 
     rows = [('{"a": 1}',), ('{"a": 1, "a": 2}',), ('{"a": NaN}',), ("",), (None,), ('{"a": {"b": [1, 2]}}',)]
     assert [r.valid for r in strict_json(spark.createDataFrame(rows, "t string"), "t").collect()] == [True, False, False, False, False, True]
+
+
+def test_skeleton_matches_brute_force(spark):
+    from terrasift.operators.surfaces import skeleton
+
+    rng = np.random.default_rng(1)
+    a = np.zeros((26, 26), int)
+    a[3:12, 4:22] = 1
+    a[10:22, 8:12] = 1
+    a[rng.integers(3, 22, 25), rng.integers(3, 22, 25)] = 1
+    rows = [(int(r), int(c)) for r, c in np.argwhere(a)]
+    around = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+    while True:
+        size = a.sum()
+        for first, second in (((0, 2, 4), (2, 4, 6)), ((0, 2, 6), (0, 4, 6))):
+            gone = []
+            for r, c in np.argwhere(a):
+                p = [a[r + y, c + x] for y, x in around]
+                rises = sum(p[i] == 0 and p[(i + 1) % 8] == 1 for i in range(8))
+                if 2 <= sum(p) <= 6 and rises == 1 and not all(p[i] for i in first) and not all(p[i] for i in second):
+                    gone.append((r, c))
+            for g in gone:
+                a[g] = 0
+        if a.sum() == size:
+            break
+    got = {(x.r, x.c) for x in skeleton(spark.createDataFrame(rows, "r int, c int")).collect()}
+    assert got == {(int(r), int(c)) for r, c in np.argwhere(a)}
