@@ -2,8 +2,10 @@
 
 Passages are overlapping windows of documents. Their TF-IDF vectors over the words of the benchmark are
 projected into a latent space, found by a randomised SVD whose one pass over all passages runs as a Spark
-job. Passages that share no quarter of any item's TF-IDF mass are passed over. A passage near a benchmark item there is held against the item by the longest common subsequence of
-words, which paraphrases with inserted, lost or changed words still pass, and by the words of its answer.
+job. What is compared there is bounded by the subsequence that a leak must have: around it, enough of the
+item's rarer words must stand. A passage near a benchmark item is held against the item by the longest common
+subsequence of words, which paraphrases with inserted, lost or changed words still pass, and by the words of
+its answer.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ STRIDE = 32
 RANK = 160
 #: Items that one model holds; more are searched block by block.
 ITEMS = 512
-NEAR = 0.4
+NEAR = 0.3
 FILTER_BITS = 20
-COMMON = 4.6
-RARE = 6
-#: Share of an item's TF-IDF mass that a passage must have to be looked at.
-SHARED = 0.25
+#: Most frequent columns that the SVD multiplies as a dense matrix; the others stay sparse.
+DENSE = 512
+#: Occurrences of item words that are looked at together.
+EVENTS = 1 << 21
 
 
 class Items(NamedTuple):
@@ -43,12 +45,16 @@ class Items(NamedTuple):
 
 
 class Index(NamedTuple):
-    """Items by column: those of column j are ``item[start[j]:start[j + 1]]``, with the column's share of each item's mass."""
+    """What a leak must hold: of some positions of each item, its rarest words, at least ``need``.
+
+    Entries are sorted by item; those of item i are ``start[i]:start[i + 1]``, a column and its number of positions.
+    """
 
     start: np.ndarray
-    item: np.ndarray
-    share: np.ndarray
-    items: int
+    column: np.ndarray
+    weight: np.ndarray
+    need: np.ndarray
+    length: np.ndarray
 
 
 class Latent(NamedTuple):
@@ -76,26 +82,12 @@ def with_vocabulary(ids: list, words: list[np.ndarray], vocabulary: np.ndarray)
     return Items(ids, words, vocabulary, bitmap)
 
 
-def telling_words(items: Items, seen: np.ndarray, n: float) -> tuple[Items, np.ndarray]:
-    """Items over the words that tell passages apart, and these words' weights.
-
-    The weight is ln(passages / passages with the word) less ``COMMON``, so words in over 1 % of passages weigh
-    nothing and leave the vocabulary, but the ``RARE`` rarest words of each item keep a weight of 0.5 or more.
-    """
-    weight = np.log(n / np.maximum(seen, 1.0)) - COMMON
-    for w in items.words:
-        own = np.searchsorted(items.vocabulary, np.unique(w))
-        own = own[np.argsort(seen[own], kind="stable")[:RARE]]
-        weight[own] = np.maximum(weight[own], 0.5)
-    kept = weight > 0
-    return with_vocabulary(items.ids, items.words, items.vocabulary[kept]), weight[kept].astype(np.float32)
-
-
 class Passages(NamedTuple):
-    """Benchmark words of a chunk (place, column), and passages as ranges of those, with their first word and row."""
+    """Words of a chunk, the benchmark words among them (place, column), and passages as ranges of those, with their first word."""
 
     hash: np.ndarray
     row: np.ndarray
+    place: np.ndarray
     column: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
@@ -114,34 +106,92 @@ def passages(data: np.ndarray, offs: np.ndarray, items: Items) -> Passages:
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     start = first + step * STRIDE
     end = np.minimum(start + WINDOW, np.repeat(np.cumsum(count), n))
-    return Passages(w.hash, w.row, column, np.searchsorted(place, start), np.searchsorted(place, end), start)
-
+    return Passages(w.hash, w.row, place, column, np.searchsorted(place, start), np.searchsorted(place, end), start)
 
-def index_of(x: np.ndarray) -> Index:
-    """From the items' TF-IDF rows (items x vocabulary)."""
-    column, item = np.nonzero(x.T)
-    start = np.searchsorted(column, np.arange(x.shape[1] + 1))
-    return Index(start, item, (x / x.sum(1, keepdims=True))[item, column], len(x))
 
+def index_of(items: Items, seen: np.ndarray, least_overlap: float) -> Index:
+    """Bounds that a common subsequence of ``least_overlap`` of an item's words implies.
 
-def shares(p: Passages, index: Index) -> np.ndarray:
-    """Passages x items: the share of the item's mass that the passage's words have (repeats count again)."""
-    size = p.hi - p.lo
+    Such a subsequence leaves out at most ``lost`` positions of the item. Of any ``lost + m`` positions it therefore
+    has ``m``; those of the rarest words are taken, as they lead to the fewest passages.
+    """
+    start, columns, weights, needs = [0], [], [], []
+    for w in items.words:
+        column = np.searchsorted(items.vocabulary, w)
+        lost = len(w) - max(1, int(np.ceil(least_overlap * len(w) - 1e-9)))
+        rare = column[np.lexsort((column, seen[column]))][: lost + max(1, len(w) // 4)]
+        own, weight = np.unique(rare, return_counts=True)
+        columns.append(own)
+        weights.append(weight)
+        needs.append(max(1, len(rare) - lost))
+        start.append(start[-1] + len(own))
+    return Index(np.array(start), np.concatenate(columns), np.concatenate(weights), np.array(needs), np.array([len(w) for w in items.words]))
+
+
+def _ranges(lo: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the range, and value, of all values of the ranges lo..lo + size."""
     of = np.repeat(np.arange(len(size)), size)
-    column = p.column[np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(p.lo, size)]
-    n = index.start[column + 1] - index.start[column]
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(index.start[column], n)
-    key = np.repeat(of, n) * index.items + index.item[at]
-    return np.bincount(key, index.share[at], len(size) * index.items).reshape(len(size), index.items)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+
 
+def bounded(p: Passages, index: Index, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Passages and items, in order of both, where the item's words around the passage reach the item's bound.
 
-def _spread(p: Passages, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Passage number among the chosen ones, and column, of each distinct benchmark word in them."""
-    size = p.hi[chosen] - p.lo[chosen]
-    of = np.repeat(np.arange(len(chosen)), size)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(p.lo[chosen], size)
-    pair = np.unique(of * (1 << 32) + p.column[at])
-    return pair >> 32, pair & ((1 << 32) - 1)
+    Around a passage is as much room as the item has words, within the row. Repeats count again, so no leak is lost.
+    """
+    n = np.int64(len(p.hash))
+    order = np.argsort(p.column, kind="stable")
+    at = np.searchsorted(p.column[order], np.r_[index.column, index.column + 1])
+    lo, size = at[: len(index.column)], at[len(index.column) :] - at[: len(index.column)]
+    events = np.r_[0, np.cumsum(size)][index.start]
+    out = []
+    a = 0
+    while a < len(index.need):
+        b = max(a + 1, int(np.searchsorted(events, events[a] + EVENTS, side="right")) - 1)
+        entry = np.arange(index.start[a], index.start[b])
+        of, k = _ranges(lo[entry], size[entry])
+        item = np.repeat(np.arange(a, b), np.diff(index.start[a : b + 1]))[of]
+        key = item * n + p.place[order[k]]
+        by = np.argsort(key, kind="stable")
+        key, item, total = key[by], item[by], np.r_[0, np.cumsum(index.weight[entry][of][by])]
+        place, room = key - item * n, index.length[item]
+        row = p.row[place]
+        # from each of the item's words on, as far as a passage's surroundings can reach
+        end = np.searchsorted(key, item * n + np.minimum(place + WINDOW + 2 * room, last[row]))
+        hot = np.flatnonzero(total[end] - total[:-1] >= index.need[item])
+        place, room, row, item = place[hot], room[hot], row[hot], item[hot]
+        low = np.searchsorted(p.start, np.maximum(first[row], place - WINDOW - room + 1))
+        high = np.searchsorted(p.start, np.minimum(last[row] - 1, place + room), side="right")
+        of, passage = _ranges(low, high - low)
+        pair = np.unique(passage * len(index.need) + item[of])
+        passage, item = np.divmod(pair, len(index.need))
+        start, room = p.start[passage], index.length[item]
+        row = p.row[start]
+        low = np.searchsorted(key, item * n + np.maximum(first[row], start - room))
+        high = np.searchsorted(key, item * n + np.minimum(last[row], start + WINDOW + room))
+        out.append(pair[total[high] - total[low] >= index.need[item]])
+        a = b
+    return np.divmod(np.sort(np.concatenate(out)), len(index.need))
+
+
+def _spread(p: Passages, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the range of benchmark words, and column, of each distinct word in it; sorted by the number."""
+    of, at = _ranges(lo, hi - lo)
+    order = np.argsort(p.column, kind="stable")
+    same = p.column[order][1:] == p.column[order][:-1]
+    before = np.full(len(p.column), -1)
+    before[order[1:][same]] = order[:-1][same]
+    new = before[at] < lo[of]
+    return of[new], p.column[at[new]]
+
+
+def _sums(of: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows by their number, which are sorted, as n rows."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    if len(of):
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        out[of[starts]] = np.add.reduceat(rows, starts, axis=0)
+    return out
 
 
 def _added(df: DataFrame, run, width: int, height: int, block: int) -> np.ndarray:
@@ -168,11 +218,8 @@ def _added(df: DataFrame, run, width: int, height: int, block: int) -> np.ndarra
     return out
 
 
-def fit(docs: DataFrame, items: Items, seed: int = 3) -> tuple[Items, Latent]:
-    """Document frequencies of benchmark words, then the randomised SVD, each in one pass over all passages.
-
-    Returns the items over the words that weigh anything, and the latent space.
-    """
+def fit(docs: DataFrame, items: Items, least_overlap: float = 0.6, seed: int = 3) -> Latent:
+    """Document frequencies of benchmark words, then the randomised SVD, each in one pass over all passages."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     size = len(items.vocabulary)
 
@@ -186,36 +233,39 @@ def fit(docs: DataFrame, items: Items, seed: int = 3) -> tuple[Items, Latent]:
         return total
 
     seen = _added(docs, frequencies, 1, size + 1, 1024)[:, 0]
-    items, idf = telling_words(items, seen[:size], max(seen[size], 2.0))
-    size = len(items.vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    idf = np.log1p(max(seen[size], 2.0) / (1 + seen[:size])).astype(np.float32)
     x = np.zeros((len(items.ids), size), np.float32)
     for i, w in enumerate(items.words):
-        own = np.unique(w)
-        own = own[np.isin(own, items.vocabulary)]
-        at = np.searchsorted(items.vocabulary, own)
-        x[i, at] = idf[at]
-    index = index_of(x)
+        own = np.searchsorted(items.vocabulary, np.unique(w))
+        x[i, own] = idf[own]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     rank = min(RANK, size)
     start = np.random.default_rng(seed).normal(size=(size, rank)).astype(np.float32)
+    often = np.argsort(-seen[:size], kind="stable")[:DENSE]
+    slot = np.full(size, -1)
+    slot[often] = np.arange(len(often))
 
     def range_of(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros((size, rank), np.float32)
         for batch in batches:
             for _, _, data, offs in chunks(text_rows(batch, "text")):
                 p = passages(data, offs, shared.value)
-                chosen = np.flatnonzero((shares(p, index) >= SHARED).any(1))
-                for part in np.array_split(chosen, max(1, len(chosen) >> 11)):
-                    if not len(part):
-                        continue
-                    of, column = _spread(p, part)
-                    value = idf[column]
-                    value = value / np.sqrt(np.bincount(of, value**2, len(part)))[of].astype(np.float32)
-                    y = np.add.reduceat(start[column] * value[:, None], np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), axis=0)
-                    order = np.argsort(column, kind="stable")
-                    ends = np.flatnonzero(np.r_[True, column[order][1:] != column[order][:-1]])
-                    total[column[order][ends]] += np.add.reduceat(y[of[order]] * value[order, None], ends, axis=0)
+                of, column = _spread(p, p.lo, p.hi)
+                value = idf[column]
+                value /= np.sqrt(np.bincount(of, value**2, len(p.lo)))[of].astype(np.float32)
+                cuts = np.arange(0, len(p.lo) + 2048, 2048)
+                for lo, a, b in zip(cuts, np.searchsorted(of, cuts), np.searchsorted(of, cuts[1:]), strict=False):
+                    n, own, col, v = min(2048, len(p.lo) - lo), of[a:b] - lo, column[a:b], value[a:b]
+                    dense = slot[col] >= 0
+                    matrix = np.zeros((n, len(often)), np.float32)
+                    matrix[own[dense], slot[col[dense]]] = v[dense]
+                    own, col, v = own[~dense], col[~dense], v[~dense]
+                    y = matrix @ start[often] + _sums(own, start[col] * v[:, None], n)
+                    total[often] += matrix.T @ y
+                    order = np.argsort(col, kind="stable")
+                    col, first = np.unique(col[order], return_index=True)
+                    if len(col):
+                        total[col] += np.add.reduceat(y[own[order]] * v[order, None], first, axis=0)
         return total
 
     corpus = _added(docs, range_of, rank, size, 256)
@@ -225,7 +275,7 @@ def fit(docs: DataFrame, items: Items, seed: int = 3) -> tuple[Items, Latent]:
     basis = np.linalg.qr(both)[0].astype(np.float32)
     latent = x @ basis
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return items, Latent(idf, basis * idf[:, None], latent, index)
+    return Latent(idf, basis * idf[:, None], latent, index_of(items, seen[:size], least_overlap))
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -252,34 +302,37 @@ def leaks_of(data: np.ndarray, offs: np.ndarray, items: Items, latent: Latent, l
     n = len(offs) - 1
     found: list[dict] = [{} for _ in range(n)]
     p = passages(data, offs, items)
-    share = shares(p, latent.index) >= SHARED
-    chosen = np.flatnonzero(share.any(1))
-    own = [frozenset(w.tolist()) for w in items.words] if len(chosen) else []
     first = np.searchsorted(p.row, np.arange(n))
     last = np.searchsorted(p.row, np.arange(n), side="right")
-    for part in np.array_split(chosen, max(1, len(chosen) >> 11)):
-        if not len(part):
-            continue
-        of, column = _spread(p, part)
-        y = np.add.reduceat(latent.basis[column], np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), axis=0)
+    if not len(p.column):
+        return [[] for _ in range(n)]
+    passage, number = bounded(p, latent.index, first, last)
+    # an item longer than a passage is held against as many words
+    lo = p.lo[passage]
+    hi = np.searchsorted(p.place, np.minimum(last[p.row[p.start[passage]]], p.start[passage] + np.maximum(WINDOW, latent.index.length[number])))
+    for a in range(0, len(passage), 2048):
+        part, which = passage[a : a + 2048], number[a : a + 2048]
+        of, column = _spread(p, lo[a : a + 2048], hi[a : a + 2048])
+        y = _sums(of, latent.basis[column], len(part))
         y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
-        near = y @ latent.items.T
-        for k, i in zip(*np.nonzero((near >= NEAR) & share[part]), strict=True):
+        near = np.einsum("ij,ij->i", y, latent.items[which])
+        for k in np.flatnonzero(near >= NEAR).tolist():
+            i = int(which[k])
             start = p.start[part[k]]
             row = p.row[start]
             item = items.words[i]
             # as much room around the window as the item has words
             region = p.hash[max(first[row], start - len(item)) : min(last[row], start + WINDOW + len(item))]
-            there = own[i].intersection(region.tolist())
-            if len(there) < least_overlap * len(own[i]) and sum(w in there for w in item.tolist()) < least_overlap * len(item):
+            there = set(region.tolist())
+            if sum(w in there for w in item.tolist()) < least_overlap * len(item):
                 continue
             overlap = common_subsequence(item, region)
             answer = answer_share(item, region)
             if overlap < least_overlap * len(item) or (answer < 0.5 and overlap < 0.8 * len(item)):
                 continue
             old = found[row].get(i)
-            if old is None or (overlap, near[k, i]) > (old["overlap"], old["cosine"]):
-                found[row][i] = {"item_id": items.ids[i], "overlap": overlap, "item_words": len(item), "answer": answer, "cosine": float(near[k, i]), "start": int(start - first[row])}
+            if old is None or (overlap, near[k]) > (old["overlap"], old["cosine"]):
+                found[row][i] = {"item_id": items.ids[i], "overlap": overlap, "item_words": len(item), "answer": answer, "cosine": float(near[k]), "start": int(start - first[row])}
     return [[x[i] for i in sorted(x)] for x in found]
 
 
@@ -288,7 +341,8 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, least_overlap: float = 0.6,
 
     A leak names the item (item_id), the length of the longest common subsequence (overlap), the item's words,
     the share of its answer that is there, the passage's cosine and first word. An item counts if the overlap
-    is at least ``least_overlap`` of its words and half its answer is there, or the overlap is at least 0.8.
+    is at least ``least_overlap`` of its words and half its answer is there, or the overlap is at least 0.8; its
+    cosine must be ``NEAR``, so that chance runs of the commonest words are no leaks.
     Whole texts are searched. Null and empty texts, and items without words, have no leaks; an item given
     twice is found twice. The benchmark is read in blocks of ``ITEMS`` by id, so any number of items works.
     """
@@ -306,7 +360,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, least_overlap: float = 0.6,
         items = prepare(rows)
         if not items.ids:
             return out
-        shared = df.sparkSession.sparkContext.broadcast(fit(docs, items))
+        shared = df.sparkSession.sparkContext.broadcast((items, fit(docs, items, least_overlap)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items, latent = shared.value

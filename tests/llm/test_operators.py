@@ -246,6 +246,20 @@ def test_leaks_and_paraphrases(spark):
     assert common_subsequence(a, b) == row[-1]
 
 
+def test_leaks_of_common_words_and_of_long_items(spark):
+    rng = np.random.default_rng(13)
+    common = ["".join(rng.choice(list("klmnopqrst"), 6)) for _ in range(300)]
+    filler = lambda n: rng.choice(common, n).tolist()
+    items = [[f"rare{i}x{j}" for j in range(6)] + rng.choice(common, 24, replace=False).tolist() for i in range(8)]
+    items += [[f"long{i}x{j}" for j in range(300)] for i in range(2)]
+    docs = [filler(300) for _ in range(60)]
+    docs[7] = docs[7] + ["altered"] * 6 + items[2][6:] + filler(50)  # the rare words are lost
+    loose = [x for j, w in enumerate(items[9]) if j % 3 for x in ([w, "between"] if j % 2 else [w])]
+    docs[11] = filler(40) + loose + docs[11]
+    got = find_leaks(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id int, text string")).collect()
+    assert {(r.doc_id, x.item_id, x.overlap) for r in got for x in r.leaks} == {(7, 2, 24), (11, 9, 200)}
+
+
 def test_media_round_trip_and_sniffing(spark):
     payload = bytes(range(256)) * 4
     stored = media.wav(payload)
