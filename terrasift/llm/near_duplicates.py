@@ -3,8 +3,9 @@
 Equal texts are one from the start, by a 16-byte key. Each distinct text gets samples whose chance to agree
 is the weighted Jaccard similarity of two texts; bands of samples make buckets; in each bucket every text is
 held against a few leaders, first by how many samples agree, then by the weighted Jaccard similarity itself,
-over whole texts. Links that hold make classes by connected components. Later rounds pick other leaders and
-look only at texts that share a bucket but not yet a class, so a group of n copies costs about n comparisons.
+over whole texts. Links that hold make classes by connected components. Later rounds pick other leaders, outside
+a bucket's largest class, and look only at texts that share a bucket but not yet a class, so a group of n copies
+costs about n comparisons. They go on until all pairs of a bucket are of one class or were compared.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -30,6 +31,8 @@ BLOCK = 1024
 #: Bits of the filter of texts that have a candidate.
 KEY_BITS = 23
 IDF = 0.2
+#: Buckets of at most this many texts compare all their pairs, in the first round and later.
+SMALL = (4, 64)
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,17 +171,43 @@ def bands(signed: DataFrame) -> DataFrame:
     return signed.select(F.explode(F.array(*part)).alias("bucket"), "key", "kind")
 
 
-def candidates(buckets: DataFrame, signed: DataFrame, salt: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of a text and its bucket's leader, of different classes, whose samples may be similar enough.
+def comparisons(rest: DataFrame, i: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs to look at in round ``i``, and (bucket, key) of the texts that are then compared with all of their bucket.
 
-    Two leaders a bucket, the least by two hashes. A pair goes on if its samples agree at least as often as
-    chance would leave to 1 in 10,000 pairs at the threshold.
+    ``rest`` (bucket, key, kind, root) has the texts that were not leaders yet. Buckets of one class are settled, and
+    small ones settle by all pairs. In others the texts meet leaders: two by least hash in the first round, then
+    four times as many each round, from outside the largest class. Only texts of different classes are paired.
+    """
+    classes = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    state = classes.groupBy("bucket").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root"))["root"].alias("largest"))
+    state = state.where("roots > 1").drop("roots")
+    now = stored(rest.join(state, "bucket"))
+    small = F.col("size") <= (SMALL[1] if i else SMALL[0])
+    few = now.where(small).select("bucket", "kind", "key", "root")
+    other = few.select("bucket", F.col("key").alias("other"), F.col("root").alias("other_root"))
+    all_pairs = few.join(other, "bucket").where("key > other and root <> other_root")
+    outside = now.where(~small if not i else ~small & (F.col("root") != F.col("largest")))
+    hashed = F.struct(F.xxhash64(F.lit(10 * i), "key").alias("h"), "key", "root")
+    leaders = least_of(outside.select("bucket", hashed.alias("leader")), 2 * 4**i)
+    met = now.where(~small).select("bucket", "kind", "key", "root").join(leaders, "bucket").where(F.col("root") != F.col("leader.root"))
+    met = met.select("kind", F.greatest("key", "leader.key").alias("a"), F.least("key", "leader.key").alias("b"))
+    done = few.select("bucket", "key").unionByName(leaders.select("bucket", F.col("leader.key").alias("key")))
+    return all_pairs.select("kind", F.col("key").alias("a"), F.col("other").alias("b")).unionByName(met).distinct(), done
+
+
+def least_of(df: DataFrame, n: int) -> DataFrame:
+    """The ``n`` least leaders of each bucket; ranked in parts first, so that no task sorts a whole bucket."""
+    part = df.withColumn("part", F.pmod(F.col("leader.h"), F.lit(64)))
+    for by in (["bucket", "part"], ["bucket"]):
+        part = part.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("leader"))).where(F.col("rank") <= n)
+    return stored(part.select("bucket", "leader"))
+
+
+def candidates(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) whose samples may be similar enough.
+
+    A pair goes on if its samples agree at least as often as chance would leave to 1 in 10,000 pairs at the threshold.
     """
-    order = [F.struct(F.xxhash64(F.lit(salt + i), "key").alias("h"), "key", "root") for i in (0, 1)]
-    leaders = buckets.groupBy("bucket", "kind").agg(*[F.min(o).alias(f"l{i}") for i, o in enumerate(order)], F.min("root").alias("low"), F.max("root").alias("high"))
-    leaders = stored(leaders.where("low <> high").select(F.col("bucket").alias("b_"), F.explode(F.array("l0", "l1")).alias("leader"), F.col("kind").alias("k_")).distinct())
-    pairs = buckets.join(leaders, (F.col("bucket") == F.col("b_")) & (F.col("kind") == F.col("k_"))).where(F.col("root") != F.col("leader.root"))
-    pairs = pairs.select("kind", F.greatest("key", "leader.key").alias("a"), F.least("key", "leader.key").alias("b")).distinct()
     sa = signed.select(F.col("key").alias("a"), "kind", F.col("signature").alias("sa"))
     sb = signed.select(F.col("key").alias("b"), "kind", F.col("signature").alias("sb"))
     least = int(SAMPLES * threshold - 3.9 * (SAMPLES * threshold * (1 - threshold)) ** 0.5)
@@ -239,7 +268,7 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, k: int, threshold: float) ->
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.8, words: int = 5, rounds: int = 2, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def near_duplicates(df: DataFrame, threshold: float = 0.8, words: int = 5, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Per row: its id, class_id (least id of its class), class_size, class_key and row_key.
 
     Rows are of one class if a chain of texts links them whose weighted Jaccard similarity over shingles of
@@ -252,17 +281,27 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, words: int = 5, round
     idf = spark.sparkContext.broadcast(document_frequencies(docs, words))
     signed = stored(sign(docs, idf, words, threshold))
     buckets = stored(bands(signed))
-    links, labels = None, None
-    for i in range(rounds):
-        now = buckets.withColumn("root", F.col("key"))
+    links = labels = seen = None
+    rest, i = buckets, 0
+    while True:
+        now = rest.withColumn("root", F.col("key"))
         if labels is not None:
-            now = buckets.join(labels, F.col("key") == F.col("node"), "left").select("bucket", "key", "kind", F.coalesce("root", "key").alias("root"))
-            now = stored(now)
-        pairs = stored(candidates(now, signed, 10 * i, threshold))
-        texts = texts_of(docs, stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
-        found = stored(verify(pairs, texts, idf, words, threshold))
-        links = found if links is None else links.unionByName(found)
-        labels = stored(components(links))
+            now = stored(rest.join(labels, F.col("key") == F.col("node"), "left").select("bucket", "key", "kind", F.coalesce("root", "key").alias("root")))
+        pairs, done = comparisons(now, i)
+        done = stored(done)
+        if i and done.isEmpty():
+            break
+        pairs = candidates(pairs, signed, threshold)
+        pairs = stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        if labels is None or not pairs.isEmpty():
+            texts = texts_of(docs, stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
+            found = stored(verify(pairs, texts, idf, words, threshold))
+            links = found if links is None else links.unionByName(found)
+            labels = stored(components(links))
+        # only buckets with leaders can have more to compare
+        rest = stored(rest.join(done.select("bucket").distinct(), "bucket", "left_semi").join(done, ["bucket", "key"], "left_anti"))
+        i += 1
     empty = F.unhex(F.md5(F.concat(F.lit("no words:"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
     rows = docs.select("id", "key", "row_key", (~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).alias("blank"))
     rows = rows.join(labels, F.col("key") == F.col("node"), "left").select("id", "row_key", F.when(F.col("blank"), empty).otherwise(F.coalesce("root", "key")).alias("class_key"))

@@ -79,6 +79,18 @@ def test_near_duplicates_match_brute_force(docs):
     assert got == root
 
 
+def test_hot_bucket_with_outsiders_and_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "bands", lambda signed: signed.selectExpr("cast(kind as bigint) as bucket", "key", "kind"))
+    rng = np.random.default_rng(17)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    hot, pair, chain = fresh(100), fresh(100), fresh(260)
+    texts = [hot[: i % 90] + [f"edit{i}"] + hot[i % 90 + 1 :] for i in range(90)]
+    texts += [pair, [*pair[:-1], "last"]] + [chain[8 * i : 8 * i + 100] for i in range(20)] + [fresh(60) for _ in range(10)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(df).collect()}
+    assert got == {i: 0 if i < 90 else 90 if i < 92 else 92 if i < 112 else i for i in range(122)}
+
+
 def test_samples_agree_as_often_as_the_similarity():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 2**63, 400).astype(np.uint64)
