@@ -6,6 +6,7 @@ themselves, so cutting bytes gives the same words as the pattern ``[^\\x20\\x09-
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -157,13 +158,29 @@ def windows(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return mixed(w[at] ^ np.uint64(k * 0x2545F4914F6CDD1D & _MASK)), at
 
 
-def bounded_sample(df: DataFrame, key: str, limit: int, seed: int = 7) -> DataFrame:
-    """At most ``limit`` rows, those with the smallest hash of ``key``; the same rows on each run."""
-    order = F.xxhash64(F.lit(seed), F.col(key))
-    n = df.select(key).count()
-    if n > 2 * limit:  # most rows never reach the sort
-        df = df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 3 * limit / n)))
-    return df.orderBy(order, key).limit(limit)
+def others(columns: list[str], replaced: tuple[str, ...]) -> list[str]:
+    """The columns that are not replaced; names count as equal in any case, as Spark resolves them."""
+    gone = {c.lower() for c in replaced}
+    return [c for c in columns if c.lower() not in gone]
+
+
+def sample_bound(limit: int, n: int) -> int:
+    """Signed 64-bit bound that hashes of about ``limit`` of ``n`` rows do not pass: a little more, six deviations, so that fewer are as good as impossible."""
+    wanted = limit + 6 * math.isqrt(limit) + 36
+    return (1 << 63) - 1 if wanted >= n else (wanted << 64) // n - (1 << 63)
+
+
+def bounded_sample(df: DataFrame, limit: int, *by: str, seed: int = 7) -> DataFrame:
+    """``limit`` rows, or all if there are fewer, drawn by a hash of the columns ``by`` and the row's place in its partition.
+
+    The place sets equal rows apart, so null or repeated keys neither flood the sample nor empty it. Little
+    more than ``limit`` rows reach the sort that draws exactly, at any size of the table. The same partitions
+    give the same rows.
+    """
+    order = spare("order", df.columns)
+    n = df.count()
+    drawn = df.withColumn(order, F.xxhash64(F.lit(seed), *[F.col(c) for c in by], F.monotonically_increasing_id()))
+    return drawn.where(F.col(order) <= sample_bound(limit, n)).orderBy(order).limit(limit).drop(order)
 
 
 def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, bucket_of, chunks, cut_words, text_rows
+from .common import bounded_sample, bucket_of, chunks, cut_words, others, text_rows
 
 N_SHAPE = 8
 N_FEATURES = 256 + N_SHAPE
@@ -143,9 +143,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, ma
     """
     open_rows = docs.select("doc_id", "text").where(bucket_of("doc_id", folds) != held_out)
     known = labels.where(bucket_of("doc_id", folds) != held_out).where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    marked = bounded_sample(known.where("quality = 1"), "doc_id", max_positive).unionByName(bounded_sample(known.where("quality = 0"), "doc_id", max_positive // 3))
-    good = with_features(open_rows.join(F.broadcast(marked), "doc_id"), "text", "quality").toArrow()
-    free = with_features(bounded_sample(open_rows, "doc_id", max_unlabelled), "text").toArrow()
+    marked = bounded_sample(known.where("quality = 1"), max_positive, "doc_id").unionByName(bounded_sample(known.where("quality = 0"), max_positive // 3, "doc_id"))
+    # an id may stand for many rows: what comes of the join is bounded again
+    rows = bounded_sample(open_rows.join(F.broadcast(marked), "doc_id"), max_positive + max_positive // 3, "doc_id", "text")
+    good = with_features(rows, "text", "quality").toArrow()
+    free = with_features(bounded_sample(open_rows, max_unlabelled, "doc_id", "text"), "text").toArrow()
     x, y = _matrix(good), good.column("quality").to_numpy()
     if not (y == 1).any() or not free.num_rows:
         return None
@@ -167,22 +169,22 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
 
 
-def score_quality(docs: DataFrame, model: QualityModel | None, text: str = "text") -> DataFrame:
-    """Adds ``score`` to a table; an own column of that name is replaced.
+def score_quality(docs: DataFrame, model: QualityModel | None, text: str = "text", score: str = "score") -> DataFrame:
+    """Adds ``score`` to a table; an own column of that name (in any case) is replaced.
 
     Null and empty texts have all features zero and are scored as such. Without a model nothing is known
     and every score is 0.7, the least that is accepted. Repeated rows are scored alike.
     """
-    kept = [c for c in docs.columns if c != "score"]
+    kept = others(docs.columns, (score,))
     if model is None:
-        return docs.select(*kept, F.lit(0.7).alias("score"))
+        return docs.select(*kept, F.lit(0.7).alias(score))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [scores(shared.value, text_features(data, offs)) for _, _, data, offs in chunks(text_rows(batch, text))]
             found = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*kept, score])
 
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields), "score double"])
+    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields), f"`{score}` double"])
     return docs.select(*kept).mapInArrow(run, schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_sample, bucket_of, chunks, cut_words, text_rows
+from .common import LOWER, bounded_sample, bucket_of, chunks, cut_words, others, text_rows
 
 BUCKETS = 1 << 17
 DIMENSIONS = 12
@@ -189,8 +189,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_
     sample kept from training, drawn towards the common cut where a language has few rows.
     """
     known = labels.where(bucket_of("doc_id", folds) != held_out).where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marked = bounded_sample(known.where("toxic = 1"), "doc_id", max_toxic).unionByName(bounded_sample(known.where("toxic = 0"), "doc_id", max_clean))
-    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("text", "toxic", "doc_id").toArrow()
+    marked = bounded_sample(known.where("toxic = 1"), max_toxic, "doc_id").unionByName(bounded_sample(known.where("toxic = 0"), max_clean, "doc_id"))
+    # an id may stand for many rows: what comes of the join is bounded again
+    rows = bounded_sample(docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id"), max_toxic + max_clean, "doc_id", "text").select("text", "toxic", "doc_id").toArrow()
     label = rows.column("toxic").to_numpy().astype(np.int64) if rows.num_rows else np.zeros(0, np.int64)
     if len(np.unique(label)) < 2:
         return None
@@ -237,7 +238,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "te
     Every whole text is read. Null and empty texts pool to nothing and get the model's score for that.
     Without a model every score is 0. Repeated rows are scored alike.
     """
-    kept = [c for c in docs.columns if c != "score"]
+    kept = others(docs.columns, ("score",))
     if model is None:
         return docs.select(*kept, F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
