@@ -16,6 +16,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import others
+
 # Magic numbers of the formats.
 MAGIC = {
     "bmp": b"BM",
@@ -30,7 +32,22 @@ MAGIC = {
 }
 
 
-def _png(b: bytes, at: int) -> tuple[str, int] | None:
+class Ahead:
+    """First place of a marker from some place on; asked in rising order, the bytes are searched once a marker."""
+
+    def __init__(self, b: bytes):
+        self.b = b
+        self.found: dict[bytes, tuple[int, int]] = {}
+
+    def find(self, marker: bytes, at: int) -> int:
+        since, place = self.found.get(marker, (0, -2))
+        if place == -2 or at < since or -1 < place < at:
+            place = self.b.find(marker, at)
+            self.found[marker] = at, place
+        return place
+
+
+def _png(b: bytes, at: int, ahead: Ahead) -> tuple[str, int] | None:
     p = at + 8
     while p + 12 <= len(b):
         (size,) = struct.unpack_from(">I", b, p)
@@ -43,7 +60,7 @@ def _png(b: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> tuple[str, int] | None:
+def _gif(b: bytes, at: int, ahead: Ahead) -> tuple[str, int] | None:
     if at + 13 > len(b):
         return None
     flags = b[at + 10]
@@ -66,7 +83,7 @@ def _gif(b: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> tuple[str, int] | None:
+def _jpeg(b: bytes, at: int, ahead: Ahead) -> tuple[str, int] | None:
     p = at + 2
     while p + 4 <= len(b) and b[p] == 0xFF:
         mark = b[p + 1]
@@ -75,12 +92,12 @@ def _jpeg(b: bytes, at: int) -> tuple[str, int] | None:
             return None
         p += 2 + size
         if mark == 0xDA:
-            end = b.find(b"\xff\xd9", p)
+            end = ahead.find(b"\xff\xd9", p)
             return ("image/jpeg", end + 2 - at) if end >= 0 else None
     return None
 
 
-def _riff(b: bytes, at: int) -> tuple[str, int] | None:
+def _riff(b: bytes, at: int, ahead: Ahead) -> tuple[str, int] | None:
     if at + 12 > len(b):
         return None
     end, form = at + 8 + struct.unpack_from("<I", b, at + 4)[0], b[at + 8 : at + 12]
@@ -94,7 +111,7 @@ def _riff(b: bytes, at: int) -> tuple[str, int] | None:
     return (kind, end - at) if p == end else None
 
 
-def _bmp(b: bytes, at: int) -> tuple[str, int] | None:
+def _bmp(b: bytes, at: int, ahead: Ahead) -> tuple[str, int] | None:
     if at + 26 > len(b):
         return None
     size, zero, start, header = struct.unpack_from("<IIII", b, at + 2)
@@ -102,7 +119,7 @@ def _bmp(b: bytes, at: int) -> tuple[str, int] | None:
     return ("image/bmp", size) if fits else None
 
 
-def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
+def _gzip(b: bytes, at: int, ahead: Ahead) -> tuple[str, int] | None:
     if at + 18 > len(b) or b[at + 3] & 0xE0:
         return None
     inflate = zlib.decompressobj(31)
@@ -116,8 +133,8 @@ def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
     return ("application/gzip", min(p, len(b)) - len(inflate.unused_data) - at) if inflate.eof else None
 
 
-def _zip(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: bytes, at: int, ahead: Ahead) -> tuple[str, int] | None:
+    end = ahead.find(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return None
     size, start = struct.unpack_from("<II", b, end + 12)
@@ -126,14 +143,14 @@ def _zip(b: bytes, at: int) -> tuple[str, int] | None:
     return "application/zip", end + 22 + struct.unpack_from("<H", b, end + 20)[0] - at
 
 
-def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
+def _pdf(b: bytes, at: int, ahead: Ahead) -> tuple[str, int] | None:
     if not b[at + 5 : at + 6].isdigit():
         return None
-    end = b.find(b"%%EOF", at)
-    return ("application/pdf", end + 5 - at) if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+    end = ahead.find(b"%%EOF", at)
+    return ("application/pdf", end + 5 - at) if -1 < ahead.find(b"startxref", at) < end else None
 
 
-VALIDATORS: dict[str, Callable[[bytes, int], tuple[str, int] | None]] = {
+VALIDATORS: dict[str, Callable[[bytes, int, Ahead], tuple[str, int] | None]] = {
     "bmp": _bmp, "gif": _gif, "gif89": _gif, "gzip": _gzip, "jpeg": _jpeg, "pdf": _pdf, "png": _png, "riff": _riff, "zip": _zip,
 }
 
@@ -148,10 +165,10 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(b: bytes, machine: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """(type, offset, length) of every valid medium, outermost first; hits inside a found medium are skipped."""
-    found, covered = [], 0
+    found, covered, ahead = [], 0, Ahead(b)
     for last, (name, size) in machine.iter(b.decode("latin-1")):
         at = last + 1 - size
-        if at >= covered and (hit := VALIDATORS[name](b, at)):
+        if at >= covered and (hit := VALIDATORS[name](b, at, ahead)):
             found.append((hit[0], at, hit[1]))
             covered = at + hit[1]
     return found
@@ -165,7 +182,7 @@ def sniff_media(df: DataFrame, content: str, declared: str | None = None) -> Dat
     ``media_parts`` lists type, offset, length and carved bytes of each valid medium. Null and empty
     contents have no parts. Columns of these three names are replaced.
     """
-    kept = [c for c in df.columns if c not in ("media_type", "type_corrected", "media_parts")]
+    kept = others(df.columns, ("media_type", "type_corrected", "media_parts"))
     if declared is not None and declared not in kept:
         raise ValueError(f"no column {declared}")
     part = "array<struct<type: string, start: bigint, length: bigint, content: binary>>"
@@ -221,7 +238,7 @@ def text_media(df: DataFrame, text: str = "text", declared: str = "application/o
     import numpy as np
 
     new = {"n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"}
-    rest = [c for c in df.columns if c != text and c not in new]
+    rest = others(df.columns, (text, *new))
     kinds = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
