@@ -81,8 +81,14 @@ def mix_sources(df: DataFrame, text: str = "text", source: str = "source", row_i
 
     by_block = stored(small.groupBy("source", "block").agg(F.sum("size").alias("words")))
     targets = source_targets(by_block.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
-    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_block.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+    # sums of blocks, then of groups of blocks: no window holds more than the root of a source's blocks by much
+    group = F.floor(F.col("block") / F.lit(max(64, math.isqrt(blocks))))
+    grouped = by_block.withColumn("group", group)
+    earlier = lambda *by, of: F.coalesce(F.sum("words").over(Window.partitionBy(*by).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = grouped.groupBy("source", "group").agg(F.sum("words").alias("words")).withColumn("upto", earlier("source", of="group"))
+    groups = groups.select(F.col("source").alias("gs"), F.col("group").alias("gk"), "upto")
+    inside = grouped.withColumn("inside", earlier("source", "group", of="block"))
+    starts = inside.join(groups, F.col("source").eqNullSafe(F.col("gs")) & (F.col("group") == F.col("gk"))).select("source", "block", (F.col("upto") + F.col("inside")).alias("before"))
     starts = starts.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
     starts = starts.select(F.col("b.source").alias("s"), F.col("b.block").alias("k"), "before", "source_size", "target")
 
