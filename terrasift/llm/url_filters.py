@@ -1,22 +1,26 @@
 """URL filters: host and path rules first, association rules for the rest. DataFrame and SQL functions only.
 
 Spark's FP-growth mines token combinations of labelled URLs (by default the ones that the host and path rules
-judge). Rules "tokens, so block" that are frequent and sure enough, and surer than any rule on fewer of their
+judge). Rules "tokens, so block" that are frequent and sure enough, and not idle beside a rule on fewer of their
 tokens, are kept as an inverted index from token to rules; a rule matches a URL that has all its tokens.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from typing import NamedTuple
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, others, spare, stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLOCK = "verdict=block"
+#: Between the tokens of a class.
+ALIKE = "\0"
 
 
 class HostRule(NamedTuple):
@@ -47,65 +51,91 @@ def rule_for(host: Column, path: Column, rules: list[HostRule]) -> Column:
 
 
 def tokens_of(url: Column) -> Column:
-    """Distinct tokens: whole host, its domains, host labels, path parts by place, file type, query names; digits as 0."""
-    plain = F.regexp_replace(url, "[0-9]+", "0")
+    """Distinct tokens: the host and all its domains, all host labels but the last (a domain), all path parts by place, file type, query names; digits as 0."""
+    plain = F.regexp_replace(F.regexp_replace(url, r"\x00", ""), "[0-9]+", "0")
     labels = F.split(host_of(plain), r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(3))), lambda n: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, -n, n), ".")))
-    parts = F.transform(F.slice(F.split(path_of(plain), "/"), 2, 4), lambda p, i: F.concat(F.lit("part"), i.cast("string"), F.lit(":"), p))
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, -n, n), ".")))
+    parts = F.transform(F.slice(F.split(path_of(plain), "/"), 2, F.length(plain)), lambda p, i: F.concat(F.lit("part"), i.cast("string"), F.lit(":"), p))
     kind = F.transform(F.array(F.regexp_extract(path_of(plain), r"\.([A-Za-z0-9]{1,5})$", 1)), lambda k: F.concat(F.lit("type:"), k))
     query = F.transform(F.regexp_extract_all(plain, F.lit(r"[?&]([^=&#]+)="), F.lit(1)), lambda q: F.concat(F.lit("query:"), q))
-    first = F.array(F.concat(F.lit("label:"), F.element_at(labels, 1)))
-    found = F.array_distinct(F.concat(domains, first, parts, kind, query))
+    own = F.transform(F.slice(labels, 1, F.size(labels) - 1), lambda x: F.concat(F.lit("label:"), x))
+    found = F.array_distinct(F.concat(domains, own, parts, kind, query))
     return F.when(host_of(url) == "", F.array().cast("array<string>")).otherwise(F.filter(found, lambda t: ~t.endswith(":")))
 
 
-def mine_rules(labelled: DataFrame, support: float = 0.01, confidence: float = 0.9, max_rows: int = 100_000, max_rules: int = 500) -> list[tuple[list[str], float, float]]:
-    """(tokens, confidence, support) of rules for blocking, from a table (url, block).
+def alike(items: DataFrame, least: int) -> dict[str, str]:
+    """For each token of at least ``least`` rows of a table (row, tokens) its class: all tokens of exactly the same rows, joined by ``ALIKE``.
 
-    Learns from a bounded sample of ``max_rows``. A rule is dropped if a rule on fewer of its tokens is as
-    sure; of the rest the ``max_rules`` surest and most frequent are kept.
+    There are at most as many as tokens in a row times rows over ``least``.
     """
-    some = bounded_sample(labelled.select("url", "block"), "url", max_rows)
-    items = some.select(F.concat(tokens_of(F.col("url")), F.when(F.col("block"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0)
-    if not items.head(1):
+    tokens = items.select("row", F.explode("tokens").alias("token"))
+    same = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("row").alias("x"), F.sum(F.shiftright("row", 16)).alias("s")).where(F.col("n") >= least)
+    classes = same.groupBy("n", "x", "s").agg(F.array_sort(F.collect_list("token")).alias("tokens")).select("tokens")
+    return {t: ALIKE.join(r.tokens) for r in classes.toLocalIterator() for t in r.tokens}
+
+
+def mine_rules(labelled: DataFrame, support: float = 0.01, confidence: float = 0.9, max_rows: int = 100_000, least: int = 5) -> list[tuple[list[str], float, float]]:
+    """(classes of tokens, confidence, support) of rules for blocking, from a table (url, block).
+
+    Each distinct URL counts once, so a very frequent one weighs as much as a rare one; FP-growth learns from
+    at most ``max_rows`` of them, and a rule rests on at least ``least``. Tokens that always come together are
+    one item of FP-growth, named by all of them: what holds of one holds of each, and long URLs of one pattern
+    do not make a power set. All rules that reach support and confidence stay, but for those that a rule on
+    fewer of their tokens makes idle: where they match, it matches too.
+    """
+    some = stored(bounded_sample(labelled.select("url", "block").distinct(), max_rows, "url", "block"))
+    items = some.select(F.xxhash64("url", "block").alias("row"), tokens_of(F.col("url")).alias("tokens"), "block").where(F.size("tokens") > 0)
+    n = items.count()
+    if n < least:
+        return []
+    support = max(support, least / n)
+    names = alike(items, math.ceil(support * n - 1e-9))
+    if not names:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
+    class_of = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
+    known = F.array_distinct(F.array_compact(F.transform("tokens", lambda t: F.try_element_at(class_of, t))))
+    baskets = items.select(F.concat(known, F.when(F.col("block"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent")[0] == BLOCK).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    rows = rules.orderBy(F.size("tokens"), F.desc("confidence"), F.desc("support"), "tokens").limit(20 * max_rules).collect()
     kept: list[tuple[list[str], float, float]] = []
-    for r in rows:
-        if not any(set(t) <= set(r.tokens) and c >= r.confidence for t, c, _ in kept):
-            kept.append((list(r.tokens), r.confidence, r.support))
-    return sorted(kept, key=lambda x: (-x[1], -x[2], x[0]))[:max_rules]
+    having: dict[str, list[int]] = {}
+    for r in rules.orderBy(F.size("tokens"), "tokens").toLocalIterator():
+        hits = Counter(i for t in r.tokens for i in having.get(t, ()))
+        if any(n == len(kept[i][0]) for i, n in hits.items()):
+            continue
+        for t in r.tokens:
+            having.setdefault(t, []).append(len(kept))
+        kept.append((list(r.tokens), r.confidence, r.support))
+    return sorted(kept, key=lambda x: (-x[1], -x[2], x[0]))
 
 
 def matches(tokens: Column, rules: list[tuple[list[str], float, float]]) -> Column:
-    """Whether any mined rule has all its tokens there, by an inverted index of fixed size."""
+    """Whether any mined rule has a token of each of its classes there: an inverted index from token to class to rules, a constant of the plan."""
     if not rules:
         return F.lit(False)
-    index: dict[str, list[int]] = {}
-    for i, (own, _, _) in enumerate(rules):
-        for t in own:
-            index.setdefault(t, []).append(i)
-    posting = F.create_map(*[c for t, ids in sorted(index.items()) for c in (F.lit(t), F.array(*map(F.lit, ids)))])
+    classes = sorted({c for own, _, _ in rules for c in own})
+    number = F.create_map(*[x for i, c in enumerate(classes) for t in c.split(ALIKE) for x in (F.lit(t), F.lit(i))])
+    posting = F.array(*[F.array(*[F.lit(i) for i, (own, _, _) in enumerate(rules) if c in own]) for c in classes])
     sizes = F.array(*[F.lit(len(own)) for own, _, _ in rules])
-    hits = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(posting, t), F.array().cast("array<int>"))))
+    there = F.array_distinct(F.array_compact(F.transform(tokens, lambda t: F.try_element_at(number, t))))
+    hits = F.flatten(F.transform(there, lambda c: F.get(posting, c)))
     one = F.transform(F.array(hits), lambda h: F.exists(F.array_distinct(h), lambda i: F.size(F.filter(h, lambda j: j == i)) == F.get(sizes, i)))
     return F.get(one, F.lit(0))
 
 
 def filter_urls(df: DataFrame, rules: list[HostRule], labelled: DataFrame | None = None, url: str = "url") -> DataFrame:
-    """Adds host, path, rule (null if none fits) and verdict; columns of these names are replaced.
+    """Adds host, path, rule (null if none fits) and verdict; columns of these names (in any case) are replaced.
 
     Null URLs, and URLs without ``://``, have empty host and path, fit no rule, have no tokens and are allowed.
     Without mined rules (no labelled URLs, or none to block) what no rule judges is allowed. Repeated rows are
     judged alike.
     """
-    kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = others(df.columns, ("host", "path", "rule", "verdict"))
+    given = spare("given", [*kept, "host", "path"])
     rows = df.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    rows = rows.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
+    rows = rows.withColumn(given, rule_for(F.col("host"), F.col("path"), rules))
     if labelled is None:
-        labelled = rows.where("_rule is not null").select(F.col(url).alias("url"), (F.col("_rule.verdict") == "block").alias("block"))
+        labelled = rows.where(F.col(given).isNotNull()).select(F.col(url).alias("url"), (F.col(given)["verdict"] == "block").alias("block"))
     mined = mine_rules(labelled)
     other = F.when(matches(tokens_of(F.col(url)), mined), "block").otherwise("allow")
-    return rows.select(*kept, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), other).alias("verdict"))
+    return rows.select(*kept, "host", "path", F.col(given)["rule"].alias("rule"), F.coalesce(F.col(given)["verdict"], other).alias("verdict"))
