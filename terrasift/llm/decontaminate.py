@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are overlapping windows of documents. Their TF-IDF vectors over the words of the benchmark are
-projected into a latent space, found by a randomised SVD whose one pass over all passages runs as a Spark
-job. What is compared there is bounded by the subsequence that a leak must have: around it, enough of the
+projected into a latent space: the leading right singular vectors of passages and items, found by a randomised
+SVD. Its sketch is one pass over all passages as a Spark job; a small decomposition on the driver turns the
+sketch into singular vectors. What is compared there is bounded by the subsequence that a leak must have: around it, enough of the
 item's rarer words must stand. A passage near a benchmark item is held against the item by the longest common
 subsequence of words, which paraphrases with inserted, lost or changed words still pass, and by the words of
 its answer.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, cut_words, spare, text_rows
+from .common import LOWER, chunks, cut_words, others, spare, text_rows
 
 #: Lower-case letters, digits and bytes beyond ASCII make words here, so punctuation cannot hide a copy.
 LETTERS = np.zeros(256, bool)
@@ -27,8 +28,12 @@ LETTERS[48:58] = LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 WINDOW = 64
 STRIDE = 32
 RANK = 160
-#: Items that one model holds; more are searched block by block.
-ITEMS = 512
+#: Columns of the SVD: words share them beyond that many, so that what tasks add up has a fixed size.
+SLOTS = 1 << 14
+#: More draws than singular vectors kept.
+EXTRA = 8
+#: Characters of the items that one model holds; a longer benchmark is searched block by block.
+ITEM_CHARACTERS = 1 << 23
 NEAR = 0.3
 FILTER_BITS = 20
 #: Most frequent columns that the SVD multiplies as a dense matrix; the others stay sparse.
@@ -59,7 +64,8 @@ class Index(NamedTuple):
 
 class Latent(NamedTuple):
     idf: np.ndarray
-    basis: np.ndarray  # vocabulary x rank
+    basis: np.ndarray  # slots x rank, orthonormal columns
+    singular: np.ndarray
     items: np.ndarray  # items x rank, unit rows
     index: Index
 
@@ -234,31 +240,33 @@ def fit(docs: DataFrame, items: Items, least_overlap: float = 0.6, seed: int = 3
 
     seen = _added(docs, frequencies, 1, size + 1, 1024)[:, 0]
     idf = np.log1p(max(seen[size], 2.0) / (1 + seen[:size])).astype(np.float32)
-    x = np.zeros((len(items.ids), size), np.float32)
-    for i, w in enumerate(items.words):
-        own = np.searchsorted(items.vocabulary, np.unique(w))
-        x[i, own] = idf[own]
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    rank = min(RANK, size)
-    start = np.random.default_rng(seed).normal(size=(size, rank)).astype(np.float32)
-    often = np.argsort(-seen[:size], kind="stable")[:DENSE]
-    slot = np.full(size, -1)
-    slot[often] = np.arange(len(often))
-
-    def range_of(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros((size, rank), np.float32)
+    slots = min(size, SLOTS)
+    owned = [np.searchsorted(items.vocabulary, np.unique(w)) for w in items.words]
+    of_item, column = np.repeat(np.arange(len(owned)), [len(x) for x in owned]), np.concatenate(owned)
+    value = idf[column]
+    value /= np.sqrt(np.bincount(of_item, value**2, len(owned)))[of_item].astype(np.float32)
+    draws = min(RANK + EXTRA, slots)
+    start = np.random.default_rng(seed).normal(size=(slots, draws)).astype(np.float32)
+    load = np.bincount(np.arange(size) % slots, seen[:size], slots)
+    often = np.argsort(-load, kind="stable")[:DENSE]
+    dense_at = np.full(slots, -1)
+    dense_at[often] = np.arange(len(often))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros((slots, draws), np.float32)
         for batch in batches:
             for _, _, data, offs in chunks(text_rows(batch, "text")):
                 p = passages(data, offs, shared.value)
                 of, column = _spread(p, p.lo, p.hi)
                 value = idf[column]
                 value /= np.sqrt(np.bincount(of, value**2, len(p.lo)))[of].astype(np.float32)
+                column = column % slots
                 cuts = np.arange(0, len(p.lo) + 2048, 2048)
                 for lo, a, b in zip(cuts, np.searchsorted(of, cuts), np.searchsorted(of, cuts[1:]), strict=False):
                     n, own, col, v = min(2048, len(p.lo) - lo), of[a:b] - lo, column[a:b], value[a:b]
-                    dense = slot[col] >= 0
+                    dense = dense_at[col] >= 0
                     matrix = np.zeros((n, len(often)), np.float32)
-                    matrix[own[dense], slot[col[dense]]] = v[dense]
+                    np.add.at(matrix, (own[dense], dense_at[col[dense]]), v[dense])
                     own, col, v = own[~dense], col[~dense], v[~dense]
                     y = matrix @ start[often] + _sums(own, start[col] * v[:, None], n)
                     total[often] += matrix.T @ y
@@ -268,14 +276,29 @@ def fit(docs: DataFrame, items: Items, least_overlap: float = 0.6, seed: int = 3
                         total[col] += np.add.reduceat(y[own[order]] * v[order, None], first, axis=0)
         return total
 
-    corpus = _added(docs, range_of, rank, size, 256)
-    own = x.T @ (x @ start)
+    corpus = _added(docs, sketch, draws, slots, 256)
+    own = np.zeros((slots, draws))
+    np.add.at(own, column % slots, _sums(of_item, start[column % slots] * value[:, None], len(owned))[of_item] * value[:, None])
     # items and corpus enter with equal weight, however large the corpus is
-    both = own + corpus * (np.linalg.norm(own) / max(np.linalg.norm(corpus), 1e-9))
-    basis = np.linalg.qr(both)[0].astype(np.float32)
-    latent = x @ basis
+    basis, singular = singular_vectors(own + corpus * (np.linalg.norm(own) / max(np.linalg.norm(corpus), 1e-9)), start.astype(np.float64), min(RANK, slots))
+    latent = _sums(of_item, basis[column % slots] * value[:, None], len(owned))
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return Latent(idf, basis * idf[:, None], latent, index_of(items, seen[:size], least_overlap))
+    return Latent(idf, basis, singular, latent, index_of(items, seen[:size], least_overlap))
+
+
+def singular_vectors(sketch: np.ndarray, start: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading right singular vectors and values of A, from A.T @ A @ start: a small decomposition of the sketch.
+
+    A.T A is about B B.T with B = sketch @ (start.T @ sketch) ** -1/2 (Nystroem), whose left singular vectors
+    and values are those of A, the values squared by themselves. A tiny shift keeps the root stable.
+    """
+    shift = 1e-7 * np.linalg.norm(sketch)
+    moved = sketch + shift * start
+    core = start.T @ moved
+    level, turn = np.linalg.eigh((core + core.T) / 2)
+    good = level > 1e-10 * max(level.max(initial=0.0), 1e-300)
+    left, value, _ = np.linalg.svd(moved @ (turn[:, good] / np.sqrt(level[good])), full_matrices=False)
+    return left[:, :rank].astype(np.float32), np.sqrt(np.maximum(value[:rank] ** 2 - shift, 0))
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -313,7 +336,7 @@ def leaks_of(data: np.ndarray, offs: np.ndarray, items: Items, latent: Latent, l
     for a in range(0, len(passage), 2048):
         part, which = passage[a : a + 2048], number[a : a + 2048]
         of, column = _spread(p, lo[a : a + 2048], hi[a : a + 2048])
-        y = _sums(of, latent.basis[column], len(part))
+        y = _sums(of, latent.basis[column % len(latent.basis)] * latent.idf[column][:, None], len(part))
         y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
         near = np.einsum("ij,ij->i", y, latent.items[which])
         for k in np.flatnonzero(near >= NEAR).tolist():
@@ -336,24 +359,25 @@ def leaks_of(data: np.ndarray, offs: np.ndarray, items: Items, latent: Latent, l
     return [[x[i] for i in sorted(x)] for x in found]
 
 
-def find_leaks(df: DataFrame, benchmark: DataFrame, least_overlap: float = 0.6, text: str = "text") -> DataFrame:
-    """Adds ``leaks``, the benchmark items found in each text; an own column of that name is replaced.
+def find_leaks(df: DataFrame, benchmark: DataFrame, least_overlap: float = 0.6, text: str = "text", leaks: str = "leaks") -> DataFrame:
+    """Adds ``leaks``, the benchmark items found in each text; an own column of that name (in any case) is replaced.
 
     A leak names the item (item_id), the length of the longest common subsequence (overlap), the item's words,
     the share of its answer that is there, the passage's cosine and first word. An item counts if the overlap
     is at least ``least_overlap`` of its words and half its answer is there, or the overlap is at least 0.8; its
     cosine must be ``NEAR``, so that chance runs of the commonest words are no leaks.
     Whole texts are searched. Null and empty texts, and items without words, have no leaks; an item given
-    twice is found twice. The benchmark is read in blocks of ``ITEMS`` by id, so any number of items works.
+    twice is found twice. The benchmark is read in blocks of ``ITEM_CHARACTERS`` by id: up to that size the number of
+    passes over the corpus does not depend on it, and any number of items works.
     """
-    kept = [c for c in df.columns if c != "leaks"]
+    kept = others(df.columns, (leaks,))
     kind = benchmark.schema["item_id"].dataType
     leak = f"array<struct<item_id: {kind.simpleString()}, overlap: int, item_words: int, answer: double, cosine: double, start: bigint>>"
     id_type = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
     leak_type = pa.list_(pa.struct([("item_id", id_type), ("overlap", pa.int32()), ("item_words", pa.int32()), ("answer", pa.float64()), ("cosine", pa.float64()), ("start", pa.int64())]))
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields)
-    out = df.select(*kept).withColumn("leaks", F.array().cast(leak))
-    earlier = spare("earlier", df.columns)
+    out = df.select(*kept).withColumn(leaks, F.array().cast(leak))
+    earlier = spare("earlier", [*df.columns, leaks])
     docs = df.select(F.col(text).alias("text"))
 
     def search(rows: list[tuple], out: DataFrame) -> DataFrame:
@@ -366,14 +390,16 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, least_overlap: float = 0.6,
             items, latent = shared.value
             for batch in batches:
                 found = [x for _, _, data, offs in chunks(text_rows(batch, text)) for x in leaks_of(data, offs, items, latent, least_overlap)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, leak_type)], [*kept, earlier, "leaks"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, leak_type)], [*kept, earlier, leaks])
 
-        more = out.withColumnRenamed("leaks", earlier).mapInArrow(run, f"{fields}, `{earlier}` {leak}, leaks {leak}")
-        return more.withColumn("leaks", F.concat(earlier, "leaks")).drop(earlier)
+        more = out.withColumnRenamed(leaks, earlier).mapInArrow(run, f"{fields}, `{earlier}` {leak}, `{leaks}` {leak}")
+        return more.withColumn(leaks, F.concat(earlier, leaks)).drop(earlier)
 
     rows: list[tuple] = []
+    size = 0
     for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         rows.append((r[0], r[1]))
-        if len(rows) == ITEMS:
-            out, rows = search(rows, out), []
+        size += len(r[1] or "")
+        if size >= ITEM_CHARACTERS:
+            out, rows, size = search(rows, out), [], 0
     return search(rows, out) if rows else out
