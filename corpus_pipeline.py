@@ -19,23 +19,30 @@ from terrasift.llm.quality import fit_quality, score_quality
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = fit_quality(docs, documents(spark, sf_dir, "labels"))
-    return score_quality(docs, model).where("score >= 0.7").select(*docs.columns)
+    score = spare("score", docs.columns)
+    return score_quality(docs, model, score=score).where(F.col(score) >= 0.7).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id, null last."""
+    """One document of each group of near duplicates: the one with the least id, null last.
+
+    Of rows with equal id and text, the one with the least hash of all columns stays.
+    """
     classes = near_duplicates(docs)
     own = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key").alias("row_key"))
     first = stored(classes.groupBy("class_key").agg(F.min(own).alias("first")).select("first.row_key"))
     name = spare("row_key", docs.columns)
     kept = docs.withColumn(name, row_key("doc_id", "text")).join(first.withColumnRenamed("row_key", name), name, "left_semi")
-    return kept.dropDuplicates([name]).select(*docs.columns)
+    hashed = F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    one = kept.groupBy(name).agg(F.min_by(F.struct(*docs.columns), hashed).alias("one"))
+    return one.select("one.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    found = find_leaks(docs, documents(spark, sf_dir, "benchmark"))
-    return found.where(F.size("leaks") == 0).select(*docs.columns)
+    leaks = spare("leaks", docs.columns)
+    found = find_leaks(docs, documents(spark, sf_dir, "benchmark"), leaks=leaks)
+    return found.where(F.size(leaks) == 0).select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
