@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import forget, stored
 from .neighbours import offsets, spread
 
 
@@ -31,9 +31,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m")))
         large = stored(_pairs(both.join(least, F.col("a") == F.col("node")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))))
         # small star: a node and its neighbours below go to the least of them
-        least = stored(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "node"))
-        lower = large.join(least, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stored(_pairs(lower.unionByName(least.select(F.col("node").alias("a"), F.col("m").alias("b")))))
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "node"))
+        lower = large.join(low, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        last, now = now, stored(_pairs(lower.unionByName(low.select(F.col("node").alias("a"), F.col("m").alias("b")))))
+        forget(last, both, least, large, low)
         before, state = state, _state(now)
         if state == before:
             break
