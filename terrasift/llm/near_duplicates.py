@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import bitmap, chunks, cut_words, in_bitmap, mixed, row_key, stored, text_key, text_rows, windows
+from .common import bitmap, chunks, cut_words, forget, in_bitmap, mixed, row_key, stored, text_key, text_rows, windows
 
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
@@ -171,8 +171,8 @@ def bands(signed: DataFrame) -> DataFrame:
     return signed.select(F.explode(F.array(*part)).alias("bucket"), "key", "kind")
 
 
-def comparisons(rest: DataFrame, i: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to look at in round ``i``, and (bucket, key) of the texts that are then compared with all of their bucket.
+def comparisons(rest: DataFrame, i: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Pairs to look at in round ``i``, (bucket, key) of the texts that are then compared with all of their bucket, and the tables these read.
 
     ``rest`` (bucket, key, kind, root) has the texts that were not leaders yet. Buckets of one class are settled, and
     small ones settle by all pairs. In others the texts meet leaders: two by least hash in the first round, then
@@ -192,7 +192,7 @@ def comparisons(rest: DataFrame, i: int) -> tuple[DataFrame, DataFrame]:
     met = now.where(~small).select("bucket", "kind", "key", "root").join(leaders, "bucket").where(F.col("root") != F.col("leader.root"))
     met = met.select("kind", F.greatest("key", "leader.key").alias("a"), F.least("key", "leader.key").alias("b"))
     done = few.select("bucket", "key").unionByName(leaders.select("bucket", F.col("leader.key").alias("key")))
-    return all_pairs.select("kind", F.col("key").alias("a"), F.col("other").alias("b")).unionByName(met).distinct(), done
+    return all_pairs.select("kind", F.col("key").alias("a"), F.col("other").alias("b")).unionByName(met).distinct(), done, [now, leaders]
 
 
 def least_of(df: DataFrame, n: int) -> DataFrame:
@@ -287,20 +287,23 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, words: int = 5, text:
         now = rest.withColumn("root", F.col("key"))
         if labels is not None:
             now = stored(rest.join(labels, F.col("key") == F.col("node"), "left").select("bucket", "key", "kind", F.coalesce("root", "key").alias("root")))
-        pairs, done = comparisons(now, i)
+        pairs, done, used = comparisons(now, i)
         done = stored(done)
         if i and done.isEmpty():
+            forget(now, done, rest, signed, *used)
             break
         pairs = candidates(pairs, signed, threshold)
         pairs = stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
         seen = pairs if seen is None else seen.unionByName(pairs)
         if labels is None or not pairs.isEmpty():
-            texts = texts_of(docs, stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
-            found = stored(verify(pairs, texts, idf, words, threshold))
+            keys = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+            found = stored(verify(pairs, texts_of(docs, keys), idf, words, threshold))
             links = found if links is None else links.unionByName(found)
-            labels = stored(components(links))
+            old, labels = labels, stored(components(links))
+            forget(keys, old)
         # only buckets with leaders can have more to compare
-        rest = stored(rest.join(done.select("bucket").distinct(), "bucket", "left_semi").join(done, ["bucket", "key"], "left_anti"))
+        old, rest = rest, stored(rest.join(done.select("bucket").distinct(), "bucket", "left_semi").join(done, ["bucket", "key"], "left_anti"))
+        forget(now, old, done, *used)
         i += 1
     empty = F.unhex(F.md5(F.concat(F.lit("no words:"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
     rows = docs.select("id", "key", "row_key", (~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).alias("blank"))

@@ -142,6 +142,18 @@ def test_seating_follows_its_law():
     t = lm.sample_tables(np.full(n, c), np.full(n, mass), d, s, np.arange(n, dtype=np.uint64) * np.uint64(7919), 1)
     p = np.exp(s[c, 1 : c + 1]) * mass ** np.arange(1, c + 1)
     assert np.abs(np.bincount(t, minlength=c + 1)[1:] / n - p / p.sum()).max() < 0.012
+    # beyond 64 customers: the limit law against the exact one
+    for c, mass in ((100, 1.3), (300, 30.0), (300, 300.0), (1500, 300.0)):
+        exact, t = np.full(c + 1, -np.inf), np.arange(c + 1)
+        exact[1] = 0.0
+        for k in range(1, c):
+            stay = np.where(k - d * t > 0, exact + np.log(np.maximum(k - d * t, 1e-12)), -np.inf)
+            exact = np.logaddexp(np.r_[-np.inf, exact[:-1]], stay)
+        p = np.exp(exact + t * np.log(mass) - (exact + t * np.log(mass)).max())
+        p /= p.sum()
+        mean, spread = (p * t).sum(), math.sqrt((p * t * t).sum() - (p * t).sum() ** 2)
+        drawn = lm.sample_tables(np.full(n, c), np.full(n, mass), d, s, np.arange(n, dtype=np.uint64) * np.uint64(104729), 4)
+        assert abs(drawn.mean() / mean - 1) < 0.03 and abs(drawn.std() / spread - 1) < 0.05
     big = lm.sample_tables(np.array([1, 70, 10**9]), np.array([0.1, 1.0, 50.0]), d, s, np.arange(3, dtype=np.uint64), 1)
     assert big[0] == 1 and 1 <= big[1] <= 70 and 50 < big[2] < 10**7
 
