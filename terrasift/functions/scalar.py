@@ -111,3 +111,24 @@ def kinematic_compatible(slip_a: Column, slip_b: Column, dip_a: Column, dip_b: C
 def score_of(*tests: Column) -> Column:
     """How many tests hold; null counts as no."""
     return sum((F.coalesce(t, F.lit(False)).cast("int") for t in tests), F.lit(0))
+
+
+def is_duplicate(overlap: Column, rho: Column | None = None, most_overlap: float = 0.70, most_rho: float = 0.90) -> Column:
+    """Whether a candidate counts as a copy: strictly above either bound; an unknown correlation does not."""
+    much = F.coalesce(overlap > most_overlap, F.lit(False))
+    return much if rho is None else much | F.coalesce(F.abs(rho) > most_rho, F.lit(False))
+
+
+def credit_fraction(score: Column, dots_per_truth: Column) -> Column:
+    """Share of the truth's credit that a score implies at so many dots a truth cell, where both sides' credits are equal."""
+    return score * (BETA + ALPHA * dots_per_truth)
+
+
+def truth_from_blind(score: Column, dots: Column, credit: Column, matched: Column) -> Column:
+    """Truth size that a blind probe's score implies: credit and matched dots per truth cell are known, the rest is linear."""
+    return score * ALPHA * dots / (credit - score * (ALPHA * (credit - matched) + BETA))
+
+
+def forward_score(tp: Column, dots: Column, crowding: Column, truth: Column) -> Column:
+    """Score of a credit, a number of dots, their crowding (matched mass over credit) and a truth size."""
+    return tp / (ALPHA * tp * (1 - crowding) + ALPHA * dots + BETA * truth)

@@ -97,3 +97,35 @@ def nearest(left: DataFrame, right: DataFrame, extent: int, start: int = 8) -> D
         if radius >= 2 * extent or not todo.head(1):
             return left.join(done, "_row", "left").drop("_row")
         radius *= 2
+
+
+def checked_dots(cells: DataFrame, value: str, least: float = 0.5) -> DataFrame:
+    """Cells above ``least``. Any value that is null, NaN or outside 0..1 raises an error when the plan runs."""
+    v = F.col(value)
+    fine = F.coalesce(v.between(0, 1) & ~F.isnan(v), F.lit(False))
+    checked = F.when(fine, v).otherwise(F.raise_error(F.lit("a value is missing or outside 0..1")).cast("double"))
+    return cells.select("r", "c", checked.alias("_v")).where(F.col("_v") > least).select("r", "c")
+
+
+def point_mask(points: DataFrame, height: int, width: int, clip: bool) -> DataFrame:
+    """Distinct cells of points (r, c): strays are moved to the nearest edge cell, or left out."""
+    if clip:
+        points = points.select(F.least(F.greatest("r", F.lit(0)), F.lit(height - 1)).alias("r"), F.least(F.greatest("c", F.lit(0)), F.lit(width - 1)).alias("c"))
+    return points.where(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1)).select("r", "c").distinct()
+
+
+def eligible_rows(rows: DataFrame, support: DataFrame, test: Column) -> DataFrame:
+    """Rows that pass the test (null is no) and lie on supported cells. Ids must be unique: a repeated one raises an error."""
+    again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").agg(F.count(F.lit(1)).alias("_again"))
+    fine = F.when(F.col("_again") == 0, F.lit(True)).otherwise(F.raise_error(F.lit("a cluster id occurs twice")).cast("boolean"))
+    return rows.where(F.coalesce(test, F.lit(False))).join(support.select("r", "c").distinct(), ["r", "c"], "left_semi").join(F.broadcast(again), F.lit(True)).where(fine).drop("_again")
+
+
+def design_matrix(cells: DataFrame, catalogue: DataFrame, height: int, width: int, reach: int, box: int) -> DataFrame:
+    """Adds ``features``: distance to the catalogue (reach + 1 beyond it), its share of a box, and coordinates 0..1."""
+    near = near_distance(cells, catalogue, reach * reach)
+    inside = spread(catalogue.select("r", "c"), square(box)).groupBy("r", "c").agg(F.count(F.lit(1)).alias("_n"))
+    both = near.join(inside, ["r", "c"], "left")
+    distance = F.sqrt(F.coalesce("d2", F.lit((reach + 1) ** 2)))
+    share = F.coalesce("_n", F.lit(0)) / (2 * box + 1) ** 2
+    return both.withColumn("features", F.array(distance, share, F.col("r") / (height - 1), F.col("c") / (width - 1))).drop("d2", "_n")

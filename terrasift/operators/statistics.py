@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import kernel
 from ..storage import stored
+from .neighbours import KERNEL, spread
 
 
 def running_sums(df: DataFrame, key: str, amounts: dict[str, str], descending: bool = False) -> DataFrame:
@@ -101,3 +103,28 @@ def hash_ranked(df: DataFrame, seed: int, key: str, *by: str) -> DataFrame:
     """Adds ``draw``, the row's place in a hash-random order (within ``by``)."""
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
     return df.withColumn("draw", F.row_number().over(Window.partitionBy(*by).orderBy(order, key)))
+
+
+def surface_against_masks(surface: DataFrame, value: str, masks: DataFrame, by: str, top: int) -> DataFrame:
+    """Per mask (rows of equal ``by``): rank correlation with a surface over its cells, and how many of the top cells it has.
+
+    The surface is ranked once. A mask's correlation needs only sums over its own cells, so no cell meets every mask.
+    """
+    ranked = ranks(surface.select("r", "c", value), value, "_rank")
+    best = surface.orderBy(F.desc(value), "r", "c").limit(top).select("r", "c", F.lit(1).alias("_top"))
+    whole = ranked.agg(F.count(F.lit(1)).alias("_n"), F.avg("_rank").alias("_m"), F.var_pop("_rank").alias("_v"))
+    inside = masks.select(by, "r", "c").distinct().join(ranked, ["r", "c"]).join(best, ["r", "c"], "left")
+    sums = inside.groupBy(by).agg(F.count(F.lit(1)).alias("_k"), F.sum("_rank").alias("_s"), F.count("_top").alias("top_inside"))
+    both = masks.select(by).distinct().join(sums, by, "left").join(F.broadcast(whole), F.lit(True))
+    share = F.col("_k") / F.col("_n")
+    rho = (F.col("_s") / F.col("_n") - F.col("_m") * share) / F.sqrt(F.col("_v") * share * (1 - share))
+    return both.select(by, F.when((F.col("_v") > 0) & share.between(1e-12, 1 - 1e-12), rho).alias("rho"), F.coalesce("top_inside", F.lit(0)).cast("long").alias("top_inside"))
+
+
+def blind_credit(dots: DataFrame, base: DataFrame, by: str) -> DataFrame:
+    """Per dot set: dots, cells of the base, and the mean credit of a base cell if truth were anywhere on it."""
+    reach = spread(dots.select(by, "r", "c"), KERNEL).groupBy(by, "r", "c").agg(F.max(kernel(F.col("d2"))).alias("_k"))
+    credit = reach.join(base.select("r", "c"), ["r", "c"], "left_semi").groupBy(by).agg(F.sum("_k").alias("_credit"))
+    count = dots.groupBy(by).agg(F.count(F.lit(1)).alias("dots"))
+    both = count.join(credit, by).join(F.broadcast(base.agg(F.count(F.lit(1)).alias("cells"))), F.lit(True))
+    return both.select(by, "dots", "cells", (F.col("_credit") / F.col("cells")).alias("blind_credit"))

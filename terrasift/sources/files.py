@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import scratch_dir
+
 
 def strict_json(df: DataFrame, column: str) -> DataFrame:
     """Adds ``valid``: parses, has no repeated key at any level and no non-finite number. Null is not valid."""
@@ -65,3 +70,76 @@ def write_derived(df: DataFrame, path: str, form: str = "parquet") -> None:
         raise ValueError(form)
     writer = df.write.mode("error")
     (writer.option("header", True) if form == "csv" else writer).format(form).save(path)
+
+
+def layers(first: DataFrame, *rest: DataFrame) -> DataFrame:
+    """Bands of several tables (r, c, ...) side by side on the cells of the first; null where a layer has none."""
+    for other in rest:
+        first = first.join(other, ["r", "c"], "left")
+    return first
+
+
+def residual_records(documents: DataFrame, column: str, layer: str, least: float, window: tuple[int, int, int, int]) -> DataFrame:
+    """(fid, r, c, hf_resid) of JSON documents {records: [{fid, source_layer, parts: [[[x, y]]], hf_resid}]}.
+
+    Records of the layer with a residual of at least ``least`` whose first vertex lies in the window (rows from,
+    columns from, rows to, columns to). Malformed documents raise an error; a missing residual counts as below.
+    """
+    schema = "records array<struct<fid: bigint, source_layer: string, parts: array<array<array<double>>>, hf_resid: double>>"
+    records = documents.select(F.explode(F.from_json(column, schema, {"mode": "FAILFAST"})["records"]).alias("x")).select("x.*")
+    first = F.get(F.get("parts", F.lit(0)), F.lit(0))
+    at = records.where((F.col("source_layer") == layer) & (F.col("hf_resid") >= least)).select("fid", F.floor(F.get(first, F.lit(1))).cast("int").alias("r"), F.floor(F.get(first, F.lit(0))).cast("int").alias("c"), "hf_resid")
+    r0, c0, r1, c1 = window
+    return at.where((F.col("r") >= r0) & (F.col("r") < r1) & (F.col("c") >= c0) & (F.col("c") < c1))
+
+
+def dense_traces(vertices: DataFrame, tendency: DataFrame) -> DataFrame:
+    """(line, seq, step, y, x): points at most a cell apart on the segments of lines that have both tendencies (line, ts, td)."""
+    whole = tendency.where("ts is not null and td is not null").select("line")
+    w = Window.partitionBy("line").orderBy("seq")
+    seg = vertices.join(whole, "line", "left_semi").withColumn("_r", F.lead("r").over(w)).withColumn("_c", F.lead("c").over(w)).where("_r is not null")
+    n = F.greatest(F.abs(F.col("_r") - F.col("r")), F.abs(F.col("_c") - F.col("c")), F.lit(1))
+    steps = seg.withColumn("_n", n).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    part = F.col("step") / F.col("_n")
+    return steps.select("line", "seq", "step", (F.col("r") + (F.col("_r") - F.col("r")) * part).alias("y"), (F.col("c") + (F.col("_c") - F.col("c")) * part).alias("x"))
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _surface_state(df: DataFrame, value: str) -> tuple:
+    v = F.col(value)
+    bad = F.count_if(v.isNull() | F.isnan(v) | ~v.between(0, 1))
+    return tuple(df.agg(F.count(F.lit(1)), bad, F.count_distinct("r", "c"), F.sum(F.xxhash64("r", "c", v).cast("decimal(38,0)"))).first())
+
+
+def verified_write(surface: DataFrame, value: str, path: str) -> DataFrame:
+    """Write a surface only if it holds what it should: (cells, read_back, passed); ValueError before anything is put in place.
+
+    Checked first: no missing value, all within 0..1, no cell twice. It is written beside its place, read back,
+    compared by count and checksum, and renamed, which is one step of the file system.
+    """
+    cells, bad, distinct, checksum = before = _surface_state(surface, value)
+    if bad or distinct != cells:
+        raise ValueError(f"{bad} invalid values, {cells - distinct} cells twice")
+    spark = surface.sparkSession
+    surface.write.mode("error").parquet(f"{path}.part")
+    after = _surface_state(spark.read.schema(surface.schema).parquet(f"{path}.part"), value)
+    if after != before:
+        raise ValueError("what was read back differs from what was written")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.rename(place(f"{path}.part"), place(path)):
+        raise ValueError(f"could not put {path} in place")
+    return spark.createDataFrame([(cells, after[0], True)], "cells long, read_back long, passed boolean")
+
+
+def cached(spark: SparkSession, folder: str, inputs: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """A table kept under the hash of what it is made from: read if it is there whole, else made and written."""
+    path = f"{folder}/{hashlib.sha256(json.dumps(inputs).encode()).hexdigest()}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
