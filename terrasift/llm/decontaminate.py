@@ -276,7 +276,7 @@ def fit(docs: DataFrame, items: Items, least_overlap: float = 0.6, seed: int = 3
                         total[col] += np.add.reduceat(y[own[order]] * v[order, None], first, axis=0)
         return total
 
-    corpus = _added(docs, sketch, draws, slots, 256)
+    corpus = _added(docs, sketch, draws, slots, 32)
     own = np.zeros((slots, draws))
     np.add.at(own, column % slots, _sums(of_item, start[column % slots] * value[:, None], len(owned))[of_item] * value[:, None])
     # items and corpus enter with equal weight, however large the corpus is

@@ -166,17 +166,27 @@ def sign(df: DataFrame, idf, k: int, threshold: float) -> DataFrame:
 
 
 def bands(signed: DataFrame) -> DataFrame:
-    """(bucket, key, signature): a bucket holds texts of a kind that agree in all samples of a band."""
+    """(bucket, key, kind): a bucket holds texts of a kind that agree in all samples of a band."""
     part = [F.xxhash64(F.lit(b), "kind", F.substring("signature", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)]
     return signed.select(F.explode(F.array(*part)).alias("bucket"), "key", "kind")
 
 
+def shared(buckets: DataFrame) -> DataFrame:
+    """(bucket, key, kind, company) of the buckets with several texts; company adds up the sizes of a text's buckets."""
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    several = stored(buckets.join(sizes, "bucket"))
+    company = several.groupBy("key", "kind").agg(F.sum("size").alias("company"))
+    return several.drop("size").join(company, ["key", "kind"]).select("bucket", "key", "kind", "company")
+
+
 def comparisons(rest: DataFrame, i: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Pairs to look at in round ``i``, (bucket, key) of the texts that are then compared with all of their bucket, and the tables these read.
 
     ``rest`` (bucket, key, kind, root) has the texts that were not leaders yet. Buckets of one class are settled, and
-    small ones settle by all pairs. In others the texts meet leaders: two by least hash in the first round, then
-    four times as many each round, from outside the largest class. Only texts of different classes are paired.
+    small ones settle by all pairs. In others the texts meet leaders: two in the first round, then four times as many
+    each round, from outside the largest class. Leaders are the texts with the most company (texts that share a bucket
+    with them): what others were made from is near all of them, and comes first. Only texts of different classes are
+    paired.
     """
     classes = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     state = classes.groupBy("bucket").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root"))["root"].alias("largest"))
@@ -187,7 +197,7 @@ def comparisons(rest: DataFrame, i: int) -> tuple[DataFrame, DataFrame, list[Dat
     other = few.select("bucket", F.col("key").alias("other"), F.col("root").alias("other_root"))
     all_pairs = few.join(other, "bucket").where("key > other and root <> other_root")
     outside = now.where(~small if not i else ~small & (F.col("root") != F.col("largest")))
-    hashed = F.struct(F.xxhash64(F.lit(10 * i), "key").alias("h"), "key", "root")
+    hashed = F.struct((-F.col("company")).alias("d"), F.xxhash64(F.lit(10 * i), "key").alias("h"), "key", "root")
     leaders = least_of(outside.select("bucket", hashed.alias("leader")), 2 * 4**i)
     met = now.where(~small).select("bucket", "kind", "key", "root").join(leaders, "bucket").where(F.col("root") != F.col("leader.root"))
     met = met.select("kind", F.greatest("key", "leader.key").alias("a"), F.least("key", "leader.key").alias("b"))
@@ -280,13 +290,13 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, words: int = 5, text:
     docs = df.select(F.col(row_id).alias("id"), text_key(text).alias("key"), F.col(text).alias("text"), row_key(row_id, text).alias("row_key"))
     idf = spark.sparkContext.broadcast(document_frequencies(docs, words))
     signed = stored(sign(docs, idf, words, threshold))
-    buckets = stored(bands(signed))
+    buckets = stored(shared(bands(signed)))
     links = labels = seen = None
     rest, i = buckets, 0
     while True:
         now = rest.withColumn("root", F.col("key"))
         if labels is not None:
-            now = stored(rest.join(labels, F.col("key") == F.col("node"), "left").select("bucket", "key", "kind", F.coalesce("root", "key").alias("root")))
+            now = stored(rest.join(labels, F.col("key") == F.col("node"), "left").select("bucket", "key", "kind", "company", F.coalesce("root", "key").alias("root")))
         pairs, done, used = comparisons(now, i)
         done = stored(done)
         if i and done.isEmpty():
