@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import half_turn
+from .neighbours import offsets, spread, square
+
 
 def tile_pairs(a: DataFrame, b: DataFrame, radius: int) -> DataFrame:
     """Pairs (columns of a as a_*, of b as b_*, d2) within the radius: both meet in tiles as wide as it."""
@@ -54,3 +59,57 @@ def mutual_pairs(links: DataFrame, tolerance: int) -> DataFrame:
     ahead = F.greatest(F.abs(F.col("b_r") - F.col("a_r")), F.abs(F.col("b_c") - F.col("a_c"))) <= tolerance
     worse = pairs.where(back & ahead & (F.col("b_m") < mine)).select(F.col("a_r").alias("r"), F.col("a_c").alias("c"), F.col("a_q_r").alias("q_r"), F.col("a_q_c").alias("q_c")).distinct()
     return links.join(worse, ["r", "c", "q_r", "q_c"], "left_anti")
+
+
+def outward(labelled: DataFrame, ends: DataFrame, reach: int) -> DataFrame:
+    """Adds dy, dx: the unit vector from the mean of an end's own component within a square to the end; 0, 0 for a lone cell."""
+    near = spread(labelled.select("r", "c", "comp", F.col("r").alias("pr"), F.col("c").alias("pc")), square(reach)).select("r", "c", "comp", "pr", "pc")
+    mean = ends.join(near, ["r", "c", "comp"]).groupBy("r", "c").agg(F.avg("pr").alias("mr"), F.avg("pc").alias("mc"), F.count(F.lit(1)).alias("n"))
+    y, x = F.col("r") - F.col("mr"), F.col("c") - F.col("mc")
+    size = F.sqrt(y * y + x * x)
+    fine = (F.col("n") >= 2) & (size > 1e-9)
+    return ends.join(mean, ["r", "c"]).withColumn("dy", F.when(fine, y / size).otherwise(0.0)).withColumn("dx", F.when(fine, x / size).otherwise(0.0)).drop("mr", "mc", "n")
+
+
+def marker_offsets(ends: DataFrame, valid: DataFrame, gap: tuple[float, float], offset: tuple[float, float], strike_tolerance: float, heading_cos: float) -> DataFrame:
+    """Pairs of ends of different components that look like one line, displaced: (r0, c0, r1, c1, gap, offset, turn).
+
+    ends: r, c, comp, strike, dy, dx (unit heading outward). The step between them, along and across their mean
+    strike, lies within ``gap`` and ``offset``; strikes differ by at most the tolerance; each end heads for the
+    other; and all cells of the straight line between them are valid. r0, c0 is the end first in raster order.
+    """
+    radius = math.ceil(gap[1] + offset[1])
+    pairs = tile_pairs(ends, ends, radius).where((F.struct("a_r", "a_c") < F.struct("b_r", "b_c")) & (F.col("a_comp") != F.col("b_comp")))
+    y, x = (F.col("b_r") - F.col("a_r")).cast("double"), (F.col("b_c") - F.col("a_c")).cast("double")
+    size = F.sqrt("d2")
+    angle = F.radians((F.col("a_strike") + F.col("b_strike")) / 2)
+    along = F.abs(y * F.sin(angle) + x * F.cos(angle))
+    aside = F.abs(x * F.sin(angle) - y * F.cos(angle))
+    turn = half_turn(F.col("a_strike"), F.col("b_strike"))
+    fits = (turn <= strike_tolerance) & along.between(*gap) & aside.between(*offset)
+    heads = (F.col("a_dy") * y + F.col("a_dx") * x >= heading_cos * size) & (F.col("b_dy") * y + F.col("b_dx") * x <= -heading_cos * size)
+    good = pairs.where(fits & heads).select(F.col("a_r").alias("r0"), F.col("a_c").alias("c0"), F.col("b_r").alias("r1"), F.col("b_c").alias("c1"), along.alias("gap"), aside.alias("offset"), turn.alias("turn"), F.greatest(F.rint(size), F.lit(1.0)).cast("int").alias("n"))
+    i = F.explode(F.sequence(F.lit(0), F.col("n")))
+    path = good.select("r0", "c0", "r1", "c1", "n", i.alias("i")).select("r0", "c0", "r1", "c1", F.rint(F.col("r0") + (F.col("r1") - F.col("r0")) * F.col("i") / F.col("n")).cast("int").alias("r"), F.rint(F.col("c0") + (F.col("c1") - F.col("c0")) * F.col("i") / F.col("n")).cast("int").alias("c"))
+    broken = path.join(valid.select("r", "c"), ["r", "c"], "left_anti").select("r0", "c0", "r1", "c1").distinct()
+    return good.drop("n").join(broken, ["r0", "c0", "r1", "c1"], "left_anti")
+
+
+def link_dots(chosen: DataFrame, base: DataFrame, labelled: DataFrame, spacing: int = 3) -> DataFrame:
+    """Links (r, c, q_r, q_c) with dots (every ``spacing`` steps, ends left out), how many lie within 3 of the base, their share, and ``third``.
+
+    ``third`` says that the link, three steps from its ends, touches a component (r, c, comp) that is neither end's.
+    """
+    n = F.greatest(F.abs(F.col("q_r") - F.col("r")), F.abs(F.col("q_c") - F.col("c")))
+    at = lambda a, b: F.rint(F.col(a) + (F.col(b) - F.col(a)) * F.col("i") / F.col("n")).cast("int")
+    key = ["e_r", "e_c", "q_r", "q_c"]
+    path = chosen.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n")))).select(F.col("r").alias("e_r"), F.col("c").alias("e_c"), "q_r", "q_c", "n", "i", at("r", "q_r").alias("pr"), at("c", "q_c").alias("pc")).withColumnsRenamed({"pr": "r", "pc": "c"})
+    dots = path.where((F.col("i") % spacing == 0) & (F.col("i") > 0) & (F.col("i") < F.col("n"))).join(labelled.select("r", "c"), ["r", "c"], "left_anti")
+    near = spread(base.select("r", "c"), offsets(8)).select("r", "c").distinct().withColumn("hit", F.lit(1))
+    count = dots.join(near, ["r", "c"], "left").groupBy(*key).agg(F.count(F.lit(1)).alias("dots"), F.count("hit").alias("near_base"))
+    own = lambda r, c, name: labelled.select(F.col("r").alias(r), F.col("c").alias(c), F.col("comp").alias(name))
+    inner = path.where((F.col("i") >= 3) & (F.col("i") <= F.col("n") - 3)).join(own("e_r", "e_c", "src"), ["e_r", "e_c"], "left").join(own("q_r", "q_c", "tgt"), ["q_r", "q_c"], "left")
+    met = spread(inner.select(*key, "src", "tgt", "r", "c"), square(1)).join(labelled, ["r", "c"]).where("comp <> src and comp <> tgt").select(*key).distinct().withColumn("third", F.lit(True))
+    out = chosen.select(F.col("r").alias("e_r"), F.col("c").alias("e_c"), "q_r", "q_c").join(count, key, "left").join(met, key, "left")
+    dots, shared = F.coalesce("dots", F.lit(0)).cast("long"), F.coalesce("near_base", F.lit(0)).cast("long")
+    return out.select(*key, dots.alias("dots"), shared.alias("near_base"), F.round(shared / F.greatest(dots, F.lit(1)), 3).alias("base_share"), F.coalesce("third", F.lit(False)).alias("third"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import kernel, tversky
+from ..functions.scalar import forward_score, kernel, tversky
 from .neighbours import KERNEL, offsets, spread
+from .statistics import blind_credit
 
 
 def credit(truth: DataFrame, pred: DataFrame, *by: str) -> DataFrame:
@@ -65,3 +66,24 @@ def gain_map(candidates: DataFrame, weight: DataFrame, cover: DataFrame) -> Data
     own = spread(candidates.select("r", "c", F.col("r").alias("r0"), F.col("c").alias("c0")), KERNEL)
     gain = F.col("w") * F.greatest(kernel(F.col("d2")) - F.col("cover"), F.lit(0.0))
     return own.join(field, ["r", "c"]).groupBy("r0", "c0").agg(F.sum(gain).alias("gain")).select(F.col("r0").alias("r"), F.col("c0").alias("c"), "gain")
+
+
+def budget_sweep(mask: DataFrame, base: DataFrame, spacings: list[int], truth: float, credit_solid: float) -> DataFrame:
+    """(min_d2, dots, blind_credit, crowding, score) of a mask thinned to each squared spacing (1: not thinned).
+
+    Blind credit is that of a base cell if truth were anywhere on the base; a spacing's credit is ``credit_solid``
+    in proportion to it, and the score follows from it in closed form.
+    """
+    from .selection import random_spaced
+
+    area = sum(max(1 - d**0.5 / 3, 0.0) for _, _, d in KERNEL)
+    out = None
+    for d2 in spacings:
+        one = (mask.select("r", "c") if d2 <= 1 else random_spaced(mask, d2, 1)).select(F.lit(d2).alias("min_d2"), "r", "c")
+        out = one if out is None else out.unionByName(one)
+    got = blind_credit(out, base, "min_d2")
+    solid = blind_credit(mask.select(F.lit(0).alias("_"), "r", "c"), base, "_").select(F.col("blind_credit").alias("_solid"))
+    both = got.join(F.broadcast(solid), F.lit(True))
+    crowding = F.col("dots") * F.lit(area) / (F.col("cells") * F.col("blind_credit"))
+    credit = F.lit(credit_solid) * F.col("blind_credit") / F.col("_solid")
+    return both.select("min_d2", "dots", F.round("blind_credit", 9).alias("blind_credit"), F.round(crowding, 6).alias("crowding"), F.round(forward_score(credit, F.col("dots"), crowding, F.lit(truth)), 9).alias("score"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..functions.scalar import kernel
+from ..storage import forget, stored
 from .components import label8
-from .neighbours import KERNEL, offsets, spread
+from .metric import gain_map
+from .neighbours import KERNEL, WITHIN3, near_distance, offsets, spread
+from .statistics import quantile_cut
 
 
 def top_k(df: DataFrame, score: str, k: int, *by: str) -> DataFrame:
@@ -22,22 +24,29 @@ def top_k(df: DataFrame, score: str, k: int, *by: str) -> DataFrame:
     return df.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
-def spaced(cells: DataFrame, score: str, min_d2: int) -> DataFrame:
+def spaced(cells: DataFrame, score: str, min_d2: int, blocked: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """The set that taking cells by falling score (ties in raster order), never nearer than the spacing, gives.
 
     The order defines it uniquely, so rounds may take all cells that beat every undecided neighbour at once.
-    ``min_d2``: squared distances below it are too near.
+    ``min_d2``: squared distances below it are too near. Cells too near a ``blocked`` one are never taken. With
+    ``n``, the first n of the set in that order: what is taken depends on higher scores only. Null scores are left out.
     """
     near = offsets(min_d2 - 1, 1)
-    todo = stored(cells.select("r", "c", F.struct(F.col(score).alias("s"), (-F.col("r")).alias("a"), (-F.col("c")).alias("b")).alias("k")))
-    kept = None
+    todo = cells.where(F.col(score).isNotNull()).select("r", "c", F.struct(F.col(score).alias("s"), (-F.col("r")).alias("a"), (-F.col("c")).alias("b")).alias("k"))
+    if blocked is not None:
+        todo = todo.join(spread(blocked.select("r", "c"), offsets(min_d2 - 1)).select("r", "c").distinct(), ["r", "c"], "left_anti")
+    todo, kept = stored(todo), None
     while todo.head(1):
         rival = spread(todo, near).groupBy("r", "c").agg(F.max("k").alias("rival"))
         won = stored(todo.join(rival, ["r", "c"], "left").where(F.col("rival").isNull() | (F.col("k") > F.col("rival"))).select("r", "c"))
         kept = won if kept is None else kept.unionByName(won)
         lost = won.unionByName(spread(won, near).select("r", "c")).distinct()
-        todo = stored(todo.join(lost, ["r", "c"], "left_anti"))
-    return cells.select("r", "c").limit(0) if kept is None else cells.join(kept, ["r", "c"], "left_semi")
+        last, todo = todo, stored(todo.join(lost, ["r", "c"], "left_anti"))
+        forget(last)
+    if kept is None:
+        return cells.select("r", "c").limit(0)
+    out = cells.join(kept, ["r", "c"], "left_semi")
+    return out if n is None else out.orderBy(F.desc(score), "r", "c").limit(n)
 
 
 def by_cluster(cells: DataFrame, width: int, link_d2: int, solve, schema: str) -> DataFrame:
@@ -74,76 +83,163 @@ def thin(mask: DataFrame, width: int, min_d2: int) -> DataFrame:
     return by_cluster(mask.select("r", "c").distinct(), width, max(2, min_d2 - 1), solve, "r int, c int")
 
 
-def cover_greedily(candidates: DataFrame, width: int, n: int) -> DataFrame:
-    """(r, c, gain): greedy maximum coverage of the candidates' own field by ``n`` dots.
+def cover_greedily(candidates: DataFrame, n: int | None = None, min_d2: int = 1, field: DataFrame | None = None) -> DataFrame:
+    """(r, c, gain): greedy maximum coverage of a field (r, c, w) by at most ``n`` dots; by default the candidates' own.
 
-    Gains fall within a cluster (cells within two kernel radii), so the global order is a merge of the
-    clusters' sequences by gain.
+    A candidate whose gain beats those of all others that could share a field cell with it is next in its
+    surroundings whatever happens elsewhere, so each round takes all of these at once; gains only fall, and the
+    picks by falling gain are those of one global pass (ties in raster order). Rounds end when nothing is left to
+    gain, or the n-th gain is above all that is left. Dots nearer than ``min_d2`` to a dot are not taken.
     """
-    taps = [(y, x, max(1 - d**0.5 / 3, 0.0)) for y, x, d in KERNEL]
+    field = stored((candidates if field is None else field).select("r", "c", "w"))
+    rivals, near = offsets(35, 1), offsets(min_d2 - 1)
+    todo = stored(candidates.select("r", "c"))
+    cover = field.select("r", "c", F.lit(0.0).alias("cover")).limit(0)
+    kept = None
+    while True:
+        gains = gain_map(todo, field, cover).where("gain > 1e-12")
+        now = stored(gains.select("r", "c", "gain", F.struct(F.round("gain", 10).alias("g"), (-F.col("r")).alias("a"), (-F.col("c")).alias("b")).alias("k")))
+        if not now.head(1):
+            break
+        if n is not None and kept is not None:
+            least = kept.orderBy(F.desc("gain")).limit(n).agg(F.min("gain"), F.count(F.lit(1))).first()
+            if least[1] >= n and least[0] > now.agg(F.max("gain")).first()[0] + 1e-9:
+                break
+        best = spread(now.select("r", "c", "k"), rivals).groupBy("r", "c").agg(F.max("k").alias("best"))
+        won = stored(now.join(best, ["r", "c"], "left").where(F.col("best").isNull() | (F.col("k") > F.col("best"))).select("r", "c", "gain"))
+        kept = won if kept is None else kept.unionByName(won)
+        fresh = spread(won.select("r", "c"), KERNEL).select("r", "c", kernel(F.col("d2")).alias("cover"))
+        last, cover = cover, stored(cover.unionByName(fresh).groupBy("r", "c").agg(F.max("cover").alias("cover")))
+        old, todo = todo, stored(now.select("r", "c").join(spread(won.select("r", "c"), near).select("r", "c").distinct(), ["r", "c"], "left_anti"))
+        forget(last, old, now)
+    if kept is None:
+        return todo.select("r", "c", F.lit(0.0).alias("gain")).limit(0)
+    return kept if n is None else kept.orderBy(F.desc("gain"), "r", "c").limit(n)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = sorted(zip(pdf.r.tolist(), pdf.c.tolist(), strict=True))
-        field = dict(zip(zip(pdf.r.tolist(), pdf.c.tolist(), strict=True), pdf.w.tolist(), strict=True))
-        cover = dict.fromkeys(cells, 0.0)
-
-        def gain(p: tuple[int, int]) -> float:
-            return sum(field[q] * max(k - cover[q], 0.0) for y, x, k in taps if (q := (p[0] + y, p[1] + x)) in field)
-
-        heap = [(-gain(p), p) for p in cells]
-        heapq.heapify(heap)
-        out = []
-        while heap and len(out) < n:
-            old, p = heapq.heappop(heap)
-            now = gain(p)
-            if heap and -now > heap[0][0] + 1e-12:
-                if now > 1e-12:
-                    heapq.heappush(heap, (-now, p))
-                continue
-            if now <= 1e-12:
-                continue
-            out.append((*p, now, len(out)))
-            for y, x, k in taps:
-                q = (p[0] + y, p[1] + x)
-                if q in cover:
-                    cover[q] = max(cover[q], k)
-        return pd.DataFrame(out, columns=["r", "c", "gain", "step"])
-
-    found = by_cluster(candidates.select("r", "c", "w"), width, 35, solve, "r int, c int, gain double, step long")
-    return found.orderBy(F.desc("gain"), "step", "r", "c").limit(n).select("r", "c", "gain")
-
-
-def thin_along(cells: DataFrame, width: int, along: int, across: int) -> DataFrame:
-    """As ``thin``, but a kept dot blocks an ellipse: ``along`` its strike (degrees from the row axis), ``across`` it.
-
-    cells: r, c, strike. Walks each interaction cluster in raster order of its starts, breadth first.
+
+def cover_thin(mask: DataFrame, budget: int, share: float = 0.06, most: int = 200) -> DataFrame:
+    """``budget`` cells of a mask that cover it well, in batches: the best local gains first, gains updated between batches.
+
+    A batch takes ``share`` of what is missing (rounded up) among cells whose gain is the largest of their 3 x 3
+    surroundings, by falling gain, none touching another of the batch; without such, among all that gain. Fewer
+    cells come back if nothing gains, or after ``most`` batches.
+    """
+    todo = stored(mask.select("r", "c").distinct())
+    size = todo.count()
+    if budget >= size:
+        return todo
+    field = stored(spread(todo, KERNEL).select("r", "c").distinct().withColumn("w", F.lit(1.0)))
+    cover, kept, taken = field.select("r", "c", F.lit(0.0).alias("cover")).limit(0), None, 0
+    for _ in range(most):
+        if taken >= budget:
+            break
+        gains = stored(gain_map(todo, field, cover).select("r", "c", F.round("gain", 9).alias("gain")).where("gain > 0"))
+        around = spread(gains, offsets(2, 1)).groupBy("r", "c").agg(F.max("gain").alias("top"))
+        peaks = gains.join(around, ["r", "c"], "left").where(F.col("top").isNull() | (F.col("gain") >= F.col("top"))).select("r", "c", "gain")
+        batch = stored(spaced(peaks, "gain", 3).orderBy(F.desc("gain"), "r", "c").limit(max(1, math.ceil((budget - taken) * share))).select("r", "c"))
+        got = batch.count()
+        if not got:
+            break
+        taken += got
+        kept = batch if kept is None else kept.unionByName(batch)
+        fresh = spread(batch, KERNEL).select("r", "c", kernel(F.col("d2")).alias("cover"))
+        last, cover = cover, stored(cover.unionByName(fresh).groupBy("r", "c").agg(F.max("cover").alias("cover")))
+        old, todo = todo, stored(todo.join(batch, ["r", "c"], "left_anti"))
+        forget(last, old, gains)
+    return todo.limit(0) if kept is None else kept
+
+
+def thin_along(cells: DataFrame, along: int, across: int, seed: int | None = None) -> DataFrame:
+    """Thinning where a kept dot blocks an ellipse: ``along`` its strike (degrees from the row axis), ``across`` it.
+
+    cells: r, c, strike. A cell stays unless a kept cell before it blocks it, in raster order or, with a seed, in a
+    hash-random order (md5 of seed and place, which any engine repeats). Rounds decide all cells that no undecided
+    cell before them could block: no group holds a cluster. A random order needs few rounds at any size; raster
+    order needs as many as the longest chain of cells that depend on each other.
     """
     reach = max(along, across)
-    step = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1) if (y, x) != (0, 0)]
-    around = [(y, x) for y, x, _ in offsets(reach * reach, 1)]
+    order = F.struct("r", "c") if seed is None else F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r").cast("string"), F.col("c").cast("string"))).alias("h"), "r", "c")
+    a = F.radians("strike")
+    step = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x, _ in offsets(reach * reach, 1)]))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        strike = dict(zip(zip(pdf.r.tolist(), pdf.c.tolist(), strict=True), pdf.strike.tolist(), strict=True))
-        seen, blocked, kept = set(), set(), []
-        for start in sorted(strike):
-            queue = [] if start in seen else [start]
-            seen.add(start)
-            for r, c in queue:
-                if (r, c) not in blocked:
-                    kept.append((r, c))
-                    a = math.radians(strike[r, c])
-                    for y, x in around:
-                        u, v = y * math.cos(a) + x * math.sin(a), x * math.cos(a) - y * math.sin(a)
-                        if (u / along) ** 2 + (v / across) ** 2 < 1:
-                            blocked.add((r + y, c + x))
-                for y, x in step:
-                    n = (r + y, c + x)
-                    if n in strike and n not in seen:
-                        seen.add(n)
-                        queue.append(n)
-        return pd.DataFrame(kept, columns=["r", "c"])
+    def blocks(df: DataFrame) -> DataFrame:
+        moved = df.select("r", "c", "k", F.cos(a).alias("u"), F.sin(a).alias("v"), step.alias("o"))
+        ahead, aside = F.col("o.y") * F.col("u") + F.col("o.x") * F.col("v"), F.col("o.x") * F.col("u") - F.col("o.y") * F.col("v")
+        inside = ahead * ahead / along**2 + aside * aside / across**2 < 1 - 1e-9
+        return moved.where(inside).select((F.col("r") + F.col("o.y")).alias("r"), (F.col("c") + F.col("o.x")).alias("c"), "k")
 
-    return by_cluster(cells.select("r", "c", "strike"), width, reach * reach, solve, "r int, c int")
+    todo, kept = stored(cells.select("r", "c", "strike", order.alias("k"))), None
+    while todo.head(1):
+        first = blocks(todo).groupBy("r", "c").agg(F.min("k").alias("first"))
+        won = stored(todo.join(first, ["r", "c"], "left").where(F.col("first").isNull() | (F.col("k") < F.col("first"))).drop("first"))
+        kept = won if kept is None else kept.unionByName(won)
+        lost = won.select("r", "c").unionByName(blocks(won).select("r", "c")).distinct()
+        last, todo = todo, stored(todo.join(lost, ["r", "c"], "left_anti"))
+        forget(last)
+    return cells.select("r", "c").limit(0) if kept is None else kept.select("r", "c")
+
+
+def ridge_base(cells: DataFrame, score: str, share: float, min_d2: int, *by: str) -> DataFrame:
+    """The dotted base: of each fold the highest share of cells (rounded, at least one), thinned by falling score."""
+    size = cells.groupBy(*by).agg(F.greatest(F.rint(F.count(F.lit(1)) * share), F.lit(1.0)).alias("_n"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), "r", "c"))
+    top = cells.withColumn("_place", place).join(F.broadcast(size), list(by)).where(F.col("_place") <= F.col("_n"))
+    return spaced(top.select("r", "c", score, *by), score, min_d2)
+
+
+def allocate_corridor(cells: DataFrame, score: str, catalogue: DataFrame, share: float, quantile: float, clearance_d2: int) -> DataFrame:
+    """(r, c, gain): dots by greedy coverage of the highest scores, clear of a catalogue.
+
+    Cells farther than the clearance are allowed; those at or above the quantile of the allowed scores, and above 0,
+    are candidates, weighted by score; ``share`` of all cells (rounded) are dots.
+    """
+    n = round(cells.count() * share)
+    allowed = near_distance(cells, catalogue, clearance_d2).where("d2 is null").select("r", "c", F.col(score).cast("double").alias("w"))
+    candidates = quantile_cut(allowed, "w", quantile).where("w >= _cut and w > 0").select("r", "c", "w")
+    return cover_greedily(candidates, n)
+
+
+def random_spaced(cells: DataFrame, min_d2: int, seed: int, n: int | None = None) -> DataFrame:
+    """A spaced set in hash-random order: the control of a scored one."""
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r").cast("string"), F.col("c").cast("string")))
+    return spaced(cells.select("r", "c").withColumn("draw", draw), "draw", min_d2, n=n).select("r", "c")
+
+
+def packing_arms(pool: DataFrame, score: str, n: int, min_d2: int, seed: int) -> DataFrame:
+    """(arm, r, c): n dots of a pool (r, c, score) packed by score, at random, and by coverage."""
+    arms = {
+        "score": spaced(pool, score, min_d2, n=n).select("r", "c"),
+        "random": random_spaced(pool, min_d2, seed, n),
+        "cover": cover_greedily(pool.select("r", "c", F.lit(1.0).alias("w")), n, min_d2).select("r", "c"),
+    }
+    out = None
+    for arm, dots in arms.items():
+        one = dots.select(F.lit(arm).alias("arm"), "r", "c")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def quota_fill(parent: DataFrame, distance: str, candidates: DataFrame, registered: DataFrame, share: float, most: float, min_d2: int, seed: int) -> DataFrame:
+    """(r, c, part): the parent's farthest share of dots, and a spaced random fill that respects each registered set's quota.
+
+    registered: (f, r, c). A set's quota is ``most`` times the parent's dots, counting dots within 3 cells of the set.
+    Fill rounds draw spaced candidates in hash order; of those near a set, the first that its quota still admits
+    stay, the strictest set deciding; who is left out of a round is never drawn again. Fewer dots come back if the
+    candidates run out.
+    """
+    total = parent.count()
+    keep, cap = round(total * share), math.floor(most * total)
+    kept = stored(parent.orderBy(F.desc(distance), "r", "c").limit(keep).select("r", "c"))
+    near = stored(spread(registered.select("f", "r", "c"), WITHIN3).select("f", "r", "c").distinct())
+    fill = stored(random_spaced(candidates.join(parent.select("r", "c"), ["r", "c"], "left_anti"), min_d2, seed))
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r").cast("string"), F.col("c").cast("string")))
+    used = kept.join(near, ["r", "c"]).groupBy("f").agg(F.count(F.lit(1)).alias("used"))
+    # in hash order, a dot is refused once a set near it is full; counting all dots before it, refused ones too, never exceeds a quota
+    place = F.row_number().over(Window.partitionBy("f").orderBy("draw", "r", "c"))
+    ranked = fill.withColumn("draw", draw).join(near, ["r", "c"]).withColumn("place", place).join(used, "f", "left")
+    over = ranked.where(F.col("place") + F.coalesce("used", F.lit(0)) > cap).select("r", "c").distinct()
+    fits = fill.join(over, ["r", "c"], "left_anti").withColumn("draw", draw).orderBy("draw", "r", "c").limit(total - keep)
+    return kept.withColumn("part", F.lit("kept")).unionByName(fits.select("r", "c", F.lit("fill").alias("part")))
 
 
 def ladder(mask: DataFrame, width: int, spacings: list[int]) -> DataFrame:

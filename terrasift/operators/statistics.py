@@ -21,6 +21,8 @@ def running_sums(df: DataFrame, key: str, amounts: dict[str, str], descending: b
     for part, *sums in sorted(ranged.groupBy("_part").agg(*[F.sum(a) for a in amounts]).collect()):
         starts.append((part, *before))
         before = [x + y for x, y in zip(before, sums, strict=True)]
+    if not starts:  # an empty table
+        return df.select(*df.columns, *[F.lit(0).cast("long").alias(n) for n in amounts.values()])
     table = df.sparkSession.createDataFrame(starts, ", ".join(["_part int", *(f"_before{i} long" for i in range(len(amounts)))]))
     w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     out = ranged.join(F.broadcast(table), "_part")
@@ -49,15 +51,15 @@ def with_constants(df: DataFrame, *aggregates: Column) -> DataFrame:
 
 def robust_unit(df: DataFrame, value: str, low: float = 0.05, high: float = 0.95, name: str = "unit") -> DataFrame:
     """Scaled so that the quantiles become 0 and 1, clipped; a degenerate spread gives 0."""
-    both = with_constants(df, F.percentile(value, low).alias("_lo"), F.percentile(value, high).alias("_hi"))
+    both = quantile_cut(quantile_cut(df, value, low, "_lo"), value, high, "_hi")
     scaled = F.least(F.greatest((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")), F.lit(0.0)), F.lit(1.0))
     return both.withColumn(name, F.when(F.col("_hi") > F.col("_lo"), scaled).otherwise(0.0)).drop("_lo", "_hi")
 
 
 def mad_scale(df: DataFrame, value: str, name: str = "z") -> DataFrame:
     """(v - median) / (1.4826 * MAD); 0 where the MAD is 0."""
-    one = with_constants(df, F.median(value).alias("_med"))
-    two = with_constants(one.withColumn("_dev", F.abs(F.col(value) - F.col("_med"))), F.median("_dev").alias("_mad"))
+    one = quantile_cut(df, value, 0.5, "_med")
+    two = quantile_cut(one.withColumn("_dev", F.abs(F.col(value) - F.col("_med"))), "_dev", 0.5, "_mad")
     return two.withColumn(name, F.when(F.col("_mad") > 0, (F.col(value) - F.col("_med")) / (1.4826 * F.col("_mad"))).otherwise(0.0)).drop("_med", "_dev", "_mad")
 
 
@@ -128,3 +130,20 @@ def blind_credit(dots: DataFrame, base: DataFrame, by: str) -> DataFrame:
     count = dots.groupBy(by).agg(F.count(F.lit(1)).alias("dots"))
     both = count.join(credit, by).join(F.broadcast(base.agg(F.count(F.lit(1)).alias("cells"))), F.lit(True))
     return both.select(by, "dots", "cells", (F.col("_credit") / F.col("cells")).alias("blind_credit"))
+
+
+def quantile_cut(df: DataFrame, value: str, at: float, name: str = "_cut") -> DataFrame:
+    """Joins the ``at`` quantile of a column (linear between ranks) to each row.
+
+    Counts of distinct values are added up over ranges of the value, so no task holds them all, and two values
+    come out: the ranks at either side.
+    """
+    levels = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_sums(levels, "_v", {"_n": "_upto"})
+    total = upto.agg(F.max("_upto").alias("_total"))
+    place = (F.col("_total") - 1) * F.lit(float(at))
+    both = upto.join(F.broadcast(total), F.lit(True)).withColumn("_place", place)
+    low = F.min(F.when(F.col("_upto") > F.floor("_place"), F.col("_v")))
+    high = F.min(F.when(F.col("_upto") > F.ceil("_place"), F.col("_v")))
+    part = F.max(F.col("_place") - F.floor("_place"))
+    return df.join(F.broadcast(both.agg((low + (high - low) * part).alias(name))), F.lit(True))

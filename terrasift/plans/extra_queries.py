@@ -162,7 +162,7 @@ def content_manifest(spark: SparkSession, d: str) -> DataFrame:
 @query("q_thin_along")
 def thin_along(spark: SparkSession, d: str) -> DataFrame:
     x = cells(spark, d).where("q >= 50").select("r", "c", (F.col("disc") * 900).alias("strike"))
-    return selection.thin_along(x, 256, 4, 2)
+    return selection.thin_along(x, 4, 2, 1)
 
 
 @query("q_ladder")

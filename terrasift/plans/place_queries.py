@@ -292,7 +292,7 @@ def dot_thin(spark: SparkSession, d: str) -> DataFrame:
 @query("q_coverage_greedy")
 def coverage_greedy(spark: SparkSession, d: str) -> DataFrame:
     x = mask(cells(spark, d), "q >= 50").withColumn("w", F.lit(1.0))
-    return selection.cover_greedily(x, 256, 50).select("r", "c", *six("gain"))
+    return selection.cover_greedily(x, 50).select("r", "c", *six("gain"))
 
 
 FOLD = "fo AS (SELECT *, (CASE WHEN r < r0 THEN 0 ELSE 2 END) + (CASE WHEN c < c0 THEN 0 ELSE 1 END) fold FROM cell, (SELECT floor(quantile_cont(r, 0.5)) r0, floor(quantile_cont(c, 0.5)) c0 FROM cell))"

@@ -131,7 +131,7 @@ def test_thinning_along_a_strike(spark):
     from terrasift.operators.selection import thin_along
 
     line = spark.createDataFrame([(r, 5, 0.0) for r in range(9)] + [(0, 20 + c, 0.0) for c in range(9)], "r int, c int, strike double")
-    got = {(x.r, x.c) for x in thin_along(line, 64, 4, 2).collect()}
+    got = {(x.r, x.c) for x in thin_along(line, 4, 2).collect()}
     assert {p for p in got if p[1] == 5} == {(0, 5), (4, 5), (8, 5)} and {p for p in got if p[1] >= 20} == {(0, 20 + c) for c in (0, 2, 4, 6, 8)}
 
 
