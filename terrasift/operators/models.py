@@ -6,31 +6,86 @@ import numpy as np
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+from .neighbours import offsets, spread
 
-def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, folds: int, negatives: int = 10, seed: int = 2026, trees: int = 10) -> DataFrame:
-    """Adds ``prob``, from boosted trees fitted without the row's own fold.
 
-    Missing values are filled by the median and marked by a flag. At most ``negatives`` negatives per positive
-    enter a fit, drawn by hash.
+def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, folds: int, negatives: int = 10, seed: int = 2026, trees: int = 10, buffer: int = 6) -> DataFrame:
+    """Adds ``prob``, from boosted trees fitted without the row's own fold and without cells within ``buffer`` of it.
+
+    Neighbours of a fold's cells say too much of them: training cells keep farther away than the buffer. Missing
+    values are filled by the median and marked by a flag. At most ``negatives`` negatives per positive enter a fit,
+    drawn by hash.
     """
+    own = df.select("r", "c", fold).distinct()
+    # a training cell near a held fold: found by one spread of all cells, kept as the list of folds it is too near to
+    near = spread(own.withColumnRenamed(fold, "_held"), offsets(buffer * buffer)).join(own, ["r", "c"]).where(F.col("_held") != F.col(fold)).groupBy("r", "c").agg(F.collect_set("_held").alias("_near"))
+    ready = stored(df.join(near, ["r", "c"], "left"))
+    far = lambda k: ~F.coalesce(F.array_contains("_near", k), F.lit(False))
+    return _by_fold(ready, df.columns, features, label, fold, folds, negatives, seed, trees, far)
+
+
+def _ready(df: DataFrame, features: list[str]) -> DataFrame:
     ready = df.select("*", *[F.col(f).isNull().cast("double").alias(f"{f}_missing") for f in features])
     filled = [f"{f}_filled" for f in features]
     ready = Imputer(strategy="median", inputCols=features, outputCols=filled).fit(ready).transform(ready)
     ready = VectorAssembler(inputCols=filled + [f"{f}_missing" for f in features], outputCol="_x").transform(ready)
-    positives = {r[0]: r[1] for r in ready.groupBy(fold).agg(F.sum(label)).collect()}
-    counts = {r[0]: r[1] for r in ready.groupBy(fold).agg(F.sum(1 - F.col(label))).collect()}
+    return ready
+
+
+def _hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "r", "c")
+
+
+def _share(share: float) -> Column:
+    """Bound on a 64-bit hash that so much of the rows stays below."""
+    return F.lit((1 << 63) - 1 if share >= 1 else int(share * 2.0**64) - (1 << 63))
+
+
+def _by_fold(df: DataFrame, columns: list[str], features: list[str], label: str, fold: str, folds: int, negatives: int, seed: int, trees: int, far) -> DataFrame:
+    ready = _ready(df, features)
     out = None
     for k in range(folds):
-        p = sum(v for f, v in positives.items() if f != k)
-        n = sum(v for f, v in counts.items() if f != k)
-        keep = min(1.0, negatives * p / max(n, 1))
-        drawn = (F.col(label) == 1) | (F.pmod(F.xxhash64(F.lit(seed), "r", "c"), F.lit(1_000_000)) < int(keep * 1_000_000))
-        model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=3, seed=seed).fit(ready.where((F.col(fold) != k) & drawn))
-        part = model.transform(ready.where(F.col(fold) == k)).withColumn("prob", vector_to_array("probability")[1])
-        part = part.select(*df.columns, "prob")
+        train = ready.where((F.col(fold) != k) & far(k))
+        p, n = train.agg(F.coalesce(F.sum(label), F.lit(0)), F.coalesce(F.sum(1 - F.col(label)), F.lit(0))).first()
+        drawn = train.where((F.col(label) == 1) | (_hash(seed) <= _share(min(1.0, negatives * p / max(n, 1)))))
+        model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=3, seed=seed).fit(drawn)
+        part = model.transform(ready.where(F.col(fold) == k)).withColumn("prob", vector_to_array("probability")[1]).select(*columns, "prob")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def prior_calibrated(df: DataFrame, features: list[str], label: str, train: str, max_negatives: int, seed: int = 2026, trees: int = 10) -> DataFrame:
+    """Adds ``prob`` to all rows, from boosted trees fitted to the rows marked ``train``.
+
+    About ``max_negatives`` negatives enter the fit, drawn by hash and weighted back to their number, so that
+    probabilities keep the share of positives. Without positives or negatives to learn from: ValueError.
+    """
+    ready = _ready(df, features)
+    known = ready.where(train)
+    p, n = known.agg(F.coalesce(F.sum(label), F.lit(0)), F.coalesce(F.sum(1 - F.col(label)), F.lit(0))).first()
+    if not p or not n:
+        raise ValueError("the training rows lack positives or negatives")
+    some = known.where((F.col(label) == 1) | (_hash(seed) <= _share(max_negatives / n)))
+    kept = some.where(F.col(label) == 0).count()
+    weighted = some.withColumn("_weight", F.when(F.col(label) == 1, 1.0).otherwise(n / max(kept, 1)))
+    model = GBTClassifier(featuresCol="_x", labelCol=label, weightCol="_weight", maxIter=trees, maxDepth=3, seed=seed).fit(weighted)
+    return model.transform(ready).withColumn("prob", vector_to_array("probability")[1]).select(*df.columns, "prob")
+
+
+def quadrant_surface(df: DataFrame, features: list[str], label: str, fold: str, folds: int, max_positives: int, max_rows: int, seed: int = 2026, trees: int = 10) -> DataFrame:
+    """Adds ``prob``: each fold from a fit on the others, on about ``max_positives`` positives and ``max_rows`` rows in all, drawn by hash."""
+    ready, out = _ready(df, features), None
+    for k in range(folds):
+        known = ready.where(F.col(fold) != k)
+        p, n = known.agg(F.coalesce(F.sum(label), F.lit(0)), F.coalesce(F.sum(1 - F.col(label)), F.lit(0))).first()
+        good = min(p, max_positives)
+        share = F.when(F.col(label) == 1, _share(max_positives / max(p, 1))).otherwise(_share((max_rows - good) / max(n, 1)))
+        model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=3, seed=seed).fit(known.where(_hash(seed) <= share))
+        part = model.transform(ready.where(F.col(fold) == k)).withColumn("prob", vector_to_array("probability")[1]).select(*df.columns, "prob")
         out = part if out is None else out.unionByName(part)
     return out
 

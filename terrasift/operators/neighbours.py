@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import forget, stored
 
 
 def offsets(most_d2: int, least_d2: int = 0) -> list[tuple[int, int, int]]:
@@ -71,8 +71,8 @@ def convolve(cells: DataFrame, taps: list[tuple[int, int, float]], value: str, n
     return cells.join(moved.groupBy("r", "c").agg(F.sum("p").alias(name)), ["r", "c"], "left")
 
 
-def nearest(left: DataFrame, right: DataFrame, extent: int, start: int = 8) -> DataFrame:
-    """Adds ``d2`` and ``near`` (r, c and the other columns of ``right``) of the nearest row; ties by r, then c.
+def nearest(left: DataFrame, right: DataFrame, extent: int, start: int = 8, least_d2: int = 0) -> DataFrame:
+    """Adds ``d2`` and ``near`` (r, c and the other columns of ``right``) of the nearest row not nearer than ``least_d2``; ties by r, then c.
 
     ``extent`` bounds coordinates' differences. An empty right side gives nulls. Left rows keep their number.
     """
@@ -90,10 +90,12 @@ def nearest(left: DataFrame, right: DataFrame, extent: int, start: int = 8) -> D
         around = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)]))
         homes = target.select("p", rr.alias("tr"), rc.alias("tc"), around.alias("o")).select("p", (F.col("tr") + F.col("o.y")).alias("tr"), (F.col("tc") + F.col("o.x")).alias("tc"))
         d2 = F.pow(F.col("r") - F.col("p.r"), 2) + F.pow(F.col("c") - F.col("p.c"), 2)
-        pairs = todo.select("_row", "r", "c", lr.alias("tr"), lc.alias("tc")).join(homes, ["tr", "tc"]).select("_row", d2.cast("long").alias("d2"), "p").where(F.col("d2") <= radius * radius)
+        pairs = todo.select("_row", "r", "c", lr.alias("tr"), lc.alias("tc")).join(homes, ["tr", "tc"]).select("_row", d2.cast("long").alias("d2"), "p").where(F.col("d2").between(least_d2, radius * radius))
         hit = stored(pairs.groupBy("_row").agg(F.min(F.struct("d2", "p")).alias("m")).select("_row", "m.d2", F.col("m.p").alias("near")))
         done = hit if done is None else done.unionByName(hit)
-        todo = stored(todo.join(hit, "_row", "left_anti"))
+        last, todo = todo, stored(todo.join(hit, "_row", "left_anti"))
+        if last is not left:
+            forget(last)
         if radius >= 2 * extent or not todo.head(1):
             return left.join(done, "_row", "left").drop("_row")
         radius *= 2

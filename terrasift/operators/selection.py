@@ -173,8 +173,10 @@ def thin_along(cells: DataFrame, along: int, across: int, seed: int | None = Non
         first = blocks(todo).groupBy("r", "c").agg(F.min("k").alias("first"))
         won = stored(todo.join(first, ["r", "c"], "left").where(F.col("first").isNull() | (F.col("k") < F.col("first"))).drop("first"))
         kept = won if kept is None else kept.unionByName(won)
-        lost = won.select("r", "c").unionByName(blocks(won).select("r", "c")).distinct()
-        last, todo = todo, stored(todo.join(lost, ["r", "c"], "left_anti"))
+        # a kept cell blocks only cells after it
+        hit = blocks(won).groupBy("r", "c").agg(F.min("k").alias("first"))
+        rest = todo.join(won.select("r", "c"), ["r", "c"], "left_anti").join(hit, ["r", "c"], "left")
+        last, todo = todo, stored(rest.where(F.col("first").isNull() | (F.col("k") < F.col("first"))).drop("first"))
         forget(last)
     return cells.select("r", "c").limit(0) if kept is None else kept.select("r", "c")
 

@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
-from .neighbours import convolve, nearest, shift
+from ..storage import forget, stored
+from .neighbours import nearest, shift
+from .statistics import mad_scale, quantile_cut, ranks, robust_unit
+from .tiles import Tile, correlate, slope, spectral, tiled
 
 
 def gaussian_taps(sigma: float, order: int = 0, truncate: float = 4.0) -> list[float]:
@@ -27,13 +29,20 @@ def gaussian_taps(sigma: float, order: int = 0, truncate: float = 4.0) -> list[f
     return g
 
 
-def separable(cells: DataFrame, rows: list[float], cols: list[float], value: str, name: str) -> DataFrame:
-    """Correlation with an outer product of two 1-D kernels, constant 0 outside: two passes of n taps, not n * n."""
-    kr, kc = len(rows) // 2, len(cols) // 2
-    first = convolve(cells.select("r", "c", value), [(i - kr, 0, w) for i, w in enumerate(rows)], value, "_p")
-    # cells outside the table count as 0 in both passes
-    both = convolve(first.select("r", "c", "_p"), [(0, i - kc, w) for i, w in enumerate(cols)], "_p", name)
-    return cells.join(both.select("r", "c", name), ["r", "c"])
+def separable(cells: DataFrame, rows: list[float], cols: list[float], value: str, name: str, nearest_of: tuple[int, int] | None = None) -> DataFrame:
+    """Adds the correlation with an outer product of two 1-D kernels, on tiles with a halo.
+
+    Cells outside the table count as 0 in both passes; with ``nearest_of`` (height, width of a full grid) cells beyond
+    the grid are as the nearest one of its edge.
+    """
+    reach = max(len(rows), len(cols)) // 2
+
+    def solve(t: Tile) -> dict[str, np.ndarray]:
+        first = correlate(t[value], rows, [1.0])
+        return {name: correlate(first if nearest_of else np.where(t.inside, first, 0.0), [1.0], cols)}
+
+    found = tiled(cells, [value], reach, solve, [name], nearest_of=nearest_of)
+    return cells.join(found, ["r", "c"])
 
 
 def gradient(cells: DataFrame, value: str) -> DataFrame:
@@ -109,13 +118,10 @@ def oriented_mean(cells: DataFrame, value: str, half: int, direction: str, name:
     return cells.withColumn(name, F.sum(value).over(w) / (2 * half + 1))
 
 
-def box_sum(cells: DataFrame, value: str, half: int, name: str) -> DataFrame:
-    """Sum over a square, as a sum along rows of sums along columns."""
-    w = Window.partitionBy("c").orderBy("r").rangeBetween(-half, half)
-    columns = cells.select("r", "c").withColumn("_", F.lit(1))
-    taps = [(0, x, 1.0) for x in range(-half, half + 1)]
-    rows = convolve(cells.select("r", "c", value), taps, value, "_row")
-    return columns.drop("_").join(rows.withColumn(name, F.sum("_row").over(w)).select("r", "c", name), ["r", "c"])
+def box_sum(cells: DataFrame, value: str, half: int, name: str, stride: int = 1) -> DataFrame:
+    """Sum over a square about each cell whose row and column are multiples of ``stride``; missing cells are 0."""
+    found = tiled(cells, [value], half, lambda t: {name: correlate(t[value], [1.0] * (2 * half + 1), [1.0] * (2 * half + 1))}, [name])
+    return found.where((F.col("r") % stride == 0) & (F.col("c") % stride == 0))
 
 
 def fill_nearest(cells: DataFrame, value: str, valid: Column, extent: int) -> DataFrame:
@@ -125,30 +131,247 @@ def fill_nearest(cells: DataFrame, value: str, valid: Column, extent: int) -> Da
     return good.unionByName(bad.select("r", "c", F.col("near.filled").alias("filled")))
 
 
-def upward_continue(cells: DataFrame, value: str, height: int, width: int, lift: float, tile: int) -> DataFrame:
-    """Upward continuation by FFT per tile with a halo of half a tile; missing cells count as 0.
+def upward_continue(cells: DataFrame, value: str, height: int, width: int, lift: float, pad: int = 256) -> DataFrame:
+    """(r, c, up): a full field as it would be ``lift`` cells higher, its edges reflected by ``pad`` cells."""
+    return spectral(cells, value, height, width, pad, {"up": lambda k: np.exp(-k * lift)})
+
+
+def depth_slices(cells: DataFrame, a: str, b: str, height: int, width: int, lifts: tuple[float, float], pad: int = 256) -> DataFrame:
+    """(r, c, hg1, hg2, persist, tilt, other, rank): what a full field keeps of its edges when it is lifted.
+
+    hg1, hg2: gradient magnitudes of ``a`` at both lifts; persist: hg2 over hg2 plus that of the smoothed surface
+    field; tilt: angle of the vertical derivative at the first lift; other: hg2 of ``b``; rank: persist's place, 0 to 1.
+    """
+    low, high = lifts
+    lifted = spectral(cells, a, height, width, pad, {"u1": lambda k: np.exp(-k * low), "u2": lambda k: np.exp(-k * high), "vz": lambda k: k * np.exp(-k * low)})
+    other = spectral(cells, b, height, width, pad, {"ub": lambda k: np.exp(-k * high)})
+    g = gaussian_taps(1.0)
+    size = lambda t, x: np.hypot(*slope(x, t.inside))
+    both = stored(cells.select("r", "c", a).join(lifted, ["r", "c"]).join(other, ["r", "c"]))
+
+    def solve(t: Tile) -> dict[str, np.ndarray]:
+        hg1, hg2, hg0 = size(t, t["u1"]), size(t, t["u2"]), size(t, correlate(t[a], g, g))
+        return {"hg1": hg1, "hg2": hg2, "persist": hg2 / np.maximum(hg2 + hg0, 1e-300), "tilt": np.arctan2(t["vz"], hg1), "other": size(t, t["ub"])}
+
+    bands = stored(tiled(both, [a, "u1", "u2", "vz", "ub"], len(g) // 2 + 1, solve, ["hg1", "hg2", "persist", "tilt", "other"], nearest_of=(height, width)))
+    levels = ranks(bands, "persist", "_rank")
+    return levels.join(F.broadcast(bands.agg(F.count(F.lit(1)).alias("_n"))), F.lit(True)).withColumn("rank", (F.col("_rank") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))).drop("_rank", "_n")
+
 
-    A tile is a group of bounded size. Each tile's own cells are kept, its halo is only context.
+def magnetic_derivatives(cells: DataFrame, value: str, height: int, width: int, tile: int = 128, core: int = 64, least: float = 0.999, alpha: float = 0.25) -> DataFrame:
+    """(r, c, gx, gy, gz): east and north differences and the downward derivative of a field, null where not covered.
+
+    Differences need both neighbours. gz comes from tiles of ``tile`` cells under a Tukey window, whose central
+    ``core`` cells are kept; tiles start every ``core`` cells, lie inside the grid, and count if ``least`` of their
+    cells are there. Missing cells of a counted tile have the tile's mean and get no derivative.
     """
-    halo = tile // 2
-    reach = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1)]
-    home = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in reach]))
-    moved = cells.select("r", "c", F.col(value).alias("v"), home.alias("o"))
-    moved = moved.select("r", "c", "v", (F.floor(F.col("r") / tile) + F.col("o.y")).cast("int").alias("tr"), (F.floor(F.col("c") / tile) + F.col("o.x")).cast("int").alias("tc"))
-    inside = (F.col("r") >= F.col("tr") * tile - halo) & (F.col("r") < (F.col("tr") + 1) * tile + halo) & (F.col("c") >= F.col("tc") * tile - halo) & (F.col("c") < (F.col("tc") + 1) * tile + halo)
+    margin = (tile - core) // 2
+    x = np.linspace(0, 1, tile)
+    window = np.where(np.minimum(x, 1 - x) < alpha / 2, 0.5 * (1 + np.cos(np.pi * (2 * np.minimum(x, 1 - x) / alpha - 1))), 1.0)
+    taper = np.outer(window, window)
+    k = np.hypot(2 * np.pi * np.fft.fftfreq(tile)[:, None], 2 * np.pi * np.fft.rfftfreq(tile)[None, :])
+    of = lambda name, size: F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col(name) - tile + 1) / core)).cast("int"), F.least(F.floor(F.col(name) / core), F.lit((size - tile) // core)).cast("int")))
+    fits = lambda name, size: F.ceil((F.col(name) - tile + 1) / core) <= (size - tile) // core
+    homes = cells.where(F.col(value).isNotNull() & fits("r", height) & fits("c", width)).select("r", "c", F.col(value).cast("double").alias("v"), of("r", height).alias("i")).select("*", of("c", width).alias("j"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        tr, tc = int(pdf.tr.iloc[0]), int(pdf.tc.iloc[0])
-        n = tile + 2 * halo
-        field = np.zeros((n, n))
-        r, c = pdf.r.to_numpy() - tr * tile + halo, pdf.c.to_numpy() - tc * tile + halo
-        field[r, c] = pdf.v.to_numpy()
-        k = np.hypot(np.fft.fftfreq(n)[:, None], np.fft.fftfreq(n)[None, :]) * 2 * np.pi
-        up = np.fft.ifft2(np.fft.fft2(field) * np.exp(-k * lift)).real
-        own = (r >= halo) & (r < halo + tile) & (c >= halo) & (c < halo + tile)
-        return pd.DataFrame({"r": pdf.r[own], "c": pdf.c[own], "up": up[r[own], c[own]]})
+        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
+        if len(pdf) < math.ceil(least * tile * tile):
+            return pd.DataFrame({"r": [], "c": [], "gz": []})
+        r, c = pdf.r.to_numpy() - i * core, pdf.c.to_numpy() - j * core
+        a = np.full((tile, tile), pdf.v.mean())
+        a[r, c] = pdf.v.to_numpy()
+        gz = np.fft.irfft2(np.fft.rfft2(a * taper) * k, s=(tile, tile))
+        own = (r >= margin) & (r < margin + core) & (c >= margin) & (c < margin + core)
+        return pd.DataFrame({"r": pdf.r[own], "c": pdf.c[own], "gz": gz[r[own], c[own]]})
+
+    down = homes.groupBy("i", "j").applyInPandas(solve, "r int, c int, gz double")
+    out = cells.select("r", "c", value)
+    for name, dr, dc in (("_n", 1, 0), ("_s", -1, 0), ("_e", 0, 1), ("_w", 0, -1)):
+        out = shift(out, -dr, -dc, value, name, cells)
+    whole = F.col("_n").isNotNull() & F.col("_s").isNotNull() & F.col("_e").isNotNull() & F.col("_w").isNotNull() & F.col(value).isNotNull()
+    gx, gy = F.when(whole, (F.col("_e") - F.col("_w")) / 2), F.when(whole, -(F.col("_n") - F.col("_s")) / 2)
+    return out.select("r", "c", gx.alias("gx"), gy.alias("gy")).join(down, ["r", "c"], "left")
+
+
+def edge_magnitude(cells: DataFrame, value: str, sigma: float) -> DataFrame:
+    """(r, c, edge): magnitude of the Gaussian gradient of a field, constant 0 outside."""
+    g, d = gaussian_taps(sigma), gaussian_taps(sigma, 1)
+    return tiled(cells, [value], len(g) // 2, lambda t: {"edge": np.hypot(correlate(t[value], d, g), correlate(t[value], g, d))}, ["edge"])
+
+
+def step_features(cells: DataFrame, depth: str, conductance: str, strain: str, height: int, width: int, sigmas: tuple[float, float] = (3.0, 10.0)) -> DataFrame:
+    """(r, c, depth_fine, depth_coarse, curvature, concordance, orientation, strain_step) of three fields on a full grid.
+
+    Gradient magnitudes are smoothed and scaled between their 5 and 95 % quantiles. Concordance (the lesser of two)
+    and orientation (cosine of the directions) are 0 unless both coarse gradients reach their 10 % quantile.
+    """
+    fine, coarse = (gaussian_taps(x) for x in sigmas)
+    names = ["a1", "a2", "b2", "curve", "agree", "s2"]
+
+    def solve(t: Tile) -> dict[str, np.ndarray]:
+        a1 = np.hypot(*slope(correlate(t[depth], fine, fine), t.inside))
+        smooth = correlate(t[depth], coarse, coarse)
+        ay, ax = slope(smooth, t.inside)
+        by, bx = slope(correlate(t[conductance], coarse, coarse), t.inside)
+        a2, b2 = np.hypot(ay, ax), np.hypot(by, bx)
+        around = sum(np.where(np.roll(t.inside, s, x), np.roll(smooth, s, x), smooth) for s in (1, -1) for x in (0, 1))
+        agree = np.abs((ax * bx + ay * by) / np.maximum(a2 * b2, 1e-300))
+        return {"a1": a1, "a2": a2, "b2": b2, "curve": np.abs(around - 4 * smooth), "agree": np.minimum(agree, 1.0), "s2": np.hypot(*slope(correlate(t[strain], coarse, coarse), t.inside))}
+
+    raw = stored(tiled(cells, [depth, conductance, strain], len(coarse) // 2 + 2, solve, names, nearest_of=(height, width)))
+    both = quantile_cut(quantile_cut(raw, "a2", 0.1, "_a"), "b2", 0.1, "_b")
+    for old, new in (("a1", "depth_fine"), ("a2", "depth_coarse"), ("b2", "_other"), ("curve", "curvature"), ("s2", "strain_step")):
+        both = robust_unit(both, old, 0.05, 0.95, new)
+    strong = (F.col("a2") >= F.col("_a")) & (F.col("b2") >= F.col("_b"))
+    return both.select("r", "c", "depth_fine", "depth_coarse", "curvature", F.when(strong, F.least("depth_coarse", "_other")).otherwise(0.0).alias("concordance"), F.when(strong, F.col("agree")).otherwise(0.0).alias("orientation"), "strain_step")
+
+
+def lineament_surface(cells: DataFrame, value: str, half: int = 5, box: int = 3) -> DataFrame:
+    """(r, c, field, score, bonus) of a ratio band (0 is no data): low ratios in lines.
+
+    The band is scaled so that its 5 % quantile is 1 and its 95 % quantile 0, smoothed, and thinned to ridges; a
+    ridge scores the best mean of four directions, more if it stands out of the other directions' mean. bonus is the
+    largest score of a square around.
+    """
+    known = cells.where(F.col(value) > 0).select("r", "c", F.col(value).cast("double").alias("_v"))
+    cut = quantile_cut(quantile_cut(known, "_v", 0.05, "_lo"), "_v", 0.95, "_hi")
+    field = stored(cut.select("r", "c", F.least(F.greatest((F.col("_hi") - F.col("_v")) / (F.col("_hi") - F.col("_lo")), F.lit(0.0)), F.lit(1.0)).alias("_f")))
+    g = gaussian_taps(1.0)
+
+    def solve(t: Tile) -> dict[str, np.ndarray]:
+        smooth = correlate(t["_f"], g, g) / np.maximum(correlate(t.inside.astype(float), g, g), 1e-12)
+        smooth = np.where(t.inside, smooth, 0.0)
+        gy, gx = slope(smooth, t.inside)
+        angle = np.degrees(np.arctan2(gy, gx)) % 180
+        sector = np.where((angle < 22.5) | (angle >= 157.5), 0, np.where(angle < 67.5, 1, np.where(angle < 112.5, 2, 3)))
+        low = np.where(t.inside, smooth, -np.inf)
+        ridge = np.zeros(smooth.shape, bool)
+        means = []
+        for k, (y, x) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))):
+            p, n = np.roll(low, (-y, -x), (0, 1)), np.roll(low, (y, x), (0, 1))
+            ridge |= (sector == k) & (((smooth >= p) & (smooth > n)) | ((smooth > p) & (smooth >= n)))
+            means.append(sum(np.roll(smooth, (i * y, i * x), (0, 1)) for i in range(-half, half + 1)) / (2 * half + 1))
+        top, mean = np.max(means, 0), np.mean(means, 0)
+        apart = np.where(top > 0, (top - mean) / np.maximum(top, 1e-12), 0.0)
+        score = np.where(ridge & t.inside, np.clip(top, 0, 1) * (0.5 + 0.5 * apart), 0.0)
+        bonus = np.max([np.roll(score, (y, x), (0, 1)) for y in range(-box, box + 1) for x in range(-box, box + 1)], 0)
+        return {"field": smooth, "score": score, "bonus": bonus}
+
+    return tiled(field, ["_f"], len(g) // 2 + half + box + 1, solve, ["field", "score", "bonus"])
+
+
+def phase_energy(cells: DataFrame, value: str, height: int, width: int, scales: tuple[float, ...] = (1.5, 3.0), angles: int = 6, fill: float = 3.0, background: float = 6.0) -> DataFrame:
+    """(r, c, energy): where odd filter responses of all scales agree in phase, times the log of their strength.
+
+    The band is filled by normalised smoothing, freed of its background, and divided by its median deviation.
+    """
+    wide, back = gaussian_taps(fill), gaussian_taps(background)
+
+    def prepare(t: Tile) -> dict[str, np.ndarray]:
+        known = t["_known"]
+        filled = np.where(known > 0, t["_x"], correlate(t["_x"], wide, wide) / np.maximum(correlate(known, wide, wide), 1e-9))
+        return {"hp": filled - correlate(filled, back, back)}
+
+    v = F.col(value)
+    known = F.coalesce(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e30), F.lit(False))
+    base = cells.select("r", "c", F.when(known, v).otherwise(0.0).cast("double").alias("_x"), known.cast("double").alias("_known"))
+    hp = stored(mad_scale(tiled(base, ["_x", "_known"], len(wide) // 2 + len(back) // 2, prepare, ["hp"]), "hp", "_z"))
+    taps = [[gaussian_taps(s, k) for k in (0, 1, 2)] for s in scales]
+
+    def solve(t: Tile) -> dict[str, np.ndarray]:
+        z = t["_z"]
+        parts = []
+        for s, (g, d1, d2) in zip(scales, taps, strict=True):
+            parts.append((s * correlate(z, d1, g), s * correlate(z, g, d1), s * s * correlate(z, d2, g), s * s * correlate(z, g, d2), s * s * correlate(z, d1, d1)))
+        best, strength = np.zeros(z.shape), np.zeros(z.shape)
+        for k in range(angles):
+            c, n = np.cos(np.pi * k / angles), np.sin(np.pi * k / angles)
+            odd = [c * gx + n * gy for gy, gx, _, _, _ in parts]
+            even = [c * c * gxx + 2 * c * n * gxy + n * n * gyy for _, _, gyy, gxx, gxy in parts]
+            amplitude = sum(np.hypot(o, e) for o, e in zip(odd, even, strict=True))
+            flat, sharp = sum(map(np.abs, even)), sum(map(np.abs, odd))
+            best = np.maximum(best, np.abs(sum(odd)) / (amplitude + 1e-6) * (sharp / (sharp + flat + 1e-6)))
+            strength = np.maximum(strength, amplitude)
+        return {"phase": best, "strength": strength}
+
+    found = stored(tiled(hp, ["_z"], max(len(x[0]) for x in taps) // 2, solve, ["phase", "strength"]))
+    middle = quantile_cut(found, "strength", 0.5, "_m")
+    scale = stored(quantile_cut(middle.withColumn("_d", F.abs(F.col("strength") - F.col("_m"))), "_d", 0.5, "_mad"))
+    return scale.select("r", "c", F.when(F.col("_mad") > 0, F.col("phase") * F.log1p(F.col("strength") / (1.4826 * F.col("_mad")))).otherwise(0.0).alias("energy"))
+
+
+def context_bands(cells: DataFrame, value: str, height: int, width: int, fine: float = 2.0, coarse: float = 5.0) -> DataFrame:
+    """(r, c, fine, coarse, slope, coherence) of a full field scaled by its median and quartiles (to 30 either way).
+
+    coherence compares the eigenvalues of the smoothed structure tensor: 1 along one direction, 0 without any.
+    """
+    q = quantile_cut(quantile_cut(quantile_cut(cells, value, 0.5, "_m"), value, 0.25, "_lo"), value, 0.75, "_hi")
+    scaled = (F.col(value) - F.col("_m")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9))
+    z = stored(q.select("r", "c", F.least(F.greatest(scaled, F.lit(-30.0)), F.lit(30.0)).alias("_z")))
+    a, b = gaussian_taps(fine), gaussian_taps(coarse)
+
+    def solve(t: Tile) -> dict[str, np.ndarray]:
+        low, wide = correlate(t["_z"], a, a), correlate(t["_z"], b, b)
+        gy, gx = slope(low, t.inside)
+        yy, xx, xy = (correlate(np.where(t.inside, p, 0.0), b, b) for p in (gy * gy, gx * gx, gy * gx))
+        return {"fine": low, "coarse": wide, "slope": np.hypot(gy, gx), "coherence": np.sqrt((xx - yy) ** 2 + 4 * xy**2) / np.maximum(xx + yy, 1e-12)}
+
+    return tiled(z, ["_z"], len(a) // 2 + len(b) // 2 + 1, solve, ["fine", "coarse", "slope", "coherence"], nearest_of=(height, width))
+
+
+def cluster_maps(points: DataFrame, cells: DataFrame, sigma: float = 2.0, most_depth: float = 3000.0) -> DataFrame:
+    """(r, c, support, shallow, depth) in 0..1 from solutions (r, c, depth, cluster_depth): scattered, smoothed, logged."""
+    at = points.groupBy("r", "c").agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum(F.least(F.greatest(1 - F.col("depth") / most_depth, F.lit(0.0)), F.lit(1.0))).alias("_s"), F.sum(F.col("cluster_depth") / 1000).alias("_d"))
+    base = cells.select("r", "c").join(at, ["r", "c"], "left").na.fill(0.0, ["_n", "_s", "_d"])
+    g = gaussian_taps(sigma)
+
+    def solve(t: Tile) -> dict[str, np.ndarray]:
+        n, s, d = (correlate(t[k], g, g) for k in ("_n", "_s", "_d"))
+        unit = lambda x: np.clip(np.log1p(x) / np.log1p(5.0), 0, 1)
+        return {"support": unit(n), "shallow": unit(s), "depth": np.clip(np.where(n > 1e-12, d / np.maximum(n, 1e-300) / 3.0, 0.0), 0, 1)}
 
-    return moved.where(inside).groupBy("tr", "tc").applyInPandas(solve, "r int, c int, up double")
+    return tiled(base, ["_n", "_s", "_d"], len(g) // 2, solve, ["support", "shallow", "depth"])
+
+
+def attenuation_ratio(cells: DataFrame, shallow: str, deep: str) -> DataFrame:
+    """(r, c, ratio): a band's magnitude over the gradient of its lifted field, each by its 99 % quantile of positive values."""
+    slopes = gradient(cells.select("r", "c", shallow, deep), deep).withColumn("_a", F.abs(F.col(shallow)))
+    top = lambda name: F.broadcast(quantile_cut(slopes.where(F.col(name) > 0).select(name), name, 0.99, "_q").agg(F.max("_q").alias(f"_q{name}")))
+    both = slopes.join(top("_a"), F.lit(True)).join(top("magnitude"), F.lit(True))
+    a = F.col("_a") / F.greatest(F.coalesce("_q_a", F.lit(1.0)), F.lit(1e-12))
+    b = F.col("magnitude") / F.greatest(F.coalesce("_qmagnitude", F.lit(1.0)), F.lit(1e-12))
+    return both.select("r", "c", (a / (b + 1e-6)).alias("ratio"))
+
+
+def migration_bands(levels: list[DataFrame], cells: DataFrame, gy: str, gx: str, extent: int, most: float = 10.0) -> DataFrame:
+    """(r, c, vy, vx, signed, coherence): how ridges move from the shallowest to the deepest of several levels.
+
+    levels: ridge cells (r, c) of each level, shallow to deep; cells: the grid with a normal (gy, gx). A shallow
+    ridge cell's step leads to the nearest deep one; steps and their share along the normal are cut at ``most``,
+    smoothed where ridges are dense enough, and 0 elsewhere. coherence is the mean of exp(-distance / 2) to all levels.
+    """
+    steps = nearest(levels[0].select("r", "c"), levels[-1].select("r", "c"), extent).join(cells.select("r", "c", gy, gx), ["r", "c"])
+    y, x = (F.col("near.r") - F.col("r")).cast("double"), (F.col("near.c") - F.col("c")).cast("double")
+    size, norm = F.sqrt(y * y + x * x), F.sqrt(F.col(gy) * F.col(gy) + F.col(gx) * F.col(gx))
+    part = F.when(size > most, most / size).otherwise(1.0)
+    along = F.when(norm > 0, (y * F.col(gy) + x * F.col(gx)) / norm).otherwise(0.0)
+    sparse = steps.select("r", "c", (y * part).alias("_y"), (x * part).alias("_x"), F.least(F.greatest(along, F.lit(-most)), F.lit(most)).alias("_s"), F.lit(1.0).alias("_w"))
+    base = cells.select("r", "c").join(sparse, ["r", "c"], "left").na.fill(0.0)
+    g = gaussian_taps(2.0)
+
+    def solve(t: Tile) -> dict[str, np.ndarray]:
+        w = correlate(t["_w"], g, g)
+        vy, vx, signed = (np.where(w > 0.05, correlate(t[k], g, g) / np.maximum(w, 1e-12), 0.0) for k in ("_y", "_x", "_s"))
+        return {"vy": vy, "vx": vx, "signed": np.clip(signed, -most, most)}
+
+    out = tiled(base, ["_y", "_x", "_s", "_w"], len(g) // 2, solve, ["vy", "vx", "signed"])
+    near = None
+    for i, level in enumerate(levels):
+        one = nearest(cells.select("r", "c"), level.select("r", "c"), extent).select("r", "c", F.exp(-F.sqrt("d2") / 2).alias(f"_{i}"))
+        near = one if near is None else near.join(one, ["r", "c"])
+    mean = sum((F.coalesce(f"_{i}", F.lit(0.0)) for i in range(len(levels))), F.lit(0.0)) / len(levels)
+    return out.join(near.select("r", "c", mean.alias("coherence")), ["r", "c"])
 
 
 def euler_windows(cells: DataFrame, half: int, index: float, least: float = 0.5) -> DataFrame:
@@ -201,5 +424,6 @@ def skeleton(mask: DataFrame) -> DataFrame:
             turned = F.shiftright(k, 1).bitwiseOR(F.shiftleft(k.bitwiseAND(1), 7))
             rises = F.bit_count(F.bitwise_not(k).bitwiseAND(turned).bitwiseAND(255))
             gone = F.bit_count(k).between(2, 6) & (rises == 1) & (k.bitwiseAND(a) != a) & (k.bitwiseAND(b) != b)
-            now = stored(seen.where(~gone).select("r", "c"))
+            last, now = now, stored(seen.where(~gone).select("r", "c"))
+            forget(last)
     return now

@@ -11,6 +11,7 @@ from ..functions import scalar as s
 from ..operators import graph, links, metric, models, neighbours as nb, selection, splits, statistics as st, surfaces
 from ..operators.components import label8
 from ..sources.cells import cells, mask, sites, table, vertices
+from ..storage import stored
 from .cell_queries import VERTEX, six
 from .registry import CELL, MASKS, offs, query
 
@@ -143,10 +144,13 @@ def dot_strike(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_nn_spacing", f"WITH {CELL}, m AS (SELECT r, c FROM cell WHERE q >= 50), k AS (SELECT a.r, a.c, min((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) d2 FROM m a, m b WHERE (a.r, a.c) <> (b.r, b.c) GROUP BY 1, 2) SELECT count(*) AS n, round(quantile_cont(sqrt(d2), 0.1), 6) AS p10, round(quantile_cont(sqrt(d2), 0.5), 6) AS p50, round(quantile_cont(sqrt(d2), 0.9), 6) AS p90 FROM k")
 def nn_spacing(spark: SparkSession, d: str) -> DataFrame:
-    """Quantiles of the distance to the nearest other dot; those within 40 cells, which all are here, by one spread."""
+    """Quantiles of the distance to the nearest other dot, however far."""
     m = mask(cells(spark, d), "q >= 50")
-    pairs = links.tile_pairs(m, m, 40).where("d2 > 0").groupBy("a_r", "a_c").agg(F.sqrt(F.min("d2")).alias("x"))
-    return pairs.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.percentile("x", p), 6).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)])
+    apart = stored(nb.nearest(m, m, 256, least_d2=1).where("d2 is not null").select(F.sqrt("d2").alias("x")))
+    cuts = apart
+    for p in (0.1, 0.5, 0.9):
+        cuts = st.quantile_cut(cuts, "x", p, f"p{int(p * 100)}")
+    return cuts.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.max(f"p{p}"), 6).alias(f"p{p}") for p in (10, 50, 90)])
 
 
 @query("q_shift", f"WITH {CELL} SELECT a.r, a.c, b.v AS shifted FROM cell a LEFT JOIN cell b ON b.r = a.r - 1 AND b.c = a.c + 2")
