@@ -81,6 +81,22 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def corpus_source_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix aims at: sizes and targets of sources."""
+    mixed = mix_sources(documents(spark, sf_dir))
+    return mixed.groupBy("source").agg(F.max("source_size").alias("source_size"), F.round(F.max("target"), 6).alias("target"))
+
+
+def corpus_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of each url, without the verdicts of mined rules."""
+    return op7_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def corpus_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and digest of what is read back from the stored media."""
+    return op10_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_model": op1_language_model,
     "op2_mix_sources": op2_mix_sources,
@@ -92,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_media_columns": op10_media_columns,
+    "corpus_source_targets": corpus_source_targets,
+    "corpus_url_rules": corpus_url_rules,
+    "corpus_payloads": corpus_payloads,
 }
 OP5_SQL = r"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
  win AS (SELECT k, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT k, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
@@ -101,5 +120,18 @@ OP5_SQL = r"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extrac
  kept AS (SELECT k, string_agg(t, ' ' ORDER BY p) AS s, count(*) AS n FROM tok ANTI JOIN gone USING (k, p) GROUP BY k)
  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (k)"""
 
+# Sources in order of the size per weight at which they are full: those up to some place are full, the others share the rest by weight.
+TARGETS_SQL = r"""WITH n AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS s FROM documents GROUP BY 1),
+ w AS (SELECT source, s, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w FROM n),
+ o AS (SELECT *, row_number() OVER k AS p, sum(2.0 * s) OVER k AS full_upto, sum(w) OVER () - sum(w) OVER k AS rest, 1.5 * sum(s) OVER () AS total, 2.0 * s / w AS full_at FROM w WINDOW k AS (ORDER BY 2.0 * s / w, source ROWS UNBOUNDED PRECEDING)),
+ l AS (SELECT p, CASE WHEN rest > 1e-9 THEN (total - full_upto) / rest END AS level, lead(full_at) OVER (ORDER BY p) AS next FROM o UNION ALL SELECT 0, any_value(total) / any_value(rest + w), min(full_at) FROM o WHERE p = 1),
+ b AS (SELECT min(p) AS p, arg_min(level, p) AS level FROM l WHERE next IS NULL OR next > level)
+ SELECT source, s AS source_size, round(CASE WHEN o.p <= b.p THEN 2.0 * s ELSE w * level END, 6) AS target FROM o, b"""
+URL_SQL = r"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+ r(h, p) AS (VALUES ('com', '/'), ('example.com', '/en/'), ('www.example.com', '/en/'), ('net', '/es/'), ('net', '/fr/'))
+ SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL"""
+PAYLOAD_SQL = """WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents), p AS (SELECT doc_id, t, octet_length(t) AS n, greatest(64, (octet_length(t) + 63) // 64 * 64) AS m FROM b)
+ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(m AS BIGINT) AS payload_bytes, sha256(t || unhex(repeat('00', CAST(m - n AS INTEGER)))) AS payload_sha256, CAST(m + 44 AS BIGINT) AS media_bytes FROM p"""
+
 #: The others train, sample or shuffle by hashes that SQL engines do not share; tests/llm has their brute force.
-ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "corpus_source_targets": TARGETS_SQL, "corpus_url_rules": URL_SQL, "corpus_payloads": PAYLOAD_SQL}
