@@ -64,16 +64,18 @@ def cone(spark: SparkSession, d: str) -> DataFrame:
 @query("q_marker_offsets", f"""WITH RECURSIVE {SPARSE}, {_DEGREE}, ends AS (SELECT deg.r, deg.c, comp, CAST(deg.id % 180 AS DOUBLE) strike FROM deg JOIN comp USING (id) WHERE degree = 1),
  head AS (SELECT e.r, e.c, e.comp, e.strike, e.r - avg(p.r) y, e.c - avg(p.c) x FROM ends e JOIN comp p ON p.comp = e.comp AND abs(p.r - e.r) <= 5 AND abs(p.c - e.c) <= 5 GROUP BY e.r, e.c, e.comp, e.strike),
  h AS (SELECT r, c, comp, strike, y / sqrt(y * y + x * x) dy, x / sqrt(y * y + x * x) dx FROM head),
- p AS (SELECT a.r r0, a.c c0, b.r r1, b.c c1, a.dy ady, a.dx adx, b.dy bdy, b.dx bdx, CAST(b.r - a.r AS DOUBLE) y, CAST(b.c - a.c AS DOUBLE) x, radians((a.strike + b.strike) / 2) t, abs(a.strike - b.strike) % 180 u FROM h a JOIN h b ON (a.r, a.c) < (b.r, b.c) AND a.comp <> b.comp AND abs(a.r - b.r) <= 16 AND abs(a.c - b.c) <= 16),
+ p AS (SELECT a.r r0, a.c c0, b.r r1, b.c c1, a.dy ady, a.dx adx, b.dy bdy, b.dx bdx, CAST(b.r - a.r AS DOUBLE) y, CAST(b.c - a.c AS DOUBLE) x, radians((a.strike + b.strike) / 2) t, abs(a.strike - b.strike) % 180 u FROM h a JOIN h b ON (a.r, a.c) < (b.r, b.c) AND a.comp <> b.comp AND abs(a.r - b.r) <= 24 AND abs(a.c - b.c) <= 24),
  g AS (SELECT *, abs(y * sin(t) + x * cos(t)) gap, abs(x * sin(t) - y * cos(t)) shift, least(u, 180 - u) turn, sqrt(y * y + x * x) n FROM p),
- k AS (SELECT * FROM g WHERE turn <= 60 AND gap BETWEEN 1 AND 10 AND shift BETWEEN 1 AND 6 AND n <= 16 AND ady * y + adx * x >= cos(radians(80)) * n AND bdy * y + bdx * x <= -cos(radians(80)) * n),
+ k AS (SELECT * FROM g WHERE turn <= 90 AND gap BETWEEN 1 AND 14 AND shift BETWEEN 0.5 AND 10 AND n <= 24 AND ady * y + adx * x >= cos(radians(89)) * n AND bdy * y + bdx * x <= -cos(radians(89)) * n),
  l AS (SELECT r0, c0, r1, c1, gap, shift, turn, greatest(round_even(n, 0), 1) m, unnest(range(0, CAST(greatest(round_even(n, 0), 1) AS BIGINT) + 1)) i FROM k),
- q AS (SELECT l.*, cell.r hit FROM l LEFT JOIN (SELECT r, c FROM cell WHERE q >= 5) cell ON cell.r = round_even(r0 + (r1 - r0) * i / m, 0) AND cell.c = round_even(c0 + (c1 - c0) * i / m, 0))
+ q AS (SELECT l.*, CASE WHEN CAST(round_even(r0 + (r1 - r0) * i / m, 0) + round_even(c0 + (c1 - c0) * i / m, 0) AS BIGINT) % 17 <> 0 THEN 1 END hit FROM l)
  SELECT r0, c0, r1, c1, round(any_value(gap), 6) AS gap, round(any_value(shift), 6) AS shift, any_value(turn) AS turn FROM q GROUP BY 1, 2, 3, 4 HAVING count(*) = count(hit)""")
 def marker_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of ends like one displaced line; every 17th diagonal of the grid is not valid."""
     x = stored(label8(sparse(spark, d), 256))
     ends = links.outward(x, graph.endpoints(x).join(x, ["r", "c"]), 5).withColumn("strike", ((F.col("r") * 256 + F.col("c")) % 180).cast("double"))
-    got = links.marker_offsets(ends, mask(cells(spark, d), "q >= 5"), (1, 10), (1, 6), 60.0, math.cos(math.radians(80)))
+    grid = spark.range(256 * 256).select(F.floor(F.col("id") / 256).cast("int").alias("r"), (F.col("id") % 256).cast("int").alias("c"))
+    got = links.marker_offsets(ends, grid.where("(r + c) % 17 <> 0"), (1, 14), (0.5, 10), 90.0, math.cos(math.radians(89)))
     return got.select("r0", "c0", "r1", "c1", F.round("gap", 6).alias("gap"), F.round("offset", 6).alias("shift"), "turn")
 
 
