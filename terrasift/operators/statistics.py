@@ -51,7 +51,7 @@ def with_constants(df: DataFrame, *aggregates: Column) -> DataFrame:
 
 def robust_unit(df: DataFrame, value: str, low: float = 0.05, high: float = 0.95, name: str = "unit") -> DataFrame:
     """Scaled so that the quantiles become 0 and 1, clipped; a degenerate spread gives 0."""
-    both = quantile_cut(quantile_cut(df, value, low, "_lo"), value, high, "_hi")
+    both = quantile_cuts(df, value, {"_lo": low, "_hi": high})
     scaled = F.least(F.greatest((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")), F.lit(0.0)), F.lit(1.0))
     return both.withColumn(name, F.when(F.col("_hi") > F.col("_lo"), scaled).otherwise(0.0)).drop("_lo", "_hi")
 
@@ -132,18 +132,23 @@ def blind_credit(dots: DataFrame, base: DataFrame, by: str) -> DataFrame:
     return both.select(by, "dots", "cells", (F.col("_credit") / F.col("cells")).alias("blind_credit"))
 
 
-def quantile_cut(df: DataFrame, value: str, at: float, name: str = "_cut") -> DataFrame:
-    """Joins the ``at`` quantile of a column (linear between ranks) to each row.
+def quantile_cuts(df: DataFrame, value: str, cuts: dict[str, float]) -> DataFrame:
+    """Joins quantiles of a column (name: share, linear between ranks) to each row; null where the column is empty.
 
     Counts of distinct values are added up over ranges of the value, so no task holds them all, and two values
-    come out: the ranks at either side.
+    a quantile come out: the ranks at either side.
     """
     levels = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     upto = running_sums(levels, "_v", {"_n": "_upto"})
-    total = upto.agg(F.max("_upto").alias("_total"))
-    place = (F.col("_total") - 1) * F.lit(float(at))
-    both = upto.join(F.broadcast(total), F.lit(True)).withColumn("_place", place)
-    low = F.min(F.when(F.col("_upto") > F.floor("_place"), F.col("_v")))
-    high = F.min(F.when(F.col("_upto") > F.ceil("_place"), F.col("_v")))
-    part = F.max(F.col("_place") - F.floor("_place"))
-    return df.join(F.broadcast(both.agg((low + (high - low) * part).alias(name))), F.lit(True))
+    both = upto.join(F.broadcast(upto.agg(F.max("_upto").alias("_total"))), F.lit(True))
+    found = []
+    for name, at in cuts.items():
+        place = (F.col("_total") - 1) * F.lit(float(at))
+        low = F.min(F.when(F.col("_upto") > F.floor(place), F.col("_v")))
+        high = F.min(F.when(F.col("_upto") > F.ceil(place), F.col("_v")))
+        found.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return df.join(F.broadcast(both.agg(*found)), F.lit(True))
+
+
+def quantile_cut(df: DataFrame, value: str, at: float, name: str = "_cut") -> DataFrame:
+    return quantile_cuts(df, value, {name: at})

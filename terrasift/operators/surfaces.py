@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..storage import forget, stored
 from .neighbours import nearest, shift
-from .statistics import mad_scale, quantile_cut, ranks, robust_unit
+from .statistics import mad_scale, quantile_cut, quantile_cuts, ranks, robust_unit
 from .tiles import Tile, correlate, slope, spectral, tiled
 
 
@@ -235,7 +235,7 @@ def lineament_surface(cells: DataFrame, value: str, half: int = 5, box: int = 3)
     largest score of a square around.
     """
     known = cells.where(F.col(value) > 0).select("r", "c", F.col(value).cast("double").alias("_v"))
-    cut = quantile_cut(quantile_cut(known, "_v", 0.05, "_lo"), "_v", 0.95, "_hi")
+    cut = quantile_cuts(known, "_v", {"_lo": 0.05, "_hi": 0.95})
     field = stored(cut.select("r", "c", F.least(F.greatest((F.col("_hi") - F.col("_v")) / (F.col("_hi") - F.col("_lo")), F.lit(0.0)), F.lit(1.0)).alias("_f")))
     g = gaussian_taps(1.0)
 
@@ -306,7 +306,7 @@ def context_bands(cells: DataFrame, value: str, height: int, width: int, fine: f
 
     coherence compares the eigenvalues of the smoothed structure tensor: 1 along one direction, 0 without any.
     """
-    q = quantile_cut(quantile_cut(quantile_cut(cells, value, 0.5, "_m"), value, 0.25, "_lo"), value, 0.75, "_hi")
+    q = quantile_cuts(cells, value, {"_m": 0.5, "_lo": 0.25, "_hi": 0.75})
     scaled = (F.col(value) - F.col("_m")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9))
     z = stored(q.select("r", "c", F.least(F.greatest(scaled, F.lit(-30.0)), F.lit(30.0)).alias("_z")))
     a, b = gaussian_taps(fine), gaussian_taps(coarse)

@@ -217,7 +217,7 @@ def eligibility(spark: SparkSession, d: str) -> DataFrame:
 @query("q_bench_mesa", f"""WITH {CELL}, k AS (SELECT quantile_cont(v, 0.7) a, quantile_cont(q, 0.6) b, quantile_cont(tax, 0.5) t FROM cell)
  SELECT r, c FROM cell, k WHERE v >= a AND q >= b AND tax <= t""")
 def bench_mesa(spark: SparkSession, d: str) -> DataFrame:
-    x = st.with_constants(cells(spark, d), F.percentile("v", 0.7).alias("a"), F.percentile("q", 0.6).alias("b"), F.percentile("tax", 0.5).alias("t"))
+    x = st.quantile_cuts(st.quantile_cuts(st.quantile_cuts(cells(spark, d), "v", {"a": 0.7}), "q", {"b": 0.6}), "tax", {"t": 0.5})
     return x.where("v >= a AND q >= b AND tax <= t").select("r", "c")
 
 

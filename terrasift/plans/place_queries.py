@@ -147,9 +147,7 @@ def nn_spacing(spark: SparkSession, d: str) -> DataFrame:
     """Quantiles of the distance to the nearest other dot, however far."""
     m = mask(cells(spark, d), "q >= 50")
     apart = stored(nb.nearest(m, m, 256, least_d2=1).where("d2 is not null").select(F.sqrt("d2").alias("x")))
-    cuts = apart
-    for p in (0.1, 0.5, 0.9):
-        cuts = st.quantile_cut(cuts, "x", p, f"p{int(p * 100)}")
+    cuts = st.quantile_cuts(apart, "x", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
     return cuts.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.max(f"p{p}"), 6).alias(f"p{p}") for p in (10, 50, 90)])
 
 
