@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHA = "^[0-9a-f]{64}$"
+#: What the shared evaluator calls its score and itself.
+LABEL, EVALUATOR = "holdout-score", "segment-pooled-v1"
 PROTOCOL = ("whole_segments", "buffered", "visible_only_features", "pixel_exact_visible_mask", "pooled")
 VALIDATED = ("no_nan_inside", "range_0_1", "crs_match", "shape_match", "transform_match", "single_band")
 
@@ -33,12 +35,12 @@ def within(c: Column, low: float, high: float) -> Column:
     return finite(c) & c.between(low, high)
 
 
-def promotion_gate(cards: DataFrame) -> DataFrame:
+def promotion_gate(cards: DataFrame, label: str = LABEL, evaluator: str = EVALUATOR) -> DataFrame:
     """Adds ``failures`` and ``promoted`` to run cards.
 
     A card has lane, raster_sha256, submission_name, note, hypothesis, mechanism, non_fault_mimic, feature_names
-    (array), feature_canaries (map to double), and the structs holdout, registry and validator. Anything missing
-    fails; nothing that is null passes.
+    (array), feature_canaries (map to double), and the structs holdout, registry and validator. The holdout must be the
+    evaluator's, under its label. Anything missing fails; nothing that is null passes.
     """
     h, g, v = (lambda k: F.col("holdout")[k]), (lambda k: F.col("registry")[k]), (lambda k: F.col("validator")[k])
     ci, gain_ci = h("ci95"), h("paired_gain_ci95")
@@ -56,7 +58,7 @@ def promotion_gate(cards: DataFrame) -> DataFrame:
         ("missing hypothesis, mechanism or confounder", text(F.col("hypothesis")) & text(F.col("mechanism")) & text(F.col("non_fault_mimic"))),
         ("holdout raster hash mismatch", text(h("raster_sha256")) & (h("raster_sha256") == F.col("raster_sha256"))),
         ("missing frozen baseline hash", h("baseline_sha256").rlike(SHA)),
-        ("not the shared evaluator", (h("label") == "HOLDOUT-DTI") & (h("evaluator_version") == "gems-segment-pooled-v1")),
+        ("not the shared evaluator", (h("label") == label) & (h("evaluator_version") == evaluator)),
         ("missing withheld positives", h("withheld_positives") > 0),
         ("invalid holdout score", within(score, 0, 1)),
         ("invalid holdout interval", (F.size(ci) == 2) & finite(ci[0]) & finite(ci[1]) & (ci[0] >= 0) & (ci[0] <= score) & (score <= ci[1]) & (ci[1] <= 1)),
@@ -93,7 +95,7 @@ def promotion_gate(cards: DataFrame) -> DataFrame:
     return cards.withColumn("failures", failures).withColumn("promoted", F.size("failures") == 0)
 
 
-def preflight_gate(plans: DataFrame, members: DataFrame, files: DataFrame, now: Column) -> DataFrame:
+def preflight_gate(plans: DataFrame, members: DataFrame, files: DataFrame, now: Column, label: str = LABEL, evaluator: str = EVALUATOR) -> DataFrame:
     """Adds ``failures`` and ``allowed`` to run plans.
 
     plans: plan_id, lane, lane_source, registry_complete, baseline (struct label, evaluator_version, strict, dti,
@@ -112,7 +114,7 @@ def preflight_gate(plans: DataFrame, members: DataFrame, files: DataFrame, now:
         ("registry is not complete with members", F.col("registry_complete") & (F.col("_n") > 0)),
         ("registry member missing or changed", F.coalesce(F.col("_bad"), F.lit(0)) == 0),
         ("registry member repeated", F.coalesce(F.col("_kinds") == F.col("_found"), F.lit(True))),
-        ("baseline under another protocol", (b("label") == "HOLDOUT-DTI") & (b("evaluator_version") == "gems-segment-pooled-v1") & b("strict")),
+        ("baseline under another protocol", (b("label") == label) & (b("evaluator_version") == evaluator) & b("strict")),
         ("baseline lacks score, interval or count", within(b("dti"), 0, 1) & (F.size(ci) == 2) & (ci[0] >= 0) & (ci[0] <= b("dti")) & (b("dti") <= ci[1]) & (ci[1] <= 1) & (b("withheld_positives") >= 1)),
         ("time budget invalid", F.col("time_cap_seconds").between(1, 7200)),
         ("experiment budget exhausted or invalid", (F.col("experiments_run") >= 0) & (F.col("experiments_run") < F.col("experiment_cap")) & (F.col("experiment_cap") <= 3)),

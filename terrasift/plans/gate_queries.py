@@ -24,8 +24,8 @@ def run_cards(spark: SparkSession, d: str) -> DataFrame:
     row = lambda m, rho, near: F.struct(m.alias("raster_sha256"), rho.cast("double").alias("spearman"), near.cast("double").alias("within_3px_fraction"))
     no = F.lit(None).cast("double")
     holdout = F.struct(
-        F.when(fault(7), "").otherwise(raster).alias("raster_sha256"), F.when(fault(17), "abc").otherwise(sha("base", k)).alias("baseline_sha256"), F.lit("HOLDOUT-DTI").alias("label"),
-        F.when(fault(19), "v0").otherwise("gems-segment-pooled-v1").alias("evaluator_version"), (k % 5).cast("int").alias("withheld_positives"), F.when(fault(23), no).otherwise(0.5).alias("dti"),
+        F.when(fault(7), "").otherwise(raster).alias("raster_sha256"), F.when(fault(17), "abc").otherwise(sha("base", k)).alias("baseline_sha256"), F.lit("holdout-score").alias("label"),
+        F.when(fault(19), "v0").otherwise("segment-pooled-v1").alias("evaluator_version"), (k % 5).cast("int").alias("withheld_positives"), F.when(fault(23), no).otherwise(0.5).alias("dti"),
         F.array(F.lit(0.25), F.when(fault(29), 0.375).otherwise(0.75)).alias("ci95"), F.lit(0.25).alias("baseline_dti"), F.when(fault(31), 0.5).otherwise(0.25).alias("paired_gain"),
         F.array(F.when(fault(37), -0.125).otherwise(0.125), F.lit(0.625)).alias("paired_gain_ci95"), *[(~fault(41 + i)).alias(p) for i, p in enumerate(gates.PROTOCOL)],
         F.lit(0.2).alias("alpha"), F.lit(0.8).alias("beta"), F.when(fault(47), 200).otherwise(300).alias("kernel_m"), F.lit("triangular").alias("kernel"),
@@ -77,7 +77,7 @@ def preflight_gate(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     now = F.timestamp_seconds(F.lit(1_700_000_000))
     bad = k % 19 == 0
-    baseline = F.struct(F.lit("HOLDOUT-DTI").alias("label"), F.lit("gems-segment-pooled-v1").alias("evaluator_version"), (k % 17 != 0).alias("strict"), F.lit(0.5).alias("dti"), F.array(F.lit(0.25), F.lit(0.75)).alias("ci95"), F.when(bad, 0).otherwise(9).alias("withheld_positives"))
+    baseline = F.struct(F.lit("holdout-score").alias("label"), F.lit("segment-pooled-v1").alias("evaluator_version"), (k % 17 != 0).alias("strict"), F.lit(0.5).alias("dti"), F.array(F.lit(0.25), F.lit(0.75)).alias("ci95"), F.when(bad, 0).otherwise(9).alias("withheld_positives"))
     plans = table(spark, d, "customer").select(
         k.alias("plan_id"), F.lit("lane").alias("lane"), F.when(k % 11 != 0, "owner").alias("lane_source"), (k % 13 != 0).alias("registry_complete"), baseline.alias("baseline"), ((k % 9) * 1000).alias("cap"),
         (k % 5).cast("int").alias("experiments_run"), F.lit(3).alias("experiment_cap"), F.timestamp_seconds(1_700_000_000 - k % 3000).alias("started_at"), (k % 23 == 0).alias("slot_selected"),

@@ -33,9 +33,10 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.graph_nodes(sparse(spark, d), 256)
 
 
-@query("q_graph_edges", f"WITH RECURSIVE {SPARSE}, {_DEGREE}, {_JUNCTION}, {_CHAIN}, {_EDGES} SELECT * FROM edges")
+@query("q_graph_edges", f"WITH RECURSIVE {SPARSE}, {_DEGREE}, {_JUNCTION}, {_CHAIN}, {_EDGES} SELECT * REPLACE (coalesce(u, -1) AS u, coalesce(v, -1) AS v) FROM edges")
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.graph_edges(sparse(spark, d), 256)
+    """Edges with their nodes, -1 where a ring has none."""
+    return graph.graph_edges(sparse(spark, d), 256).na.fill(-1, ["u", "v"])
 
 
 @query("q_graph_summary")
