@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_pairs import decode_tokens, encode_texts
 from .common import bucket_of, documents
 from .decontaminate import find_leaks
 from .language_model import score_texts
@@ -15,6 +16,7 @@ from .mixing import mix_sources
 from .near_duplicates import near_duplicates
 from .personal_data import KINDS, find_personal_data, joined
 from .quality import fit_quality, score_quality
+from .resampling import resample
 from .substrings import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filters import HostRule, filter_urls
@@ -81,6 +83,19 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = decode_tokens(encode_texts(documents(spark, sf_dir), path), path)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def corpus_source_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix aims at: sizes and targets of sources."""
     mixed = mix_sources(documents(spark, sf_dir))
@@ -108,6 +123,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_media_columns": op10_media_columns,
+    "op11_byte_pairs": op11_byte_pairs,
+    "op12_importance_resampling": op12_importance_resampling,
     "corpus_source_targets": corpus_source_targets,
     "corpus_url_rules": corpus_url_rules,
     "corpus_payloads": corpus_payloads,
