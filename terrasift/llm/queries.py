@@ -14,6 +14,7 @@ from .language_model import score_texts
 from .media import text_media
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
+from .periodic_runs import periodic_runs
 from .personal_data import KINDS, find_personal_data, joined
 from .quality import fit_quality, score_quality
 from .resampling import resample
@@ -96,6 +97,28 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def with_repeated_tails(docs: DataFrame) -> DataFrame:
+    """Documents of which those that a hash of the id picks repeat a stretch of words from some word on, to their end."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+    cut = docs.select("doc_id", "text", h.alias("h"), g.alias("g"), F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("words"))
+    placed = cut.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    sized = placed.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    tail = F.expr("slice(flatten(array_repeat(slice(words, cast(a as int) + 1, cast(p as int)), cast(ceil((n - a) / p) as int))), 1, cast(n - a as int))")
+    text = F.array_join(F.concat(F.expr("slice(words, 1, cast(a as int))"), tail), " ")
+    return sized.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_repeated_tails(documents(spark, sf_dir)))
+    most = F.expr("aggregate(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>), (m, r) -> CASE WHEN m IS NULL OR r.length * m.period > m.length * r.period THEN r ELSE m END)")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), most.alias("most"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"))
+    times = F.expr("1000 * most.length div most.period").alias("exponent_milli")
+    return out.select("doc_id", "n_runs", "most.start", "most.length", "most.period", times, "runs_sha256", "collapsed_sha256")
+
+
 def corpus_source_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix aims at: sizes and targets of sources."""
     mixed = mix_sources(documents(spark, sf_dir))
@@ -125,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_columns": op10_media_columns,
     "op11_byte_pairs": op11_byte_pairs,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_periodic_runs": op13_periodic_runs,
     "corpus_source_targets": corpus_source_targets,
     "corpus_url_rules": corpus_url_rules,
     "corpus_payloads": corpus_payloads,
