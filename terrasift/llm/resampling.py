@@ -190,7 +190,8 @@ def document_weights(docs: DataFrame, target: DataFrame, buckets: int, most: int
     rows = stored(postings(docs, buckets, most, salts))
     source = _sums(rows).withColumnRenamed("held", "s")
     wanted = added(postings(target, buckets, most, 1, True)).withColumnRenamed("held", "t")
-    both = stored(wanted.join(source, "group", "left"))  # a row for each of the groups, whatever the size of the corpora
+    groups = docs.sparkSession.range(GROUPS).select(F.col("id").cast("int").alias("group"))
+    both = stored(groups.join(wanted, "group", "left").join(source, "group", "left"))  # a row for each of the groups, whatever the size of the corpora
 
     def total(column: str) -> int:
         return sum(int(np.frombuffer(b[0], np.int64).sum()) for b in both.select(column).collect() if b[0] is not None)
@@ -201,8 +202,8 @@ def document_weights(docs: DataFrame, target: DataFrame, buckets: int, most: int
     def contribute(left: pa.Table, right: pa.Table) -> pa.Table:
         blocks, sums = [], []
         if len(left):
-            t = np.frombuffer(right.column("t")[0].as_py(), np.int64).astype(float)
             s = np.frombuffer(right.column("s")[0].as_py(), np.int64).astype(float)
+            t = np.frombuffer(right.column("t")[0].as_py() or bytes(8 * len(s)), np.int64).astype(float)
             gain = np.floor(1000 * np.log((t + 1) * (s_all + buckets) / ((s + 1) * (t_all + buckets))))
             for part in left.to_batches(64):
                 for block, held, docs, more_at, more in zip(*(part.column(k).to_pylist() for k in ("block", "held", "docs", "more_at", "more")), strict=True):
@@ -263,8 +264,8 @@ def resample(df: DataFrame, target: DataFrame, percent: int = 5, least_words: in
     ``least_words`` words with the highest scores are drawn without replacement in proportion to exp(weight / 1000).
 
     Null and empty texts have no features and weight 0; null ids are drawn as an empty id and come last among ties, as
-    do, of rows with equal id and score, those with more features. Repeated rows count each. An empty ``target``
-    gives every feature of ``df`` a negative gain. Other columns are left out. Rows of ``df`` must come in the same
+    do, of rows with equal id and score, those with more features. Repeated rows count each. An empty ``target`` favours
+    rare buckets. Other columns are left out. Rows of ``df`` must come in the same
     order when a part is read again, as those of files do.
     """
     docs = df.select(F.col(row_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
