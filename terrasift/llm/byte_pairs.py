@@ -34,7 +34,7 @@ MARGIN = 16
 #: Set in an id that begins a piece.
 FIRST = 1 << 30
 #: Fragments that a task remembers, and the longest in bytes.
-KNOWN, KNOWN_BYTES = 200_000, 256
+KNOWN, KNOWN_BYTES = 300_000, 256
 
 # A space is the first byte of a piece if what follows is no white space: always so for these next bytes (of the
 # lead bytes, C2 and E1 to E3 may begin one of Unicode's white space characters).
@@ -42,6 +42,15 @@ SOLID_NEXT = np.zeros(256, bool)
 SOLID_NEXT[0x21:0x7F] = True
 SOLID_NEXT[0xC3:0xE1] = True
 SOLID_NEXT[0xE4:0xF5] = True
+# What always ends a run of letters or digits.
+STOPS = np.zeros(256, bool)
+STOPS[list(b".,;:!?")] = True
+LETTERS = np.zeros(256, bool)
+LETTERS[0x30:0x3A] = LETTERS[0x41:0x5B] = LETTERS[0x61:0x7B] = True
+#: Fragments that are a piece in themselves: letters of the Latin blocks, or digits, behind one space at most.
+WORD = re.compile("\x20?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+)")
+SOLID = np.zeros(256, bool)
+SOLID[0x21:0x7F] = True
 
 
 class Vocabulary:
@@ -64,16 +73,21 @@ class Vocabulary:
         self.tokenizer.no_truncation()
         self.model, self.pieces = self.tokenizer.model, self.tokenizer.pre_tokenizer
         added = {t["id"]: t["content"] for t in told["added_tokens"]}
+        if any(re.search(r"[\s.,;:!?]", c) for c in added.values()):
+            raise ValueError(f"{path}: added tokens with spaces or stops can't be told from text in parts")
         self.added = {content: i for i, content in added.items()}
         self.margin = MARGIN + max([0, *(len(c.encode()) for c in self.added)])
         longest = sorted(self.added, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         letters = {c: b for b, c in enumerate(_alphabet())}
         self.alphabet = _alphabet()
-        self.bytes: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in self.tokenizer.get_vocab(False).items() if i not in added}
-        self.bytes |= {i: c.encode() for i, c in added.items()}
-        self.size = np.zeros(max(self.bytes) + 1, np.int64)
-        self.size[list(self.bytes)] = [len(b) for b in self.bytes.values()]
+        self.shown = dict(enumerate(self.alphabet))
+        found = {i: bytes(letters[c] for c in t) for t, i in self.tokenizer.get_vocab(False).items() if i not in added}
+        found |= {i: c.encode() for i, c in added.items()}
+        self.bytes = [found.get(i, b"") for i in range(max(found) + 1)]
+        self.size = np.array([len(b) for b in self.bytes], np.int64)
+        #: Separates fragments that are encoded together: an added token cuts its text apart.
+        self.between = min(self.added).encode() if self.added else None
         self.known: dict[bytes, bytes] = {}
 
     def text(self, ids: np.ndarray) -> bytes:
@@ -81,7 +95,7 @@ class Vocabulary:
 
     def merge(self, piece: bytes) -> np.ndarray:
         """The tokens of one piece."""
-        return np.array([t.id for t in self.model.tokenize("".join([self.alphabet[b] for b in piece]))], np.int32)
+        return np.array([t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.shown))], np.int32)
 
     def cut(self, text: bytes) -> list[tuple[int, int, int]]:
         """The pieces of a text: begin, end, and the id if it is an added token, else -1."""
@@ -94,33 +108,70 @@ class Vocabulary:
                 out.append((at, at := at + len(mapped), -1))
         return out
 
-    def encode(self, data: bytes, ends: list[int]) -> list[bytes]:
-        """Ids of consecutive texts, as 32-bit integers; those that begin a piece have ``FIRST`` set.
+    def fragments(self, data: bytes, ends: list[int]) -> tuple[list[bytes], list[int]]:
+        """Consecutive texts cut where a piece begins whatever is around it, and how many fragments end by each text's end.
 
-        Texts are cut before spaces that always begin a piece, so equal fragments have equal ids, wherever they stand.
+        A piece always begins at a space before what is no white space, at a comma or stop after an ASCII letter or
+        digit, and after a lone line feed.
         """
         raw = np.frombuffer(data, np.uint8)
         first = np.zeros(len(raw) + 1, bool)
-        first[: max(0, len(raw) - 1)] = (raw[:-1] == 32) & SOLID_NEXT[raw[1:]]
-        first[[e - 1 for e in ends if e]] = False  # what follows is another text
+        if len(raw) > 2:
+            first[:-2] = (raw[:-1] == 32) & SOLID_NEXT[raw[1:]]
+            first[[e - 1 for e in ends if e]] = False  # what follows is another text
+            first[1:-1] |= STOPS[raw[1:]] & LETTERS[raw[:-1]]
+            line = (raw[1:-1] == 10) & SOLID_NEXT[raw[2:]] & SOLID[raw[:-2]]
+            near = np.array([0, *ends])
+            line[np.clip(near[near >= 1] - 1, 0, len(line) - 1)] = False  # the three bytes are of one text
+            line[np.clip(near[near >= 2] - 2, 0, len(line) - 1)] = False
+            first[2:-1] |= line
         first[[0, *ends]] = True
-        at = np.flatnonzero(first).tolist()
-        parts = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+        at = np.flatnonzero(first)
+        cut = at.tolist()
+        return [data[a:b] for a, b in zip(cut, cut[1:], strict=False)], np.searchsorted(at, [0, *ends]).tolist()
+
+    def encode(self, data: bytes, ends: list[int]) -> list[bytes]:
+        """Ids of consecutive texts, as 32-bit integers; those that begin a piece have ``FIRST`` set.
+
+        Equal fragments have equal ids wherever they stand, so each is encoded once, and remembered.
+        """
+        parts, places = self.fragments(data, ends)
         if len(self.known) > KNOWN:
             self.known = {}
         known, long = self.known, {}
         new = [p for p in dict.fromkeys(parts) if p not in known]
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch([p.decode() for p in some], add_special_tokens=False), strict=True):
-                word = np.array([-1 if w is None else w for w in e.word_ids], np.int32)
-                ids = np.array(e.ids, np.int32)
-                ids[np.flatnonzero(np.diff(word, prepend=-2))] |= FIRST
-                (known if len(p) <= KNOWN_BYTES else long)[p] = ids.tobytes()
+        spaced, others = [], []
+        for p in new:
+            if WORD.fullmatch(p.decode()):
+                ids = [t.id for t in self.model.tokenize(p.decode("latin-1").translate(self.shown))]
+                ids[0] |= FIRST
+                (known if len(p) <= KNOWN_BYTES else long)[p] = np.array(ids, np.int32).tobytes()
+            else:
+                (spaced if p[0] == 32 and len(p) > 1 and SOLID_NEXT[p[1]] else others).append(p)
+        for some, between in ((spaced, b""), (others, self.between)):
+            for lo in range(0, len(some), 4096):
+                group = some[lo : lo + 4096]
+                for p, ids in zip(group, self.encode_new(group, between), strict=True):
+                    (known if len(p) <= KNOWN_BYTES else long)[p] = ids
         if long:
-            known = known | long if len(known) < 1000 else _Both(known, long)
-        places = np.searchsorted(np.array(at), [0, *ends])
-        return [b"".join(map(known.__getitem__, parts[a:b])) for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
+            known = _Both(known, long)
+        return [b"".join(map(known.__getitem__, parts[a:b])) for a, b in zip(places, places[1:], strict=False)]
+
+    def encode_new(self, parts: list[bytes], between: bytes | None) -> list[bytes]:
+        """Ids of fragments: encoded as one text, with ``between`` between them, or each by itself if that is None."""
+        texts = [between.join(parts)] if between is not None else parts
+        out = []
+        for text, e in zip(texts, self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False), strict=True):
+            ids, word = np.array(e.ids, np.int32), np.array(e.word_ids, np.int32)
+            sizes = np.array([len(p) for p in (parts if between is not None else [text])])
+            end = np.cumsum(sizes + len(between or b"")) - len(between or b"")
+            ends = np.cumsum(self.size[ids])
+            last = np.searchsorted(ends, end) + 1
+            begin = np.searchsorted(ends, end - sizes, side="right")
+            ids[np.flatnonzero(np.r_[True, word[1:] != word[:-1]])] |= FIRST
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip(begin.tolist(), last.tolist(), strict=True)]
+        return out
 
     def mend(self, piece: bytes, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Tokens of a piece that begins with the tokens ``left`` and ends with the tokens ``right`` of its sides."""
@@ -292,7 +343,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", row_id: str = "do
 def decode_tokens(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """The rows of ``df`` and the text of their ids, as the library decodes them, special tokens included.
 
-    Null ids give null, no ids an empty text; bytes that are no UTF-8 become U+FFFD. A column named ``text`` is replaced.
+    Null ids give null, no ids an empty text; bytes that are no UTF-8 become U+FFFD. Ids must be of the vocabulary. A column named ``text`` is replaced.
     """
     columns = [c for c in df.columns if c.lower() != text.lower()]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
@@ -303,9 +354,8 @@ def decode_tokens(df: DataFrame, path: str, ids: str = "ids", text: str = "decod
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                lists = part.column(at).to_pylist()
-                out = own.tokenizer.decode_batch([x or [] for x in lists], skip_special_tokens=False)
-                out = pa.array([None if x is None else y for x, y in zip(lists, out, strict=True)], pa.string())
+                out = [None if x is None else b"".join([own.bytes[i] for i in x]).decode("utf-8", "replace") for x in part.column(at).to_pylist()]
+                out = pa.array(out, pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, out], [*columns, text])
 
     return df.select(*columns).mapInArrow(run, f"{schema}, `{text}` string")
