@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import forget, stored
 from .neighbours import offsets, spread
 
+TILE = 256
+
 
 def _pairs(df: DataFrame) -> DataFrame:
     return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -27,14 +32,14 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         # large star: neighbours above a node go to the least of its neighbourhood
-        both = stored(now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m")))
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
         large = stored(_pairs(both.join(least, F.col("a") == F.col("node")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))))
         # small star: a node and its neighbours below go to the least of them
-        low = stored(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "node"))
+        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "node")
         lower = large.join(low, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         last, now = now, stored(_pairs(lower.unionByName(low.select(F.col("node").alias("a"), F.col("m").alias("b")))))
-        forget(last, both, least, large, low)
+        forget(last, large)
         before, state = state, _state(now)
         if state == before:
             break
@@ -42,10 +47,38 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def label8(mask: DataFrame, width: int, most_d2: int = 2) -> DataFrame:
-    """Adds ``comp``, the least flat id (r * width + c) of each cell's component; 8 neighbours by default."""
-    cells = mask.select("r", "c").distinct().withColumn("id", F.col("r").cast("long") * width + F.col("c"))
+    """Adds ``comp``, the least flat id (r * width + c) of each cell's component; 8 neighbours by default.
+
+    Each tile labels its own cells. Only labels that meet across a seam become edges, so rounds over edges see as many
+    rows as there are such meetings, not cells.
+    """
+    cells = mask.select("r", "c").distinct()
+    reach = math.isqrt(most_d2)
+    around = [(y, x) for y, x, _ in offsets(most_d2, 1)]
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        todo = dict.fromkeys(sorted(zip(pdf.r.tolist(), pdf.c.tolist(), strict=True)))
+        found = {}
+        for start in todo:
+            if start in found:
+                continue
+            found[start] = own = start[0] * width + start[1]
+            line = [start]
+            while line:
+                r, c = line.pop()
+                for y, x in around:
+                    n = (r + y, c + x)
+                    if n in todo and n not in found:
+                        found[n] = own
+                        line.append(n)
+        r, c = zip(*found, strict=True)
+        return pd.DataFrame({"r": r, "c": c, "part": list(found.values())})
+
+    tile = lambda x: F.floor(F.col(x) / TILE)
+    parts = stored(cells.groupBy(tile("r").alias("tr"), tile("c").alias("tc")).applyInPandas(label, "r int, c int, part long"))
+    near = lambda x: (F.pmod(F.col(x), F.lit(TILE)) < reach) | (F.pmod(F.col(x), F.lit(TILE)) >= TILE - reach)
+    seam = parts.where(near("r") | near("c"))
     half = [o for o in offsets(most_d2, 1) if (o[0], o[1]) > (0, 0)]
-    moved = spread(cells.withColumnRenamed("id", "a"), half).select("r", "c", "a")
-    edges = moved.join(cells.withColumnRenamed("id", "b"), ["r", "c"]).select("a", "b")
+    edges = spread(seam.withColumnRenamed("part", "a"), half).select("r", "c", "a").join(seam.withColumnRenamed("part", "b"), ["r", "c"]).where("a <> b").select("a", "b").distinct()
     found = components(edges)
-    return cells.join(found, F.col("id") == F.col("node"), "left").select("r", "c", F.coalesce("root", "id").alias("comp"))
+    return parts.join(found, F.col("part") == F.col("node"), "left").select("r", "c", F.coalesce("root", "part").alias("comp"))

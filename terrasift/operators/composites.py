@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import half_turn
 from .models import nonnegative_least_squares
-from .neighbours import offsets, shift, spread
-from .statistics import robust_unit
-from .surfaces import gaussian_taps, gradient, separable
+from .neighbours import offsets, spread
+from .surfaces import gaussian_taps, separable
 
 
 def nematic_order(parts: list[tuple[Column, Column]]) -> Column:
@@ -21,34 +20,6 @@ def nematic_order(parts: list[tuple[Column, Column]]) -> Column:
     return F.when(total > 0, F.sqrt(x * x + y * y) / total).otherwise(0.0)
 
 
-def edge_features(cells: DataFrame, a: str, b: str, sigma: float) -> DataFrame:
-    """Scaled gradient magnitudes of two smoothed fields and the cosine agreement of their directions."""
-    g = gaussian_taps(sigma)
-    out = cells.select("r", "c")
-    for name, value in (("a", a), ("b", b)):
-        smooth = separable(cells.select("r", "c", value), g, g, value, "_s").select("r", "c", "_s")
-        slope = gradient(smooth, "_s").select("r", "c", F.col("gy").alias(f"gy_{name}"), F.col("gx").alias(f"gx_{name}"), "magnitude")
-        out = out.join(robust_unit(slope, "magnitude", 0.05, 0.95, f"edge_{name}").drop("magnitude"), ["r", "c"])
-    dot = F.col("gy_a") * F.col("gy_b") + F.col("gx_a") * F.col("gx_b")
-    norm = F.sqrt((F.col("gy_a") ** 2 + F.col("gx_a") ** 2) * (F.col("gy_b") ** 2 + F.col("gx_b") ** 2))
-    return out.withColumn("agreement", F.when(norm > 0, F.abs(dot) / norm).otherwise(0.0))
-
-
-def texture_boundary(cells: DataFrame, value: str, reach: int) -> DataFrame:
-    """Largest contrast, over four directions, of what lies ``reach`` cells to either side, times how alike each side's own neighbours are."""
-    out = cells.select("r", "c", value)
-    terms = []
-    for k, (y, x) in enumerate(((0, 1), (1, 0), (1, 1), (1, -1))):
-        for name, side in ((f"_p{k}", 1), (f"_n{k}", -1)):
-            out = shift(out, -side * reach * y, -side * reach * x, value, name, cells)
-            out = shift(out, -side * reach * y - x, -side * reach * x + y, value, f"{name}t", cells)
-        p, n, pt, nt = (F.col(c) for c in (f"_p{k}", f"_n{k}", f"_p{k}t", f"_n{k}t"))
-        alike = 1 / (1 + F.abs(p - pt)) * 1 / (1 + F.abs(n - nt))
-        terms.append(F.coalesce(F.abs(p - n) * alike, F.lit(0.0)))
-    out = out.withColumn("_raw", F.greatest(*terms))
-    return robust_unit(out.select("r", "c", value, "_raw"), "_raw", 0.05, 0.99, "boundary").drop("_raw")
-
-
 def plume(points: DataFrame, cells: DataFrame, value: str, sigma: float) -> DataFrame:
     """Largest value per cell, blurred, scaled to its own maximum; cells without points start at 0."""
     top = points.groupBy("r", "c").agg(F.greatest(F.max(value), F.lit(0.0)).alias("_t"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,55 +170,7 @@ def density_clusters(points: DataFrame, eps2: int, least: int) -> DataFrame:
     reach = spread(cells.withColumn("r0", F.col("r")).withColumn("c0", F.col("c")), offsets(eps2))
     pairs = reach.join(cells, ["r", "c"]).select("r0", "c0", "r", "c")
     cores = pairs.groupBy(F.col("r0").alias("r"), F.col("c0").alias("c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("r", "c")
-    flat = lambda r, c: F.col(r).cast("long") * 1_000_000 + F.col(c)
-    own = cores.select(F.col("r").alias("r0"), F.col("c").alias("c0"))
-    links = pairs.join(own, ["r0", "c0"])
-    edges = links.join(cores, ["r", "c"]).select(flat("r0", "c0").alias("a"), flat("r", "c").alias("b"))
-    roots = components(edges)
-    named = cores.join(roots, flat("r", "c") == F.col("node"), "left").select(F.col("r").alias("r0"), F.col("c").alias("c0"), F.coalesce("root", flat("r", "c")).alias("cluster"))
+    named = label8(cores, 1_000_000, eps2).select(F.col("r").alias("r0"), F.col("c").alias("c0"), F.col("comp").alias("cluster"))
     best = pairs.join(named, ["r0", "c0"]).groupBy("r", "c").agg(F.min("cluster").alias("low"))
     inside = named.select(F.col("r0").alias("r"), F.col("c0").alias("c"), "cluster")
     return cells.join(best, ["r", "c"], "left").join(inside, ["r", "c"], "left").select("r", "c", F.coalesce("cluster", "low").alias("cluster"))
-
-
-def bridges(links: DataFrame) -> DataFrame:
-    """Adds ``bridge`` to links (a, b, ...): whether losing it parts its component. Parallel links are none.
-
-    Depth-first low points within each component of the link graph; components are solved apart.
-    """
-    roots = components(links.select("a", "b"))
-    marked = links.join(roots, links["a"] == roots["node"]).drop("node")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in links.schema.fields)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        around: dict = {}
-        for i, (a, b) in enumerate(zip(pdf.a, pdf.b, strict=True)):
-            around.setdefault(a, []).append((b, i))
-            around.setdefault(b, []).append((a, i))
-        order, low, found = {}, {}, set()
-        for start in sorted(around):
-            if start in order:
-                continue
-            order[start] = low[start] = len(order)
-            stack = [(start, -1, iter(around[start]))]
-            while stack:
-                v, by, rest = stack[-1]
-                for w, i in rest:
-                    if i == by:
-                        continue
-                    if w in order:
-                        low[v] = min(low[v], order[w])
-                    else:
-                        order[w] = low[w] = len(order)
-                        stack.append((w, i, iter(around[w])))
-                        break
-                else:
-                    stack.pop()
-                    if stack:
-                        u = stack[-1][0]
-                        low[u] = min(low[u], low[v])
-                        if low[v] > order[u]:
-                            found.add(by)
-        return pdf.drop(columns=["root"]).assign(bridge=[i in found for i in range(len(pdf))])
-
-    return marked.groupBy("root").applyInPandas(solve, f"{fields}, bridge boolean")

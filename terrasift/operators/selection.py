@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import kernel
 from ..storage import forget, stored
-from .components import label8
 from .metric import gain_map
 from .neighbours import KERNEL, WITHIN3, near_distance, offsets, spread
 from .statistics import quantile_cut
@@ -49,40 +47,6 @@ def spaced(cells: DataFrame, score: str, min_d2: int, blocked: DataFrame | None
     return out if n is None else out.orderBy(F.desc(score), "r", "c").limit(n)
 
 
-def by_cluster(cells: DataFrame, width: int, link_d2: int, solve, schema: str) -> DataFrame:
-    """Runs ``solve`` (pandas in, pandas out) on each interaction cluster: cells linked when nearer than the reach.
-
-    What is chosen in one cluster cannot change another, so this equals one global pass.
-    """
-    marked = label8(cells, width, link_d2)
-    return cells.join(marked, ["r", "c"]).groupBy("comp").applyInPandas(solve, schema)
-
-
-def thin(mask: DataFrame, width: int, min_d2: int) -> DataFrame:
-    """Breadth-first thinning: walk each cluster from its first cell, keep cells not blocked by a kept one."""
-    near = [(y, x) for y, x, _ in offsets(min_d2 - 1, 1)]
-    step = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1) if (y, x) != (0, 0)]
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        todo = dict.fromkeys(sorted(zip(pdf.r.tolist(), pdf.c.tolist(), strict=True)))
-        seen, blocked, kept = set(), set(), []
-        for start in todo:
-            queue = [] if start in seen else [start]
-            seen.add(start)
-            for r, c in queue:
-                if (r, c) not in blocked:
-                    kept.append((r, c))
-                    blocked.update((r + y, c + x) for y, x in near)
-                for y, x in step:
-                    n = (r + y, c + x)
-                    if n in todo and n not in seen:
-                        seen.add(n)
-                        queue.append(n)
-        return pd.DataFrame(kept, columns=["r", "c"])
-
-    return by_cluster(mask.select("r", "c").distinct(), width, max(2, min_d2 - 1), solve, "r int, c int")
-
-
 def cover_greedily(candidates: DataFrame, n: int | None = None, min_d2: int = 1, field: DataFrame | None = None) -> DataFrame:
     """(r, c, gain): greedy maximum coverage of a field (r, c, w) by at most ``n`` dots; by default the candidates' own.
 
@@ -244,15 +208,6 @@ def quota_fill(parent: DataFrame, distance: str, candidates: DataFrame, register
     return kept.withColumn("part", F.lit("kept")).unionByName(fits.select("r", "c", F.lit("fill").alias("part")))
 
 
-def ladder(mask: DataFrame, width: int, spacings: list[int]) -> DataFrame:
-    """(min_d2, dots): how many dots thinning leaves at each spacing."""
-    out = None
-    for d2 in spacings:
-        one = thin(mask, width, d2).agg(F.lit(d2).alias("min_d2"), F.count(F.lit(1)).alias("dots"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def relocate(dots: DataFrame, allowed: DataFrame) -> DataFrame:
     """(r, c, r0, c0): dots moved by their (dy, dx) where the target is allowed and free, else left in place.
 

@@ -29,6 +29,26 @@ def running_sums(df: DataFrame, key: str, amounts: dict[str, str], descending: b
     return out.select(*df.columns, *[(F.sum(a).over(w) + F.col(f"_before{i}")).alias(n) for i, (a, n) in enumerate(amounts.items())])
 
 
+def numbered(df: DataFrame, *order: str, name: str = "n", sums: dict[str, str] | None = None) -> DataFrame:
+    """Adds ``name``, each row's place from 0 in an order, and running sums in that order (column: name).
+
+    Rows are dealt by ranges of the order and numbered within; one count and sum a range goes to the driver and back.
+    Give an order in which no two rows are equal, or equal rows are alike.
+    """
+    sums = sums or {}
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = stored(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    before, starts = [0, *(0.0 for _ in sums)], []
+    for part, *more in sorted(ranged.groupBy("_part").agg(F.count(F.lit(1)), *[F.coalesce(F.sum(x), F.lit(0)).cast("double") for x in sums]).collect()):
+        starts.append((part, *before))
+        before = [x + y for x, y in zip(before, more, strict=True)]
+    names = ["_part int", "_first long", *(f"_sum{i} double" for i in range(len(sums)))]
+    table = df.sparkSession.createDataFrame(starts or [(0, 0, *(0.0 for _ in sums))], ", ".join(names))
+    out = ranged.join(F.broadcast(table), "_part")
+    w = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    return out.select(*df.columns, (F.col("_first") + F.col("_at")).alias(name), *[(F.sum(F.coalesce(x, F.lit(0))).over(w) + F.col(f"_sum{i}")).alias(n) for i, (x, n) in enumerate(sums.items())])
+
+
 def ranks(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """Average ranks from 1, from counts of distinct values."""
     levels = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
@@ -63,6 +83,18 @@ def mad_scale(df: DataFrame, value: str, name: str = "z") -> DataFrame:
     return two.withColumn(name, F.when(F.col("_mad") > 0, (F.col(value) - F.col("_med")) / (1.4826 * F.col("_mad"))).otherwise(0.0)).drop("_med", "_dev", "_mad")
 
 
+def robust_scale(df: DataFrame, value: str, name: str, where: Column | None = None) -> DataFrame:
+    """Adds 1.4826 times the median deviation of a column, its standard deviation where that is 0, 1 where both are.
+
+    With ``where``, over the rows that it holds for; the median is added as ``name`` + "_at".
+    """
+    part = (df if where is None else df.where(where)).select(value)
+    one = stored(quantile_cut(part, value, 0.5, "_m").withColumn("_d", F.abs(F.col(value) - F.col("_m"))))
+    two = quantile_cut(one, "_d", 0.5, "_w").agg(F.max("_m").alias(f"{name}_at"), F.max("_w").alias("_w"), F.stddev_pop(value).alias("_s"))
+    found = two.select(f"{name}_at", F.when(F.col("_w") > 0, 1.4826 * F.col("_w")).when(F.col("_s") > 0, F.col("_s")).otherwise(1.0).alias(name))
+    return df.join(F.broadcast(found), F.lit(True))
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation with averaged ties; null for a constant side."""
     both = ranks(ranks(df.select(a, b), a, "_ra"), b, "_rb")

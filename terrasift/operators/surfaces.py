@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from ..storage import forget, stored
 from .neighbours import nearest, shift
-from .statistics import mad_scale, quantile_cut, quantile_cuts, ranks, robust_unit
-from .tiles import Tile, correlate, slope, spectral, tiled
+from .statistics import quantile_cut, quantile_cuts, ranks, robust_scale, robust_unit
+from .tiles import Tile, correlate, full_grid, grid_cells, slope, spectral, tiled
+
+
+#: By sector of the slope's direction, the cells before and after across a ridge.
+ACROSS = (((0, -1), (0, 1)), ((-1, 1), (1, -1)), ((-1, 0), (1, 0)), ((-1, -1), (1, 1)))
 
 
 def gaussian_taps(sigma: float, order: int = 0, truncate: float = 4.0) -> list[float]:
@@ -81,30 +85,6 @@ def ridges(cells: DataFrame, score: str, gy: str = "gy", gx: str = "gx") -> Data
     return out.where(((v >= a) & (v > b)) | ((v > a) & (v >= b))).drop("_a", "_b")
 
 
-def hessian_eigenvalues(cells: DataFrame, value: str, sigma: float) -> DataFrame:
-    """Adds l1, l2 (|l1| <= |l2|) of the smoothed Hessian."""
-    g, d1, d2 = (gaussian_taps(sigma, k) for k in (0, 1, 2))
-    out = separable(cells.select("r", "c", value), d2, g, value, "rr")
-    out = out.join(separable(cells.select("r", "c", value), g, d2, value, "cc").select("r", "c", "cc"), ["r", "c"])
-    out = out.join(separable(cells.select("r", "c", value), d1, d1, value, "rc").select("r", "c", "rc"), ["r", "c"])
-    half = (F.col("rr") + F.col("cc")) / 2
-    root = F.sqrt(F.pow((F.col("rr") - F.col("cc")) / 2, 2) + F.col("rc") * F.col("rc"))
-    a, b = half + root, half - root
-    swap = F.abs(a) > F.abs(b)
-    return out.withColumn("l1", F.when(swap, b).otherwise(a)).withColumn("l2", F.when(swap, a).otherwise(b))
-
-
-def vesselness(cells: DataFrame, value: str, sigma: float, beta: float = 0.5) -> DataFrame:
-    """Frangi's measure of bright ridges, with half the largest norm as its scale."""
-    e = hessian_eigenvalues(cells, value, sigma)
-    norm = F.sqrt(F.col("l1") * F.col("l1") + F.col("l2") * F.col("l2"))
-    e = e.withColumn("_norm", norm)
-    e = e.join(F.broadcast(e.agg((F.max("_norm") / 2).alias("_c"))), F.lit(True))
-    ratio = F.col("l1") / F.nullif("l2", F.lit(0.0))
-    blob = F.exp(-(ratio * ratio) / (2 * beta**2)) * (1 - F.exp(-F.col("_norm") * F.col("_norm") / (2 * F.col("_c") * F.col("_c"))))
-    return e.withColumn("vesselness", F.when(F.col("l2") < 0, blob).otherwise(0.0)).drop("_norm", "_c")
-
-
 def oriented_mean(cells: DataFrame, value: str, half: int, direction: str, name: str) -> DataFrame:
     """Mean along a line of 2 * half + 1 cells, missing ones as 0: a range window per line of the direction."""
     lines: dict[str, tuple[Column, Column]] = {
@@ -227,44 +207,52 @@ def step_features(cells: DataFrame, depth: str, conductance: str, strain: str, h
     return both.select("r", "c", "depth_fine", "depth_coarse", "curvature", F.when(strong, F.least("depth_coarse", "_other")).otherwise(0.0).alias("concordance"), F.when(strong, F.col("agree")).otherwise(0.0).alias("orientation"), "strain_step")
 
 
-def lineament_surface(cells: DataFrame, value: str, half: int = 5, box: int = 3) -> DataFrame:
-    """(r, c, field, score, bonus) of a ratio band (0 is no data): low ratios in lines.
+def lineament_surface(cells: DataFrame, value: str, height: int, width: int, half: int = 10, box: int = 3) -> DataFrame:
+    """(r, c, field, score, bonus) of a ratio band (0, null: no data) on a grid: low ratios in lines.
 
-    The band is scaled so that its 5 % quantile is 1 and its 95 % quantile 0, smoothed, and thinned to ridges; a
-    ridge scores the best mean of four directions, more if it stands out of the other directions' mean. bonus is the
-    largest score of a square around.
+    The band is scaled so that its 5 % quantile is 1 and its 95 % quantile 0, filled from the nearest cell with data,
+    smoothed (reflected at the grid's edge), and thinned to ridges; a ridge scores the best mean of four directions
+    ``half`` cells to either side (0 beyond the grid), more if it stands out of the other directions' mean. bonus is
+    the largest score of a square around. Cells without data have 0. ValueError if the quantiles are equal.
     """
     known = cells.where(F.col(value) > 0).select("r", "c", F.col(value).cast("double").alias("_v"))
-    cut = quantile_cuts(known, "_v", {"_lo": 0.05, "_hi": 0.95})
-    field = stored(cut.select("r", "c", F.least(F.greatest((F.col("_hi") - F.col("_v")) / (F.col("_hi") - F.col("_lo")), F.lit(0.0)), F.lit(1.0)).alias("_f")))
+    cut = stored(quantile_cuts(known, "_v", {"_lo": 0.05, "_hi": 0.95}))
+    ends = cut.select("_lo", "_hi").first()
+    if ends is None or ends["_hi"] <= ends["_lo"]:
+        raise ValueError("the band has no data or no range between its 5 % and 95 % quantiles")
+    some = cut.select("r", "c", F.least(F.greatest((F.col("_hi") - F.col("_v")) / (F.col("_hi") - F.col("_lo")), F.lit(0.0)), F.lit(1.0)).alias("_f"))
+    both = full_grid(some, ["_f"], height, width).join(some.select("r", "c", F.lit(1.0).alias("_known")), ["r", "c"], "left")
     g = gaussian_taps(1.0)
 
     def solve(t: Tile) -> dict[str, np.ndarray]:
-        smooth = correlate(t["_f"], g, g) / np.maximum(correlate(t.inside.astype(float), g, g), 1e-12)
-        smooth = np.where(t.inside, smooth, 0.0)
-        gy, gx = slope(smooth, t.inside)
-        angle = np.degrees(np.arctan2(gy, gx)) % 180
-        sector = np.where((angle < 22.5) | (angle >= 157.5), 0, np.where(angle < 67.5, 1, np.where(angle < 112.5, 2, 3)))
-        low = np.where(t.inside, smooth, -np.inf)
-        ridge = np.zeros(smooth.shape, bool)
+        smooth = np.where(t.inside, correlate(t["_f"], g, g), 0.0)
+        known = t.inside & (t["_known"] > 0)
+        seen = np.where(known, smooth, 0.0)
+        gy, gx = slope(seen, t.inside)
+        sector = np.floor(((np.mod(np.arctan2(gy, gx), np.pi) + np.pi / 8) % np.pi) / (np.pi / 4)).astype(int)
+        low = np.where(t.inside, seen, -np.inf)
+        ridge = np.zeros(seen.shape, bool)
         means = []
-        for k, (y, x) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))):
-            p, n = np.roll(low, (-y, -x), (0, 1)), np.roll(low, (y, x), (0, 1))
-            ridge |= (sector == k) & (((smooth >= p) & (smooth > n)) | ((smooth > p) & (smooth >= n)))
+        for k, (y, x) in enumerate(((0, 1), (-1, 1), (1, 0), (1, 1))):
+            # at least as high as the cell before, higher than the one after, so that one of two equal cells is left
+            p, n = (np.roll(low, (-a, -b), (0, 1)) for a, b in ACROSS[k])
+            ridge |= (sector == k) & (low >= p) & (low > n)
             means.append(sum(np.roll(smooth, (i * y, i * x), (0, 1)) for i in range(-half, half + 1)) / (2 * half + 1))
         top, mean = np.max(means, 0), np.mean(means, 0)
         apart = np.where(top > 0, (top - mean) / np.maximum(top, 1e-12), 0.0)
-        score = np.where(ridge & t.inside, np.clip(top, 0, 1) * (0.5 + 0.5 * apart), 0.0)
+        score = np.where(ridge & known & (seen > 0), np.clip(top, 0, 1) * (0.5 + 0.5 * apart), 0.0)
         bonus = np.max([np.roll(score, (y, x), (0, 1)) for y in range(-box, box + 1) for x in range(-box, box + 1)], 0)
-        return {"field": smooth, "score": score, "bonus": bonus}
+        return {"field": seen, "score": score, "bonus": np.where(known, bonus, 0.0)}
 
-    return tiled(field, ["_f"], len(g) // 2 + half + box + 1, solve, ["field", "score", "bonus"])
+    out = tiled(both, ["_f", "_known"], len(g) // 2 + half + box + 1, solve, ["field", "score", "bonus"], reflect_of=(height, width))
+    return out.join(cells.select("r", "c"), ["r", "c"], "left_semi")
 
 
-def phase_energy(cells: DataFrame, value: str, height: int, width: int, scales: tuple[float, ...] = (1.5, 3.0), angles: int = 6, fill: float = 3.0, background: float = 6.0) -> DataFrame:
+def phase_energy(cells: DataFrame, value: str, height: int, width: int, scales: tuple[float, ...] = (1.0, 2.0, 4.0, 7.0), angles: int = 8, fill: float = 7.0, background: float = 20.0) -> DataFrame:
     """(r, c, energy): where odd filter responses of all scales agree in phase, times the log of their strength.
 
-    The band is filled by normalised smoothing, freed of its background, and divided by its median deviation.
+    The band is filled by normalised smoothing, freed of its background, and divided by its median deviation (its
+    standard deviation where that is 0). Filters reflect at the grid's edge.
     """
     wide, back = gaussian_taps(fill), gaussian_taps(background)
 
@@ -275,8 +263,11 @@ def phase_energy(cells: DataFrame, value: str, height: int, width: int, scales:
 
     v = F.col(value)
     known = F.coalesce(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e30), F.lit(False))
-    base = cells.select("r", "c", F.when(known, v).otherwise(0.0).cast("double").alias("_x"), known.cast("double").alias("_known"))
-    hp = stored(mad_scale(tiled(base, ["_x", "_known"], len(wide) // 2 + len(back) // 2, prepare, ["hp"]), "hp", "_z"))
+    own = cells.select("r", "c", F.when(known, v).otherwise(0.0).cast("double").alias("_x"), known.cast("double").alias("_known"), F.lit(1.0).alias("_own"))
+    base = grid_cells(cells.sparkSession, height, width).join(own, ["r", "c"], "left").na.fill(0.0)
+    edges = {"reflect_of": (height, width)}
+    high = stored(tiled(base, ["_x", "_known"], len(wide) // 2 + len(back) // 2, prepare, ["hp"], **edges).join(base.select("r", "c", "_own"), ["r", "c"]))
+    hp = stored(robust_scale(high, "hp", "_scale", F.col("_own") > 0).select("r", "c", "_own", (F.col("hp") / F.col("_scale")).alias("_z")))
     taps = [[gaussian_taps(s, k) for k in (0, 1, 2)] for s in scales]
 
     def solve(t: Tile) -> dict[str, np.ndarray]:
@@ -295,10 +286,9 @@ def phase_energy(cells: DataFrame, value: str, height: int, width: int, scales:
             strength = np.maximum(strength, amplitude)
         return {"phase": best, "strength": strength}
 
-    found = stored(tiled(hp, ["_z"], max(len(x[0]) for x in taps) // 2, solve, ["phase", "strength"]))
-    middle = quantile_cut(found, "strength", 0.5, "_m")
-    scale = stored(quantile_cut(middle.withColumn("_d", F.abs(F.col("strength") - F.col("_m"))), "_d", 0.5, "_mad"))
-    return scale.select("r", "c", F.when(F.col("_mad") > 0, F.col("phase") * F.log1p(F.col("strength") / (1.4826 * F.col("_mad")))).otherwise(0.0).alias("energy"))
+    found = tiled(hp, ["_z"], max(len(x[0]) for x in taps) // 2, solve, ["phase", "strength"], **edges)
+    inside = stored(found.join(hp.where("_own > 0").select("r", "c"), ["r", "c"], "left_semi"))
+    return robust_scale(inside, "strength", "_e").select("r", "c", (F.col("phase") * F.log1p(F.col("strength") / F.col("_e"))).alias("energy"))
 
 
 def context_bands(cells: DataFrame, value: str, height: int, width: int, fine: float = 2.0, coarse: float = 5.0) -> DataFrame:
@@ -374,38 +364,6 @@ def migration_bands(levels: list[DataFrame], cells: DataFrame, gy: str, gx: str,
     return out.join(near.select("r", "c", mean.alias("coherence")), ["r", "c"])
 
 
-def euler_windows(cells: DataFrame, half: int, index: float, least: float = 0.5) -> DataFrame:
-    """Euler deconvolution: (r, c, y0, x0, z0, base) of each window of (2 * half + 1) ** 2 cells.
-
-    cells: r, c, t (field), gy, gx, gz (its gradients). The sums of the normal equations are one pass of box
-    sums over products; the 4 x 4 systems are solved in batches. Windows with fewer than ``least`` of their
-    cells, or a singular system, are left out.
-    """
-    r, c = F.col("r").cast("double"), F.col("c").cast("double")
-    terms = {"y": F.col("gy"), "x": F.col("gx"), "z": F.col("gz"), "n": F.lit(float(index)), "b": r * F.col("gy") + c * F.col("gx") + index * F.col("t")}
-    names = list(terms)
-    products = {f"{p}{q}": terms[p] * terms[q] for i, p in enumerate(names) for q in names[i:]}
-    taps = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in range(-half, half + 1) for x in range(-half, half + 1)]))
-    moved = cells.select("r", "c", *[e.alias(k) for k, e in products.items()], taps.alias("o"))
-    sums = moved.groupBy((F.col("r") + F.col("o.y")).alias("r"), (F.col("c") + F.col("o.x")).alias("c")).agg(F.count(F.lit(1)).alias("cells"), *[F.sum(k).alias(k) for k in products])
-    full = sums.where(F.col("cells") >= least * (2 * half + 1) ** 2).join(cells.select("r", "c"), ["r", "c"], "left_semi")
-
-    held = frozenset(products)
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            get = lambda p, q: pdf[p + q if p + q in held else q + p].to_numpy()
-            a = np.stack([np.stack([get(p, q) for q in "yxzn"], -1) for p in "yxzn"], -2)
-            b = np.stack([get(p, "b") for p in "yxzn"], -1)
-            scale = np.sqrt(np.maximum(np.einsum("kii->ki", a), 1e-300))
-            unit = a / scale[:, :, None] / scale[:, None, :]
-            good = np.linalg.cond(unit) < 1e10
-            x = np.linalg.solve(unit[good], (b / scale)[good][:, :, None])[:, :, 0] / scale[good]
-            yield pd.DataFrame({"r": pdf.r[good], "c": pdf.c[good], "y0": x[:, 0], "x0": x[:, 1], "z0": x[:, 2], "base": x[:, 3]})
-
-    return full.mapInPandas(solve, "r int, c int, y0 double, x0 double, z0 double, base double")
-
-
 def skeleton(mask: DataFrame) -> DataFrame:
     """Zhang-Suen thinning to lines one cell wide: both half-passes until neither takes a cell.
 

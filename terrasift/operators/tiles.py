@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TILE = 128
@@ -29,11 +29,15 @@ class Tile:
         return self.bands[name]
 
 
-def tiled(cells: DataFrame, values: list[str], halo: int, solve: Callable[[Tile], dict[str, np.ndarray]], names: list[str], tile: int = TILE, nearest_of: tuple[int, int] | None = None) -> DataFrame:
+def tiled(cells: DataFrame, values: list[str], halo: int, solve: Callable[[Tile], dict[str, np.ndarray]], names: list[str], tile: int | None = None, nearest_of: tuple[int, int] | None = None, reflect_of: tuple[int, int] | None = None) -> DataFrame:
     """(r, c, names...) of ``solve`` on each tile; missing cells and nulls are 0 there.
 
-    With ``nearest_of`` (height, width), cells beyond the grid take the value of the nearest cell of its edge.
+    With ``nearest_of`` (height, width), cells beyond the grid take the value of the nearest cell of its edge; with
+    ``reflect_of``, that of the cell as far within the edge (the edge's own cell for the first beyond it). A tile is
+    at least twice as wide as the halo, so that halos are no more than four times what they surround.
     """
+    tile = max(TILE, 2 * halo) if tile is None else tile
+    edges = nearest_of or reflect_of
     far = lambda x: F.explode(F.sequence(F.floor((F.col(x) - halo) / tile).cast("int"), F.floor((F.col(x) + halo) / tile).cast("int")))
     homes = cells.select("r", "c", *[F.col(v).cast("double").alias(v) for v in values], far("r").alias("tr")).select("*", far("c").alias("tc"))
     n = tile + 2 * halo
@@ -49,8 +53,8 @@ def tiled(cells: DataFrame, values: list[str], halo: int, solve: Callable[[Tile]
         for v in values:
             a = np.zeros((n, n))
             a[r, c] = np.nan_to_num(pdf[v].to_numpy(dtype=float), nan=0.0)
-            if nearest_of:
-                a = a[np.clip(np.arange(n), max(0, -r0), min(n, nearest_of[0] - r0) - 1)][:, np.clip(np.arange(n), max(0, -c0), min(n, nearest_of[1] - c0) - 1)]
+            if edges:
+                a = a[_kept_within(n, r0, edges[0], bool(reflect_of))][:, _kept_within(n, c0, edges[1], bool(reflect_of))]
             bands[v] = a
         if not own.any():
             return pd.DataFrame({"r": [], "c": [], **{k: [] for k in names}})
@@ -60,6 +64,15 @@ def tiled(cells: DataFrame, values: list[str], halo: int, solve: Callable[[Tile]
     return homes.groupBy("tr", "tc").applyInPandas(run, ", ".join(["r int", "c int", *(f"`{k}` double" for k in names)]))
 
 
+def _kept_within(n: int, first: int, size: int, reflect: bool) -> np.ndarray:
+    """Where in a tile that begins at ``first`` each of its lines takes its values from, for a grid of ``size`` lines."""
+    at = np.arange(n) + first
+    if reflect:
+        at = at % (2 * size)
+        at = np.where(at < size, at, 2 * size - 1 - at)
+    return np.clip(at - first, max(0, -first), min(n, size - first) - 1)
+
+
 def correlate(a: np.ndarray, rows: list[float], cols: list[float]) -> np.ndarray:
     """Correlation with an outer product of two kernels, 0 beyond the array."""
     for axis, taps in ((0, rows), (1, cols)):
@@ -139,12 +152,16 @@ def spectral(cells: DataFrame, value: str, height: int, width: int, pad: int, fa
     return filtered.groupBy("r").applyInPandas(back, ", ".join(["r int", "c int", *(f"`{k}` double" for k in names)])).join(cells.select("r", "c"), ["r", "c"], "left_semi")
 
 
+def grid_cells(spark: SparkSession, height: int, width: int) -> DataFrame:
+    """(r, c) of every cell of a grid."""
+    return spark.range(height * width).select(F.floor(F.col("id") / width).cast("int").alias("r"), (F.col("id") % width).cast("int").alias("c"))
+
+
 def full_grid(cells: DataFrame, values: list[str], height: int, width: int, tests: dict[str, Column] | None = None) -> DataFrame:
     """Every cell of the grid with the bands; where a band is missing (or its test fails), the nearest cell's that has it."""
     from .neighbours import nearest
 
-    grid = cells.sparkSession.range(height * width).select((F.col("id") / width).cast("int").alias("r"), (F.col("id") % width).cast("int").alias("c"))
-    out = grid
+    out = grid = grid_cells(cells.sparkSession, height, width)
     for v in values:
         good = F.col(v).isNotNull() if not tests or v not in tests else F.coalesce(tests[v], F.lit(False))
         known = cells.where(good).select("r", "c", F.col(v).cast("double").alias(v))

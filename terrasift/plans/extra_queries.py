@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-from ..operators import composites, metric, neighbours as nb, selection, statistics as st, surfaces
+from ..operators import composites, graph, metric, neighbours as nb, selection, statistics as st, surfaces, textures, trees, walks
+from ..operators.components import label8
 from ..sources import files
 from ..sources.cells import cells, mask, sites, table, vertices
+from ..storage import stored
 from .cell_queries import VERTEX, six
+from .network_queries import cone
+from .place_queries import sparse
 from .registry import CELL, MASKS, offs, query
+from .surface_queries import field
 
 
 @query("q_props_json", "SELECT event_type AS kind, count(*) AS n FROM events WHERE json_valid(props) GROUP BY 1")
@@ -53,12 +57,16 @@ def nematic(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_edge_agreement")
 def edge_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return composites.edge_features(cells(spark, d).select("r", "c", "v", "q"), "v", "q", 1.0).select("r", "c", *six("edge_a", "edge_b", "agreement"))
+    """Edges of two fields at two scales, where they agree in strength and direction."""
+    got = textures.potential_edges(cells(spark, d).select("r", "c", "v", "q"), "v", "q", 256, 256)
+    return got.select("r", "c", *six("a_0", "a_1", "b_0", "b_1", "concordance", "orientation"))
 
 
 @query("q_texture_boundary")
 def texture_boundary(spark: SparkSession, d: str) -> DataFrame:
-    return composites.texture_boundary(cells(spark, d).select("r", "c", "q"), "q", 2).where("boundary > 0.1").select("r", "c", *six("boundary"))
+    """Three bands on the whole grid; only its own cells would leave few places where all samples lie on cells."""
+    got = textures.texture_boundary(field(spark, d, "v", "q", "disc"), ["v", "q", "disc"], 256, 256)
+    return got.select("r", "c", *six("v", "q", "disc", "boundary"))
 
 
 @query("q_plume")
@@ -165,9 +173,23 @@ def thin_along(spark: SparkSession, d: str) -> DataFrame:
     return selection.thin_along(x, 4, 2, 1)
 
 
+@query("q_thin_walk")
+def thin_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Thinning along strikes in the order of one breadth-first walk."""
+    x = cells(spark, d).where("q >= 48").select("r", "c", (F.col("disc") * 900).alias("strike"))
+    return walks.thin_along(x, 256, 4, 2)
+
+
 @query("q_ladder")
 def ladder(spark: SparkSession, d: str) -> DataFrame:
-    return selection.ladder(mask(cells(spark, d), "q >= 50"), 256, [2, 5, 8])
+    """Dots and kept credit by spacing, with scores that a fit to three measured ones predicts."""
+    x = cells(spark, d)
+    dots, network = stored(mask(x, "flag = 'A' and q >= 48")), stored(mask(x, "flag = 'R' and q >= 48"))
+    steps = stored(walks.ladder(dots, network, 256, [1, 2, 4, 5, 8]))
+    walked = stored(walks.breadth_first(dots, 256))
+    known = {d2: metric.score(walks.thin(dots, 256, d2, walked), network).first()["score"] for d2 in (1, 4, 8)}
+    credit, truth, _ = walks.fit_operating_point(steps, known, 0.12653)
+    return walks.with_predictions(steps, credit, truth, 0.12653).select("min_d2", "dots", "stand_dots", "go_on", *six("retention", "score"))
 
 
 @query("q_relocate", f"""WITH {CELL}, dots AS (SELECT r, c, r + 1 tr, c - 1 tc FROM cell WHERE q >= 49), fr AS (SELECT * FROM dots d WHERE EXISTS (SELECT 1 FROM cell WHERE cell.r = d.tr AND cell.c = d.tc) AND NOT EXISTS (SELECT 1 FROM dots o WHERE o.r = d.tr AND o.c = d.tc))
@@ -188,18 +210,27 @@ def swap_weakest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_bridges")
 def bridge_links(spark: SparkSession, d: str) -> DataFrame:
-    """Bridges among links of nations by suppliers' trade."""
-    from ..operators.graph import bridges
+    """Which links between systems, from ends along their headings, are the only ones between their two sides."""
+    links = cone(spark, d).select(F.col("comp_src").alias("a"), F.col("comp_tgt").alias("b"), "r", "c", "q_r", "q_c")
+    return trees.bridges(links)
+
 
-    links = table(spark, d, "supplier").select((F.col("s_suppkey") % 40).alias("a"), (F.col("s_suppkey") * 7 % 40).alias("b")).where("a <> b").distinct()
-    return bridges(links)
+@query("q_link_value")
+def link_value(spark: SparkSession, d: str) -> DataFrame:
+    """What each link between systems is worth to the network: connectivity, share, second moment and rank."""
+    x = label8(sparse(spark, d), 256)
+    systems = graph.lengths(x).select(F.col("comp").alias("node"), "length")
+    links = cone(spark, d).groupBy(F.col("comp_src").alias("a"), F.col("comp_tgt").alias("b")).agg(F.sqrt(F.min("d2")).alias("gap"))
+    one = trees.connectivity_of_one(2.5, 1.57, 5.0, 256.0)
+    return trees.link_values(systems, links, 5.0, one).select("a", "b", "bridge", "rank", *six("gap", "merged", "connectivity", "share", "moment"))
 
 
 @query("q_euler")
 def euler(spark: SparkSession, d: str) -> DataFrame:
-    x = surfaces.gradient(cells(spark, d).select("r", "c", F.col("q").alias("t")), "t").withColumn("gz", F.col("magnitude"))
-    got = surfaces.euler_windows(x.select("r", "c", "t", "gy", "gx", "gz"), 2, 1.0)
-    return got.select("r", "c", *[F.round(k, 3).alias(k) for k in ("y0", "x0", "z0")])
+    """Sources of a field from windows of ten cells, and how many gates each passed."""
+    x = surfaces.gradient(field(spark, d, "v").select("r", "c", F.col("v").alias("t")), "t").withColumn("gz", F.col("magnitude"))
+    got = textures.euler_windows(x.select("r", "c", "t", "gy", "gx", "gz"), 0.0)
+    return got.select("r", "c", "passed", *[F.round(k, 3).alias(k) for k in ("row", "col", "depth", "error")])
 
 
 @query("q_skeleton")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as s
-from ..operators import graph, links, metric, models, neighbours as nb, selection, splits, statistics as st, surfaces
+from ..operators import graph, links, metric, models, neighbours as nb, selection, splits, statistics as st, surfaces, textures, walks
 from ..operators.components import label8
 from ..sources.cells import cells, mask, sites, table, vertices
 from ..storage import stored
@@ -193,7 +193,8 @@ def ridge_nms(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_vesselness")
 def vesselness(spark: SparkSession, d: str) -> DataFrame:
-    return surfaces.vesselness(cells(spark, d).select("r", "c", "q"), "q", 1.0).where("vesselness > 0.2").select("r", "c", *six("vesselness"))
+    """Bright ridges at three scales."""
+    return textures.vesselness(cells(spark, d).select("r", "c", "q"), "q", 256, 256).select("r", "c", "scale", *six("vesselness"))
 
 
 @query("q_box_sum", f"WITH {CELL}, {offs(8)} SELECT t.r, t.c, sum(n.q) AS total FROM cell t CROSS JOIN offs JOIN cell n ON n.r = t.r + dy AND n.c = t.c + dx WHERE abs(dy) <= 2 AND abs(dx) <= 2 GROUP BY 1, 2")
@@ -255,11 +256,9 @@ def power_law(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_correlation_dimension", f"WITH {CELL}, m AS (SELECT r, c FROM cell WHERE q >= 50), p AS (SELECT (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) d2 FROM m a, m b WHERE (a.r, a.c) < (b.r, b.c)), k AS (SELECT rad, count(*) n FROM p, (SELECT unnest([4, 8, 16, 32]) rad) WHERE d2 <= rad * rad GROUP BY 1) SELECT round(regr_slope(ln(n), ln(rad)), 6) AS dimension FROM k")
 def correlation_dimension(spark: SparkSession, d: str) -> DataFrame:
-    """Slope of log pair counts over log radius, by one tiled range join at the largest radius."""
-    m = mask(cells(spark, d), "q >= 50")
-    p = links.tile_pairs(m, m, 32).where("a_r < b_r OR (a_r = b_r AND a_c < b_c)")
-    n = p.select(F.explode(F.filter(F.array(*map(F.lit, (4, 8, 16, 32))), lambda x: x * x >= F.col("d2"))).alias("rad")).groupBy("rad").agg(F.count(F.lit(1)).alias("n"))
-    return n.agg(F.round(F.regr_slope(F.ln("n"), F.ln("rad")), 6).alias("dimension"))
+    """Slope of log pair counts over log radius, the pairs counted by correlating tiles."""
+    n = textures.pair_counts(mask(cells(spark, d), "q >= 50"), [4, 8, 16, 32])
+    return n.where("pairs > 0").agg(F.round(F.regr_slope(F.ln("pairs"), F.ln("radius")), 6).alias("dimension"))
 
 
 @query("q_single_linkage", f"""WITH RECURSIVE {CELL}, m AS (SELECT r, c, CAST(r * 256 + c AS BIGINT) id FROM cell WHERE q >= 50), e AS (SELECT rad, a.id a, b.id b FROM m a JOIN m b ON abs(a.r - b.r) <= 3 AND abs(a.c - b.c) <= 3, (SELECT unnest([1, 2, 3]) rad) WHERE (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= rad * rad),
@@ -288,7 +287,7 @@ def spaced(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_dot_thin")
 def dot_thin(spark: SparkSession, d: str) -> DataFrame:
-    return selection.thin(sparse(spark, d), 256, 3)
+    return walks.thin(sparse(spark, d), 256, 3)
 
 
 @query("q_coverage_greedy")

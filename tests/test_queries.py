@@ -54,7 +54,7 @@ def test_spaced_set_is_independent_and_maximal(spark):
 
 
 def test_thinning_keeps_spacing_and_covers(spark):
-    from terrasift.operators.selection import thin
+    from terrasift.operators.walks import thin
 
     m = mask(cells(spark, DIR), "q >= 30")
     all_, kept = points(m), points(thin(m, 256, 3))
