@@ -171,16 +171,25 @@ def sample_bound(limit: int, n: int) -> int:
 
 
 def bounded_sample(df: DataFrame, limit: int, *by: str, seed: int = 7) -> DataFrame:
-    """``limit`` rows, or all if there are fewer, drawn by a hash of the columns ``by`` and the row's place in its partition.
+    """``limit`` rows, or all if there are fewer, drawn by a hash of the columns ``by``.
 
-    The place sets equal rows apart, so null or repeated keys neither flood the sample nor empty it. Little
-    more than ``limit`` rows reach the sort that draws exactly, at any size of the table. The same partitions
-    give the same rows.
+    Rows that are equal in ``by`` must be equal in all columns. They are told apart by a number within their group:
+    n of them get n places spread evenly over the range of the draw, so repeated keys neither flood the sample nor
+    empty it. No row's position counts: any partitioning gives the same rows, and so does a task that runs again.
+    Only hashes and their counts are shuffled, and what is broadcast has at most ``limit`` rows.
     """
-    order = spare("order", df.columns)
-    n = df.count()
-    drawn = df.withColumn(order, F.xxhash64(F.lit(seed), *[F.col(c) for c in by], F.monotonically_increasing_id()))
-    return drawn.where(F.col(order) <= sample_bound(limit, n)).orderBy(order).limit(limit).drop(order)
+    h, n, m = (spare(x, df.columns) for x in ("draw_hash", "draw_rows", "draw_times"))
+    hashed = df.withColumn(h, F.xxhash64(F.lit(seed), *[F.col(c) for c in by]))
+    counts = hashed.groupBy(h).agg(F.count(F.lit(1)).alias(n))
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    # of n equal rows those with a place up to the bound, and one more, can be drawn
+    bound = (sample_bound(limit, total) + (1 << 63)) / 2.0**64
+    places = F.explode(F.sequence(F.lit(0), F.least(F.col(n) - 1, F.ceil(F.col(n) * bound)).cast("int"))).alias("i")
+    uniform = (F.xxhash64(F.col(h), F.col("i")).cast("double") + float(1 << 63)) / 2.0**64
+    drawn = counts.select(h, n, places).select(h, ((F.col("i") + uniform) / F.col(n)).alias("at"), "i").where(F.col("at") <= bound)
+    times = drawn.orderBy("at", h, "i").limit(limit).groupBy(h).agg(F.count(F.lit(1)).alias(m))
+    one = hashed.join(F.broadcast(times), h).groupBy(h, m).agg(F.min(F.struct(*df.columns)).alias("row"))
+    return one.select("row.*", F.explode(F.sequence(F.lit(1), F.col(m).cast("int"))).alias(m)).drop(m)
 
 
 def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
