@@ -31,6 +31,8 @@ BLOCK = 1024
 #: Bits of the filter of texts that have a candidate.
 KEY_BITS = 23
 IDF = 0.2
+#: Texts of a block; two blocks meet in a group.
+SIDE = 64
 #: Buckets of at most this many texts compare all their pairs, in the first round and later.
 SMALL = (4, 64)
 
@@ -180,13 +182,15 @@ def shared(buckets: DataFrame) -> DataFrame:
 
 
 def comparisons(rest: DataFrame, i: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Pairs to look at in round ``i``, (bucket, key) of the texts that are then compared with all of their bucket, and the tables these read.
+    """What meets in round ``i``, (bucket, key) of the texts that are then compared with all of their bucket, and the tables these read.
 
-    ``rest`` (bucket, key, kind, root) has the texts that were not leaders yet. Buckets of one class are settled, and
-    small ones settle by all pairs. In others the texts meet leaders: two in the first round, then four times as many
-    each round, from outside the largest class. Leaders are the texts with the most company (texts that share a bucket
-    with them): what others were made from is near all of them, and comes first. Only texts of different classes are
-    paired.
+    ``rest`` (bucket, key, kind, root) has the texts that were not leaders yet. Buckets of one class are settled,
+    and small ones settle by all pairs. In others the texts meet leaders: two in the first round, then four times as
+    many each round, from outside the largest class. Leaders are the texts with the most company (texts that share a
+    bucket with them): what others were made from is near all of them, and comes first.
+
+    A bucket's texts and its leaders are dealt into blocks of about ``SIDE``; each block of texts meets each block of
+    leaders in one group, whose rows are the two blocks and not their pairs.
     """
     classes = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     state = classes.groupBy("bucket").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root"))["root"].alias("largest"))
@@ -194,15 +198,19 @@ def comparisons(rest: DataFrame, i: int) -> tuple[DataFrame, DataFrame, list[Dat
     now = stored(rest.join(state, "bucket"))
     small = F.col("size") <= (SMALL[1] if i else SMALL[0])
     few = now.where(small).select("bucket", "kind", "key", "root")
-    other = few.select("bucket", F.col("key").alias("other"), F.col("root").alias("other_root"))
-    all_pairs = few.join(other, "bucket").where("key > other and root <> other_root")
     outside = now.where(~small if not i else ~small & (F.col("root") != F.col("largest")))
-    hashed = F.struct((-F.col("company")).alias("d"), F.xxhash64(F.lit(10 * i), "key").alias("h"), "key", "root")
+    hashed = F.struct((-F.col("company")).alias("d"), F.xxhash64(F.lit(10 * i), "key").alias("h"), "key", "root", "kind", "size")
     leaders = least_of(outside.select("bucket", hashed.alias("leader")), 2 * 4**i)
-    met = now.where(~small).select("bucket", "kind", "key", "root").join(leaders, "bucket").where(F.col("root") != F.col("leader.root"))
-    met = met.select("kind", F.greatest("key", "leader.key").alias("a"), F.least("key", "leader.key").alias("b"))
+    columns = ("bucket", "mine", "theirs", "leads", "kind", "key", "root")
+    both = few.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("leads")).select("bucket", F.lit(0).alias("mine"), F.lit(0).alias("theirs"), "leads", "kind", "key", "root")
+    wide = -(-2 * 4**i // SIDE)
+    blocks = F.ceil(F.col("size") / SIDE).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("key", F.lit(3)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    texts = now.where(~small).select("bucket", part(blocks).alias("mine"), every(F.lit(wide)).alias("theirs"), F.lit(False).alias("leads"), "kind", "key", "root")
+    led = leaders.select("bucket", "leader.*").select("bucket", every(blocks).alias("mine"), part(F.lit(wide)).alias("theirs"), F.lit(True).alias("leads"), "kind", "key", "root")
     done = few.select("bucket", "key").unionByName(leaders.select("bucket", F.col("leader.key").alias("key")))
-    return all_pairs.select("kind", F.col("key").alias("a"), F.col("other").alias("b")).unionByName(met).distinct(), done, [now, leaders]
+    return both.select(*columns).unionByName(texts.select(*columns)).unionByName(led.select(*columns)), done, [now, leaders]
 
 
 def least_of(df: DataFrame, n: int) -> DataFrame:
@@ -213,16 +221,49 @@ def least_of(df: DataFrame, n: int) -> DataFrame:
     return stored(part.select("bucket", "leader"))
 
 
-def candidates(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose samples may be similar enough.
+def candidates(meeting: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """(group, a, b): pairs of ``comparisons`` whose samples may be similar enough, each once.
 
-    A pair goes on if its samples agree at least as often as chance would leave to 1 in 10,000 pairs at the threshold.
+    A pair goes on if it is of two classes and its samples agree at least as often as chance would leave to 1 in 10,000
+    pairs at the threshold. Of the buckets that two texts share only that of the first band looks at the pair.
     """
-    sa = signed.select(F.col("key").alias("a"), "kind", F.col("signature").alias("sa"))
-    sb = signed.select(F.col("key").alias("b"), "kind", F.col("signature").alias("sb"))
     least = int(SAMPLES * threshold - 3.9 * (SAMPLES * threshold * (1 - threshold)) ** 0.5)
-    agree = F.size(F.filter(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda i: F.substr(F.col("sa"), i * 4 + 1, F.lit(4)) == F.substr(F.col("sb"), i * 4 + 1, F.lit(4))))
-    return pairs.join(sa, ["a", "kind"]).join(sb, ["b", "kind"]).where(agree >= least).select("a", "b").distinct()
+    rows = meeting.join(signed, ["key", "kind"]).select(F.xxhash64("bucket", "mine", "theirs").alias("group"), "leads", "key", "root", "signature")
+
+    def pairs(leads: list[tuple], texts: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        if not leads or not texts:
+            return
+        first = np.frombuffer(b"".join(x[2] for x in leads), np.uint32).reshape(-1, SAMPLES)
+        second = np.frombuffer(b"".join(x[2] for x in texts), np.uint32).reshape(-1, SAMPLES)
+        own = ((first == first[0]).all(0) & (second == first[0]).all(0)).reshape(BANDS, ROWS).all(1)  # the bucket's band is one of these
+        for lo in range(0, len(texts), 256):
+            equal = second[lo : lo + 256, None, :] == first[None, :, :]
+            shared = equal.reshape(*equal.shape[:2], BANDS, ROWS).all(3)
+            for y, x in np.argwhere((equal.sum(2) >= least) & (own[shared.argmax(2)] | ~own.any())).tolist():
+                text, lead = texts[lo + y], leads[x]
+                if text[1] != lead[1]:
+                    yield max(text[0], lead[0]), min(text[0], lead[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, leads, texts = None, [], []
+
+        def out() -> pa.RecordBatch:
+            found = sorted(set(pairs(leads, texts)))
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(found), pa.int64()), pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["group", "a", "b"])
+
+        for batch in batches:
+            for group, lead, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if group != now:
+                    if texts:
+                        yield out()
+                    now, leads, texts = group, [], []
+                (leads if lead else texts).append(tuple(row))
+        if texts:
+            yield out()
+
+    dealt = rows.repartition("group").sortWithinPartitions("group")
+    # two leaders of a bucket meet in two groups, and so may texts that agree in more than one band
+    return dealt.mapInArrow(run, "group bigint, a binary, b binary").groupBy("a", "b").agg(F.min("group").alias("group")).select("group", "a", "b")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -251,31 +292,77 @@ def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return some.join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
-def verify(pairs: DataFrame, texts: DataFrame, idf, k: int, threshold: float) -> DataFrame:
-    """The pairs whose whole texts are similar enough."""
+def similar(pairs: list[tuple[bytes, bytes]], known: dict[bytes, tuple[np.ndarray, np.ndarray]], threshold: float) -> list[bool]:
+    """Whether the weighted Jaccard similarity of each pair reaches the threshold.
 
-    def similar(rows: pa.RecordBatch) -> list[bool]:
-        sides = []
-        for name in ("ta", "tb"):
-            own: list[tuple[np.ndarray, np.ndarray]] = []
-            for _, _, data, offs in chunks(text_rows(rows, name)):
-                row, h, count = shingles(data, offs, k)
-                w = weights(h, count, idf.value)
-                cut = np.searchsorted(row, np.arange(1, len(offs) - 1))
-                own += list(zip(np.split(h, cut), np.split(w, cut), strict=True))
-            sides.append(own)
-        return [weighted_jaccard(x, y) >= threshold - 1e-9 for x, y in zip(*sides, strict=True)]
+    The lesser total over the greater one bounds it. Many pairs of few texts are compared over a table of all their
+    shingles, a text with all its partners at once.
+    """
+    total = {k: float(w.sum()) for k, (_, w) in known.items()}
+    least = threshold - 1e-9
+    good = [min(total[a], total[b]) >= least * max(total[a], total[b]) for a, b in pairs]
+    live = [i for i, g in enumerate(good) if g]
+    keys = sorted({k for i in live for k in pairs[i]})
+    h = np.concatenate([known[k][0] for k in keys]) if keys else np.zeros(0, np.uint64)
+    if len(live) > 2 * len(keys):
+        all_, at = np.unique(h, return_inverse=True)
+        if len(keys) * len(all_) <= 1 << 23:
+            table = np.zeros((len(keys), len(all_)))
+            place = {k: j for j, k in enumerate(keys)}
+            table[np.repeat(np.arange(len(keys)), [len(known[k][0]) for k in keys]), at] = np.concatenate([known[k][1] for k in keys])
+            sums = np.array([total[k] for k in keys])
+            left = np.array([place[pairs[i][0]] for i in live])
+            right = np.array([place[pairs[i][1]] for i in live])
+            for x in np.unique(left).tolist():
+                mine = np.flatnonzero(left == x)
+                low = np.minimum(table[right[mine]], table[x]).sum(1)
+                for i, ok in zip(mine.tolist(), (low >= least * (sums[x] + sums[right[mine]] - low)).tolist(), strict=True):
+                    good[live[i]] = ok
+            return good
+    for i in live:
+        good[i] = weighted_jaccard(known[pairs[i][0]], known[pairs[i][1]]) >= least
+    return good
+
+
+def verify(pairs: DataFrame, texts: DataFrame, idf, k: int, threshold: float) -> DataFrame:
+    """The pairs whose whole texts are similar enough. A group gets each of its texts once, and cuts it once."""
+    needed = pairs.select("group", F.explode(F.array("a", "b")).alias("key")).distinct().join(texts, "key")
+    rows = needed.select("group", F.lit(0).alias("t"), F.col("key").alias("a"), F.lit(None).cast("binary").alias("b"), "text")
+    rows = rows.unionByName(pairs.select("group", F.lit(1).alias("t"), "a", "b", F.lit(None).cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 128):  # shingles of few pairs at a time
-                part = batch.slice(lo, 128)
-                good = pa.array(similar(part), pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], ["a", "b"])
+        now, known, waiting = None, {}, []
 
-    ta = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+        def out() -> pa.RecordBatch:
+            found = [p for p, ok in zip(waiting, similar(waiting, known, threshold), strict=True) if ok]
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            group, t, a, b = (batch.column(i).to_pylist() for i in range(4))
+            column = text_rows(batch, "text")
+            lo = 0
+            while lo < len(group):
+                hi = lo
+                while hi < len(group) and (group[hi], t[hi]) == (group[lo], t[lo]):
+                    hi += 1
+                if group[lo] != now:
+                    if waiting:
+                        yield out()
+                    now, known, waiting = group[lo], {}, []
+                if t[lo]:
+                    waiting += zip(a[lo:hi], b[lo:hi], strict=True)
+                else:
+                    for start, _, data, offs in chunks(column.slice(lo, hi - lo)):
+                        row, h, count = shingles(data, offs, k)
+                        w = weights(h, count, idf.value)
+                        cut = np.searchsorted(row, np.arange(1, len(offs) - 1))
+                        for j, own in enumerate(zip(np.split(h, cut), np.split(w, cut), strict=True)):
+                            known[a[lo + start + j]] = own
+                lo = hi
+        if waiting:
+            yield out()
+
+    return rows.repartition("group").sortWithinPartitions("group", "t").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.8, words: int = 5, text: str = "text", row_id: str = "doc_id") -> DataFrame:
@@ -291,26 +378,25 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, words: int = 5, text:
     idf = spark.sparkContext.broadcast(document_frequencies(docs, words))
     signed = stored(sign(docs, idf, words, threshold))
     buckets = stored(shared(bands(signed)))
-    links = labels = seen = None
+    links = labels = None
     rest, i = buckets, 0
     while True:
         now = rest.withColumn("root", F.col("key"))
         if labels is not None:
             now = stored(rest.join(labels, F.col("key") == F.col("node"), "left").select("bucket", "key", "kind", "company", F.coalesce("root", "key").alias("root")))
-        pairs, done, used = comparisons(now, i)
+        meeting, done, used = comparisons(now, i)
         done = stored(done)
         if i and done.isEmpty():
             forget(now, done, rest, signed, *used)
             break
-        pairs = candidates(pairs, signed, threshold)
-        pairs = stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        seen = pairs if seen is None else seen.unionByName(pairs)
+        pairs = stored(candidates(meeting, signed, threshold))
         if labels is None or not pairs.isEmpty():
             keys = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
             found = stored(verify(pairs, texts_of(docs, keys), idf, words, threshold))
             links = found if links is None else links.unionByName(found)
             old, labels = labels, stored(components(links))
             forget(keys, old)
+        forget(pairs)
         # only buckets with leaders can have more to compare
         old, rest = rest, stored(rest.join(done.select("bucket").distinct(), "bucket", "left_semi").join(done, ["bucket", "key"], "left_anti"))
         forget(now, old, done, *used)
