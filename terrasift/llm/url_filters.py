@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, others, spare, stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-BLOCK = "verdict=block"
 #: Between the tokens of a class.
 ALIKE = "\0"
 
@@ -80,7 +79,8 @@ def mine_rules(labelled: DataFrame, support: float = 0.01, confidence: float = 0
     Each distinct URL counts once, so a very frequent one weighs as much as a rare one; FP-growth learns from
     at most ``max_rows`` of them, and a rule rests on at least ``least``. Tokens that always come together are
     one item of FP-growth, named by all of them: what holds of one holds of each, and long URLs of one pattern
-    do not make a power set. All rules that reach support and confidence stay, but for those that a rule on
+    do not make a power set. A token that is sure by itself leaves the baskets before FP-growth, which sees blocked URLs
+    only; what its sets have against them is counted over the others by token. All rules that reach support and confidence stay, but for those that a rule on
     fewer of their tokens makes idle: where they match, it matches too.
     """
     some = stored(bounded_sample(labelled.select("url", "block").distinct(), max_rows, "url", "block"))
@@ -94,9 +94,25 @@ def mine_rules(labelled: DataFrame, support: float = 0.01, confidence: float = 0
         return []
     class_of = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
     known = F.array_distinct(F.array_compact(F.transform("tokens", lambda t: F.try_element_at(class_of, t))))
-    baskets = items.select(F.concat(known, F.when(F.col("block"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent")[0] == BLOCK).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    baskets = stored(items.select("row", known.alias("items"), "block"))
+    wanted = max(1, math.ceil(support * n - 1e-9))
+    singles = baskets.select("block", F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.count_if("block").alias("hits"))
+    surely = singles.where((F.col("hits") >= wanted) & (F.col("hits") >= confidence * F.col("n")))
+    found = surely.select(F.array("item").alias("tokens"), (F.col("hits") / F.col("n")).alias("confidence"), (F.col("hits") / n).alias("support"))
+    # a rule on more tokens is idle if one of them alone is sure, so these leave the baskets; and only sets of blocked rows can block
+    sure = [r.item for r in surely.select("item").toLocalIterator()]
+    open_rows = baskets.withColumn("items", F.array_except("items", F.array(*map(F.lit, sure)).cast("array<string>"))).where(F.size("items") > 1)
+    blocked = stored(open_rows.where("block").select("items"))
+    rows = blocked.count()
+    if rows >= wanted:
+        sets = FPGrowth(itemsCol="items", minSupport=(wanted - 0.5) / rows, minConfidence=1.0).fit(blocked).freqItemsets
+        sets = stored(sets.where(F.size("items") > 1).select(F.array_sort("items").alias("tokens"), "freq", F.xxhash64(F.array_sort("items")).alias("set")))
+        at = sets.select("set", F.size("tokens").alias("size"), F.explode("tokens").alias("item"))
+        other = open_rows.where("not block").select("row", F.explode("items").alias("item")).join(at, "item").groupBy("row", "set", "size").agg(F.count(F.lit(1)).alias("k")).where("k = size")
+        against = other.groupBy("set").agg(F.count(F.lit(1)).alias("misses"))
+        share = F.col("freq") / (F.col("freq") + F.coalesce("misses", F.lit(0)))
+        found = found.unionByName(sets.join(against, "set", "left").where(share >= confidence).select("tokens", share.alias("confidence"), (F.col("freq") / n).alias("support")))
+    rules = found
     kept: list[tuple[list[str], float, float]] = []
     having: dict[str, list[int]] = {}
     for r in rules.orderBy(F.size("tokens"), "tokens").toLocalIterator():

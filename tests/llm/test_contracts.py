@@ -201,3 +201,25 @@ def test_pipeline_stages_keep_columns_and_bear_anything(spark):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
     assert kept.count() == 4 and len({tuple(r) for _ in range(2) for r in corpus_pipeline.drop_near_duplicates(spark, docs.repartition(5), FOLDER).where("doc_id = 1").collect()}) == 1
     assert re.fullmatch(r"(mail \[email\] ){3000}", corpus_pipeline.redact_personal_data(spark, docs, FOLDER).where("doc_id = 3").first().text)
+
+
+def test_many_sure_tokens_make_no_power_set(spark):
+    rng = np.random.default_rng(3)
+    rows = [("http://h.example.org/p?" + "&".join(f"name{chr(97 + j // 26)}{chr(97 + j % 26)}=1" for j in range(40) if rng.random() < 0.9), True) for _ in range(600)]
+    rows += [(f"http://h.example.org/{i}?{'u' if i % 2 else 'v'}=1&{'w' if i % 5 else 'x'}=2", bool(i % 2 and i % 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "url string, block boolean")
+    rules = mine_rules(df)
+    assert {tuple(t) for t, _, _ in rules if any("name" in x for x in t)} == {(f"query:name{chr(97 + j // 26)}{chr(97 + j % 26)}",) for j in range(40)}
+    assert ["query:u", "query:w"] in [sorted(t) for t, _, _ in rules]
+    got = df.select("block", matches(tokens_of(F.col("url")), rules).alias("hit")).where("block <> hit").count()
+    assert got == 0
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(20_000).select((F.col("id") % 15_000).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 15_000)).alias("text"))
+    want = None
+    for n in (1, 4, 9):
+        got = sorted(tuple(r) for r in bounded_sample(df.repartition(n), 500, "doc_id", "text").collect())
+        joined = df.join(spark.range(15_000).withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text")
+        want = want or got
+        assert got == want and sorted(tuple(r) for r in bounded_sample(joined, 500, "doc_id", "text").collect()) == want
