@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as s
-from ..operators import metric, neighbours as nb, selection, statistics as st
+from ..operators import metric, neighbours as nb, resampling, selection, statistics as st
 from ..operators.components import label8
 from ..sources.cells import cells, mask, sites, table, vertices
-from .registry import CELL, MASKS, offs, query
+from ..sources.files import content_digest
+from .registry import CELL, MASKS, digest, offs, query
 
 
 def six(*names: str):
@@ -73,10 +74,10 @@ def verify_surface(spark: SparkSession, d: str) -> DataFrame:
     return one.selectExpr("stack(4, 'finite', a, 'in_range', b, 'not_constant', c, 'unique_cells', e) AS (check_name, passed)")
 
 
-@query("q_content_id", f"WITH {MASKS} SELECT sha256(string_agg(CAST(r * 256 + c AS VARCHAR), ',' ORDER BY r * 256 + c)) AS id, count(*) AS dots FROM pred")
+@query("q_content_id", f"WITH {MASKS}, flat AS (SELECT CAST(r * 256 + c AS BIGINT) k FROM pred), {digest('flat')} SELECT digest AS id, keys AS dots FROM tree4")
 def content_id(spark: SparkSession, d: str) -> DataFrame:
-    flat = mask(cells(spark, d), "flag = 'A'").select((F.col("r") * 256 + F.col("c")).alias("k"))
-    return flat.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda x: x.cast("string")), ","), 256).alias("id"), F.count(F.lit(1)).alias("dots"))
+    flat = mask(cells(spark, d), "flag = 'A'").select((F.col("r").cast("long") * 256 + F.col("c")).alias("k"))
+    return content_digest(flat, "k").select(F.col("digest").alias("id"), F.col("keys").alias("dots"))
 
 
 @query("q_host_allowlist", """SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages
@@ -393,6 +394,24 @@ def bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return st.bootstrap(b, "v", "b", 64, 200, 7).select(*six("lo", "hi"))
 
 
+@query("q_bootstrap_kinds")
+def bootstrap_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals by Poisson weights: a mean over blocks and over cells, two arms paired over blocks, a line's slope over cells."""
+    x = cells(spark, d).withColumn("block", F.floor(F.col("r") / 32) * 8 + F.floor(F.col("c") / 32))
+    one, arm = F.lit(1.0), lambda k: F.when(F.col("flag") == k, 1.0).otherwise(0.0)
+    kinds = {
+        "block": resampling.ratio_interval(x, ["block"], F.col("q"), one, 400, 20261026),
+        "cell": resampling.ratio_interval(x, ["r", "c"], F.col("q"), one, 400, 20261027),
+        "paired": resampling.paired_interval(x, ["block"], (F.col("q") * arm("A"), arm("A")), (F.col("q") * arm("R"), arm("R")), 400, 20261028),
+        "residual": resampling.slope_interval(x, ["r", "c"], "q", "v", 400, 20261029).drop("slope"),
+    }
+    out = None
+    for kind, row in kinds.items():
+        row = row.select(F.lit(kind).alias("kind"), *six("lo", "hi", "positive"), "used")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("q_paired", """WITH k AS (SELECT l_linenumber seed, l_returnflag arm, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*) x FROM lineitem GROUP BY 1, 2), p AS (SELECT a.seed, a.x - b.x d FROM k a JOIN k b ON a.seed = b.seed AND a.arm = 'A' AND b.arm = 'R')
  SELECT count(*) AS n, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd, count_if(d > 0) AS wins FROM p""", whole="wins")
 def paired(spark: SparkSession, d: str) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as s
-from ..operators import graph, links, metric, models, neighbours as nb, selection, splits, statistics as st, surfaces, textures, walks
+from ..operators import graph, links, metric, models, neighbours as nb, segments, selection, splits, statistics as st, surfaces, textures, walks
 from ..operators.components import label8
 from ..sources.cells import cells, mask, sites, table, vertices
+from ..sources.files import content_digest
 from ..storage import stored
 from .cell_queries import VERTEX, six
-from .registry import CELL, MASKS, offs, query
+from .registry import CELL, MASKS, digest, offs, query
 
 #: A sparse mask and its 8-connected components, in SQL.
 SPARSE = f"""{CELL}, m AS (SELECT r, c, CAST(r * 256 + c AS BIGINT) id FROM cell WHERE q >= 50), e AS (SELECT a.id a, b.id b FROM m a JOIN m b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
@@ -69,13 +70,20 @@ def overlap_matrix(spark: SparkSession, d: str) -> DataFrame:
     return both.select(F.col("f").alias("file_a"), F.col("g").alias("file_b"), "inside", F.round(F.col("inside") / F.col("n"), 9).alias("share"))
 
 
-@query("q_duplicate_files", f"WITH {REGISTRY}, k AS (SELECT f, sha256(string_agg(CAST(r * 256 + c AS VARCHAR), ',' ORDER BY r * 256 + c)) h FROM (SELECT * FROM reg UNION ALL SELECT f + 9, r, c FROM reg WHERE f < 3) GROUP BY 1) SELECT h AS digest, count(*) AS files, min(f) AS first_file FROM k GROUP BY 1 HAVING count(*) > 1")
+@query("q_duplicate_files", f"WITH {REGISTRY}, flat AS (SELECT f, CAST(r * 256 + c AS BIGINT) k FROM (SELECT * FROM reg UNION ALL SELECT f + 9, r, c FROM reg WHERE f < 3)), {digest('flat', 'f')} SELECT digest, count(*) AS files, min(f) AS first_file FROM tree4 GROUP BY 1 HAVING count(*) > 1")
 def duplicate_files(spark: SparkSession, d: str) -> DataFrame:
     """Equal dot sets by digest; three files are registered twice under another name."""
     reg = registry(spark, d)
-    all_ = reg.unionByName(reg.where("f < 3").withColumn("f", F.col("f") + 9)).withColumn("k", F.col("r") * 256 + F.col("c"))
-    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda x: x.cast("string")), ","), 256)
-    return all_.groupBy("f").agg(digest.alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("files"), F.min("f").alias("first_file")).where("files > 1")
+    all_ = reg.unionByName(reg.where("f < 3").withColumn("f", F.col("f") + 9)).select("f", (F.col("r").cast("long") * 256 + F.col("c")).alias("k"))
+    return content_digest(all_, "k", "f").groupBy("digest").agg(F.count(F.lit(1)).alias("files"), F.min("f").alias("first_file")).where("files > 1")
+
+
+@query("q_line_distance", f"""WITH {VERTEX}, {CELL}, seg AS (SELECT * FROM (SELECT line, seq, r a_r, c a_c, lead(r) OVER w q_r, lead(c) OVER w q_c FROM vertex WINDOW w AS (PARTITION BY line ORDER BY seq)) WHERE q_r IS NOT NULL),
+ g AS (SELECT r, c, line, seq, r - a_r y, c - a_c x, CAST(q_r - a_r AS DOUBLE) dy, CAST(q_c - a_c AS DOUBLE) dx FROM cell, seg), t AS (SELECT *, CASE WHEN dy = 0 AND dx = 0 THEN 0.0 ELSE least(greatest((y * dy + x * dx) / (dy * dy + dx * dx), 0.0), 1.0) END t FROM g),
+ k AS (SELECT r, c, min((round((y - t * dy) * (y - t * dy) + (x - t * dx) * (x - t * dx), 9), line, seq)) k FROM t GROUP BY 1, 2) SELECT r, c, k[2] AS line, CAST(k[3] AS BIGINT) AS seq, round(k[1], 6) AS d2 FROM k""")
+def line_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Every cell with the nearest segment of all lines, at any distance."""
+    return segments.nearest_line(cells(spark, d), segments.segments_of(vertices(spark, d)), 512.0).select("r", "c", "line", F.col("seq").cast("long").alias("seq"), F.round("d2", 6).alias("d2"))
 
 
 @query("q_nearest_polyline", f"WITH {CELL}, {offs(25)}, {VERTEX}, k AS (SELECT r + dy r, c + dx c, min(d2 * 10000000 + line) k FROM vertex, offs GROUP BY 1, 2) SELECT r, c, k % 10000000 AS line, k // 10000000 AS d2 FROM cell JOIN k USING (r, c)")

@@ -22,6 +22,15 @@ def offs(most_d2: int, least_d2: int = 0, name: str = "offs") -> str:
  (SELECT unnest(range(-{k}, {k + 1})) x) WHERE y * y + x * x BETWEEN {least_d2} AND {most_d2})"""
 
 
+def digest(rows: str, by: str = "") -> str:
+    """SQL expressions that end in ``tree4`` (by, k, digest, keys): the digest tree of rows (by, k)."""
+    own = f"{by}, " if by else ""
+    steps = [f"tree0 AS (SELECT {own}k >> 8 AS k, sha256(string_agg(CAST(k AS VARCHAR), ',' ORDER BY k)) AS digest, count(*) AS keys FROM (SELECT DISTINCT {own}k FROM {rows}) x GROUP BY ALL)"]
+    for i, shift in enumerate((8, 8, 8, 40)):
+        steps.append(f"tree{i + 1} AS (SELECT {own}t.k >> {shift} AS k, sha256(string_agg(t.k || ':' || digest, ',' ORDER BY t.k)) AS digest, CAST(sum(keys) AS BIGINT) AS keys FROM tree{i} t GROUP BY ALL)")
+    return ", ".join(steps)
+
+
 def query(name: str, sql: str | None = None, whole: str = "") -> Callable[[Query], Query]:
     """Registers a query and its SQL; ``whole`` names columns that SQL sums as wider integers."""
 

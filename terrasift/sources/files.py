@@ -143,3 +143,20 @@ def cached(spark: SparkSession, folder: str, inputs: list[str], make: Callable[[
     if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def content_digest(keys: DataFrame, key: str, *by: str) -> DataFrame:
+    """(by..., digest, keys): SHA-256 of each set of distinct whole numbers from 0 to 2**40, by a tree over fixed ranges.
+
+    A leaf is the text of the keys of a range of 256, in order, joined by commas; a node of each level above is the
+    text of its at most 256 parts, each as place:digest. Ranges are those of the key, so partitions do not matter and no task
+    holds more than 256 entries of a set at once.
+    """
+    rows = keys.select(*by, F.col(key).cast("long").alias("_k")).distinct()
+    leaf = F.array_join(F.transform(F.array_sort(F.collect_list("_k")), lambda x: x.cast("string")), ",")
+    now = rows.groupBy(*by, F.shiftright("_k", 8).alias("_k")).agg(F.sha2(leaf, 256).alias("digest"), F.count(F.lit(1)).alias("keys"))
+    for shift in (8, 8, 8, 40):
+        part = F.struct("_k", F.concat_ws(":", "_k", "digest").alias("d"))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["d"]), ",")
+        now = now.groupBy(*by, F.shiftright("_k", shift).alias("_next")).agg(F.sha2(joined, 256).alias("digest"), F.sum("keys").alias("keys")).withColumnRenamed("_next", "_k")
+    return now.select(*by, "digest", "keys")
