@@ -31,6 +31,8 @@ BLOCK = 1024
 #: Bits of the filter of texts that have a candidate.
 KEY_BITS = 23
 IDF = 0.2
+#: How many times as many leaders each round has: a round costs more than comparing blocks does.
+GROWTH = 32
 #: Texts of a block; two blocks meet in a group.
 SIDE = 64
 #: Buckets of at most this many texts compare all their pairs, in the first round and later.
@@ -185,8 +187,8 @@ def comparisons(rest: DataFrame, i: int) -> tuple[DataFrame, DataFrame, list[Dat
     """What meets in round ``i``, (bucket, key) of the texts that are then compared with all of their bucket, and the tables these read.
 
     ``rest`` (bucket, key, kind, root) has the texts that were not leaders yet. Buckets of one class are settled,
-    and small ones settle by all pairs. In others the texts meet leaders: two in the first round, then four times as
-    many each round, from outside the largest class. Leaders are the texts with the most company (texts that share a
+    and small ones settle by all pairs. In others the texts meet leaders: two in the first round, then ``GROWTH`` times
+    as many each round, from outside the largest class. Leaders are the texts with the most company (texts that share a
     bucket with them): what others were made from is near all of them, and comes first.
 
     A bucket's texts and its leaders are dealt into blocks of about ``SIDE``; each block of texts meets each block of
@@ -200,10 +202,10 @@ def comparisons(rest: DataFrame, i: int) -> tuple[DataFrame, DataFrame, list[Dat
     few = now.where(small).select("bucket", "kind", "key", "root")
     outside = now.where(~small if not i else ~small & (F.col("root") != F.col("largest")))
     hashed = F.struct((-F.col("company")).alias("d"), F.xxhash64(F.lit(10 * i), "key").alias("h"), "key", "root", "kind", "size")
-    leaders = least_of(outside.select("bucket", hashed.alias("leader")), 2 * 4**i)
+    leaders = least_of(outside.select("bucket", hashed.alias("leader")), 2 * GROWTH**i)
     columns = ("bucket", "mine", "theirs", "leads", "kind", "key", "root")
     both = few.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("leads")).select("bucket", F.lit(0).alias("mine"), F.lit(0).alias("theirs"), "leads", "kind", "key", "root")
-    wide = -(-2 * 4**i // SIDE)
+    wide = -(-2 * GROWTH**i // SIDE)
     blocks = F.ceil(F.col("size") / SIDE).cast("int")
     part = lambda n: F.pmod(F.xxhash64("key", F.lit(3)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -365,6 +367,18 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, k: int, threshold: float) ->
     return rows.repartition("group").sortWithinPartitions("group", "t").mapInArrow(run, "a binary, b binary")
 
 
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Classes (node, root) after new links (a, b): only the roots that these link are joined, and their texts follow."""
+    if labels is None:
+        return stored(components(links))
+    root = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    ends = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    moved = stored(components(ends)).select(F.col("node").alias("was"), F.col("root").alias("now"))
+    old = labels.join(moved, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
+    fresh = moved.select(F.col("was").alias("node"), F.col("now").alias("root")).join(labels.select("node"), "node", "left_anti")
+    return stored(old.unionByName(fresh))
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.8, words: int = 5, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Per row: its id, class_id (least id of its class), class_size, class_key and row_key.
 
@@ -378,7 +392,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, words: int = 5, text:
     idf = spark.sparkContext.broadcast(document_frequencies(docs, words))
     signed = stored(sign(docs, idf, words, threshold))
     buckets = stored(shared(bands(signed)))
-    links = labels = None
+    labels = None
     rest, i = buckets, 0
     while True:
         now = rest.withColumn("root", F.col("key"))
@@ -393,8 +407,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, words: int = 5, text:
         if labels is None or not pairs.isEmpty():
             keys = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
             found = stored(verify(pairs, texts_of(docs, keys), idf, words, threshold))
-            links = found if links is None else links.unionByName(found)
-            old, labels = labels, stored(components(links))
+            old, labels = labels, merged(labels, found)
             forget(keys, old)
         forget(pairs)
         # only buckets with leaders can have more to compare
