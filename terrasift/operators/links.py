@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import half_turn
@@ -43,7 +43,11 @@ def weighted_share(points: DataFrame, sites: DataFrame, radius: int, agree: Colu
 def borrow(points: DataFrame, segments: DataFrame, radius: int, agree: Column, value: str, k: int = 3) -> DataFrame:
     """Inverse-distance mean of a value over the k nearest agreeing segments; ties by segment id."""
     near = tile_pairs(points, segments, radius).where(agree).groupBy("a_id", "b_id").agg(F.min("d2").alias("d2"), F.min(f"b_{value}").alias("v"))
-    best = near.groupBy("a_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "b_id", "v"))), 1, k).alias("s"))
+    # ranked in parts first, so that no task sorts all candidates of a point
+    part = near.withColumn("part", F.pmod(F.xxhash64("b_id"), F.lit(64)))
+    for by in (["a_id", "part"], ["a_id"]):
+        part = part.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("d2", "b_id"))).where(F.col("place") <= k)
+    best = part.groupBy("a_id").agg(F.array_sort(F.collect_list(F.struct("d2", "b_id", "v"))).alias("s"))
     w = lambda x: 1 / (F.sqrt(x["d2"]) + 1)
     top = F.aggregate("s", F.lit(0.0), lambda a, x: a + w(x) * x["v"])
     low = F.aggregate("s", F.lit(0.0), lambda a, x: a + w(x))

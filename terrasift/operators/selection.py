@@ -81,12 +81,12 @@ def cover_greedily(candidates: DataFrame, n: int | None = None, min_d2: int = 1,
     return kept if n is None else kept.orderBy(F.desc("gain"), "r", "c").limit(n)
 
 
-def cover_thin(mask: DataFrame, budget: int, share: float = 0.06, most: int = 200) -> DataFrame:
+def cover_thin(mask: DataFrame, budget: int, share: float = 0.06) -> DataFrame:
     """``budget`` cells of a mask that cover it well, in batches: the best local gains first, gains updated between batches.
 
     A batch takes ``share`` of what is missing (rounded up) among cells whose gain is the largest of their 3 x 3
-    surroundings, by falling gain, none touching another of the batch; without such, among all that gain. Fewer
-    cells come back if nothing gains, or after ``most`` batches.
+    surroundings, by falling gain, none touching another of the batch; without such, among all that gain. Batches
+    go on until the budget is spent; fewer cells come back only if nothing gains.
     """
     todo = stored(mask.select("r", "c").distinct())
     size = todo.count()
@@ -94,9 +94,7 @@ def cover_thin(mask: DataFrame, budget: int, share: float = 0.06, most: int = 20
         return todo
     field = stored(spread(todo, KERNEL).select("r", "c").distinct().withColumn("w", F.lit(1.0)))
     cover, kept, taken = field.select("r", "c", F.lit(0.0).alias("cover")).limit(0), None, 0
-    for _ in range(most):
-        if taken >= budget:
-            break
+    while taken < budget:
         gains = stored(gain_map(todo, field, cover).select("r", "c", F.round("gain", 9).alias("gain")).where("gain > 0"))
         around = spread(gains, offsets(2, 1)).groupBy("r", "c").agg(F.max("gain").alias("top"))
         peaks = gains.join(around, ["r", "c"], "left").where(F.col("top").isNull() | (F.col("gain") >= F.col("top"))).select("r", "c", "gain")

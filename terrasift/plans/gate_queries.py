@@ -69,7 +69,7 @@ _PREFLIGHT = _case(
 )
 
 
-@query("q_preflight_gate", f"""WITH t AS (SELECT c_custkey k FROM customer), m AS (SELECT o_custkey k, 'p' || o_orderkey % 60 path, CASE WHEN o_orderkey % 31 = 0 THEN 'x' ELSE sha256('content ' || (o_orderkey % 60) % 50) END want FROM orders WHERE o_orderkey % 5 = 0),
+@query("q_preflight_gate", f"""WITH t AS (SELECT c_custkey k FROM customer), m AS (SELECT o_custkey k, 'p' || o_orderkey % 60 path, CASE WHEN o_orderkey % 31 = 0 THEN 'x' ELSE sha256('content ' || (o_orderkey % 60) % 50) END want FROM orders),
  f AS (SELECT 'p' || i path, sha256('content ' || i % 50) have FROM (SELECT unnest(range(58)) i)), s AS (SELECT k, count(*) n, count(*) - count_if(coalesce(have = want, false)) bad, count(DISTINCT have) kinds, count(have) found FROM m LEFT JOIN f USING (path) GROUP BY 1),
  r AS (SELECT k, concat_ws('; ', {_PREFLIGHT}) reasons FROM t LEFT JOIN s USING (k)) SELECT k AS plan_id, reasons, reasons = '' AS allowed FROM r""")
 def preflight_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def preflight_gate(spark: SparkSession, d: str) -> DataFrame:
     ).withColumn("time_cap_seconds", F.when(F.col("cap") == 0, F.lit(None)).otherwise(F.col("cap")).cast("int")).drop("cap")
     o = F.col("o_orderkey")
     digest = F.sha2(F.concat(F.lit("content "), ((o % 60) % 50).cast("string")), 256)
-    members = table(spark, d, "orders").where(o % 5 == 0).select(F.col("o_custkey").alias("plan_id"), F.concat(F.lit("p"), (o % 60).cast("string")).alias("path"), F.when(o % 31 == 0, "x").otherwise(digest).alias("sha256"))
+    members = table(spark, d, "orders").select(F.col("o_custkey").alias("plan_id"), F.concat(F.lit("p"), (o % 60).cast("string")).alias("path"), F.when(o % 31 == 0, "x").otherwise(digest).alias("sha256"))
     contents = spark.range(58).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.concat(F.lit("content "), (F.col("id") % 50).cast("string")).cast("binary").alias("content"))
     got = gates.preflight_gate(plans, members, contents, now)
     return got.select("plan_id", F.array_join("failures", "; ").alias("reasons"), "allowed")
@@ -189,14 +189,14 @@ def heat_flow_scan(spark: SparkSession, d: str) -> DataFrame:
     return got.select("fid", "r", "c", "hf_resid")
 
 
-@query("q_trace_scan", f"WITH {VERTEX}, ok AS (SELECT line FROM vertex GROUP BY 1 HAVING line % 3 <> 0), seg AS (SELECT line, seq, r, c, lead(r) OVER w q_r, lead(c) OVER w q_c FROM vertex SEMI JOIN ok USING (line) WINDOW w AS (PARTITION BY line ORDER BY seq)), st AS (SELECT *, greatest(abs(q_r - r), abs(q_c - c)) n FROM seg WHERE q_r IS NOT NULL AND seq <= 2) SELECT line, seq, CAST(i AS INTEGER) AS step, round(r + (q_r - r) * i / greatest(n, 1)::DOUBLE, 6) AS y, round(c + (q_c - c) * i / greatest(n, 1)::DOUBLE, 6) AS x FROM (SELECT *, unnest(range(0, greatest(n, 1))) i FROM st)")
+@query("q_trace_scan", f"WITH {VERTEX}, ok AS (SELECT line FROM vertex GROUP BY 1 HAVING line % 3 <> 0), seg AS (SELECT line, seq, r, c, lead(r) OVER w q_r, lead(c) OVER w q_c FROM vertex SEMI JOIN ok USING (line) WINDOW w AS (PARTITION BY line ORDER BY seq)), st AS (SELECT *, greatest(abs(q_r - r), abs(q_c - c)) n FROM seg WHERE q_r IS NOT NULL) SELECT line, seq, CAST(i AS INTEGER) AS step, round(r + (q_r - r) * i / greatest(n, 1)::DOUBLE, 6) AS y, round(c + (q_c - c) * i / greatest(n, 1)::DOUBLE, 6) AS x FROM (SELECT *, unnest(range(0, greatest(n, 1))) i FROM st)")
 def trace_scan(spark: SparkSession, d: str) -> DataFrame:
     """Traces that have both tendencies, densified to steps of one cell; a third of the lines lack one and go."""
     from ..sources.cells import vertices
 
     v = vertices(spark, d)
     tendency = v.select("line").distinct().select("line", F.lit(0.5).alias("ts"), F.when(F.col("line") % 3 != 0, 0.5).alias("td"))
-    return files.dense_traces(v, tendency).where("seq <= 2").select("line", F.col("seq").cast("long").alias("seq"), "step", *six("y", "x"))
+    return files.dense_traces(v, tendency).select("line", F.col("seq").cast("long").alias("seq"), "step", *six("y", "x"))
 
 
 @query("q_band_pack", f"WITH {CELL}, {offs(15)}, m AS (SELECT avg(v) mv, stddev_pop(v) sv FROM cell), k AS (SELECT r + dy r, c + dx c, min(d2) d2 FROM cell, offs WHERE q >= 49 GROUP BY 1, 2) SELECT r, c, round((v - mv) / sv, 6) AS v_z, round(ln(1 + q), 6) AS q_log, round(disc / (tax + 0.01), 6) AS ratio, round(sqrt(coalesce(d2, 16)), 6) AS dist FROM cell CROSS JOIN m LEFT JOIN k USING (r, c)")

@@ -112,27 +112,34 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def _surface_state(df: DataFrame, value: str) -> tuple:
     v = F.col(value)
     bad = F.count_if(v.isNull() | F.isnan(v) | ~v.between(0, 1))
-    return tuple(df.agg(F.count(F.lit(1)), bad, F.count_distinct("r", "c"), F.sum(F.xxhash64("r", "c", v).cast("decimal(38,0)"))).first())
+    return tuple(df.agg(F.count(F.lit(1)), bad, F.count_distinct("r", "c"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)"))).first())
 
 
 def verified_write(surface: DataFrame, value: str, path: str) -> DataFrame:
     """Write a surface only if it holds what it should: (cells, read_back, passed); ValueError before anything is put in place.
 
-    Checked first: no missing value, all within 0..1, no cell twice. It is written beside its place, read back,
-    compared by count and checksum, and renamed, which is one step of the file system.
+    Checked first: the place is free, no missing value, all within 0..1, no cell twice. It is written beside its
+    place, read back, compared by count and a checksum of all columns, and renamed, which is one step of the file
+    system. What was written beside goes if anything fails, so the same path can be tried again.
     """
-    cells, bad, distinct, checksum = before = _surface_state(surface, value)
-    if bad or distinct != cells:
-        raise ValueError(f"{bad} invalid values, {cells - distinct} cells twice")
     spark = surface.sparkSession
-    surface.write.mode("error").parquet(f"{path}.part")
-    after = _surface_state(spark.read.schema(surface.schema).parquet(f"{path}.part"), value)
-    if after != before:
-        raise ValueError("what was read back differs from what was written")
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     system = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.rename(place(f"{path}.part"), place(path)):
-        raise ValueError(f"could not put {path} in place")
+    if system.exists(place(path)):
+        raise ValueError(f"{path} is taken")
+    cells, bad, distinct, _ = before = _surface_state(surface, value)
+    if bad or distinct != cells:
+        raise ValueError(f"{bad} invalid values, {cells - distinct} cells twice")
+    beside = f"{path}.{uuid.uuid4().hex}.part"
+    try:
+        surface.write.mode("error").parquet(beside)
+        after = _surface_state(spark.read.schema(surface.schema).parquet(beside), value)
+        if after != before:
+            raise ValueError("what was read back differs from what was written")
+        if system.exists(place(path)) or not system.rename(place(beside), place(path)):
+            raise ValueError(f"could not put {path} in place")
+    finally:
+        system.delete(place(beside), True)
     return spark.createDataFrame([(cells, after[0], True)], "cells long, read_back long, passed boolean")
 
 
