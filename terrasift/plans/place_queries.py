@@ -60,13 +60,15 @@ def registry(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").where("l_quantity >= 48").select((F.col("l_suppkey") % 9).alias("f"), (F.col("l_partkey") % 256).cast("int").alias("r"), (F.col("l_orderkey") % 256).cast("int").alias("c")).distinct()
 
 
-@query("q_overlap_matrix", f"WITH {REGISTRY}, {offs(9)}, s AS (SELECT DISTINCT f, r + dy r, c + dx c FROM reg, offs), n AS (SELECT f, count(*) n FROM reg GROUP BY 1) SELECT a.f AS file_a, s.f AS file_b, count(*) AS inside, round(count(*) / max(n.n)::DOUBLE, 9) AS share FROM reg a JOIN s ON a.r = s.r AND a.c = s.c AND a.f <> s.f JOIN n ON n.f = a.f GROUP BY 1, 2")
+@query("q_overlap_matrix", f"WITH {REGISTRY}, {offs(9)}, s AS (SELECT DISTINCT f, r + dy r, c + dx c FROM reg, offs), n AS (SELECT f, count(*) n FROM reg GROUP BY 1), k AS (SELECT a.f fa, s.f fb, count(*) k FROM reg a JOIN s ON a.r = s.r AND a.c = s.c AND a.f <> s.f GROUP BY 1, 2) SELECT a.f AS file_a, b.f AS file_b, coalesce(k, 0) AS inside, round(coalesce(k, 0) / a.n::DOUBLE, 9) AS share FROM n a JOIN n b ON a.f <> b.f LEFT JOIN k ON fa = a.f AND fb = b.f")
 def overlap_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Share of each file's dots near each other file's, and only pairs that share dots: one spread, one join."""
+    """Share of each file's dots near each other file's, 0 where none is: one spread, one join, and the table of all pairs of files."""
     reg = registry(spark, d)
     near = nb.spread(reg.withColumnRenamed("f", "g"), nb.WITHIN3).select("g", "r", "c").distinct()
     n = reg.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    both = reg.join(near, ["r", "c"]).where("f <> g").groupBy("f", "g").agg(F.count(F.lit(1)).alias("inside")).join(n, "f")
+    shared = reg.join(near, ["r", "c"]).where("f <> g").groupBy("f", "g").agg(F.count(F.lit(1)).alias("inside"))
+    every = n.join(F.broadcast(n.select(F.col("f").alias("g"))), F.col("f") != F.col("g"))
+    both = every.join(shared, ["f", "g"], "left").withColumn("inside", F.coalesce("inside", F.lit(0)).cast("long"))
     return both.select(F.col("f").alias("file_a"), F.col("g").alias("file_b"), "inside", F.round(F.col("inside") / F.col("n"), 9).alias("share"))
 
 
