@@ -69,3 +69,36 @@ def nearest_line(points: DataFrame, segments: DataFrame, extent: float, start: f
     kinds = {f.name: f.dataType for f in lines.schema.fields}
     rest = todo.select("r", "c", F.lit(None).cast(kinds["line"]).alias("line"), F.lit(None).cast(kinds["seq"]).alias("seq"), F.lit(None).cast("double").alias("d2"))
     return rest if found is None else found.unionByName(rest)
+
+
+def crossing(a: list[Column], b: list[Column]) -> Column:
+    """Whether two segments (r, c, q_r, q_c) cross properly; touching ends have distance 0 by ``distance2`` anyway."""
+    side = lambda s, r, c: (s[2] - s[0]) * (c - s[1]) - (s[3] - s[1]) * (r - s[0])
+    apart = lambda s, o: (side(s, o[0], o[1]) * side(s, o[2], o[3])) < 0
+    return apart(a, b) & apart(b, a)
+
+
+def shortest_breach(pairs: DataFrame, segments: DataFrame, extent: float, start: float = 4.0) -> DataFrame:
+    """(a, b, d2) of pairs of lines (a, b): the squared length of the shortest way from one to the other.
+
+    0 where they cross or touch. The radius doubles from ``start``: segments of both lines meet in tiles that the one
+    passes within the radius and the other passes itself. Beyond ``extent``, and for lines without segments, d2 is null.
+    """
+    todo, lines = stored(pairs.select("a", "b").distinct()), stored(segments.select("line", "seq", "r", "c", "q_r", "q_c"))
+    names = ("r", "c", "q_r", "q_c")
+    found, reach = None, float(start)
+    while todo.head(1):
+        side = lambda k, near: in_tiles(lines, reach, near).select("tr", "tc", F.col("line").alias(k), F.col("seq").alias(f"{k}_seq"), *[F.col(x).cast("double").alias(f"{k}_{x}") for x in names])  # noqa: B023, E731
+        both = todo.join(side("a", reach), "a").join(side("b", 0.0), ["b", "tr", "tc"])
+        one, other = ([F.col(f"{k}_{x}") for x in names] for k in "ab")
+        ends = [distance2(p[i], p[i + 1], *s) for p, s in ((one, other), (other, one)) for i in (0, 2)]
+        d2 = F.round(F.when(crossing(one, other), 0.0).otherwise(F.least(*ends)), 9)
+        got = stored(both.select("a", "b", d2.alias("d2")).where(F.col("d2") <= reach * reach).groupBy("a", "b").agg(F.min("d2").alias("d2")))
+        found = got if found is None else found.unionByName(got)
+        last, todo = todo, stored(todo.join(got.select("a", "b"), ["a", "b"], "left_anti"))
+        forget(last)
+        if reach >= extent:
+            break
+        reach *= 2
+    rest = todo.withColumn("d2", F.lit(None).cast("double"))
+    return rest if found is None else found.unionByName(rest)

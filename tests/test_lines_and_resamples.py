@@ -85,3 +85,27 @@ def test_digests_of_sets(spark):
         got = {r.f: (r.digest, r["keys"]) for r in content_digest(df.repartition(n), "k", "f").collect()}
         assert got == {f: (want[f], len(set(v))) for f, v in sets.items()}
     assert content_digest(df.limit(0), "k", "f").count() == 0
+
+
+def test_shortest_breaches(spark):
+    rng = np.random.default_rng(11)
+    vertices = [(line, k, *map(int, rng.integers(0, 60, 2) + 70 * np.array([line % 3, line % 2]))) for line in range(9) for k in range(3)]
+    by = {}
+    for line, k, r, c in vertices:
+        by.setdefault(line, []).append((r, c))
+    segs = segments.segments_of(spark.createDataFrame(vertices, "line long, seq int, r int, c int"))
+    pairs = [(a, b) for a in range(9) for b in range(a + 1, 9)] + [(3, 99)]
+    got = {(r.a, r.b): r.d2 for r in segments.shortest_breach(spark.createDataFrame(pairs, "a long, b long"), segs, 500.0).collect()}
+    assert set(got) == set(pairs) and got[3, 99] is None
+
+    def side(s, p):
+        return (s[1][0] - s[0][0]) * (p[1] - s[0][1]) - (s[1][1] - s[0][1]) * (p[0] - s[0][0])
+
+    for a, b in pairs[:-1]:
+        best = math.inf
+        for s in zip(by[a], by[a][1:], strict=False):
+            for o in zip(by[b], by[b][1:], strict=False):
+                if side(s, o[0]) * side(s, o[1]) < 0 and side(o, s[0]) * side(o, s[1]) < 0:
+                    best = 0.0
+                best = min([best, *(plain_distance(p, *o) for p in s), *(plain_distance(p, *s) for p in o)])
+        assert math.isclose(got[a, b], best, abs_tol=1e-6), (a, b)
