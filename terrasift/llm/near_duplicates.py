@@ -205,12 +205,12 @@ def comparisons(rest: DataFrame, i: int) -> tuple[DataFrame, DataFrame, list[Dat
     leaders = least_of(outside.select("bucket", hashed.alias("leader")), 2 * GROWTH**i)
     columns = ("bucket", "mine", "theirs", "leads", "kind", "key", "root")
     both = few.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("leads")).select("bucket", F.lit(0).alias("mine"), F.lit(0).alias("theirs"), "leads", "kind", "key", "root")
-    wide = -(-2 * GROWTH**i // SIDE)
     blocks = F.ceil(F.col("size") / SIDE).cast("int")
+    wide = F.least(blocks, F.lit(-(-2 * GROWTH**i // SIDE)))  # a bucket has no more leaders than texts
     part = lambda n: F.pmod(F.xxhash64("key", F.lit(3)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    texts = now.where(~small).select("bucket", part(blocks).alias("mine"), every(F.lit(wide)).alias("theirs"), F.lit(False).alias("leads"), "kind", "key", "root")
-    led = leaders.select("bucket", "leader.*").select("bucket", every(blocks).alias("mine"), part(F.lit(wide)).alias("theirs"), F.lit(True).alias("leads"), "kind", "key", "root")
+    texts = now.where(~small).select("bucket", part(blocks).alias("mine"), every(wide).alias("theirs"), F.lit(False).alias("leads"), "kind", "key", "root")
+    led = leaders.select("bucket", "leader.*").select("bucket", every(blocks).alias("mine"), part(wide).alias("theirs"), F.lit(True).alias("leads"), "kind", "key", "root")
     done = few.select("bucket", "key").unionByName(leaders.select("bucket", F.col("leader.key").alias("key")))
     return both.select(*columns).unionByName(texts.select(*columns)).unionByName(led.select(*columns)), done, [now, leaders]
 
