@@ -33,8 +33,10 @@ KEY_BITS = 23
 IDF = 0.2
 #: How many times as many leaders each round has: a round costs more than comparing blocks does.
 GROWTH = 32
-#: Texts of a block; two blocks meet in a group.
-SIDE = 64
+#: Texts of a block, light and heavy ones; two blocks meet in a group.
+SIDE = (256, 64)
+#: Shingles of a slice of the tables by which blocks are compared.
+SLICE = 1 << 14
 #: Buckets of at most this many texts compare all their pairs, in the first round and later.
 SMALL = (4, 64)
 
@@ -192,7 +194,7 @@ def comparisons(rest: DataFrame, i: int) -> tuple[DataFrame, DataFrame, list[Dat
     bucket with them): what others were made from is near all of them, and comes first.
 
     A bucket's texts and its leaders are dealt into blocks of about ``SIDE``; each block of texts meets each block of
-    leaders in one group, whose rows are the two blocks and not their pairs.
+    leaders in one group, whose rows are the two blocks and not their pairs. A bucket is of one kind.
     """
     classes = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     state = classes.groupBy("bucket").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root"))["root"].alias("largest"))
@@ -205,8 +207,9 @@ def comparisons(rest: DataFrame, i: int) -> tuple[DataFrame, DataFrame, list[Dat
     leaders = least_of(outside.select("bucket", hashed.alias("leader")), 2 * GROWTH**i)
     columns = ("bucket", "mine", "theirs", "leads", "kind", "key", "root")
     both = few.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("leads")).select("bucket", F.lit(0).alias("mine"), F.lit(0).alias("theirs"), "leads", "kind", "key", "root")
-    blocks = F.ceil(F.col("size") / SIDE).cast("int")
-    wide = F.least(blocks, F.lit(-(-2 * GROWTH**i // SIDE)))  # a bucket has no more leaders than texts
+    side = F.when(F.col("kind") == 0, SIDE[0]).otherwise(SIDE[1])
+    blocks = F.ceil(F.col("size") / side).cast("int")
+    wide = F.least(blocks, F.ceil(F.lit(2 * GROWTH**i) / side).cast("int"))  # a bucket has no more leaders than texts
     part = lambda n: F.pmod(F.xxhash64("key", F.lit(3)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     texts = now.where(~small).select("bucket", part(blocks).alias("mine"), every(wide).alias("theirs"), F.lit(False).alias("leads"), "kind", "key", "root")
@@ -224,48 +227,51 @@ def least_of(df: DataFrame, n: int) -> DataFrame:
 
 
 def candidates(meeting: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """(group, a, b): pairs of ``comparisons`` whose samples may be similar enough, each once.
+    """(group, leads, texts, hits): of each group of ``comparisons`` the keys that have partners, and which have which.
 
-    A pair goes on if it is of two classes and its samples agree at least as often as chance would leave to 1 in 10,000
-    pairs at the threshold. Of the buckets that two texts share only that of the first band looks at the pair.
+    ``hits`` is a bit for each pair, texts by leads: a group's pairs are never rows. A pair is hit if it is of two
+    classes and its samples agree at least as often as chance would leave to 1 in 10,000 pairs at the threshold.
+    Of the buckets that two texts share only that of the first band looks at the pair.
     """
     least = int(SAMPLES * threshold - 3.9 * (SAMPLES * threshold * (1 - threshold)) ** 0.5)
     rows = meeting.join(signed, ["key", "kind"]).select(F.xxhash64("bucket", "mine", "theirs").alias("group"), "leads", "key", "root", "signature")
 
-    def pairs(leads: list[tuple], texts: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        if not leads or not texts:
-            return
+    def agreeing(leads: list[tuple], texts: list[tuple]) -> np.ndarray:
         first = np.frombuffer(b"".join(x[2] for x in leads), np.uint32).reshape(-1, SAMPLES)
         second = np.frombuffer(b"".join(x[2] for x in texts), np.uint32).reshape(-1, SAMPLES)
         own = ((first == first[0]).all(0) & (second == first[0]).all(0)).reshape(BANDS, ROWS).all(1)  # the bucket's band is one of these
-        for lo in range(0, len(texts), 256):
-            equal = second[lo : lo + 256, None, :] == first[None, :, :]
+        number = {r: i for i, r in enumerate({x[1] for x in leads} | {x[1] for x in texts})}
+        roots = [np.array([number[x[1]] for x in side]) for side in (texts, leads)]
+        hits = roots[0][:, None] != roots[1][None, :]
+        for lo in range(0, len(texts), 64):
+            equal = second[lo : lo + 64, None, :] == first[None, :, :]
             shared = equal.reshape(*equal.shape[:2], BANDS, ROWS).all(3)
-            for y, x in np.argwhere((equal.sum(2) >= least) & (own[shared.argmax(2)] | ~own.any())).tolist():
-                text, lead = texts[lo + y], leads[x]
-                if text[1] != lead[1]:
-                    yield max(text[0], lead[0]), min(text[0], lead[0])
+            hits[lo : lo + 64] &= (equal.sum(2) >= least) & (own[shared.argmax(2)] | ~own.any())
+        # two keys that both lead and are texts meet twice: the greater one is the text
+        place = {key: i for i, key in enumerate(sorted({x[0] for x in leads} | {x[0] for x in texts}))}
+        mine, theirs = (np.array([place[x[0]] for x in side]) for side in (texts, leads))
+        hits &= ~(np.isin(mine, theirs)[:, None] & np.isin(theirs, mine)[None, :] & (mine[:, None] < theirs[None, :]))
+        return hits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, leads, texts = None, [], []
 
-        def out() -> pa.RecordBatch:
-            found = sorted(set(pairs(leads, texts)))
-            return pa.RecordBatch.from_arrays([pa.array([now] * len(found), pa.int64()), pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["group", "a", "b"])
+        def out() -> Iterator[pa.RecordBatch]:
+            if leads and texts and (hits := agreeing(leads, texts)).any():
+                t, d = np.flatnonzero(hits.any(1)), np.flatnonzero(hits.any(0))
+                keys = [[side[i][0] for i in at.tolist()] for side, at in ((leads, d), (texts, t))]
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), *[pa.array([k], pa.list_(pa.binary())) for k in keys], pa.array([np.packbits(hits[np.ix_(t, d)]).tobytes()], pa.binary())], ["group", "leads", "texts", "hits"])
 
         for batch in batches:
             for group, lead, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if group != now:
-                    if texts:
-                        yield out()
+                    yield from out()
                     now, leads, texts = group, [], []
                 (leads if lead else texts).append(tuple(row))
-        if texts:
-            yield out()
+        yield from out()
 
     dealt = rows.repartition("group").sortWithinPartitions("group")
-    # two leaders of a bucket meet in two groups, and so may texts that agree in more than one band
-    return dealt.mapInArrow(run, "group bigint, a binary, b binary").groupBy("a", "b").agg(F.min("group").alias("group")).select("group", "a", "b")
+    return dealt.mapInArrow(run, "group bigint, leads array<binary>, texts array<binary>, hits binary")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -294,53 +300,74 @@ def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return some.join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
-def similar(pairs: list[tuple[bytes, bytes]], known: dict[bytes, tuple[np.ndarray, np.ndarray]], threshold: float) -> list[bool]:
-    """Whether the weighted Jaccard similarity of each pair reaches the threshold.
+def common_weights(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sums of the lesser weights of the shingles (sorted hash, weight) of every left and every right text.
 
-    The lesser total over the greater one bounds it. Many pairs of few texts are compared over a table of all their
-    shingles, a text with all its partners at once.
+    A shingle is split into the steps between its distinct weights; two texts share the steps that both reach, so
+    that the sums are products of two tables, taken in slices of fixed width.
     """
-    total = {k: float(w.sum()) for k, (_, w) in known.items()}
+    low = np.zeros((len(left), len(right)))
+    both = [*left, *right]
+    h, w = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
+    row = np.repeat(np.arange(len(both)), [len(x[0]) for x in both])
+    order = np.lexsort((w, h))
+    h, w, row = h[order], w[order], row[order]
+    if not len(h):
+        return low
+    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    size = np.diff(np.r_[starts, len(h)])
+    of_left = np.add.reduceat((row < len(left)).astype(np.int64), starts)
+    kept = np.repeat((of_left > 0) & (of_left < size), size)
+    h, w, row = h[kept], w[kept], row[kept]
+    if not len(h):
+        return low
+    fresh = np.r_[True, h[1:] != h[:-1]]
+    new = fresh | np.r_[True, w[1:] != w[:-1]]
+    at = np.flatnonzero(new)
+    step = w[at] - np.where(fresh[at], 0.0, w[at - 1])
+    lowest = np.maximum.accumulate(np.where(fresh[at], np.arange(len(at)), 0))
+    level = np.cumsum(new) - 1
+    reach = level - lowest[level] + 1
+    row = np.repeat(row, reach)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(reach) - reach, reach) + np.repeat(lowest[level], reach)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, len(at), SLICE):
+        hi = min(lo + SLICE, len(at))
+        part = slice(*np.searchsorted(column, (lo, hi)))
+        table = np.zeros((len(both), hi - lo))
+        table[row[part], column[part] - lo] = 1.0
+        low += (table[: len(left)] * step[lo:hi]) @ table[len(left) :].T
+    return low
+
+
+def similar(leads: list[bytes], texts: list[bytes], hits: np.ndarray, known: dict[bytes, tuple[np.ndarray, np.ndarray]], threshold: float) -> list[tuple[bytes, bytes]]:
+    """The hit pairs whose weighted Jaccard similarity reaches the threshold. The lesser total over the greater one bounds it."""
     least = threshold - 1e-9
-    good = [min(total[a], total[b]) >= least * max(total[a], total[b]) for a, b in pairs]
-    live = [i for i, g in enumerate(good) if g]
-    keys = sorted({k for i in live for k in pairs[i]})
-    h = np.concatenate([known[k][0] for k in keys]) if keys else np.zeros(0, np.uint64)
-    if len(live) > 2 * len(keys):
-        all_, at = np.unique(h, return_inverse=True)
-        if len(keys) * len(all_) <= 1 << 23:
-            table = np.zeros((len(keys), len(all_)))
-            place = {k: j for j, k in enumerate(keys)}
-            table[np.repeat(np.arange(len(keys)), [len(known[k][0]) for k in keys]), at] = np.concatenate([known[k][1] for k in keys])
-            sums = np.array([total[k] for k in keys])
-            left = np.array([place[pairs[i][0]] for i in live])
-            right = np.array([place[pairs[i][1]] for i in live])
-            for x in np.unique(left).tolist():
-                mine = np.flatnonzero(left == x)
-                low = np.minimum(table[right[mine]], table[x]).sum(1)
-                for i, ok in zip(mine.tolist(), (low >= least * (sums[x] + sums[right[mine]] - low)).tolist(), strict=True):
-                    good[live[i]] = ok
-            return good
-    for i in live:
-        good[i] = weighted_jaccard(known[pairs[i][0]], known[pairs[i][1]]) >= least
-    return good
-
-
-def verify(pairs: DataFrame, texts: DataFrame, idf, k: int, threshold: float) -> DataFrame:
-    """The pairs whose whole texts are similar enough. A group gets each of its texts once, and cuts it once."""
-    needed = pairs.select("group", F.explode(F.array("a", "b")).alias("key")).distinct().join(texts, "key")
-    rows = needed.select("group", F.lit(0).alias("t"), F.col("key").alias("a"), F.lit(None).cast("binary").alias("b"), "text")
-    rows = rows.unionByName(pairs.select("group", F.lit(1).alias("t"), "a", "b", F.lit(None).cast("string").alias("text")))
+    t, d = (np.array([float(known[k][1].sum()) for k in side]) for side in (texts, leads))
+    hits = hits & (np.minimum(t[:, None], d[None, :]) >= least * np.maximum(t[:, None], d[None, :]))
+    y, x = np.nonzero(hits)
+    if len(y) > len(set(y.tolist())) + len(set(x.tolist())):
+        mine, theirs = np.unique(y), np.unique(x)
+        low = common_weights([known[texts[i]] for i in mine.tolist()], [known[leads[i]] for i in theirs.tolist()])
+        low = low[np.searchsorted(mine, y), np.searchsorted(theirs, x)]
+        good = low >= least * (t[y] + d[x] - low)
+    else:
+        good = np.array([weighted_jaccard(known[texts[i]], known[leads[j]]) >= least for i, j in zip(y.tolist(), x.tolist(), strict=True)], bool)
+    return [(texts[i], leads[j]) for i, j in zip(y[good].tolist(), x[good].tolist(), strict=True)]
+
+
+def verify(groups: DataFrame, texts: DataFrame, idf, k: int, threshold: float) -> DataFrame:
+    """The pairs hit in ``candidates`` whose whole texts are similar enough. A group gets each of its texts once, and cuts it once."""
+    needed = groups.select("group", F.explode(F.array_union("leads", "texts")).alias("key")).distinct().join(texts, "key")
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("leads", "array<binary>"), ("texts", "array<binary>"), ("hits", "binary"))]
+    rows = needed.select("group", F.lit(0).alias("t"), "key", "text", *empty)
+    rows = rows.unionByName(groups.select("group", F.lit(1).alias("t"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast("string").alias("text"), "leads", "texts", "hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known, waiting = None, {}, []
-
-        def out() -> pa.RecordBatch:
-            found = [p for p, ok in zip(waiting, similar(waiting, known, threshold), strict=True) if ok]
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
-
+        now, known = None, {}
         for batch in batches:
-            group, t, a, b = (batch.column(i).to_pylist() for i in range(4))
+            group, t, key = (batch.column(i).to_pylist() for i in range(3))
             column = text_rows(batch, "text")
             lo = 0
             while lo < len(group):
@@ -348,21 +375,21 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, k: int, threshold: float) ->
                 while hi < len(group) and (group[hi], t[hi]) == (group[lo], t[lo]):
                     hi += 1
                 if group[lo] != now:
-                    if waiting:
-                        yield out()
-                    now, known, waiting = group[lo], {}, []
-                if t[lo]:
-                    waiting += zip(a[lo:hi], b[lo:hi], strict=True)
+                    now, known = group[lo], {}
+                if t[lo]:  # after all texts of the group
+                    for i in range(lo, hi):
+                        leads, others, bits = (batch.column(c)[i].as_py() for c in (4, 5, 6))
+                        hits = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(others) * len(leads)).reshape(len(others), len(leads)).astype(bool)
+                        if found := similar(leads, others, hits, known, threshold):
+                            yield pa.RecordBatch.from_arrays([pa.array(side, pa.binary()) for side in zip(*found, strict=True)], ["a", "b"])
                 else:
                     for start, _, data, offs in chunks(column.slice(lo, hi - lo)):
                         row, h, count = shingles(data, offs, k)
                         w = weights(h, count, idf.value)
                         cut = np.searchsorted(row, np.arange(1, len(offs) - 1))
                         for j, own in enumerate(zip(np.split(h, cut), np.split(w, cut), strict=True)):
-                            known[a[lo + start + j]] = own
+                            known[key[lo + start + j]] = own
                 lo = hi
-        if waiting:
-            yield out()
 
     return rows.repartition("group").sortWithinPartitions("group", "t").mapInArrow(run, "a binary, b binary")
 
@@ -403,13 +430,13 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, words: int = 5, text:
         if i and done.isEmpty():
             forget(now, done, rest, signed, *used)
             break
-        pairs = stored(candidates(meeting, signed, threshold))
-        if labels is None or not pairs.isEmpty():
-            keys = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-            found = stored(verify(pairs, texts_of(docs, keys), idf, words, threshold))
+        groups = stored(candidates(meeting, signed, threshold))
+        if labels is None or not groups.isEmpty():
+            keys = stored(groups.select(F.explode(F.array_union("leads", "texts")).alias("key")).distinct())
+            found = stored(verify(groups, texts_of(docs, keys), idf, words, threshold))
             old, labels = labels, merged(labels, found)
             forget(keys, old)
-        forget(pairs)
+        forget(groups)
         # only buckets with leaders can have more to compare
         old, rest = rest, stored(rest.join(done.select("bucket").distinct(), "bucket", "left_semi").join(done, ["bucket", "key"], "left_anti"))
         forget(now, old, done, *used)

@@ -79,7 +79,9 @@ def test_near_duplicates_match_brute_force(docs):
     assert got == root
 
 
-def test_hot_bucket_with_outsiders_and_a_chain(spark, monkeypatch):
+@pytest.mark.parametrize("side", [(256, 64), (16, 16)])
+def test_hot_bucket_with_outsiders_and_a_chain(spark, monkeypatch, side):
+    monkeypatch.setattr(near_duplicates, "SIDE", side)
     monkeypatch.setattr(near_duplicates, "bands", lambda signed: signed.selectExpr("cast(kind as bigint) as bucket", "key", "kind"))
     rng = np.random.default_rng(17)
     fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
@@ -316,3 +318,24 @@ def test_pipeline_stages(spark):
         assert docs.columns == columns and 0 < docs.count() <= n, name
         n = docs.count()
     assert corpus_pipeline.run(spark, folder).count() == n
+
+
+def test_blocks_of_texts_compare_as_single_pairs():
+    rng = np.random.default_rng(5)
+    pool = np.sort(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    known = {}
+    for i in range(30):
+        at = np.sort(rng.choice(len(pool), rng.integers(0, 120), replace=False))
+        known[bytes([i])] = (pool[at], rng.choice([1.0, 1.5, 2.25], len(at)) * (1 + (pool[at] % np.uint64(7)) / 10))
+    keys = list(known)
+    left, right = keys[:18], keys[12:]
+    low = near_duplicates.common_weights([known[k] for k in left], [known[k] for k in right])
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            own, theirs = (dict(zip(x[0].tolist(), x[1].tolist(), strict=True)) for x in (known[a], known[b]))
+            assert math.isclose(low[i, j], sum(min(w, theirs[h]) for h, w in own.items() if h in theirs), abs_tol=1e-9)
+    hits = rng.random((len(left), len(right))) < 0.9
+    for some in (hits, hits & (np.arange(hits.size).reshape(hits.shape) % 11 == 0)):
+        got = near_duplicates.similar(right, left, some, known, 0.05)
+        assert got and set(got) == {(left[i], right[j]) for i, j in zip(*np.nonzero(some), strict=True) if near_duplicates.weighted_jaccard(known[left[i]], known[right[j]]) >= 0.05}
+    assert near_duplicates.similar(right, left, hits & False, known, 0.05) == []
