@@ -33,10 +33,10 @@ KEY_BITS = 23
 IDF = 0.2
 #: How many times as many leaders each round has: a round costs more than comparing blocks does.
 GROWTH = 32
-#: Texts of a block, light and heavy ones; two blocks meet in a group.
-SIDE = (256, 64)
-#: Shingles of a slice of the tables by which blocks are compared.
-SLICE = 1 << 14
+#: Texts of a block, by their mean size: as many as hold about ``LOAD`` bytes, from 16 to ``SIDE``. Two blocks meet in a group.
+SIDE, LOAD = 1024, 1 << 21
+#: Cells of the tables by which blocks are compared; more shingles are taken in slices.
+CELLS = 1 << 22
 #: Buckets of at most this many texts compare all their pairs, in the first round and later.
 SMALL = (4, 64)
 
@@ -141,7 +141,7 @@ def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, heavy
 
 
 def sign(df: DataFrame, idf, k: int, threshold: float) -> DataFrame:
-    """(key, kind, signature) of a table (key, text); texts without words have none."""
+    """(key, kind, signature, bytes) of a table (key, text); texts without words have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
@@ -166,9 +166,9 @@ def sign(df: DataFrame, idf, k: int, threshold: float) -> DataFrame:
                     own = of[row]
                     place = np.cumsum(of) - 1
                     sig = signatures(place[row[own]], h[own], w[own], int(of.sum()), kind == 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[new[lo + i]] for i in np.flatnonzero(of)], pa.binary()), pa.array(np.full(len(sig), kind, np.int8)), pa.array([s.tobytes() for s in sig], pa.binary())], ["key", "kind", "signature"])
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[new[lo + i]] for i in np.flatnonzero(of)], pa.binary()), pa.array(np.full(len(sig), kind, np.int8)), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(np.diff(offs)[of])], ["key", "kind", "signature", "bytes"])
 
-    return df.select("key", "text").mapInArrow(run, "key binary, kind tinyint, signature binary").dropDuplicates(["key", "kind"])
+    return df.select("key", "text").mapInArrow(run, "key binary, kind tinyint, signature binary, bytes bigint").dropDuplicates(["key", "kind"])
 
 
 def bands(signed: DataFrame) -> DataFrame:
@@ -177,12 +177,12 @@ def bands(signed: DataFrame) -> DataFrame:
     return signed.select(F.explode(F.array(*part)).alias("bucket"), "key", "kind")
 
 
-def shared(buckets: DataFrame) -> DataFrame:
-    """(bucket, key, kind, company) of the buckets with several texts; company adds up the sizes of a text's buckets."""
+def shared(buckets: DataFrame, signed: DataFrame) -> DataFrame:
+    """(bucket, key, kind, company, bytes) of the buckets with several texts; company adds up the sizes of a text's buckets."""
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     several = stored(buckets.join(sizes, "bucket"))
     company = several.groupBy("key", "kind").agg(F.sum("size").alias("company"))
-    return several.drop("size").join(company, ["key", "kind"]).select("bucket", "key", "kind", "company")
+    return several.drop("size").join(company, ["key", "kind"]).join(signed.drop("signature"), ["key", "kind"]).select("bucket", "key", "kind", "company", "bytes")
 
 
 def comparisons(rest: DataFrame, i: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
@@ -193,23 +193,23 @@ def comparisons(rest: DataFrame, i: int) -> tuple[DataFrame, DataFrame, list[Dat
     as many each round, from outside the largest class. Leaders are the texts with the most company (texts that share a
     bucket with them): what others were made from is near all of them, and comes first.
 
-    A bucket's texts and its leaders are dealt into blocks of about ``SIDE``; each block of texts meets each block of
-    leaders in one group, whose rows are the two blocks and not their pairs. A bucket is of one kind.
+    A bucket's texts and its leaders are dealt into blocks (see ``SIDE``); each block of texts meets each block of
+    leaders in one group, whose rows are the two blocks and not their pairs.
     """
-    classes = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    state = classes.groupBy("bucket").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root"))["root"].alias("largest"))
-    state = state.where("roots > 1").drop("roots")
+    classes = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    state = classes.groupBy("bucket").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root"))["root"].alias("largest"), F.sum("bytes").alias("load"))
+    side = F.greatest(F.lit(16), F.least(F.lit(SIDE), F.floor(LOAD * F.col("size") / F.greatest("load", F.lit(1))))).cast("int")
+    state = state.where("roots > 1").select("bucket", "size", "largest", side.alias("side"))
     now = stored(rest.join(state, "bucket"))
     small = F.col("size") <= (SMALL[1] if i else SMALL[0])
     few = now.where(small).select("bucket", "kind", "key", "root")
     outside = now.where(~small if not i else ~small & (F.col("root") != F.col("largest")))
-    hashed = F.struct((-F.col("company")).alias("d"), F.xxhash64(F.lit(10 * i), "key").alias("h"), "key", "root", "kind", "size")
+    hashed = F.struct((-F.col("company")).alias("d"), F.xxhash64(F.lit(10 * i), "key").alias("h"), "key", "root", "kind", "size", "side")
     leaders = least_of(outside.select("bucket", hashed.alias("leader")), 2 * GROWTH**i)
     columns = ("bucket", "mine", "theirs", "leads", "kind", "key", "root")
     both = few.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("leads")).select("bucket", F.lit(0).alias("mine"), F.lit(0).alias("theirs"), "leads", "kind", "key", "root")
-    side = F.when(F.col("kind") == 0, SIDE[0]).otherwise(SIDE[1])
-    blocks = F.ceil(F.col("size") / side).cast("int")
-    wide = F.least(blocks, F.ceil(F.lit(2 * GROWTH**i) / side).cast("int"))  # a bucket has no more leaders than texts
+    blocks = F.ceil(F.col("size") / F.col("side")).cast("int")
+    wide = F.least(blocks, F.ceil(F.lit(2 * GROWTH**i) / F.col("side")).cast("int"))  # a bucket has no more leaders than texts
     part = lambda n: F.pmod(F.xxhash64("key", F.lit(3)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     texts = now.where(~small).select("bucket", part(blocks).alias("mine"), every(wide).alias("theirs"), F.lit(False).alias("leads"), "kind", "key", "root")
@@ -234,7 +234,7 @@ def candidates(meeting: DataFrame, signed: DataFrame, threshold: float) -> DataF
     Of the buckets that two texts share only that of the first band looks at the pair.
     """
     least = int(SAMPLES * threshold - 3.9 * (SAMPLES * threshold * (1 - threshold)) ** 0.5)
-    rows = meeting.join(signed, ["key", "kind"]).select(F.xxhash64("bucket", "mine", "theirs").alias("group"), "leads", "key", "root", "signature")
+    rows = meeting.join(signed.drop("bytes"), ["key", "kind"]).select(F.xxhash64("bucket", "mine", "theirs").alias("group"), "leads", "key", "root", "signature")
 
     def agreeing(leads: list[tuple], texts: list[tuple]) -> np.ndarray:
         first = np.frombuffer(b"".join(x[2] for x in leads), np.uint32).reshape(-1, SAMPLES)
@@ -304,7 +304,7 @@ def common_weights(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[
     """Sums of the lesser weights of the shingles (sorted hash, weight) of every left and every right text.
 
     A shingle is split into the steps between its distinct weights; two texts share the steps that both reach, so
-    that the sums are products of two tables, taken in slices of fixed width.
+    that the sums are products of two tables, taken in slices of a fixed size.
     """
     low = np.zeros((len(left), len(right)))
     both = [*left, *right]
@@ -332,8 +332,9 @@ def common_weights(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[
     column = np.arange(len(row)) - np.repeat(np.cumsum(reach) - reach, reach) + np.repeat(lowest[level], reach)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    for lo in range(0, len(at), SLICE):
-        hi = min(lo + SLICE, len(at))
+    width = max(CELLS // len(both), 1)
+    for lo in range(0, len(at), width):
+        hi = min(lo + width, len(at))
         part = slice(*np.searchsorted(column, (lo, hi)))
         table = np.zeros((len(both), hi - lo))
         table[row[part], column[part] - lo] = 1.0
@@ -347,8 +348,8 @@ def similar(leads: list[bytes], texts: list[bytes], hits: np.ndarray, known: dic
     t, d = (np.array([float(known[k][1].sum()) for k in side]) for side in (texts, leads))
     hits = hits & (np.minimum(t[:, None], d[None, :]) >= least * np.maximum(t[:, None], d[None, :]))
     y, x = np.nonzero(hits)
-    if len(y) > len(set(y.tolist())) + len(set(x.tolist())):
-        mine, theirs = np.unique(y), np.unique(x)
+    mine, theirs = np.unique(y), np.unique(x)
+    if len(y) > len(mine) + len(theirs):
         low = common_weights([known[texts[i]] for i in mine.tolist()], [known[leads[i]] for i in theirs.tolist()])
         low = low[np.searchsorted(mine, y), np.searchsorted(theirs, x)]
         good = low >= least * (t[y] + d[x] - low)
@@ -418,13 +419,13 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, words: int = 5, text:
     docs = df.select(F.col(row_id).alias("id"), text_key(text).alias("key"), F.col(text).alias("text"), row_key(row_id, text).alias("row_key"))
     idf = spark.sparkContext.broadcast(document_frequencies(docs, words))
     signed = stored(sign(docs, idf, words, threshold))
-    buckets = stored(shared(bands(signed)))
+    buckets = stored(shared(bands(signed), signed))
     labels = None
     rest, i = buckets, 0
     while True:
         now = rest.withColumn("root", F.col("key"))
         if labels is not None:
-            now = stored(rest.join(labels, F.col("key") == F.col("node"), "left").select("bucket", "key", "kind", "company", F.coalesce("root", "key").alias("root")))
+            now = stored(rest.join(labels, F.col("key") == F.col("node"), "left").select("bucket", "key", "kind", "company", "bytes", F.coalesce("root", "key").alias("root")))
         meeting, done, used = comparisons(now, i)
         done = stored(done)
         if i and done.isEmpty():

@@ -79,7 +79,7 @@ def test_near_duplicates_match_brute_force(docs):
     assert got == root
 
 
-@pytest.mark.parametrize("side", [(256, 64), (16, 16)])
+@pytest.mark.parametrize("side", [1024, 16])
 def test_hot_bucket_with_outsiders_and_a_chain(spark, monkeypatch, side):
     monkeypatch.setattr(near_duplicates, "SIDE", side)
     monkeypatch.setattr(near_duplicates, "bands", lambda signed: signed.selectExpr("cast(kind as bigint) as bucket", "key", "kind"))
