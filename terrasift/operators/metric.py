@@ -35,11 +35,18 @@ def score(pred: DataFrame, truth: DataFrame, known: DataFrame | None = None, *by
     return out.withColumn("score", tversky(F.col("tp"), F.col("fp"), F.col("n"))).withColumn("recall", F.when(F.col("n") > 0, F.col("tp") / F.col("n")).otherwise(0.0))
 
 
+def sums_or_null(scores: DataFrame) -> DataFrame:
+    """Scores with nulls where SQL has them: tp without truth, fp without dots, and what follows from either."""
+    some, dots = F.col("n") > 0, F.col("dots") > 0
+    null = {"tp": F.when(some, F.col("tp")), "fp": F.when(dots, F.col("fp")), "score": F.when(some & dots, F.col("score")), "recall": F.when(some, F.col("recall"))}
+    return scores.select(*[null[c].alias(c) if c in null else c for c in scores.columns])
+
+
 def marginal_gain(base: DataFrame, more: DataFrame, truth: DataFrame) -> DataFrame:
-    """(d_tp, d_fp): what added dots change."""
+    """(d_tp, d_fp, n, dots): what added dots change, truth cells, and dots of the base."""
     both = score(base.unionByName(more).distinct(), truth).select(F.col("tp").alias("t1"), F.col("fp").alias("f1"))
-    one = score(base, truth).select(F.col("tp").alias("t0"), F.col("fp").alias("f0"))
-    return both.join(one, F.lit(True)).select((F.col("t1") - F.col("t0")).alias("d_tp"), (F.col("f1") - F.col("f0")).alias("d_fp"))
+    one = score(base, truth).select(F.col("tp").alias("t0"), F.col("fp").alias("f0"), "n", "dots")
+    return both.join(one, F.lit(True)).select((F.col("t1") - F.col("t0")).alias("d_tp"), (F.col("f1") - F.col("f0")).alias("d_fp"), "n", "dots")
 
 
 def pooled(rows: DataFrame, arm: str, *levels: str) -> DataFrame:
