@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import kernel
+from ..functions.scalar import RADIUS, kernel
 from ..storage import forget, stored
 from .metric import gain_map
 from .neighbours import KERNEL, WITHIN3, near_distance, offsets, spread
 from .statistics import quantile_cut
+from .walks import TILE, choose_in_order, in_tiles
 
 
 def top_k(df: DataFrame, score: str, k: int, *by: str) -> DataFrame:
@@ -25,60 +29,129 @@ def top_k(df: DataFrame, score: str, k: int, *by: str) -> DataFrame:
 def spaced(cells: DataFrame, score: str, min_d2: int, blocked: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """The set that taking cells by falling score (ties in raster order), never nearer than the spacing, gives.
 
-    The order defines it uniquely, so rounds may take all cells that beat every undecided neighbour at once.
-    ``min_d2``: squared distances below it are too near. Cells too near a ``blocked`` one are never taken. With
-    ``n``, the first n of the set in that order: what is taken depends on higher scores only. Null scores are left out.
+    The order defines it uniquely; tiles decide their cells at once as far as others cannot change them, so long
+    chains of equal scores cost rounds only where they cross tiles. ``min_d2``: squared distances below it are too
+    near. Cells too near a ``blocked`` one are never taken. With ``n``, the first n of the set in that order: each
+    keeps out at most those around it, so they are among the first n times as many. Null scores are left out.
     """
-    near = offsets(min_d2 - 1, 1)
-    todo = cells.where(F.col(score).isNotNull()).select("r", "c", F.struct(F.col(score).alias("s"), (-F.col("r")).alias("a"), (-F.col("c")).alias("b")).alias("k"))
+    near = [(y, x) for y, x, _ in offsets(min_d2 - 1)]
+    todo = cells.where(F.col(score).isNotNull()).groupBy("r", "c").agg(F.max(score).alias("s"))
     if blocked is not None:
         todo = todo.join(spread(blocked.select("r", "c"), offsets(min_d2 - 1)).select("r", "c").distinct(), ["r", "c"], "left_anti")
-    todo, kept = stored(todo), None
-    while todo.head(1):
-        rival = spread(todo, near).groupBy("r", "c").agg(F.max("k").alias("rival"))
-        won = stored(todo.join(rival, ["r", "c"], "left").where(F.col("rival").isNull() | (F.col("k") > F.col("rival"))).select("r", "c"))
-        kept = won if kept is None else kept.unionByName(won)
-        lost = won.unionByName(spread(won, near).select("r", "c")).distinct()
-        last, todo = todo, stored(todo.join(lost, ["r", "c"], "left_anti"))
-        forget(last)
-    if kept is None:
-        return cells.select("r", "c").limit(0)
+    if n is not None:
+        todo = todo.orderBy(F.desc("s"), "r", "c").limit(n * max(len(near), 1))
+    kept = choose_in_order(todo, ["s", "r", "c"], math.isqrt(max(min_d2 - 1, 0)), lambda v: [near] * len(v), falling=("s",))
     out = cells.join(kept, ["r", "c"], "left_semi")
     return out if n is None else out.orderBy(F.desc(score), "r", "c").limit(n)
 
 
+def _best_in_tile(rows: pd.DataFrame, reach: int, near: list[tuple[int, int]]) -> pd.DataFrame:
+    """One tile of ``cover_greedily``: its candidates (r, c, gain, g, state), g the gain that orders them.
+
+    state 1: taken, and no other tile can change that; -1: never taken; 0: left to a later round, g an upper bound.
+    A candidate beyond the tile may or may not be taken when its turn comes, and so may all that it could have
+    changed: these, and what they could have changed, are left.
+    """
+    tr, tc, halo = int(rows.tr.iloc[0]), int(rows.tc.iloc[0]), reach + 2
+    r0, c0, size = tr * TILE - halo - 2, tc * TILE - halo - 2, TILE + 2 * halo + 4
+    weight, cover, free = np.zeros((size, size)), np.zeros((size, size)), np.zeros((size, size), bool)
+    r, c = rows.r.to_numpy() - r0, rows.c.to_numpy() - c0
+    fields = ~rows.candidate.to_numpy(dtype=bool)
+    weight[r[fields], c[fields]], cover[r[fields], c[fields]] = rows.w.to_numpy(dtype=float)[fields], rows.cover.to_numpy(dtype=float)[fields]
+    edge, last = halo + 2 - reach, halo + 2 + TILE + reach
+    seen = ~fields & (r >= edge) & (r < last) & (c >= edge) & (c < last)
+    free[r[seen], c[seen]] = True
+    taps = [(y, x, max(1 - math.sqrt(d) / RADIUS, 0.0)) for y, x, d in KERNEL]
+
+    def gain_of(y: int, x: int) -> float:
+        return float(sum(weight[y + a, x + b] * max(k - cover[y + a, x + b], 0.0) for a, b, k in taps))
+
+    gains = np.zeros((size, size))
+    inner = slice(2, size - 2)
+    for a, b, k in taps:
+        at = (slice(2 + a, size - 2 + a), slice(2 + b, size - 2 + b))
+        gains[inner, inner] += weight[at] * np.maximum(k - cover[at], 0.0)
+    keys = np.round(gains, 10)
+    queue = [(-keys[y, x], y, x) for y, x in zip(*(v.tolist() for v in np.nonzero(free)), strict=True)]
+    heapq.heapify(queue)
+    unsure, state = np.zeros((size, size), bool), np.zeros((size, size), np.int8)
+    first, end = halo + 2, halo + 2 + TILE
+    while queue:
+        g, y, x = heapq.heappop(queue)
+        if not free[y, x] or -g != keys[y, x]:
+            continue
+        free[y, x] = False
+        if gains[y, x] <= 1e-12:
+            state[y, x] = -1
+        elif first <= y < end and first <= x < end and not unsure[y, x]:
+            state[y, x] = 1
+            for a, b, k in taps:
+                cover[y + a, x + b] = max(cover[y + a, x + b], k)
+            for a, b in near:
+                if free[y + a, x + b]:
+                    free[y + a, x + b], state[y + a, x + b] = False, -1
+            for v in range(y - 4, y + 5):
+                for w in range(x - 4, x + 5):
+                    if 2 <= v < size - 2 and 2 <= w < size - 2 and free[v, w]:
+                        gains[v, w] = gain_of(v, w)
+                        now = round(gains[v, w], 10)
+                        if now != keys[v, w]:
+                            keys[v, w] = now
+                            heapq.heappush(queue, (-now, v, w))
+        else:
+            unsure[max(y - reach, 0) : y + reach + 1, max(x - reach, 0) : x + reach + 1] = True
+    own = seen & (r >= first) & (r < end) & (c >= first) & (c < end)
+    r, c = r[own], c[own]
+    return pd.DataFrame({"r": r + r0, "c": c + c0, "gain": gains[r, c], "g": keys[r, c], "state": state[r, c].astype(int)})
+
+
 def cover_greedily(candidates: DataFrame, n: int | None = None, min_d2: int = 1, field: DataFrame | None = None) -> DataFrame:
     """(r, c, gain): greedy maximum coverage of a field (r, c, w) by at most ``n`` dots; by default the candidates' own.
 
     A candidate whose gain beats those of all others that could share a field cell with it is next in its
-    surroundings whatever happens elsewhere, so each round takes all of these at once; gains only fall, and the
-    picks by falling gain are those of one global pass (ties in raster order). Rounds end when nothing is left to
-    gain, or the n-th gain is above all that is left. Dots nearer than ``min_d2`` to a dot are not taken.
+    surroundings whatever happens elsewhere; gains only fall, and the picks by falling gain are those of one global
+    pass (ties in raster order). A round follows that pass in all tiles at once, in each as far as other tiles cannot
+    change it. Rounds end when nothing is left to gain, or n picks come before all that is left. Dots nearer than
+    ``min_d2`` to a dot are not taken.
+
+    With ``n``, only the best candidates of the start can be taken: a pick changes what lies within ``reach``, so at
+    most four of several that lie farther apart than it; of 4 (n - 1) + 1 such, one is as good as ever before each
+    pick, and no pick is below the least of them. They are among the first of that number times what each is near.
     """
-    field = stored((candidates if field is None else field).select("r", "c", "w"))
-    rivals, near = offsets(35, 1), offsets(min_d2 - 1)
-    todo = stored(candidates.select("r", "c"))
-    cover = field.select("r", "c", F.lit(0.0).alias("cover")).limit(0)
-    kept = None
-    while True:
-        gains = gain_map(todo, field, cover).where("gain > 1e-12")
-        now = stored(gains.select("r", "c", "gain", F.struct(F.round("gain", 10).alias("g"), (-F.col("r")).alias("a"), (-F.col("c")).alias("b")).alias("k")))
-        if not now.head(1):
-            break
-        if n is not None and kept is not None:
-            least = kept.orderBy(F.desc("gain")).limit(n).agg(F.min("gain"), F.count(F.lit(1))).first()
-            if least[1] >= n and least[0] > now.agg(F.max("gain")).first()[0] + 1e-9:
-                break
-        best = spread(now.select("r", "c", "k"), rivals).groupBy("r", "c").agg(F.max("k").alias("best"))
-        won = stored(now.join(best, ["r", "c"], "left").where(F.col("best").isNull() | (F.col("k") > F.col("best"))).select("r", "c", "gain"))
+    field = stored((candidates if field is None else field).select("r", "c", "w").withColumn("cover", F.lit(0.0)))
+    reach, near = max(4, math.isqrt(max(min_d2 - 1, 0))), offsets(min_d2 - 1)
+    todo = candidates.select("r", "c").distinct()
+    if n is not None:
+        most = (2 * reach + 1) ** 2 * (4 * (n - 1) + 1)
+        gains = gain_map(todo, field.select("r", "c", "w"), field.select("r", "c", "cover"))
+        todo = gains.orderBy(F.desc(F.round("gain", 10)), "r", "c").limit(most).select("r", "c") if n > 0 else todo.limit(0)
+    todo, kept = stored(todo), None
+    shape = [(y, x) for y, x, _ in near]
+    order = F.struct("g", (-F.col("r")).alias("a"), (-F.col("c")).alias("b"))
+    while todo.head(1):
+        both = field.select("r", "c", "w", "cover", F.lit(False).alias("candidate")).unionByName(todo.select("r", "c", F.lit(0.0).alias("w"), F.lit(0.0).alias("cover"), F.lit(True).alias("candidate")))
+        live = todo.select(F.floor(F.col("r") / TILE).cast("int").alias("tr"), F.floor(F.col("c") / TILE).cast("int").alias("tc")).distinct()
+        told = in_tiles(both, reach + 2).join(live, ["tr", "tc"]).groupBy("tr", "tc").applyInPandas(lambda rows: _best_in_tile(rows, reach, shape), "r int, c int, gain double, g double, state int")
+        told = stored(told)
+        won = told.where("state = 1").select("r", "c", "gain", "g")
         kept = won if kept is None else kept.unionByName(won)
-        fresh = spread(won.select("r", "c"), KERNEL).select("r", "c", kernel(F.col("d2")).alias("cover"))
-        last, cover = cover, stored(cover.unionByName(fresh).groupBy("r", "c").agg(F.max("cover").alias("cover")))
-        old, todo = todo, stored(now.select("r", "c").join(spread(won.select("r", "c"), near).select("r", "c").distinct(), ["r", "c"], "left_anti"))
-        forget(last, old, now)
+        left = told.where("state = 0").select("r", "c", "g")
+        if len(near) > 1:
+            left = left.join(spread(won.select("r", "c"), near).select("r", "c").distinct(), ["r", "c"], "left_anti")
+        old, todo = todo, stored(left)
+        forget(old)
+        if n is not None:
+            top = todo.agg(F.max(order).alias("k")).first()["k"]
+            sure = kept if top is None else kept.where((F.col("g") > top.g) | ((F.col("g") == top.g) & (F.struct("r", "c") < F.struct(F.lit(-top.a), F.lit(-top.b)))))
+            if sure.count() >= n:
+                break
+        fresh = spread(won.select("r", "c"), KERNEL).groupBy("r", "c").agg(F.max(kernel(F.col("d2"))).alias("fresh"))
+        last, field = field, stored(field.join(fresh, ["r", "c"], "left").select("r", "c", "w", F.greatest("cover", F.coalesce("fresh", F.lit(0.0))).alias("cover")))
+        forget(last)
     if kept is None:
         return todo.select("r", "c", F.lit(0.0).alias("gain")).limit(0)
-    return kept if n is None else kept.orderBy(F.desc("gain"), "r", "c").limit(n)
+    first = kept if n is None else kept.orderBy(F.desc("g"), "r", "c").limit(n)
+    return first.select("r", "c", "gain")
 
 
 def cover_thin(mask: DataFrame, budget: int, share: float = 0.06) -> DataFrame:
@@ -98,7 +171,7 @@ def cover_thin(mask: DataFrame, budget: int, share: float = 0.06) -> DataFrame:
         gains = stored(gain_map(todo, field, cover).select("r", "c", F.round("gain", 9).alias("gain")).where("gain > 0"))
         around = spread(gains, offsets(2, 1)).groupBy("r", "c").agg(F.max("gain").alias("top"))
         peaks = gains.join(around, ["r", "c"], "left").where(F.col("top").isNull() | (F.col("gain") >= F.col("top"))).select("r", "c", "gain")
-        batch = stored(spaced(peaks, "gain", 3).orderBy(F.desc("gain"), "r", "c").limit(max(1, math.ceil((budget - taken) * share))).select("r", "c"))
+        batch = stored(spaced(peaks, "gain", 3, n=max(1, math.ceil((budget - taken) * share))).select("r", "c"))
         got = batch.count()
         if not got:
             break

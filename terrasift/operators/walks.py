@@ -27,7 +27,7 @@ STEPS = 64
 AROUND = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1) if (y, x) != (0, 0)]
 
 
-def _in_tiles(cells: DataFrame, halo: int) -> DataFrame:
+def in_tiles(cells: DataFrame, halo: int) -> DataFrame:
     """Cells with each tile (tr, tc) that they lie in or within the halo of."""
     near = lambda x: F.explode(F.sequence(F.floor((F.col(x) - halo) / TILE).cast("int"), F.floor((F.col(x) + halo) / TILE).cast("int")))
     return cells.select("*", near("r").alias("tr")).select("*", near("c").alias("tc"))
@@ -70,8 +70,8 @@ def breadth_first(mask: DataFrame, width: int) -> DataFrame:
     while front.head(1):
         both = front.withColumn("place", F.col("place").cast("double")).unionByName(todo.withColumn("place", F.lit(None).cast("double")))
         # only tiles that the walk can enter in this round are looked at
-        live = _in_tiles(front.select("r", "c"), STEPS).select("tr", "tc").distinct()
-        found = stored(_in_tiles(both, STEPS).join(live, ["tr", "tc"]).groupBy("tr", "tc").applyInPandas(walk, "r int, c int, comp long, step int, group long, code string"))
+        live = in_tiles(front.select("r", "c"), STEPS).select("tr", "tc").distinct()
+        found = stored(in_tiles(both, STEPS).join(live, ["tr", "tc"]).groupBy("tr", "tc").applyInPandas(walk, "r int, c int, comp long, step int, group long, code string"))
         done_now = found.select("r", "c", "comp", (F.col("step") + level).alias("level"), "group", "code")
         done = done.unionByName(done_now)
         last, todo = todo, stored(todo.join(found.select("r", "c"), ["r", "c"], "left_anti"))
@@ -82,21 +82,22 @@ def breadth_first(mask: DataFrame, width: int) -> DataFrame:
     return done
 
 
-def choose_in_order(cells: DataFrame, order: list[str], reach: int, blocks: Callable[[np.ndarray], list[list[tuple[int, int]]]], values: list[str] | None = None) -> DataFrame:
+def choose_in_order(cells: DataFrame, order: list[str], reach: int, blocks: Callable[[np.ndarray], list[list[tuple[int, int]]]], values: list[str] | None = None, falling: tuple[str, ...] = ()) -> DataFrame:
     """(r, c) of the cells that are kept if cells are taken by rising ``order`` unless one kept before blocks them.
 
+    Columns of the order that are in ``falling`` are taken from their highest value on, NaN first as in Spark.
+
     ``blocks`` gets an array (a row a cell) of the columns ``values`` and returns the offsets, none longer than
     ``reach`` in either direction, that each cell blocks if it is kept. No two cells may be equal in ``order``. A
     round decides in every tile what cells of other tiles, still undecided, cannot change.
     """
     values = values or []
-    todo = stored(cells.select("r", "c", *order, *values))
-    kept = None
-    names = [*order, *[v for v in values if v not in order]]
+    names = [x for x in dict.fromkeys([*order, *values]) if x not in ("r", "c")]
+    todo, kept = stored(cells.select("r", "c", *names)), None
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         tr, tc = int(pdf.tr.iloc[0]), int(pdf.tc.iloc[0])
-        pdf = pdf.sort_values(order)
+        pdf = pdf.sort_values(order, ascending=[x not in falling for x in order], na_position="first" if falling else "last")
         r, c = pdf.r.to_numpy(), pdf.c.to_numpy()
         own = (r // TILE == tr) & (c // TILE == tc)
         reached = blocks(pdf[values].to_numpy(dtype=float) if values else np.zeros((len(pdf), 0)))
@@ -121,7 +122,7 @@ def choose_in_order(cells: DataFrame, order: list[str], reach: int, blocks: Call
         if kept is not None:
             now = now.unionByName(kept.withColumn("sure", F.lit(True)))
         live = todo.select(F.floor(F.col("r") / TILE).cast("int").alias("tr"), F.floor(F.col("c") / TILE).cast("int").alias("tc")).distinct()
-        told = stored(_in_tiles(now, reach).join(live, ["tr", "tc"]).groupBy("tr", "tc").applyInPandas(decide, "r int, c int, keep boolean"))
+        told = stored(in_tiles(now, reach).join(live, ["tr", "tc"]).groupBy("tr", "tc").applyInPandas(decide, "r int, c int, keep boolean"))
         fresh = stored(todo.join(told.where("keep").select("r", "c"), ["r", "c"], "left_semi").select("r", "c", *names))
         kept = fresh if kept is None else kept.unionByName(fresh)
         last, todo = todo, stored(todo.join(told.select("r", "c"), ["r", "c"], "left_anti"))

@@ -128,3 +128,24 @@ def test_marker_offset_of_two_ridges(spark):
     chosen = spark.createDataFrame([(10, 9, 13, 14)], "r int, c int, q_r int, q_c int")
     one = links.link_dots(chosen, spark.createDataFrame([(11, 12)], "r int, c int"), labelled).first()
     assert (one.dots, one.near_base, one.base_share, one.third) == (1, 1, 1.0, False)
+
+
+def test_equal_gains_over_tiles_equal_one_pass(spark):
+    """Full of equal gains: rounds over tiles follow the one pass, and the first n need few of them."""
+    cells = [(r, c, 1.0) for r in range(187, 195) for c in range(184, 200)]
+    df = spark.createDataFrame(cells, "r int, c int, w double")
+    for n, d2 in ((3, 1), (9, 8)):
+        got = [(x.r, x.c, round(x.gain, 9)) for x in selection.cover_greedily(df, n, d2).collect()]
+        assert got == [(r, c, round(g, 9)) for r, c, g in sequential_cover(cells, n, math.sqrt(d2))]
+
+
+def test_spaced_over_tiles_with_equal_scores(spark, monkeypatch):
+    cells = [(r, c, 1.0) for r in range(186, 199) for c in range(186, 199)]
+    kept = []
+    for r, c, _ in cells:
+        if all((r - a) ** 2 + (c - b) ** 2 >= 8 for a, b in kept):
+            kept.append((r, c))
+    df = spark.createDataFrame(cells, "r int, c int, w double")
+    assert {(x.r, x.c) for x in selection.spaced(df, "w", 8).collect()} == set(kept)
+    assert [(x.r, x.c) for x in selection.spaced(df, "w", 8, n=7).collect()] == kept[:7]
+    assert selection.spaced(df.limit(0), "w", 8).columns == ["r", "c", "w"]
