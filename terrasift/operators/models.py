@@ -29,13 +29,23 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, folds
 
 
 def _ready(df: DataFrame, features: list[str]) -> DataFrame:
+    """Adds ``_x``: features, missing values as the median (0 where a feature has no value at all), and flags of these."""
     ready = df.select("*", *[F.col(f).isNull().cast("double").alias(f"{f}_missing") for f in features])
     filled = [f"{f}_filled" for f in features]
-    ready = Imputer(strategy="median", inputCols=features, outputCols=filled).fit(ready).transform(ready)
+    known = ready.agg(*[F.count(F.when(~F.isnan(F.col(f).cast("double")), F.col(f))).alias(f) for f in features]).first()
+    some = [f for f in features if known[f]]
+    if some:
+        ready = Imputer(strategy="median", inputCols=some, outputCols=[f"{f}_filled" for f in some]).fit(ready).transform(ready)
+    ready = ready.select("*", *[F.lit(0.0).alias(f"{f}_filled") for f in features if f not in some])
     ready = VectorAssembler(inputCols=filled + [f"{f}_missing" for f in features], outputCol="_x").transform(ready)
     return ready
 
 
+def _one_sided(rows: DataFrame, p: float, n: float) -> DataFrame:
+    """Adds ``prob`` where there is nothing to tell apart: the share of positives, null without training rows."""
+    return rows.withColumn("prob", F.lit(float(p) / float(p + n) if p + n else None).cast("double"))
+
+
 def _hash(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), "r", "c")
 
@@ -52,8 +62,12 @@ def _by_fold(df: DataFrame, columns: list[str], features: list[str], label: str,
         train = ready.where((F.col(fold) != k) & far(k))
         p, n = train.agg(F.coalesce(F.sum(label), F.lit(0)), F.coalesce(F.sum(1 - F.col(label)), F.lit(0))).first()
         drawn = train.where((F.col(label) == 1) | (_hash(seed) <= _share(min(1.0, negatives * p / max(n, 1)))))
-        model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=3, seed=seed).fit(drawn)
-        part = model.transform(ready.where(F.col(fold) == k)).withColumn("prob", vector_to_array("probability")[1]).select(*columns, "prob")
+        held = ready.where(F.col(fold) == k)
+        if p and n:
+            part = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=3, seed=seed).fit(drawn).transform(held).withColumn("prob", vector_to_array("probability")[1])
+        else:
+            part = _one_sided(held, p, n)
+        part = part.select(*columns, "prob")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -62,13 +76,13 @@ def prior_calibrated(df: DataFrame, features: list[str], label: str, train: str,
     """Adds ``prob`` to all rows, from boosted trees fitted to the rows marked ``train``.
 
     About ``max_negatives`` negatives enter the fit, drawn by hash and weighted back to their number, so that
-    probabilities keep the share of positives. Without positives or negatives to learn from: ValueError.
+    probabilities keep the share of positives; without positives or negatives to learn from, they are that share.
     """
     ready = _ready(df, features)
     known = ready.where(train)
     p, n = known.agg(F.coalesce(F.sum(label), F.lit(0)), F.coalesce(F.sum(1 - F.col(label)), F.lit(0))).first()
     if not p or not n:
-        raise ValueError("the training rows lack positives or negatives")
+        return _one_sided(ready, p, n).select(*df.columns, "prob")
     some = known.where((F.col(label) == 1) | (_hash(seed) <= _share(max_negatives / n)))
     kept = some.where(F.col(label) == 0).count()
     weighted = some.withColumn("_weight", F.when(F.col(label) == 1, 1.0).otherwise(n / max(kept, 1)))
@@ -77,15 +91,23 @@ def prior_calibrated(df: DataFrame, features: list[str], label: str, train: str,
 
 
 def quadrant_surface(df: DataFrame, features: list[str], label: str, fold: str, folds: int, max_positives: int, max_rows: int, seed: int = 2026, trees: int = 10) -> DataFrame:
-    """Adds ``prob``: each fold from a fit on the others, on about ``max_positives`` positives and ``max_rows`` rows in all, drawn by hash."""
+    """Adds ``prob``: each fold from a fit on the others, on about ``max_positives`` positives and ``max_rows`` rows in all, drawn by hash.
+
+    Where the others lack positives or negatives, the share of positives.
+    """
     ready, out = _ready(df, features), None
     for k in range(folds):
         known = ready.where(F.col(fold) != k)
         p, n = known.agg(F.coalesce(F.sum(label), F.lit(0)), F.coalesce(F.sum(1 - F.col(label)), F.lit(0))).first()
         good = min(p, max_positives)
         share = F.when(F.col(label) == 1, _share(max_positives / max(p, 1))).otherwise(_share((max_rows - good) / max(n, 1)))
-        model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=3, seed=seed).fit(known.where(_hash(seed) <= share))
-        part = model.transform(ready.where(F.col(fold) == k)).withColumn("prob", vector_to_array("probability")[1]).select(*df.columns, "prob")
+        held = ready.where(F.col(fold) == k)
+        if p and n:
+            model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=3, seed=seed).fit(known.where(_hash(seed) <= share))
+            part = model.transform(held).withColumn("prob", vector_to_array("probability")[1])
+        else:
+            part = _one_sided(held, p, n)
+        part = part.select(*df.columns, "prob")
         out = part if out is None else out.unionByName(part)
     return out
 
