@@ -233,11 +233,13 @@ def fit_operating_point(steps: DataFrame, anchors: dict[int, float], inside: flo
     return float(credit), float(truth), left_out
 
 
-def with_predictions(steps: DataFrame, credit: float, truth: float, inside: float) -> DataFrame:
+def with_predictions(steps: DataFrame, credit: float | None, truth: float | None, inside: float) -> DataFrame:
     """Adds to a ladder the predicted score of each spacing, and whether going on to the next one is worth it.
 
-    It is if less credit is lost for each dot that goes than the score at the spacing charges for it.
+    It is if less credit is lost for each dot that goes than the score at the spacing charges for it. Without a
+    fitted credit and truth both are null.
     """
+    credit, truth = (F.lit(x).cast("double") for x in (credit, truth))
     earned = F.col("retention") * credit
     score = earned / (0.8 * truth + 0.2 * (1 - inside) * F.col("dots") + 0.2 * earned)
     more = steps.select(F.col("min_d2").alias("_next"), F.col("dots").alias("_dots"), F.col("retention").alias("_kept"))
