@@ -28,3 +28,18 @@ def same_as_sql(spark, folder, name):
 @pytest.mark.parametrize("name", ["q_emission", "q_dti_binary", "q_dti_soft", "q_losfo_scores", "q_marginal"])
 def test_sums_without_dots_are_those_of_sql(spark, flat, name):
     same_as_sql(spark, flat, name)
+
+
+def test_ladder_without_dots_has_no_scores(spark, flat):
+    got = entry.queries()["q_ladder"](spark, flat).collect()
+    assert [r.dots for r in got] == [0] * 5 and all(r.stand_dots > 0 and r.score is None and r.go_on is None for r in got)
+
+
+def test_a_flat_band_has_no_lines(spark, flat):
+    got = entry.queries()["q_lineament"](spark, flat).collect()
+    assert len(got) == 36 * 36 and {(r.field, r.score, r.bonus) for r in got} == {(0.0, 0.0, 0.0)}
+
+
+def test_boosting_with_one_class_gives_its_share(spark, flat):
+    assert {r.prob for r in entry.queries()["q_calibrated_boosting"](spark, flat).collect()} == {1.0}
+    assert [r.auc for r in entry.queries()["q_oof_boosting"](spark, flat).collect()] == [None]
