@@ -33,21 +33,49 @@ def cone_links(ends: DataFrame, pixels: DataFrame, radius: int, least_d2: int, c
     return best.where(F.col("q.d2") >= least_d2).select(F.col("a_r").alias("r"), F.col("a_c").alias("c"), F.col("a_comp").alias("comp_src"), F.col("q.b_r").alias("q_r"), F.col("q.b_c").alias("q_c"), F.col("q.b_comp").alias("comp_tgt"), F.col("q.d2").alias("d2"))
 
 
+def _at_places(found: DataFrame, points: DataFrame, kinds: list[str]) -> DataFrame:
+    """Rows of points (id, ...) with what was found for the place and kind (a_...) that each of them is at."""
+    same = [points[x].eqNullSafe(found[f"a_{x}"]) for x in kinds]
+    return points.join(found, same).withColumn("a_id", F.col("id"))
+
+
 def weighted_share(points: DataFrame, sites: DataFrame, radius: int, agree: Column, decay: float) -> DataFrame:
-    """Per point the share, by weight exp(-d / decay), of sites within the radius that agree."""
-    w = F.exp(-F.sqrt("d2") / decay)
-    pairs = tile_pairs(points, sites, radius)
-    return pairs.groupBy("a_id").agg((F.sum(F.when(agree, w).otherwise(0.0)) / F.greatest(F.sum(w), F.lit(1e-12))).alias("share"), F.count(F.lit(1)).alias("n"))
+    """Per point the share, by weight exp(-d / decay), of sites within the radius that agree.
+
+    Points that differ only in their id, and sites that do, meet once, so that pairs grow with places and kinds.
+    """
+    own, theirs = ([x for x in t.columns if x != "id"] for t in (points, sites))
+    w = F.exp(-F.sqrt("d2") / decay) * F.col("b__many")
+    pairs = tile_pairs(points.select(*own).distinct(), sites.groupBy(*theirs).agg(F.count(F.lit(1)).alias("_many")), radius)
+    found = pairs.groupBy(*[f"a_{x}" for x in own]).agg(F.sum(F.when(agree, w).otherwise(0.0)).alias("_good"), F.sum(w).alias("_all"), F.sum("b__many").alias("_n"))
+    return _at_places(found, points, own).groupBy("a_id").agg((F.sum("_good") / F.greatest(F.sum("_all"), F.lit(1e-12))).alias("share"), F.sum("_n").alias("n"))
 
 
 def borrow(points: DataFrame, segments: DataFrame, radius: int, agree: Column, value: str, k: int = 3) -> DataFrame:
-    """Inverse-distance mean of a value over the k nearest agreeing segments; ties by segment id."""
-    near = tile_pairs(points, segments, radius).where(agree).groupBy("a_id", "b_id").agg(F.min("d2").alias("d2"), F.min(f"b_{value}").alias("v"))
+    """Inverse-distance mean of a value over the k nearest agreeing segments; ties by segment id.
+
+    Points that differ only in their id meet segments once, and of segments that differ only in id and value the k
+    first, for no later one can be among the k nearest: pairs grow with places and kinds, not with rows. ``agree``
+    does not look at ids or the value. A segment's rows are looked at again, all of them, for the value.
+    """
+    own, theirs = [x for x in points.columns if x != "id"], [x for x in segments.columns if x not in ("id", value)]
+    place = F.dense_rank().over(Window.partitionBy(*theirs).orderBy("id"))
+    first = segments.select("id", *theirs).distinct().withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+    spot = [f"a_{x}" for x in own]
+    near = tile_pairs(points.select(*own).distinct(), first, radius).where(agree).groupBy(*spot, "b_id").agg(F.min("d2").alias("d2"))
     # ranked in parts first, so that no task sorts all candidates of a point
     part = near.withColumn("part", F.pmod(F.xxhash64("b_id"), F.lit(64)))
-    for by in (["a_id", "part"], ["a_id"]):
+    for by in ([*spot, "part"], spot):
         part = part.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("d2", "b_id"))).where(F.col("place") <= k)
-    best = part.groupBy("a_id").agg(F.array_sort(F.collect_list(F.struct("d2", "b_id", "v"))).alias("s"))
+    # the least value of a chosen segment's rows within the radius
+    rows = part.select(*spot, "b_id", "d2").withColumnRenamed("d2", "_d2").join(segments.select(*[F.col(x).alias(f"b_{x}") for x in segments.columns]), "b_id")
+    dr, dc = F.col("b_r") - F.col("a_r"), F.col("b_c") - F.col("a_c")
+    rows = rows.withColumn("d2", (dr * dr + dc * dc).cast("long")).where((F.col("d2") <= radius * radius) & agree)
+    valued = rows.groupBy(*spot, "b_id", F.col("_d2").alias("d2")).agg(F.min(f"b_{value}").alias("v"))
+    found = valued.groupBy(*spot).agg(F.collect_list(F.struct("d2", "b_id", "v")).alias("s"))
+    # rows of one id at several places share its k nearest
+    each = _at_places(found, points, own).select("a_id", F.explode("s").alias("s")).select("a_id", "s.*").groupBy("a_id", "b_id").agg(F.min("d2").alias("d2"), F.min("v").alias("v"))
+    best = each.groupBy("a_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "b_id", "v"))), 1, k).alias("s"))
     w = lambda x: 1 / (F.sqrt(x["d2"]) + 1)
     top = F.aggregate("s", F.lit(0.0), lambda a, x: a + w(x) * x["v"])
     low = F.aggregate("s", F.lit(0.0), lambda a, x: a + w(x))
