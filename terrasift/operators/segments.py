@@ -46,17 +46,19 @@ def in_tiles(segments: DataFrame, tile: float, reach: float) -> DataFrame:
 def nearest_line(points: DataFrame, segments: DataFrame, extent: float, start: float = 2.0) -> DataFrame:
     """Each distinct point (r, c) with the nearest segment's line, seq and squared distance d2; ties by line, then seq.
 
-    The radius doubles from ``start``: tiles are as wide as it, points meet segments that pass their tile within it,
+    The radius doubles from ``start``: tiles are as wide as it, but no narrower than a cell, points meet segments that pass their tile within it,
     and only points without a segment in reach go on. Beyond ``extent``, or without segments, all three are null.
-    Distances are rounded to 9 places before ties are broken.
+    Distances are rounded to 9 places before ties are broken. Of segments between the same ends only the first counts.
     """
     todo = stored(points.select("r", "c").distinct())
-    lines = stored(segments.select("line", "seq", "r", "c", "q_r", "q_c"))
+    first = segments.groupBy("r", "c", "q_r", "q_c").agg(F.min(F.struct("line", "seq")).alias("k"))
+    lines = stored(first.select("k.line", "k.seq", "r", "c", "q_r", "q_c"))
     found, reach = None, float(start)
     some = bool(lines.head(1))
     while some:
-        there = in_tiles(lines, reach, reach).withColumnsRenamed({"r": "a_r", "c": "a_c"})
-        own = todo.select("r", "c", F.floor(F.col("r") / reach).cast("int").alias("tr"), F.floor(F.col("c") / reach).cast("int").alias("tc"))
+        tile = max(reach, 1.0)
+        there = in_tiles(lines, tile, reach).withColumnsRenamed({"r": "a_r", "c": "a_c"})
+        own = todo.select("r", "c", F.floor(F.col("r") / tile).cast("int").alias("tr"), F.floor(F.col("c") / tile).cast("int").alias("tc"))
         d2 = F.round(distance2(F.col("r"), F.col("c"), F.col("a_r"), F.col("a_c"), F.col("q_r"), F.col("q_c")), 9)
         near = own.join(there, ["tr", "tc"]).select("r", "c", F.struct(d2.alias("d2"), "line", "seq").alias("k")).where(F.col("k.d2") <= reach * reach)
         got = stored(near.groupBy("r", "c").agg(F.min("k").alias("k")).select("r", "c", "k.line", "k.seq", "k.d2"))

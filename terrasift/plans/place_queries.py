@@ -85,13 +85,13 @@ def duplicate_files(spark: SparkSession, d: str) -> DataFrame:
  k AS (SELECT r, c, min((round((y - t * dy) * (y - t * dy) + (x - t * dx) * (x - t * dx), 9), line, seq)) k FROM t GROUP BY 1, 2) SELECT r, c, k[2] AS line, CAST(k[3] AS BIGINT) AS seq, round(k[1], 6) AS d2 FROM k""")
 def line_distance(spark: SparkSession, d: str) -> DataFrame:
     """Every cell with the nearest segment of all lines, at any distance."""
-    return segments.nearest_line(cells(spark, d), segments.segments_of(vertices(spark, d)), 512.0).select("r", "c", "line", F.col("seq").cast("long").alias("seq"), F.round("d2", 6).alias("d2"))
+    return segments.nearest_line(cells(spark, d), segments.segments_of(vertices(spark, d)), 512.0, 0.5).select("r", "c", "line", F.col("seq").cast("long").alias("seq"), F.round("d2", 6).alias("d2"))
 
 
 @query("q_nearest_polyline", f"WITH {CELL}, {offs(25)}, {VERTEX}, k AS (SELECT r + dy r, c + dx c, min(d2 * 10000000 + line) k FROM vertex, offs GROUP BY 1, 2) SELECT r, c, k % 10000000 AS line, k // 10000000 AS d2 FROM cell JOIN k USING (r, c)")
 def nearest_polyline(spark: SparkSession, d: str) -> DataFrame:
     """The nearest polyline within 5 cells, ties by its id."""
-    v = vertices(spark, d).select("line", "r", "c")
+    v = vertices(spark, d).groupBy("r", "c").agg(F.min("line").alias("line"))  # of lines through one place the least is the nearest
     near = nb.spread(v, nb.offsets(25)).groupBy("r", "c").agg(F.min(F.struct("d2", "line")).alias("k"))
     return cells(spark, d).join(near, ["r", "c"]).select("r", "c", "k.line", F.col("k.d2").cast("long").alias("d2"))
 
