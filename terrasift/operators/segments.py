@@ -60,7 +60,8 @@ def nearest_line(points: DataFrame, segments: DataFrame, extent: float, start: f
         there = in_tiles(lines, tile, reach).withColumnsRenamed({"r": "a_r", "c": "a_c"})
         own = todo.select("r", "c", F.floor(F.col("r") / tile).cast("int").alias("tr"), F.floor(F.col("c") / tile).cast("int").alias("tc"))
         d2 = F.round(distance2(F.col("r"), F.col("c"), F.col("a_r"), F.col("a_c"), F.col("q_r"), F.col("q_c")), 9)
-        near = own.join(there, ["tr", "tc"]).select("r", "c", F.struct(d2.alias("d2"), "line", "seq").alias("k")).where(F.col("k.d2") <= reach * reach)
+        # a segment's tiles are many times what their plan is taken for: they are never sent to the driver to broadcast
+        near = own.join(there.hint("merge"), ["tr", "tc"]).select("r", "c", F.struct(d2.alias("d2"), "line", "seq").alias("k")).where(F.col("k.d2") <= reach * reach)
         got = stored(near.groupBy("r", "c").agg(F.min("k").alias("k")).select("r", "c", "k.line", "k.seq", "k.d2"))
         found = got if found is None else found.unionByName(got)
         last, todo = todo, stored(todo.join(got.select("r", "c"), ["r", "c"], "left_anti"))
@@ -91,7 +92,7 @@ def shortest_breach(pairs: DataFrame, segments: DataFrame, extent: float, start:
     found, reach = None, float(start)
     while todo.head(1):
         side = lambda k, near: in_tiles(lines, reach, near).select("tr", "tc", F.col("line").alias(k), F.col("seq").alias(f"{k}_seq"), *[F.col(x).cast("double").alias(f"{k}_{x}") for x in names])  # noqa: B023, E731
-        both = todo.join(side("a", reach), "a").join(side("b", 0.0), ["b", "tr", "tc"])
+        both = todo.join(side("a", reach).hint("merge"), "a").join(side("b", 0.0).hint("merge"), ["b", "tr", "tc"])
         one, other = ([F.col(f"{k}_{x}") for x in names] for k in "ab")
         ends = [distance2(p[i], p[i + 1], *s) for p, s in ((one, other), (other, one)) for i in (0, 2)]
         d2 = F.round(F.when(crossing(one, other), 0.0).otherwise(F.least(*ends)), 9)
