@@ -4,9 +4,9 @@ Four kinds have a fixed format and a check (email, ip, card, phone); those spans
 high recall propose more spans, each on its own, so proposals may overlap the base spans and each other:
 secrets given to a name, account numbers, long numbers, phone numbers without a country, addresses spelled
 out. Gradient-boosted trees judge each by format and context, and a calibrated cut selects. The trees learn
-from evidence beside the patterns (check digits, what a span is called, what it is glued to) on a bounded
-sample and are then written out as a SQL expression, so that all rows are judged inside their own row: no
-shuffle, no Python.
+from evidence beside the patterns (check digits, what a span is called, what it is glued to) in all rows and
+are then written out as a SQL expression, so that all rows are judged inside their own row: no shuffle, no
+Python.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, others, spare, stored
+from .common import others, spare, stored
 
 # The formats. The quantifiers are possessive, which finds the same spans (what follows a run
 # is never part of it) without backtracking or deep recursion in long texts; a card needs 13 digits to pass.
@@ -234,29 +234,29 @@ class Judge(NamedTuple):
         return F.round(sum((w * _value(t, f) for w, t in zip(self.weights, self.trees, strict=True)), F.lit(0.0)), 9)
 
 
-def fit_candidates(df: DataFrame, text: str = "text", row_id: str = "doc_id", max_rows: int = 4000, precision: float = 0.9) -> Judge | None:
-    """Boosted trees fitted to the proposals of a bounded sample of rows, and the cut on their margin.
+def fit_candidates(df: DataFrame, text: str = "text", row_id: str = "doc_id", precision: float = 0.9) -> Judge | None:
+    """Boosted trees fitted to the proposals of all rows, and the cut on their margin.
 
     A proposal is an example if ``evidence`` decides it; undecided ones, and those within a checked base span,
-    stay out of the fit. The cut is the least margin above which a share of ``precision`` of a third of the
-    examples, kept from the fit, is personal. Without examples of both sorts, or such a margin, there is no judge.
+    stay out of the fit. Examples of equal features and label are one row with their number as its weight, so the
+    fit grows with the distinct ones. The cut is the least margin above which a share of ``precision`` of the examples
+    of a third of the rows, kept from the fit, is personal. Without examples of both sorts, or such a margin, there is no judge.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    some = bounded_sample(df.where(body.rlike("|".join(g.needs for g in GENERATORS.values()))).select(row_id, text), max_rows, row_id, text)
+    some = df.where(body.rlike("|".join(g.needs for g in GENERATORS.values())))
     rows = some.select(F.xxhash64(row_id, text).alias("row"), F.concat(*base_spans(body).values()).alias("base"), proposals(body).alias("proposals"))
     rows = rows.select("row", "base", F.explode("proposals").alias("p"))
     inside = F.exists("base", lambda b: (b["start"] <= F.col("p.start")) & (F.col("p.end") <= b["end"]))
-    marked = rows.where(~inside).select("row", evidence(F.col("p")).alias("label"), F.struct(*[c.alias(k) for k, c in features(F.col("p")).items()]).alias("f"))
-    marked = stored(marked.where("label is not null").select("row", "label", "f.*"))
-    check = F.pmod("row", F.lit(3)) == 0
-    if marked.where(~check).select("label").distinct().count() < 2:
+    marked = rows.where(~inside).select((F.pmod("row", F.lit(3)) == 0).alias("check"), evidence(F.col("p")).alias("label"), F.struct(*[c.alias(k) for k, c in features(F.col("p")).items()]).alias("f"))
+    marked = stored(marked.where("label is not null").groupBy("check", "label", "f").agg(F.count(F.lit(1)).cast("double").alias("n")).select("check", "label", "n", "f.*"))
+    if marked.where("not check").select("label").distinct().count() < 2:
         return None
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="vector")
-    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=8, maxDepth=3, seed=3, stepSize=0.3).fit(vector.transform(marked.where(~check)))
+    model = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="n", maxIter=8, maxDepth=3, maxBins=256, seed=3, stepSize=0.3).fit(vector.transform(marked.where("not check")))
     judge = Judge(_trees(model.toDebugString), [float(w) for w in model.treeWeights], 0.0)
-    scored = marked.where(check).select("label", F.struct(*FEATURES).alias("f")).select("label", judge.margin(F.col("f")).alias("margin"))
-    steps = scored.groupBy("margin").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("all")).orderBy(F.desc("margin")).collect()
-    cut, good, total = None, 0.0, 0
+    scored = marked.where("check").select("label", "n", F.struct(*FEATURES).alias("f")).select("label", "n", judge.margin(F.col("f")).alias("margin"))
+    steps = scored.groupBy("margin").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("all")).orderBy(F.desc("margin")).collect()
+    cut, good, total = None, 0.0, 0.0
     for step in steps:
         good, total = good + step["good"], total + step["all"]
         if good >= precision * total:

@@ -223,3 +223,20 @@ def test_samples_do_not_depend_on_partitions(spark):
         joined = df.join(spark.range(15_000).withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text")
         want = want or got
         assert got == want and sorted(tuple(r) for r in bounded_sample(joined, 500, "doc_id", "text").collect()) == want
+
+
+def test_candidates_are_fitted_and_cut_on_all_rows(spark, monkeypatch):
+    from terrasift.llm import personal_data
+
+    texts = [f"call me at 555-{i % 900 + 100}-{i:04d} today" if i % 3 else f"order no. 555-{i % 900 + 100}-{i:04d} came" for i in range(4600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fitted = []
+
+    class Recorder(personal_data.GBTClassifier):
+        def fit(self, data):
+            fitted.append(data.agg(F.sum("n") if "n" in data.columns else F.count(F.lit(1))).first()[0])
+            return super().fit(data)
+
+    monkeypatch.setattr(personal_data, "GBTClassifier", Recorder)
+    judge = personal_data.fit_candidates(df)
+    assert judge is not None and fitted == [df.where("pmod(xxhash64(doc_id, text), 3) <> 0").count()]
