@@ -20,8 +20,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import LOWER, bucket_of, chunks, cut_words, mixed, stored, text_rows
 
@@ -32,6 +34,9 @@ EXACT = 64
 END = np.uint64(0x7B1D5A2C93E4F608)
 #: Words whose probabilities are broadcast: the most frequent ones. All others are joined.
 HOT_WORDS = 16_384
+#: What a text asks of a word that is joined, and what it has without such words; ``key`` is its id and text, hashed.
+NEED = np.dtype([("key", np.int64, 2), ("context", np.int16), ("n", np.int32)])
+TEXT = np.dtype([("key", np.int64, 2), ("held", bool), ("size", np.int64), ("sure", np.int64), ("base", np.float64), ("score", np.float64)])
 
 
 class Totals(NamedTuple):
@@ -431,13 +436,17 @@ def score_texts(df: DataFrame, held_out: int = 2, folds: int = 7, sweeps: int =
     base = np.log10(1.0 / (model.setting.tokens + model.setting.words + 1))
     shared = spark.sparkContext.broadcast(known(batch, model, stirling) if len(batch) else None)
     kind = rows.schema["id"].dataType.simpleString()
-    names = ["word", "kind", "context", "n", "id", "th", "held", "n_tokens", "n_known", "base", "score"]
-    schema = f"word bigint, kind tinyint, context smallint, n int, id {kind}, th bigint, held boolean, n_tokens bigint, n_known bigint, base double, score double"
+    id_type = to_arrow_type(rows.schema["id"].dataType)
+    names = ["word", "kind", "contexts", "counts", "ids", "packed"]
+    schema = f"word bigint, kind tinyint, contexts array<smallint>, counts array<bigint>, ids array<{kind}>, packed binary"
+    part_names = ["h", "th", "id", "held", "n_tokens", "n_known", "base", "score"]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = shared.value
         for batch in batches:
-            ids, held, th = batch.column(0), batch.column(2), batch.column(3)
+            ids, held = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
+            key = np.stack([batch.column(i).to_numpy() for i in (3, 4)], 1)
+            cold, much = [], 0
             for lo, hi, data, offs in chunks(text_rows(batch, "text")):
                 word, context, row = tokens(data, offs)
                 n = hi - lo
@@ -451,62 +460,80 @@ def score_texts(df: DataFrame, held_out: int = 2, folds: int = 7, sweeps: int =
                     sure = np.bincount(r, minlength=n)
                 else:
                     score, plain, sure = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-                key = mixed(np.arange(n).astype(np.uint64) + np.uint64(lo) + (word[0] if len(word) else np.uint64(0)))
-                yield _batch(names, key.view(np.int64), 2, None, None, ids.slice(lo, n), th.slice(lo, n), held.slice(lo, n), size, sure, plain + size * base, score)
-                rest = np.flatnonzero(~is_hot)
-                if len(rest):
-                    o = np.lexsort((context[rest], word[rest], row[rest]))
-                    w, c, r = word[rest][o], context[rest][o], row[rest][o]
-                    first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (c[1:] != c[:-1]) | (r[1:] != r[:-1])])
-                    take = pa.array(r[first] + lo)
-                    yield _batch(names, w[first].view(np.int64), 1, c[first], np.diff(np.r_[first, len(w)]), ids.take(take), th.take(take), None, None, None, None, None)
-
-    def _batch(names, word, kind, context, n, ids, th, held, size, sure, plain, score) -> pa.RecordBatch:
+                made = np.zeros(n, TEXT)
+                made["key"], made["held"], made["size"], made["sure"] = key[lo:hi], held[lo:hi], size, sure
+                made["base"], made["score"] = plain + size * base, score
+                yield _packed(key[lo : lo + 1, 0], 2, ids.slice(lo, n), np.array([0, n]), made)
+                rest = ~is_hot
+                cold.append((word[rest], context[rest], row[rest] + lo))
+                much += len(cold[-1][0])
+                if much > 1_000_000:
+                    yield from _by_word(cold, key)
+                    cold, much = [], 0
+            yield from _by_word(cold, key)
+
+    def _by_word(cold: list[tuple], key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """One row per word: the texts that need it, with contexts and counts, in parts of at most 1024."""
+        if not sum(len(x[0]) for x in cold):
+            return
+        w, c, r = (np.concatenate(x) for x in zip(*cold, strict=True))
+        o = np.lexsort((r * CONTEXTS + c, w))
+        w, c, r = w[o], c[o], r[o]
+        new = np.r_[True, w[1:] != w[:-1]]
+        at = np.flatnonzero(new | np.r_[True, (c[1:] != c[:-1]) | (r[1:] != r[:-1])])
+        n = np.diff(np.r_[at, len(w)])
+        word = w[at]
+        start = np.flatnonzero(new[at])
+        within = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)]))
+        first = np.flatnonzero(within % 1024 == 0)
+        made = np.zeros(len(at), NEED)
+        made["key"], made["context"], made["n"] = key[r[at]], c[at], n
+        yield _packed(word[first].view(np.int64), 1, None, np.r_[first, len(at)], made)
+
+    def _packed(word: np.ndarray, kind: int, ids: pa.Array | None, ends: np.ndarray, made: np.ndarray) -> pa.RecordBatch:
+        """Rows of ``made`` from each of ``ends`` to the next, as bytes: lists would cost the shuffle a call for each entry."""
         m = len(word)
+        bytes_ = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((ends * made.itemsize).astype(np.int32)), pa.py_buffer(made.tobytes())])
+        of = pa.nulls(m, pa.list_(id_type)) if ids is None else pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids)
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.full(m, kind, np.int8)), pa.nulls(m, pa.list_(pa.int16())), pa.nulls(m, pa.list_(pa.int64())), of, bytes_], names)
 
-        def column(x, type_):
-            return pa.nulls(m, type_) if x is None else x if isinstance(x, pa.Array) else pa.array(np.asarray(x)).cast(type_)
-
-        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.full(m, kind, np.int8)), column(context, pa.int16()), column(n, pa.int32()), ids, th, column(held, pa.bool_()), column(size, pa.int64()), column(sure, pa.int64()), column(plain, pa.float64()), column(score, pa.float64())], names)
-
-    part_schema = f"id {kind}, th bigint, held boolean, rows int, n_tokens bigint, n_known bigint, base double, score double"
+    part_schema = f"h bigint, th bigint, id {kind}, held boolean, n_tokens bigint, n_known bigint, base double, score double"
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: Known | None = None
-        for batch in gathered(batches, 150_000):
+        for batch in gathered(batches, 60_000):
             what = batch.column(1).to_numpy()
-            ids, th = batch.column(4), batch.column(5)
-            mine = np.flatnonzero(what == 2)
+            mine = batch.filter(pa.array(what == 2))
             if len(mine):
-                take = pa.array(mine)
-                yield pa.RecordBatch.from_arrays([ids.take(take), th.take(take), batch.column(6).take(take), pa.array(np.ones(len(mine), np.int32)), *(batch.column(i).take(take) for i in (7, 8, 9, 10))], ["id", "th", "held", "rows", "n_tokens", "n_known", "base", "score"])
-            models = np.flatnonzero(what == 0)
-            fresh = known(pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(models)), batch.column(11).take(pa.array(models)), batch.column(12).take(pa.array(models))], ["word", "contexts", "counts"]), model, stirling) if len(models) else None
+                made = np.frombuffer(b"".join(mine.column(5).to_pylist()), TEXT)
+                yield pa.RecordBatch.from_arrays([pa.array(made["key"][:, 0]), pa.array(made["key"][:, 1]), mine.column(4).flatten(), *[pa.array(made[x]) for x in ("held", "size", "sure", "base", "score")]], part_names)
+            models = batch.filter(pa.array(what == 0))
+            fresh = known(pa.RecordBatch.from_arrays([models.column(0), models.column(2), models.column(3)], ["word", "contexts", "counts"]), model, stirling) if len(models) else None
             both = _two(now, fresh)
-            use = np.flatnonzero(what == 1)
+            use = batch.filter(pa.array(what == 1))
             if len(use):
-                word = batch.column(0).to_numpy().view(np.uint64)[use]
-                context = batch.column(2).take(pa.array(use)).to_numpy().astype(np.int64)
-                n = batch.column(3).take(pa.array(use)).to_numpy().astype(np.int64)
-                p, c = none[context], np.zeros(len(use))
+                made = np.frombuffer(b"".join(use.column(5).to_pylist()), NEED)
+                wide = pc.binary_length(use.column(5)).to_numpy() // NEED.itemsize
+                word, context, n = use.column(0).to_numpy(), made["context"].astype(np.int64), made["n"].astype(np.int64)
+                p, c = none[context], np.zeros(len(context))
                 if both is not None:
                     # rows come sorted by the signed hash
-                    at = np.minimum(np.searchsorted(both.word.view(np.int64), word.view(np.int64)), len(both.word) - 1)
-                    hit = both.word[at] == word
-                    p = p.copy()
-                    p[hit] = chances(both, at[hit], context[hit], down)
-                    c[hit] = both.total[at[hit]]
-                score, plain, sure = n * np.log10(p), n * np.log10(c + 1), n * (c > 0)
-                take = pa.array(use)
-                yield pa.RecordBatch.from_arrays([ids.take(take), th.take(take), pa.nulls(len(use), pa.bool_()), pa.array(np.zeros(len(use), np.int32)), pa.array(np.zeros(len(use), np.int64)), pa.array(sure.astype(np.int64)), pa.array(plain), pa.array(score)], ["id", "th", "held", "rows", "n_tokens", "n_known", "base", "score"])
+                    at = np.minimum(np.searchsorted(both.word.view(np.int64), word), len(both.word) - 1)
+                    hit = np.repeat(both.word.view(np.int64)[at] == word, wide)
+                    at = np.repeat(at, wide)[hit]
+                    p[hit] = chances(both, at, context[hit], down)
+                    c[hit] = both.total[at]
+                m = len(made)
+                yield pa.RecordBatch.from_arrays([pa.array(made["key"][:, 0]), pa.array(made["key"][:, 1]), pa.nulls(m, id_type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.array(n * (c > 0)), pa.array(n * np.log10(c + 1)), pa.array(n * np.log10(p))], part_names)
             if fresh is not None:
                 now = _last(fresh)
 
-    texts = rows.select("id", "text", "held", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    needed = texts.mapInArrow(local, schema).select(*names, F.lit(None).cast("array<smallint>").alias("contexts"), F.lit(None).cast("array<bigint>").alias("counts"))
-    models = table.select("word", F.lit(0).cast("tinyint").alias("kind"), *[F.lit(None).cast(needed.schema[c].dataType).alias(c) for c in names[2:]], "contexts", "counts")
+    body = F.coalesce("text", F.lit(""))
+    texts = rows.select("id", "text", "held", F.xxhash64("id", body).alias("h"), F.xxhash64(body).alias("th"))
+    needed = texts.mapInArrow(local, schema)
+    models = table.select("word", F.lit(0).cast("tinyint").alias("kind"), "contexts", "counts", *[F.lit(None).cast(needed.schema[c].dataType).alias(c) for c in names[4:]])
     parts = needed.unionByName(models).repartition("word").sortWithinPartitions("word", "kind").mapInArrow(joined, part_schema)
-    sums = parts.groupBy("id", "th").agg(F.max("held").alias("held_out"), F.sum("rows").alias("rows"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    sums = parts.groupBy("h", "th").agg(F.max("id").alias("id"), F.max("held").alias("held_out"), F.count("held").alias("rows"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     each = sums.select("id", "held_out", "rows", *[(F.col(c) / F.col("rows")).cast("long").alias(c) for c in ("n_tokens", "n_known")], *[(F.col(c) / F.col("rows")).alias(c) for c in ("base", "score")])
     out = each.select(F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("_"), "*")
     return out.select(F.col("id").alias(row_id), "held_out", "n_tokens", "n_known", F.lit(model.setting.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
