@@ -1,13 +1,13 @@
-"""Hierarchical Pitman-Yor language model, counted and sampled with Spark.
+"""Hierarchical Pitman-Yor language models, counted and sampled with Spark.
 
-Three levels of restaurants: one for each context, whose parent is shared by the contexts of its family,
-whose parent in turn is the root, over a uniform base of all training words and one unknown word. The
-context of a word is the ending of the word before it (512 endings in 32 families by last byte), so the
-number of restaurants is fixed while their dishes, the words, grow with the corpus.
+``score_texts`` (of ``word_contexts``) is the model of whole previous words. What is below it is a smaller one whose
+number of restaurants is fixed, so that all their totals fit the driver; no registered query uses it. It has three levels:
+one restaurant for each context, whose parent is shared by the contexts of its family, whose parent in turn is the root, over
+a uniform base of all training words and one unknown word. The context of a word is the ending of the word before it
+(512 endings in 32 families by last byte).
 
 Seating is sampled by blocked Gibbs, a dish of a restaurant at a time: the number of tables given the
-customers, the mass of a new table, and all other seating, by generalised Stirling numbers up to 64
-customers, and beyond by the law they tend to (its mean is within 4 % at 65, 1 % at 300). All dishes of a sweep use the totals of the
+customers, the mass of a new table, and all other seating. All dishes of a sweep use the totals of the
 sweep before, so words are independent within a sweep and any task can sample any of them. Draws are hashes
 of word, restaurant and sweep: a lost task samples the same seating again. After each sweep the strengths of the
 three levels are sampled from the totals of their restaurants.
@@ -23,15 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bucket_of, chunks, cut_words, mixed, stored, text_rows
+from .common import LOWER, chunks, cut_words, mixed, text_rows
+from .seating import END, _stirling, sample_strength, sample_tables, tables_beyond_one  # noqa: F401
+from .word_contexts import score_texts  # noqa: F401
 
 CONTEXTS = 512
 FAMILIES = 32
 SHIFT = 4  # context >> SHIFT is its family
-EXACT = 64
-END = np.uint64(0x7B1D5A2C93E4F608)
-#: Words whose probabilities are broadcast: the most frequent ones. All others are joined.
-HOT_WORDS = 16_384
 
 
 class Totals(NamedTuple):
@@ -81,94 +79,6 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return word, context, row
 
 
-def _stirling(discount: float) -> np.ndarray:
-    """Logs of the generalised Stirling numbers S(c, t) for c up to ``EXACT``."""
-    s = np.full((EXACT + 1, EXACT + 1), -np.inf)
-    s[1, 1] = 0.0
-    for c in range(1, EXACT):
-        t = np.arange(1, c + 2)
-        stay = np.where(t <= c, s[c, 1 : c + 2] + np.log(np.maximum(c - discount * t, 1e-12)), -np.inf)
-        s[c + 1, 1 : c + 2] = np.logaddexp(s[c, 0 : c + 1], stay)
-    return s
-
-
-def _uniform(key: np.ndarray, salt: int) -> np.ndarray:
-    h = mixed(key ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-
-
-def sample_tables(customers: np.ndarray, mass: np.ndarray, discount: float, stirling: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
-    """Tables of each dish: t with probability in proportion to S(c, t) mass**t, for c customers."""
-    tables = np.minimum(customers, 1)
-    mass = np.maximum(mass, 1e-300)
-    u = _uniform(key, salt)
-    several = np.flatnonzero(customers > 1)
-    start = np.minimum(customers[several], EXACT)
-    order = np.argsort(start, kind="stable")
-    several, start = several[order], start[order]
-    first = np.flatnonzero(np.r_[True, start[1:] != start[:-1]]) if len(start) else several
-    for at, c in zip(np.split(several, first[1:]), start[first].tolist(), strict=False):
-        for part in np.array_split(at, max(1, len(at) * c >> 21)):
-            logit = stirling[c, 1 : c + 1] + np.arange(1, c + 1) * np.log(mass[part])[:, None]
-            p = np.exp(logit - logit.max(1, keepdims=True)).cumsum(1)
-            tables[part] = 1 + (p < u[part, None] * p[:, -1:]).sum(1)
-    at = np.flatnonzero(customers > EXACT)
-    if len(at):
-        more, variance = tables_beyond_one(customers[at].astype(np.float64), mass[at], discount)
-        v, w = _uniform(key[at], salt + 1000), _uniform(key[at], salt + 1500)
-        normal = np.rint(more + np.sqrt(variance) * np.sqrt(-2 * np.log(v)) * np.cos(2 * np.pi * w))
-        few, term, below = np.zeros(len(at)), np.exp(-np.minimum(more, 30)), np.exp(-np.minimum(more, 30))
-        for k in range(1, 32):  # inverse of a Poisson law for small means
-            few += v > below
-            term = term * more / k
-            below = below + term
-        tables[at] = 1 + np.clip(np.where(more < 8, few, normal), 0, customers[at] - 1).astype(np.int64)
-    return tables
-
-
-def tables_beyond_one(customers: np.ndarray, mass: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and variance of the tables beyond the first, where P(t) is in proportion to S(c, t) mass**t and c is large.
-
-    That law is one of t tables, Poisson in number with Sibuya sizes, given that their sizes add up to c. One
-    table holds nearly all (hence the first one apart); the others follow the Poisson law tilted so that the
-    expected sum is c. With few tables that is the limit 1 + Poisson(mass / discount).
-    """
-    u = np.log(mass) - np.log(customers + mass)  # ln(1 - z) for the tilt z, from above
-    for _ in range(12):
-        x = np.exp(u)
-        g = np.log(mass) + np.log1p(-np.minimum(x, 1 - 1e-15)) - (1 - discount) * u - np.log(customers)
-        u = np.minimum(u + g / (x / np.maximum(1 - x, 1e-15) + 1 - discount), -1e-15)
-    x = np.maximum(np.exp(u), 1e-300)
-    mean = mass / discount * -np.expm1(discount * u)
-    with np.errstate(over="ignore"):
-        spread = mass * (1 - x) * (x ** (discount - 1) + (1 - x) * (1 - discount) * x ** (discount - 2))
-    return mean, np.maximum(mean - customers**2 / spread, 0)
-
-
-def sample_strength(customers: np.ndarray, tables: np.ndarray, discount: float, strength: float, seed: int, rounds: int = 30) -> float:
-    """The strength that restaurants of a level share, given their customers and tables: Gibbs with auxiliary variables.
-
-    Each restaurant has a Beta variable for its customers and, for each table after the first, a coin that says whether
-    the strength or the discount made it. The coins of the first tables are thrown, the sum of all later ones is drawn
-    as a Poisson number of their mean. The prior is a Gamma law of shape 1 and mean 10,000, wide enough for contexts
-    that say nothing, whose words are then nearly those of the family. A level without repeats keeps its strength.
-    """
-    on = customers > 1
-    c, t = customers[on].astype(float), tables[on].astype(float)
-    if not on.any():
-        return strength
-    rng = np.random.default_rng(seed)
-    thrown = np.minimum(t - 1, 256).astype(np.int64)
-    i = np.arange(int(thrown.sum())) - np.repeat(np.cumsum(thrown) - thrown, thrown) + 1
-    for _ in range(rounds):
-        made = float((rng.random(len(i)) < strength / (strength + discount * i)).sum())
-        later = strength / discount * np.log((strength + discount * (t - 0.5)) / (strength + discount * 256.5))
-        made += float(rng.poisson(later[t - 1 > 256].sum()))
-        busy = -np.log(np.maximum(rng.beta(strength + 1, c - 1), 1e-300)).sum()
-        strength = float(np.clip(rng.gamma(1 + made, 1 / (1e-4 + busy)), 1e-3, 1e7))
-    return strength
-
-
 def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Larger batches: the fixed cost of a batch is that of some ten thousand dishes."""
     held: list[pa.RecordBatch] = []
@@ -393,133 +303,3 @@ def chances(k: Known, at: np.ndarray, context: np.ndarray, down: np.ndarray) ->
     pair = at * CONTEXTS + context
     hit = np.minimum(np.searchsorted(k.pair, pair), len(k.pair) - 1)
     return np.where(k.pair[hit] == pair, k.chance[hit], p)
-
-
-def most_frequent(table: DataFrame, n: int) -> DataFrame:
-    """The n words with the highest totals. A histogram of totals first, so that few other words reach the sort."""
-    counted = table.withColumn("total", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
-    level = F.floor(F.log2("total") * 8).cast("int")
-    least, above = 0, 0
-    for k, words in sorted(counted.groupBy(level.alias("k")).count().collect(), reverse=True):
-        least, above = k, above + words
-        if above >= n:
-            break
-    return counted.where(level >= least).orderBy(F.desc("total"), "word").limit(n).select("word", "contexts", "counts")
-
-
-def score_texts(df: DataFrame, held_out: int = 2, folds: int = 7, sweeps: int = 4, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """Per row: its id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity.
-
-    The model learns from rows whose crc32 of the id, modulo ``folds``, is not ``held_out``. Scores are log10
-    probabilities of the whole text and its end; base_score is that of add-one word frequencies. Null and
-    empty texts are just their end. Without training rows every probability is that of the uniform base. Ids
-    may be null or repeat; equal rows are scored alike. Other columns are left out.
-
-    Frequent words (``HOT_WORDS``, a fixed number) are scored where the text is read, with their
-    probabilities broadcast; all other words go to the task that has the word, which adds up its part of
-    each text's score.
-    """
-    spark = df.sparkSession
-    rows = df.select(F.col(row_id).alias("id"), F.col(text).alias("text"), (bucket_of(row_id, folds) == held_out).alias("held"))
-    table = stored(count_contexts(rows.where("not held")))
-    model = fit(table, sweeps)
-    stirling = [_stirling(v) for v in model.setting.discount]
-    hot = most_frequent(table, HOT_WORDS).toArrow()
-    order = np.argsort(hot.column("word").to_numpy().view(np.uint64))
-    batch = hot.take(pa.array(order)).combine_chunks().to_batches()[0] if hot.num_rows else pa.RecordBatch.from_pylist([], schema=hot.schema)
-    down, none = unseen(model)
-    base = np.log10(1.0 / (model.setting.tokens + model.setting.words + 1))
-    shared = spark.sparkContext.broadcast(known(batch, model, stirling) if len(batch) else None)
-    kind = rows.schema["id"].dataType.simpleString()
-    names = ["word", "kind", "context", "n", "id", "th", "held", "n_tokens", "n_known", "base", "score"]
-    schema = f"word bigint, kind tinyint, context smallint, n int, id {kind}, th bigint, held boolean, n_tokens bigint, n_known bigint, base double, score double"
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = shared.value
-        for batch in batches:
-            ids, held, th = batch.column(0), batch.column(2), batch.column(3)
-            for lo, hi, data, offs in chunks(text_rows(batch, "text")):
-                word, context, row = tokens(data, offs)
-                n = hi - lo
-                at = np.minimum(np.searchsorted(k.word, word), len(k.word) - 1) if k is not None else np.zeros(len(word), np.int64)
-                is_hot = k.word[at] == word if k is not None else np.zeros(len(word), bool)
-                size = np.bincount(row, minlength=n)
-                if k is not None:
-                    r, a = row[is_hot], at[is_hot]
-                    score = np.bincount(r, np.log10(chances(k, a, context[is_hot], down)), n)
-                    plain = np.bincount(r, np.log10(k.total[a] + 1), n)
-                    sure = np.bincount(r, minlength=n)
-                else:
-                    score, plain, sure = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-                key = mixed(np.arange(n).astype(np.uint64) + np.uint64(lo) + (word[0] if len(word) else np.uint64(0)))
-                yield _batch(names, key.view(np.int64), 2, None, None, ids.slice(lo, n), th.slice(lo, n), held.slice(lo, n), size, sure, plain + size * base, score)
-                rest = np.flatnonzero(~is_hot)
-                if len(rest):
-                    o = np.lexsort((context[rest], word[rest], row[rest]))
-                    w, c, r = word[rest][o], context[rest][o], row[rest][o]
-                    first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (c[1:] != c[:-1]) | (r[1:] != r[:-1])])
-                    take = pa.array(r[first] + lo)
-                    yield _batch(names, w[first].view(np.int64), 1, c[first], np.diff(np.r_[first, len(w)]), ids.take(take), th.take(take), None, None, None, None, None)
-
-    def _batch(names, word, kind, context, n, ids, th, held, size, sure, plain, score) -> pa.RecordBatch:
-        m = len(word)
-
-        def column(x, type_):
-            return pa.nulls(m, type_) if x is None else x if isinstance(x, pa.Array) else pa.array(np.asarray(x)).cast(type_)
-
-        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.full(m, kind, np.int8)), column(context, pa.int16()), column(n, pa.int32()), ids, th, column(held, pa.bool_()), column(size, pa.int64()), column(sure, pa.int64()), column(plain, pa.float64()), column(score, pa.float64())], names)
-
-    part_schema = f"id {kind}, th bigint, held boolean, rows int, n_tokens bigint, n_known bigint, base double, score double"
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: Known | None = None
-        for batch in gathered(batches, 150_000):
-            what = batch.column(1).to_numpy()
-            ids, th = batch.column(4), batch.column(5)
-            mine = np.flatnonzero(what == 2)
-            if len(mine):
-                take = pa.array(mine)
-                yield pa.RecordBatch.from_arrays([ids.take(take), th.take(take), batch.column(6).take(take), pa.array(np.ones(len(mine), np.int32)), *(batch.column(i).take(take) for i in (7, 8, 9, 10))], ["id", "th", "held", "rows", "n_tokens", "n_known", "base", "score"])
-            models = np.flatnonzero(what == 0)
-            fresh = known(pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(models)), batch.column(11).take(pa.array(models)), batch.column(12).take(pa.array(models))], ["word", "contexts", "counts"]), model, stirling) if len(models) else None
-            both = _two(now, fresh)
-            use = np.flatnonzero(what == 1)
-            if len(use):
-                word = batch.column(0).to_numpy().view(np.uint64)[use]
-                context = batch.column(2).take(pa.array(use)).to_numpy().astype(np.int64)
-                n = batch.column(3).take(pa.array(use)).to_numpy().astype(np.int64)
-                p, c = none[context], np.zeros(len(use))
-                if both is not None:
-                    # rows come sorted by the signed hash
-                    at = np.minimum(np.searchsorted(both.word.view(np.int64), word.view(np.int64)), len(both.word) - 1)
-                    hit = both.word[at] == word
-                    p = p.copy()
-                    p[hit] = chances(both, at[hit], context[hit], down)
-                    c[hit] = both.total[at[hit]]
-                score, plain, sure = n * np.log10(p), n * np.log10(c + 1), n * (c > 0)
-                take = pa.array(use)
-                yield pa.RecordBatch.from_arrays([ids.take(take), th.take(take), pa.nulls(len(use), pa.bool_()), pa.array(np.zeros(len(use), np.int32)), pa.array(np.zeros(len(use), np.int64)), pa.array(sure.astype(np.int64)), pa.array(plain), pa.array(score)], ["id", "th", "held", "rows", "n_tokens", "n_known", "base", "score"])
-            if fresh is not None:
-                now = _last(fresh)
-
-    texts = rows.select("id", "text", "held", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    needed = texts.mapInArrow(local, schema).select(*names, F.lit(None).cast("array<smallint>").alias("contexts"), F.lit(None).cast("array<bigint>").alias("counts"))
-    models = table.select("word", F.lit(0).cast("tinyint").alias("kind"), *[F.lit(None).cast(needed.schema[c].dataType).alias(c) for c in names[2:]], "contexts", "counts")
-    parts = needed.unionByName(models).repartition("word").sortWithinPartitions("word", "kind").mapInArrow(joined, part_schema)
-    sums = parts.groupBy("id", "th").agg(F.max("held").alias("held_out"), F.sum("rows").alias("rows"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    each = sums.select("id", "held_out", "rows", *[(F.col(c) / F.col("rows")).cast("long").alias(c) for c in ("n_tokens", "n_known")], *[(F.col(c) / F.col("rows")).alias(c) for c in ("base", "score")])
-    out = each.select(F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("_"), "*")
-    return out.select(F.col("id").alias(row_id), "held_out", "n_tokens", "n_known", F.lit(model.setting.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
-
-
-def _last(k: Known) -> Known:
-    """Only the last word, which may go on in the next batch."""
-    i = len(k.word) - 1
-    own = k.pair >= i * CONTEXTS
-    return Known(k.word[i:], k.total[i:], k.pair[own] - i * CONTEXTS, k.chance[own], k.mid[:, i:])
-
-
-def _two(a: Known | None, b: Known | None) -> Known | None:
-    if a is None or b is None:
-        return a if b is None else b
-    return Known(np.r_[a.word, b.word], np.r_[a.total, b.total], np.r_[a.pair, b.pair + CONTEXTS * len(a.word)], np.r_[a.chance, b.chance], np.concatenate([a.mid, b.mid], 1))
