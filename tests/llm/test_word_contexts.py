@@ -30,9 +30,9 @@ def test_chances_of_all_words_sum_to_one_after_each_word(spark):
     texts += [(1001 + i, a) for i, a in enumerate(words)]
     rows = spark.createDataFrame(texts, "id long, text string").selectExpr("text", "id >= 1000 as held")
     state = wc.stored(wc.counted(rows, 1))
-    model, replies, _ = wc.fit(state, 1, 3)
+    model, replies, _ = wc.fit(state, 1, 3, 0)
     assert all(h.strength[1] > 0 for h in model.history) and model.words == 13
-    d = wc.unpack_bucket(wc.with_replies(state, dict(enumerate(replies))).toArrow())
+    d = wc.unpack_bucket(wc.with_replies(state, {s: r for s, r in enumerate(replies) if s}).toArrow())
     p = wc.pair_chances(d, model, [_stirling(x) for x in model.discount])
     for u in range(len(d.asked)):
         own = d.at == u
