@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import forget, scratch_dir, stored  # noqa: F401
+from ..storage import forget, scratch_dir, setting, stored  # noqa: F401
 
 #: Java and DuckDB pattern of a word.
 WORD = r"[^\x20\x09-\x0D]+"

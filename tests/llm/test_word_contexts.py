@@ -1,9 +1,11 @@
 """The language model's contexts are whole words, however many there are."""
 
 import zlib
+from pathlib import Path
 
 import numpy as np
 
+from terrasift import storage
 from terrasift.llm import word_contexts as wc
 from terrasift.llm.common import bucket_of
 from terrasift.llm.seating import _stirling
@@ -55,3 +57,37 @@ def test_buckets_blocks_and_broadcast_pairs_change_nothing(spark, monkeypatch):
     for a, b in zip(one, other, strict=True):
         assert a[:5] == b[:5] and abs(a.score - b.score) < 1e-4 and abs(a.base_score - b.base_score) < 1e-9
     assert sum(r.held_out for r in one) == df.where(bucket_of("doc_id", 7) == 2).count()
+
+
+def test_parts_of_the_texts_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [(i, " ".join(f"w{int(rng.pareto(1) * 5)}" for _ in range(int(rng.integers(0, 90))))) for i in range(60)] + [(None, None), (None, ""), (3, "w1 w2")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
+    monkeypatch.setattr(wc, "HOT_PAIRS", 20)
+    got = []
+    for parts in (1, 3):
+        monkeypatch.setattr(wc, "SCORE_PARTS", parts)
+        got.append(sorted(wc.score_texts(df).collect(), key=key))
+    assert len(got[0]) == len(got[1]) == 63
+    for a, b in zip(*got, strict=True):
+        assert a[:5] == b[:5] and abs(a.score - b.score) < 1e-9 and abs(a.base_score - b.base_score) < 1e-9
+
+
+def test_scores_are_stored_without_their_pairs(spark, monkeypatch):
+    # key and score of a pair took 12 bytes; the bucket has the pairs, and a score alone takes 4
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.integers(0, 3000, 1000))) for i in range(40)], "doc_id long, text string")
+    sizes, name = {}, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def stored(table):
+        assert spark.conf.get(name) == "4m"
+        out = storage.stored(table)
+        sizes[tuple(out.columns)] = sum(f.stat().st_size for f in Path(out.stored_at.removeprefix("file:")).rglob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(wc, "stored", stored)
+    monkeypatch.setattr(wc, "HOT_PAIRS", 10)
+    assert wc.score_texts(df).count() == 40 and spark.conf.get(name) == before
+    assert max(size for names, size in sizes.items() if "hot_key" in names) < 7 * 40_000
